@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import quality, simhash
-from quern.llm.common import table
+from quern.llm import mixing, quality, sharding, simhash
+from quern.llm.common import n_words, stored, table
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +20,54 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    mixed = mixing.mix(stored(sized, "sized"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op8_quality": op8_quality,
+    "op9_sharding": op9_sharding,
+    "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_mixing": r"""
+        with sized as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                   ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint as draw
+            from documents
+        ), bysource as (
+            select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as k from sized group by source
+        ), weighed as (
+            select *, case k % 3 when 0 then 5 when 1 then 2 else 1 end as w, 3 * source_size as cap from bysource
+        ), levels as (
+            select *, ((sum(source_size) over ())
+                       - coalesce(sum(cap) over (order by cap::double / w, k rows between unbounded preceding and 1 preceding), 0))::double
+                      / (sum(w) over (order by cap::double / w, k rows between current row and unbounded following))::double as lev
+            from weighed
+        ), filled as (
+            select *, cap <= lev * w as full_up, max(case when not (cap <= lev * w) then lev end) over () as level from levels
+        ), targets as (
+            select source, source_size, case when full_up then cap::double else level * w end as target,
+                   ('0x' || substr(md5('mix:' || coalesce('=' || source, '-')), 1, 8))::bigint / 4294967296.0::double as u
+            from filled
+        ), classed as (
+            select *, greatest(length(bin(size)) - 7, 0)::integer as step, draw % 256 as bucket from sized
+        ), placed as (
+            select doc_id, source, size,
+                   row_number() over (partition by source order by (size >> step) << step, bucket, size, draw, doc_id) as place
+            from classed
+        )
+        select doc_id, size::bigint as size, source_size, target,
+               (least(3, floor(u + (case when source_size > 0 then target / source_size else 0 end) * place)
+                         - floor(u + (case when source_size > 0 then target / source_size else 0 end) * (place - 1))) * size)::bigint as taken
+        from placed join targets on placed.source is not distinct from targets.source
+    """,
+}
