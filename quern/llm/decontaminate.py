@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from math import log1p
@@ -26,13 +27,15 @@ INDEX_WORDS = 2_000_000
 PART = 1 << 15
 _REACH = np.array([v for v in range(256) if v.bit_count() <= RADIUS // BLOCKS], np.uint8)
 _BITMAP = 1 << 22
+_WORD = re.compile(r"\w+")
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, digits and underscores in lower case: marks and case hide no passage."""
+    return _WORD.findall((text or "").lower())
 
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     """64-bit hash of each word; ``known`` keeps those of earlier words."""
     if len(known) > 500_000:
         known.clear()
@@ -75,8 +78,8 @@ class Index:
     ``rows`` are (item_id, text, weight of each distinct shingle).
     """
 
-    def __init__(self, rows: list[tuple[int | None, bytes, dict[int, float]]]) -> None:
-        known: dict[bytes, int] = {}
+    def __init__(self, rows: list[tuple[int | None, str, dict[int, float]]]) -> None:
+        known: dict[str, int] = {}
         by_size: dict[int, list[tuple[Item, np.ndarray]]] = {}
         for item_id, text, weights in rows:
             h = word_hashes(words_of(text), known)
@@ -153,11 +156,11 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
                 if len(h):
                     s = np.unique(shingle_hashes(h, min(SHINGLE, len(h)))).view(np.int64)
                     n = len(s)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([item] * n, pa.int64()), pa.array([text] * n, pa.binary()), pa.array([len(h)] * n, pa.int32()), pa.array(s)], ["_q_item", "item_id", "text", "n", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([item] * n, pa.int64()), pa.array([text] * n, pa.string()), pa.array([len(h)] * n, pa.int32()), pa.array(s)], ["_q_item", "item_id", "text", "n", "s"])
 
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary")).distinct()
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     items = items.select(F.xxhash64("item_id", "text").alias("_q_item"), "item_id", "text")
-    own = items.mapInArrow(run, "_q_item long, item_id long, text binary, n int, s long")
+    own = items.mapInArrow(run, "_q_item long, item_id long, text string, n int, s long")
     share = own.groupBy("s").agg(F.count("*").alias("df"))
     total = own.select("_q_item").distinct().count()
     return own.join(share, "s").withColumn("weight", F.log1p(F.lit(float(total)) / F.col("df")))
@@ -168,7 +171,7 @@ def _indexes(benchmark: DataFrame, index_words: int) -> Iterator[Index]:
     parts = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // index_words))
     for p in range(parts):
         part = rows.where(F.pmod("_q_item", F.lit(parts)) == p).orderBy("_q_item").collect()
-        yield Index([(r["item_id"], bytes(r["text"]), {s & (1 << 64) - 1: w for s, w in r["own"]}) for r in part])
+        yield Index([(r["item_id"], r["text"], {s & (1 << 64) - 1: w for s, w in r["own"]}) for r in part])
     rows.unpersist()
 
 
@@ -178,8 +181,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX
 
     A window as long as the item, in words, starts at every word near a shingle of the benchmark. Its SimHash is looked
     up in the item's multi-index; every item within RADIUS is then held against the window exactly: the weight of its
-    distinct shingles of five words that the window holds, of the weight of all of them, is SIMILARITY or more. Texts
-    are compared in lower case (A-Z) and whole. A null or empty text, of either side, matches nothing; a text shorter
+    distinct shingles of five words that the window holds, of the weight of all of them, is SIMILARITY or more. Words are
+    letters and digits in lower case, of the whole text. A null or empty text, of either side, matches nothing; a text shorter
     than an item is one window. Rows that repeat a doc_id are judged one by one. The documents are not shuffled.
     """
     return reduce(DataFrame.union, (_against(docs, i) for i in _indexes(benchmark, index_words)))
@@ -189,10 +192,10 @@ def _against(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known: dict[str, int] = {}
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 found = shared.value.matches(word_hashes(words_of(text.as_py()), known))
                 out += [(doc_id, item, sim, -first, width) for item, (sim, first, width) in found.items()]
             cols = list(zip(*out, strict=True)) or [[]] * 5
@@ -214,9 +217,9 @@ def _without(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known: dict[str, int] = {}
         for b in batches:
-            texts = b.column(b.schema.names.index("text")).cast(pa.binary())
+            texts = b.column(b.schema.names.index("text"))
             yield b.filter(pa.array([not shared.value.matches(word_hashes(words_of(t.as_py()), known)) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
