@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, mixing, quality, sharding, simhash
+from quern.llm import decontaminate, mixing, quality, sharding, simhash, url_filter
 from quern.llm.common import n_words, stored, table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -35,6 +39,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
@@ -43,6 +48,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_url_filter": r"""
+        with parsed as (
+            select page_id, coalesce(url, '') as url,
+                   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*(.*)\z', 1) as rest
+            from pages
+        ), kinds as (
+            select *, [
+                ['scheme=', regexp_extract(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?s)^([a-z0-9+.-]*)://', 1)],
+                ['host=', host], ['domain=', regexp_extract(host, '([^.]+\.[^.]+)\z', 1)],
+                ['dir1=', regexp_extract(path, '(?s)^/([^/.]*)', 1)], ['dir2=', regexp_extract(path, '(?s)^/[^/]*/([^/.]*)', 1)],
+                ['ext=', regexp_extract(path, '\.([A-Za-z0-9]{1,8})\z', 1)], ['query=', regexp_extract(rest, '^\?([^=&#]+)', 1)],
+                ['fragment=', regexp_extract(rest, '(#)', 1)]] as kv
+            from parsed
+        ), rowed as (
+            select *, list_distinct(list_transform(list_filter(kv, lambda x: x[2] <> '' and not regexp_matches(x[2], '^[0-9]+\z')), lambda x: x[1] || x[2])) as tokens,
+                   try_cast(regexp_extract(path, '/([0-9]+)(/|[.][a-z]+)?\z', 1) as bigint) as number,
+                   row_number() over () as r
+            from kinds
+        ), known as (
+            select doc_id, avg(quality) < 0.5 as bad from labels where quality is not null group by doc_id
+        ), labelled as (
+            select r, tokens, bad from rowed join known on doc_id = number
+        ), sets as (
+            select r, bad, list_sort(list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1)) as ante
+            from (select r, bad, tokens, unnest(range(1, 1 << len(tokens))) as mask from labelled)
+        ), mined as (
+            select ante from sets group by ante
+            having count(*) filter (bad) >= greatest(ceil(0.002 * (select count(*) from labelled)), 5)
+               and count(*) filter (bad) >= 0.6 * count(*)
+        ), hits as (
+            select distinct r from rowed, mined where list_has_all(tokens, ante)
+        ), rules(verdict, rhost, rpath) as (
+            values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+        ), best as (
+            select r, arg_max(rhost || rpath, length(rhost || rpath)) as rule, arg_max(verdict, length(rhost || rpath)) as verdict
+            from rowed join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by r
+        )
+        select page_id, host, path, rule, hits.r is not null as mined,
+               coalesce(verdict, case when hits.r is not null then 'block' else 'allow' end) as verdict
+        from rowed left join best using (r) left join hits using (r)
+    """,
     "op10_mixing": r"""
         with sized as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
