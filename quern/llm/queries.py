@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, mixing, quality, sharding, simhash, url_filter
+from quern.llm import decontaminate, mixing, quality, sharding, simhash, url_filter, warc
 from quern.llm.common import n_words, stored, table
 
 
@@ -15,6 +15,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -40,6 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
@@ -91,6 +97,17 @@ SQL: dict[str, str] = {
                coalesce(verdict, case when hits.r is not null then 'block' else 'allow' end) as verdict
         from rowed left join best using (r) left join hits using (r)
     """,
+    "op4_warc": """
+        with rows as (
+            select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+        ), first as (
+            select payload_digest, min(page_id) as first from rows where payload_bytes >= 100 group by payload_digest having count(*) > 1
+        )
+        select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+               case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+               case when page_id is distinct from first then first end as refers_to
+        from rows left join first using (payload_digest)
+    """,
     "op10_mixing": r"""
         with sized as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
