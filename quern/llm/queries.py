@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, mixing, quality, sharding, simhash, url_filter, warc
+from quern.llm import decontaminate, licenses, line_dedup, mixing, quality, quality_rules, sharding, simhash, url_filter, warc
 from quern.llm.common import n_words, stored, table
 
 
@@ -15,11 +15,34 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the cleaned texts; removed lines as their number and first span."""
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.coalesce(removed, F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"),
+        F.length("clean").alias("clean_chars"),
+        F.md5("clean").alias("clean_md5"),
+    )
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.clean(table(spark, sf_dir, "documents"), texts=False)
+    return found.drop("clean")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -45,7 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
+    "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
@@ -53,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
+_TEMPLATES = ", ".join(f"({k}, '{t.license}', '{t.kind}', '{t.text}')" for k, t in enumerate(licenses.TEMPLATES))
+_PHRASES = "|".join(quality_rules.BOILERPLATE)
+
 SQL: dict[str, str] = {
     "op1_url_filter": r"""
         with parsed as (
@@ -97,6 +126,89 @@ SQL: dict[str, str] = {
                coalesce(verdict, case when hits.r is not null then 'block' else 'allow' end) as verdict
         from rowed left join best using (r) left join hits using (r)
     """,
+    "op2_line_dedup": """
+        with docs as (
+            select doc_id, text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \\t\\r\\x0b\\x0c')), lambda x: x <> '') as l
+            from documents
+        ), windows as (
+            select doc_id, p, l[p + 1] as a, l[p + 2] as b, l[p + 3] as c from (select doc_id, l, unnest(range(0, len(l) - 2)) as p from docs)
+        ), later as (
+            select doc_id, p from (select doc_id, p, row_number() over (partition by a, b, c order by doc_id, p) as k from windows) where k > 1
+        ), covered as (
+            select doc_id, list_sort(list_distinct(list(q))) as q from (select doc_id, unnest(range(p, p + 3)) as q from later) group by doc_id
+        ), joined as (
+            select d.doc_id, l, q,
+                   case when q is null then text else array_to_string(list_filter(l, lambda x, i: not list_contains(q, i - 1)), chr(10)) end as clean
+            from docs d left join covered c using (doc_id)
+        )
+        select doc_id, len(l)::int as n_lines, coalesce(len(q), 0)::int as n_removed,
+               coalesce(len(list_filter(q, lambda x: not list_contains(q, x - 1))), 0)::int as n_spans,
+               length(clean)::int as clean_chars, md5(clean) as clean_md5
+        from joined
+    """,
+    "op3_quality_rules": rf"""
+        with docs as (
+            select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+        ), words as (
+            select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from docs
+        ), triples as (
+            select r, p, w[p] as a, w[p + 1] as b, w[p + 2] as c from (select r, w, unnest(range(1, len(w) - 1)) as p from words)
+        ), again as (
+            select r, p, count(*) over (partition by r, a, b, c) as n from triples
+        ), repeats as (
+            select r, count(distinct q) as n_repeat_words from (select r, unnest([p, p + 1, p + 2]) as q from again where n > 1) group by r
+        ), lines as (
+            select r, trim(line, E' \t\x0b\x0c\r') as line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w
+            from (select r, unnest(string_split(text, chr(10))) as line from docs)
+        ), ruled as (
+            select r, line, len(w) as n,
+                   not regexp_matches(line, '[.!?:;…]["''”’»)\]]*\z')
+                   or (len(list_filter(w, lambda x: x in ('|', '»', '›', '>', '•', '·'))) >= 3 and 5 * len(list_filter(w, lambda x: x in ('|', '»', '›', '>', '•', '·'))) >= len(w))
+                   or 2 * (length(line) - length(translate(line, '#*$%&|<>', ''))) >= len(w)
+                   or (len(w) >= 3 and not regexp_matches(line, '[a-zß-öø-ÿ]') and regexp_matches(line, '[A-ZÀ-ÖØ-Þ]'))
+                   or (len(w) >= 10 and 3 * len(list_distinct(w)) < len(w))
+                   or (len(w) <= 30 and regexp_matches(lower(line), '{_PHRASES}')) as fails
+            from lines where len(w) > 0
+        ), left_over as (
+            select r, sum(case when fails then 0 else n end) as kept_words from ruled group by r
+        ), dups as (
+            select r, count(*) - count(distinct line) as n_dup_lines
+            from (select r, line from (select r, unnest(string_split(text, chr(10))) as line from docs) where regexp_matches(line, '[^\x20\x09-\x0D]')) group by r
+        ), counted as (
+            select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+                   (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
+                   coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+                   coalesce(kept_words, 0)::bigint as kept_words
+            from words left join repeats using (r) left join dups using (r) left join left_over using (r)
+        )
+        select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+               not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 2 * kept_words >= n_words as kept
+        from counted
+    """,
+    "op5_licenses": rf"""
+        with docs as (
+            select row_number() over () as r, doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as lines from documents
+        ), units as (
+            select r, 0 as line, text as u from docs where len(lines) > 1
+            union all select r, i, lines[i] from (select r, lines, unnest(range(1, len(lines) + 1)) as i from docs)
+            union all select -k - 1, 0, t from (values {_TEMPLATES}) v(k, license, kind, t)
+        ), normal as (
+            select r, line, list_filter(string_split(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' '), lambda x: x <> '') as w
+            from units
+        ), bigrams as (
+            select r, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from normal where len(w) > 1
+        ), scored as (
+            select x.r, x.line, -y.r - 1 as k, 200 * len(list_intersect(x.b, y.b)) / (len(x.b) + len(y.b)) as dice
+            from bigrams x, bigrams y where x.r > 0 and y.r < 0 and 200 * least(len(x.b), len(y.b)) >= 80 * (len(x.b) + len(y.b))
+        ), ranked as (
+            select *, row_number() over (partition by r order by dice desc, line, k) as place, count(*) over (partition by r, line) as x,
+                   count(distinct line) over (partition by r) as n_notices
+            from scored where dice >= 80
+        )
+        select doc_id, license, kind, line::int as line, round(dice / 100, 6) as dice, coalesce(n_notices, 0)::int as n_notices
+        from docs left join (select * from ranked where place = 1) using (r)
+        left join (values {_TEMPLATES}) v(k, license, kind, t) using (k)
+    """,
     "op4_warc": """
         with rows as (
             select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
