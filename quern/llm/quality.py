@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 12
 FACTORS = 4
 #: Expected number of labelled rows that the fit sees at most; the choice hangs on a hash of the doc_id alone.
-MAX_TRAIN = 8000
+MAX_TRAIN = 3000
 THRESHOLD = 0.7
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _SYMBOLS, _MARKS = b"#*$%&|<>=~^_", b".,;:!?"
