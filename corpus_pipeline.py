@@ -3,20 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import quality, simhash
-from quern.llm.common import stored, table
+from quern.llm import decontaminate, mixing, quality, sharding, simhash
+from quern.llm.common import n_words, stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels, does not reject."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality classifier", good_quality), ("SimHash near-dedup", one_of_each_group)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    sized = docs.select(F.struct(docs.columns).alias("_q_doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    taken = mixing.mix(sized).select("_q_doc", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select("_q_doc.*")
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document in the shards."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing to target weights", mixed),
+    ("sharding", sharded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Fingerprints by XXH64, a trained model and random draws are not for SQL; tests hold the rows against brute force.
+#: Fingerprints by XXH64 and a trained model are not for SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None

@@ -21,9 +21,11 @@ BOILERPLATE = (
     "all rights reserved", "enable javascript", "click here", "subscribe to our", "sign up for", "log in to",
     "powered by", "share this", "lorem ipsum",
 )
-#: A line ends in a terminal mark, closing quotes and brackets aside.
+#: A line ends in a terminal mark, closing quotes and brackets aside; a line of so many words may do with one inside.
+PARAGRAPH = 20
 TERMINAL = r"""[.!?:;…]["'”’»)\]]*\z"""
 _TERMINAL = re.compile(TERMINAL.replace(r"\z", r"\Z"))
+_MARK = re.compile("[.!?]")
 _PHRASES = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _LOWER, _UPPER = re.compile("[a-zß-öø-ÿ]"), re.compile("[A-ZÀ-ÖØ-Þ]")
 SPACES = " \t\n\x0b\x0c\r"
@@ -49,7 +51,7 @@ def line_fails(line: str) -> bool:
     line = line.strip(SPACES)
     words = line.encode().split()
     n = len(words)
-    if not _TERMINAL.search(line):
+    if not _TERMINAL.search(line) and (n < PARAGRAPH or not _MARK.search(line)):
         return True
     separators = sum(line.count(c) for c in SEPARATORS) and sum(w.decode() in SEPARATORS for w in words)
     if separators >= 3 and 5 * separators >= n:
@@ -82,8 +84,8 @@ def judged(text: str | None) -> tuple:
 def clean(docs: DataFrame, texts: bool = True) -> DataFrame:
     """Every row of ``docs`` as ``doc_id`` and COLUMNS; ``clean`` is the text left, or null without ``texts``.
 
-    A line without a word neither passes nor fails and is dropped. A line fails that does not end in a terminal mark, is a
-    navigation bar, is full of symbols or in capitals, repeats few words, or is short and holds a boilerplate
+    A line without a word neither passes nor fails and is dropped. A line fails that does not end in a terminal mark (and is short or has
+    none inside), is a navigation bar, is full of symbols or in capitals, repeats few words, or is short and holds a boilerplate
     phrase. A document is kept if its base counts pass and half of its words at least are left. A null text has no
     words and is rejected; repeated rows are judged one by one; other columns are ignored.
     """

@@ -162,7 +162,7 @@ SQL: dict[str, str] = {
             from (select r, unnest(string_split(text, chr(10))) as line from docs)
         ), ruled as (
             select r, line, len(w) as n,
-                   not regexp_matches(line, '[.!?:;…]["''”’»)\]]*\z')
+                   (not regexp_matches(line, '[.!?:;…]["''”’»)\]]*\z') and (len(w) < 20 or not regexp_matches(line, '[.!?]')))
                    or (len(list_filter(w, lambda x: x in ('|', '»', '›', '>', '•', '·'))) >= 3 and 5 * len(list_filter(w, lambda x: x in ('|', '»', '›', '>', '•', '·'))) >= len(w))
                    or 2 * (length(line) - length(translate(line, '#*$%&|<>', ''))) >= len(w)
                    or (len(w) >= 3 and not regexp_matches(line, '[a-zß-öø-ÿ]') and regexp_matches(line, '[A-ZÀ-ÖØ-Þ]'))
