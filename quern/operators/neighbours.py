@@ -26,8 +26,8 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: st
     part = lambda df, name: df.select(F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), col.alias("_s"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-df.count() // BLOCK)))).alias(name))
     q, r = part(queries, "_q"), part(refs, "_r")
     nq, nr = (max(1, -(-x.count() // BLOCK)) for x in (queries, refs))
-    q = q.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).cast("long"))
-    r = r.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
+    q = q.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
+    r = r.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]

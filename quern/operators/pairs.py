@@ -53,7 +53,7 @@ def rescue_damage(df: DataFrame, old: str, new: str) -> DataFrame:
 
 def burden(df: DataFrame, a: str, b: str) -> DataFrame:
     """For each row of label 1: pairs it loses under both scores, under a only, under b only."""
-    return joint_counts(df, a, b).select("id", F.col("gg").alias("both"), F.col("gl").alias("a_only"), F.col("lg").alias("b_only"))
+    return joint_counts(df, a, b).select("id", F.col("gg").alias("both_scores"), F.col("gl").alias("a_only"), F.col("lg").alias("b_only"))
 
 
 def bucketed_errors(df: DataFrame, score: str, buckets: int) -> DataFrame:

@@ -67,7 +67,8 @@ def rating_features(ratings: Sequence[Column]) -> dict[str, Column]:
         "r_low2": part(1), "r_top2": F.when(n > 0, total(high) / F.size(high)),
         "r_le2": F.size(F.filter(given, lambda x: x <= 2)).cast("bigint"),
     }
-    return out | {f"r_eq{k}": F.size(F.filter(a, lambda x, k=k: x == k)).cast("bigint") for k in range(6)}
+    equal = lambda k: F.size(F.filter(a, lambda x: x == k)).cast("bigint")
+    return out | {f"r_eq{k}": equal(k) for k in range(6)}
 
 
 def duplicates(df: DataFrame, key: Column) -> DataFrame:
@@ -151,4 +152,4 @@ def residual_bias(df: DataFrame, score: str, group: str, side: str) -> DataFrame
     """One row: how the mean residual of groups agrees between the two sides (correlation, share of equal signs)."""
     g = df.groupBy(group).agg(*(F.avg(F.when(F.col(side) == s, F.col("y") - F.col(score))).alias(n) for s, n in ((0, "a"), (1, "b"))))
     both = g.where("a is not null and b is not null")
-    return both.agg(F.count("*").alias("groups"), F.corr("a", "b").alias("r"), F.avg((F.signum("a") == F.signum("b")).cast("double")).alias("same_sign"))
+    return both.agg(F.count("*").alias("groups"), F.corr("a", "b").alias("r"), F.avg((F.signum(F.round("a", 9)) == F.signum(F.round("b", 9))).cast("double")).alias("same_sign"))
