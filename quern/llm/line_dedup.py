@@ -17,7 +17,8 @@ def _lines(text: Column) -> Column:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with ``n_lines``, ``spans`` (first and last line removed) and ``clean``, the text left.
+    """Every row of ``docs`` with ``n_lines``, ``spans`` (first and last line removed) and ``clean``, the text left, in
+    place of any columns of these names.
 
     A window is WINDOW consecutive lines with a word, trimmed, known by 128 bits of hash. The first window of its
     kind, by doc_id (null last), text hash and position, stays; the lines of every other are covered, covered
@@ -40,8 +41,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     edge = lambda step: F.filter("p", lambda x, i: F.coalesce(F.abs(F.get("p", i + step) - x) > WINDOW, F.lit(True)))
     before = F.filter("p", lambda x, i: (i == 0) | (x - F.get("p", i - 1) > WINDOW))
     spans = F.zip_with(before, edge(1), lambda a, b: F.struct(a.alias("first"), (b + (WINDOW - 1)).alias("last")))
-    found = found.select(F.col("_q_id").alias("_q_of"), F.col("_q_text").alias("_q_hash"), spans.alias("spans"))
+    found = found.select(F.col("_q_id").alias("_q_of"), F.col("_q_text").alias("_q_hash"), spans.alias("_q_spans"))
     joined = rows.join(found, F.col("_q_id").eqNullSafe(F.col("_q_of")) & (F.col("_q_text") == F.col("_q_hash")), "left")
-    left = F.filter("_q_lines", lambda x, i: ~F.exists("spans", lambda s: i.between(s["first"], s["last"])))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*(docs[c] for c in docs.columns), F.size("_q_lines").alias("n_lines"), "spans", text.alias("clean"))
+    left = F.filter("_q_lines", lambda x, i: ~F.exists("_q_spans", lambda s: i.between(s["first"], s["last"])))
+    text = F.when(F.col("_q_spans").isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
+    own = [docs[c] for c in docs.columns if c not in ("n_lines", "spans", "clean")]
+    return joined.select(*own, F.size("_q_lines").alias("n_lines"), F.col("_q_spans").alias("spans"), text.alias("clean"))

@@ -55,7 +55,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = L
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: str = "mix") -> DataFrame:
     """``sized`` (``doc_id``, ``source``, ``size`` and any other columns) with ``source_size``, ``target`` and
-    ``copies``, the number of times that the mix takes the row.
+    ``copies``, the number of times that the mix takes the row, in place of any columns of these names.
 
     Each row of a source expects target / source_size copies. Within the source rows stand in order of size, so
     that the sum of sizes taken is off by about one document at most; their expected copies are summed from the front,
@@ -66,6 +66,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT
     sizes may be null (a null size counts 0); rows that repeat a doc_id stand side by side. Draws hang on source and
     doc_id only, so reruns agree.
     """
+    sized = sized.drop("source_size", "target", "copies")
     size = F.coalesce(F.col("size").cast("long"), F.lit(0))
     step = F.greatest(F.length(F.bin(size)) - CLASS_BITS, F.lit(0))
     draw = _draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))

@@ -119,18 +119,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Facto
     return model
 
 
-def score(docs: DataFrame, model: FactorisationMachine | float, keep_from: float | None = None) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1; with ``keep_from``, only the rows that reach it."""
+def score(docs: DataFrame, model: FactorisationMachine | float) -> DataFrame:
+    """``docs`` with ``score``, the probability of label 1, in place of any column of that name."""
+    docs = docs.drop("score")
     if isinstance(model, float):
-        scored = docs.withColumn("score", F.lit(model))
-        return scored if keep_from is None else scored.where(F.col("score") >= keep_from)
+        return docs.withColumn("score", F.lit(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.names.index("text")).cast(pa.binary())
             scores = np.fromiter((model.probability(t.as_py()) for t in texts), float, len(texts))
-            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, "score"])
-            yield out if keep_from is None else out.filter(pa.array(scores >= keep_from))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, "score"])
 
     return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
 
@@ -148,5 +147,14 @@ def judge(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject."""
-    return score(docs, fit(docs, labels, max_train), keep_from=THRESHOLD).select(docs.columns)
+    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
+    model = fit(docs, labels, max_train)
+    if isinstance(model, float):
+        return docs if model >= THRESHOLD else docs.limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.names.index("text")).cast(pa.binary())
+            yield b.filter(pa.array([model.probability(t.as_py()) >= THRESHOLD for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
