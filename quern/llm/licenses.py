@@ -39,22 +39,27 @@ TEMPLATES = (
 )
 
 
-def bigrams_of(text: str) -> list[str]:
-    """Distinct word bigrams of a template; the same rule as ``_bigrams``."""
+def words_of(text: str) -> list[str]:
+    """Words of a template; the same rule as ``_normal``."""
     low = "".join(c.lower() if "A" <= c <= "Z" else c if c in "0123456789" or "a" <= c <= "z" or ord(c) > 127 else " " for c in text)
-    words = low.split(" ")
-    words = [w for w in words if w]
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+    return low.split(" ")
 
 
-def _words(unit: Column) -> Column:
-    """Words of a unit: runs of letters and digits, A-Z in lower case; other ASCII marks separate."""
-    return F.filter(F.split(F.regexp_replace(ascii_lower(unit), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "), " "), lambda w: w != "")
+def bigrams_of(text: str) -> list[tuple[str, str]]:
+    words = [w for w in words_of(text) if w]
+    return sorted(set(zip(words, words[1:], strict=False)))
+
+
+def _normal(text: Column) -> Column:
+    """Words of each line: runs of letters and digits, A-Z in lower case; other ASCII marks separate."""
+    plain = F.regexp_replace(ascii_lower(text), r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+", " ")
+    return F.transform(F.split(plain, "\n", -1), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
 
 
 def _bigrams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    """Distinct word bigrams, each as a 64-bit hash."""
+    firsts = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.array_distinct(F.transform(firsts, lambda w, i: F.xxhash64(w, F.get(words, i + 1))))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, dice: int = DICE) -> DataFrame:
@@ -62,26 +67,29 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, dice: int
 
     Units are the lines of a text and the whole text (line 0, if it has several). A unit and a template of a and b
     distinct bigrams with c in common have Dice 2c / (a + b); as c is at most the smaller, only units of
-    dice / (200 - dice) to (200 - dice) / dice times b bigrams can match, and all others are dropped by their size
-    before anything is compared. The best match has the highest Dice, then the first line, then the first template.
-    A null or empty text has no unit. Rows are judged one by one and never leave their task; a long text is handled line
-    by line, its whole only where its size fits a template.
+    dice / (200 - dice) to (200 - dice) / dice times b bigrams can match a template. Others are dropped by their size,
+    as are those whose bigrams in any template are too few for the smallest template of a fitting size; a unit of
+    more distinct words than bigrams allow is dropped before its bigrams are formed. The best match has the highest Dice,
+    then the first line, then the first template. A null or empty text has no unit. Rows are judged one by one and never
+    leave their task.
     """
     sets = [bigrams_of(t.text) for t in templates]
     low, high = min(map(len, sets)) * dice // (200 - dice), -(-max(map(len, sets)) * (200 - dice) // dice)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    # A unit of n bigrams has n + 1 words at least, and so 2n + 1 characters. Many bigrams may be alike in a long unit,
-    # so its size has no upper bound in characters.
-    units = F.filter(F.transform(F.concat(F.array(F.when(F.size(lines) > 1, text)), lines), lambda u, i: F.struct(i.alias("line"), u.alias("u"))), lambda s: F.length(s["u"]) > 2 * low)
-    sized = F.transform(units, lambda s: F.struct(s["line"].alias("line"), _bigrams(_words(s["u"])).alias("b")))
+    hashed = [F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in own)) for own in sets]
+    every = F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in sorted({x for own in sets for x in own})))
+    rows = docs.select("doc_id", _normal(F.coalesce(F.col("text"), F.lit(""))).alias("lines"))
+    words = F.concat(F.array(F.when(F.size("lines") > 1, F.flatten("lines"))), F.col("lines"))
+    units = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("line"), w.alias("w"))), lambda s: F.size(s["w"]) > low)
+    units = F.filter(units, lambda s: (F.size(s["w"]) <= high) | (F.size(F.array_distinct(s["w"])) <= high + 1))
+    sized = F.transform(units, lambda s: F.struct(s["line"].alias("line"), _bigrams(s["w"]).alias("b")))
     fitting = F.filter(sized, lambda s: F.size(s["b"]).between(low, high))
-    rows = docs.select("doc_id", fitting.alias("units"))
+    likely = F.filter(fitting, lambda s: F.size(F.array_intersect(s["b"], every)) * (200 - dice) >= F.size(s["b"]) * dice)
+    rows = rows.select("doc_id", likely.alias("units"))
 
     def best(s: Column) -> Column:
         n, tries = F.size(s["b"]), []
         for k, own in enumerate(sets):
-            common = F.size(F.array_intersect(s["b"], F.array(*map(F.lit, own))))
+            common = F.size(F.array_intersect(s["b"], hashed[k]))
             fits = (n * (200 - dice) >= len(own) * dice) & (n * dice <= len(own) * (200 - dice))
             tries.append(F.when(fits, F.struct((200 * common / (n + len(own))).alias("dice"), (-s["line"]).alias("back"), F.lit(-k).alias("t"))))
         return F.array_max(F.array(*tries))
