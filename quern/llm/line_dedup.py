@@ -28,7 +28,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     Counts and first places are pre-aggregated, so a very common window is one row when it meets its like; it is joined
     back by hash, where Spark may split a large group. A document's spans are bounded by its own lines.
     """
-    rows = docs.withColumns({"_q_id": F.col("doc_id").cast("long"), "_q_text": F.xxhash64("text"), "_q_lines": _lines(F.col("text"))})
+    keyed = docs.withColumns({"_q_id": F.col("doc_id").cast("long"), "_q_text": F.xxhash64("text")})
+    rows = keyed.withColumn("_q_lines", _lines(F.col("text")))
     at = F.sequence(F.lit(0), F.size("_q_lines") - WINDOW)
     window = lambda i: [F.get("_q_lines", i + k) for k in range(WINDOW)]
     hashes = F.transform(at, lambda i: F.struct(F.xxhash64(*window(i)).alias("a"), F.xxhash64(F.lit(1), *window(i)).alias("b")))
@@ -42,7 +43,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     before = F.filter("p", lambda x, i: (i == 0) | (x - F.get("p", i - 1) > WINDOW))
     spans = F.zip_with(before, edge(1), lambda a, b: F.struct(a.alias("first"), (b + (WINDOW - 1)).alias("last")))
     found = found.select(F.col("_q_id").alias("_q_of"), F.col("_q_text").alias("_q_hash"), spans.alias("_q_spans"))
-    joined = rows.join(found, F.col("_q_id").eqNullSafe(F.col("_q_of")) & (F.col("_q_text") == F.col("_q_hash")), "left")
+    joined = keyed.join(found, F.col("_q_id").eqNullSafe(F.col("_q_of")) & (F.col("_q_text") == F.col("_q_hash")), "left").withColumn("_q_lines", _lines(docs["text"]))
     left = F.filter("_q_lines", lambda x, i: ~F.exists("_q_spans", lambda s: i.between(s["first"], s["last"])))
     text = F.when(F.col("_q_spans").isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
     own = [docs[c] for c in docs.columns if c not in ("n_lines", "spans", "clean")]
