@@ -17,7 +17,7 @@ def joint_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     the lower rank has 0 there. So each row joins one group for each bit, and within a group a running count over b
     gives the zeros below and level. That is n log n rows; large groups are summed by ranges.
     """
-    ids = before(df, a, {"_n": F.lit(1)}).select(a)
+    ids = df.select(a).distinct()
     dense = before(ids, a, {"_i": F.lit(1)}).select(a, F.col("_i_before").cast("bigint").alias("_r"))
     top = (dense.agg(F.max("_r")).first()[0] or 0).bit_length()
     rows = df.join(dense, a).select("id", "y", F.col(a).alias("_a"), F.col(b).alias("_b"), "_r")
