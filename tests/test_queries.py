@@ -21,7 +21,7 @@ def con():
 
 
 def text(df):
-    one = lambda v: "" if v is None or v != v or str(v) in ("<NA>", "NaT") else f"{float(v):.6f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
+    one = lambda v: "" if v is None or str(v) in ("<NA>", "NaT", "nan") else f"{float(v):.6f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
