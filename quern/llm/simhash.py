@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +19,8 @@ from quern.llm.components import components
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MAX_BITS = 3
 FANOUT = 8
+#: Fingerprints of one tree at most; larger groups are dealt by further bits.
+GROUP = 1 << 16
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -118,15 +121,15 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def _links_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (block, Gray rank). A group may span batches, so the last one waits for more."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Rows arrive sorted by (free, fixed, Gray rank). A group may span batches, so the last one waits for more."""
+    held: list[np.ndarray] = []
 
-    def links(block: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        sizes = np.diff(np.r_[starts, len(block)])
+    def links(rows: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        sizes = np.diff(np.r_[starts, len(rows)])
         a, b = [], []
         for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            group = fp[at : at + size]
+            group = np.ascontiguousarray(rows[at : at + size, 2])
             i, root = index_links(group.view(np.uint64))
             a.append(group[i])
             b.append(group[root])
@@ -134,39 +137,63 @@ def _links_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays([pa.array(cat(a)), pa.array(cat(b))], ["a", "b"])
 
     for batch in batches:
-        block, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "fp"))
-        if not len(block):
+        if not len(batch):
             continue
-        last = int(np.searchsorted(block, block[-1]))
-        if held and last:
-            parts = [*held, (block[:last], fp[:last])]
-            yield links(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            held = []
-        elif held and held[-1][0][-1] != block[0]:
-            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("free", "fixed", "fp")], axis=1)
+        last = int(np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])[-1])
+        if held and (last or (held[-1][-1, :2] != rows[0, :2]).any()):
+            yield links(np.concatenate([*held, rows[:last]]))
             held = []
         elif last:
-            yield links(block[:last], fp[:last])
-        held.append((block[last:], fp[last:]))
+            yield links(rows[:last])
+        held.append(rows[last:])
     if held:
-        yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield links(np.concatenate(held))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
 
+def narrower(free: int, parts: int = MAX_BITS + 1) -> list[int]:
+    """The mask without each of ``parts`` runs of its bits. Of MAX_BITS differing bits, one run at least sees none."""
+    bits = [k for k in range(64) if free >> k & 1]
+    cuts = [len(bits) * k // parts for k in range(parts + 1)]
+    return [free & ~sum(1 << k for k in bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-def near_links(fps: DataFrame) -> DataFrame:
+
+def dealt(fps: DataFrame, most: int = GROUP) -> DataFrame:
+    """Rows ``(fp, free, fixed)``: each fingerprint in several groups, which agree in all bits but those of ``free``.
+    Any two within MAX_BITS of each other share a group.
+
+    A group fixes two of five blocks of bits first. One of more than ``most`` fingerprints, such as those of a very
+    large family of near copies, is dealt again by each of four runs of its free bits, until it is small or so
+    few bits are free that distinct fingerprints cannot be more.
+    """
+    masks = [((1 << 64) - 1) & ~sum(((1 << width) - 1) << at for at, width in pair) for pair in combinations(BLOCKS, 2)]
+    with_fixed = lambda rows: rows.withColumn("fixed", F.col("fp").bitwiseAND(F.bitwise_not("free")))
+    rows, done = with_fixed(fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("free"))), []
+    while max(m.bit_count() for m in masks) >= most.bit_length():
+        large = stored(rows.groupBy("free", "fixed").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n"), "large")
+        found = {r["free"] for r in large.select("free").distinct().collect()}  # at most 640 masks
+        if not found:
+            break
+        done.append(rows.join(large, ["free", "fixed"], "left_anti"))
+        next_masks = {m: narrower(m) for m in masks if _signed(m) in found}
+        choice = F.create_map(*(x for m, own in next_masks.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(o)) for o in own)))))
+        again = rows.join(large, ["free", "fixed"], "left_semi").select("fp", F.explode(F.element_at(choice, F.col("free"))).alias("free"))
+        rows, masks = stored(with_fixed(again.distinct()), "groups"), sorted({o for own in next_masks.values() for o in own})
+    return reduce(DataFrame.union, (r.select("fp", "free", "fixed") for r in [*done, rows]))
+
+
+def near_links(fps: DataFrame, most: int = GROUP) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints, enough of them to join all that differ in MAX_BITS at most.
 
-    The top of the index is spread over the cluster: a row for each two of five bit blocks, grouped by the blocks'
-    value. Two of five blocks agree for any link, so no link is lost. Each group builds its own tree in Gray order.
+    The top of the index is spread over the cluster, by ``dealt``. Each group builds its own tree in Gray order.
     """
-    blocks = []
-    for t, pair in enumerate(combinations(BLOCKS, 2)):
-        value = F.lit(t).cast("long")
-        for at, width in pair:
-            value = F.shiftleft(value, width).bitwiseOR(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)))
-        blocks.append(value)
-    rows = fps.select("fp", gray_rank(F.col("fp")).alias("rank"), F.explode(F.array(*blocks)).alias("block"))
-    dealt = rows.repartition("block").sortWithinPartitions("block", "rank").select("block", "fp")
-    return dealt.mapInArrow(_links_of_groups, "a long, b long")
+    rows = dealt(fps, most).withColumn("rank", gray_rank(F.col("fp")))
+    rows = rows.repartition("free", "fixed").sortWithinPartitions("free", "fixed", "rank").select("free", "fixed", "fp")
+    return rows.mapInArrow(_links_of_groups, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:

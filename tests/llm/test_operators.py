@@ -316,3 +316,17 @@ def test_mix(docs, texts):
         taken[r["source"]] += r["copies"] * r["size"]
     assert abs(sum(want.values()) - sum(sizes.values())) < 1e-6
     assert all(abs(taken[s] - want[s]) <= 220 for s in want)
+
+
+@pytest.mark.parametrize("varied", [range(26, 64, 2), range(50, 62)])
+def test_large_groups_are_dealt_again_and_lose_no_link(spark, varied):
+    rng = np.random.default_rng(5)
+    bits = np.array(list(varied), np.uint64)
+    near = (rng.integers(0, 2, (600, len(bits))).astype(np.uint64) << bits).sum(axis=1, dtype=np.uint64) ^ np.uint64(0xF0F0F0F0)
+    fps = np.unique(np.r_[near, rng.integers(0, 1 << 63, 100).astype(np.uint64)])
+    rows = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    at = {f: k for k, f in enumerate(fps.view(np.int64).tolist())}
+    links = [(at[r["a"]], at[r["b"]]) for r in simhash.near_links(rows, most=150).collect()]
+    want = [(k, int(j)) for k, f in enumerate(fps) for j in np.flatnonzero(np.bitwise_count(fps[:k] ^ f) <= 3)]
+    assert roots(len(fps), links) == roots(len(fps), want)
+    assert simhash.dealt(rows, 150).groupBy("free", "fixed").count().agg({"count": "max"}).first()[0] <= 150
