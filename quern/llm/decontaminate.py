@@ -1,11 +1,11 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted shingles."""
+"""Benchmark decontamination: the rarest shingles of each item find its candidates, exact weighted shingles of item-sized windows decide."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from functools import reduce
-from math import log1p
+from math import fsum
 from typing import NamedTuple
 
 import numpy as np
@@ -16,16 +16,9 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Fingerprints this far apart or nearer are found; eight blocks of 8 bits, one of which then differs in
-#: RADIUS // BLOCKS bits at most.
-RADIUS = 19
-BLOCKS = 8
 #: Words of benchmark items that one index holds, and so what is broadcast at once. A larger benchmark is dealt to
 #: several indexes, each run over all documents.
 INDEX_WORDS = 2_000_000
-#: Words of a text that are fingerprinted at once.
-PART = 1 << 15
-_REACH = np.array([v for v in range(256) if v.bit_count() <= RADIUS // BLOCKS], np.uint8)
 _BITMAP = 1 << 22
 _WORD = re.compile(r"\w+")
 
@@ -53,96 +46,95 @@ def shingle_hashes(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def bit_sums(h: np.ndarray) -> np.ndarray:
-    """For each place, how many of the words before it set each of the 64 bits."""
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.zeros((len(h) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:])
-    return sums
-
-
-def window_prints(sums: np.ndarray, size: int) -> np.ndarray:
-    """SimHash over the words of each window of ``size`` words, as a row of eight bytes."""
-    return np.packbits(2 * (sums[size:] - sums[:-size]) > size, axis=1, bitorder="little")
-
-
 class Item(NamedTuple):
     item_id: int | None
-    weights: dict[int, float]
+    n_words: int
+    shingles: np.ndarray
+    weights: np.ndarray
     total: float
 
 
 class Index:
-    """Items by their number of words: fingerprints in Hamming blocks, and weighted shingles.
+    """Items, and postings of their rarest shingles: in order of falling weight, those that weigh more than
+    1 - SIMILARITY of the item together. A window without any of them lacks too much weight to match, so the items
+    posted under the shingles of a text are all that it can hold.
 
     ``rows`` are (item_id, text, weight of each distinct shingle).
     """
 
     def __init__(self, rows: list[tuple[int | None, str, dict[int, float]]]) -> None:
-        known: dict[str, int] = {}
-        by_size: dict[int, list[tuple[Item, np.ndarray]]] = {}
-        for item_id, text, weights in rows:
-            h = word_hashes(words_of(text), known)
-            by_size.setdefault(len(h), []).append((Item(item_id, weights, sum(weights.values())), window_prints(bit_sums(h), len(h))[0]))
-        self.sizes = {}
-        for size, found in by_size.items():
-            prints = np.stack([p for _, p in found])
-            near = np.zeros((BLOCKS, 256, len(found)), bool)  # items within reach of a block's value
-            for b in range(BLOCKS):
-                near[b, prints[:, b, None] ^ _REACH, np.arange(len(found))[:, None]] = True
-            self.sizes[size] = [i for i, _ in found], prints.view(np.uint64)[:, 0], np.packbits(near, axis=2)
-        self.reach = max(self.sizes, default=0)
+        self.items: list[Item] = []
+        posted: dict[int, tuple[list[int], list[int]]] = {}
+        for i, (item_id, text, own) in enumerate(rows):
+            n, shingles = len(words_of(text)), np.array(sorted(own), np.uint64)
+            weights = np.array([own[s] for s in shingles.tolist()])
+            total = fsum(weights)
+            self.items.append(Item(item_id, n, shingles, weights, total))
+            order = np.argsort(-weights, kind="stable")
+            enough = int(np.searchsorted(np.cumsum(weights[order]), ((1 - SIMILARITY) + 1e-9) * total, side="right")) + 1
+            keys, at = posted.setdefault(min(SHINGLE, n), ([], []))
+            keys += shingles[order[:enough]].tolist()
+            at += [i] * len(order[:enough])
         #: Shingles by their number of words: an item of fewer than SHINGLE words is one shingle.
-        self.shingles, self.bitmap = {}, {}
-        for k in sorted({min(SHINGLE, n) for n in self.sizes}):
-            own = {s for n, (items, _, _) in self.sizes.items() if min(SHINGLE, n) == k for i in items for s in i.weights}
-            self.shingles[k] = np.sort(np.fromiter(own, np.uint64, len(own)))
+        self.postings, self.bitmap = {}, {}
+        for k, (keys, at) in posted.items():
+            order = np.argsort(np.array(keys, np.uint64), kind="stable")
+            own, first = np.unique(np.array(keys, np.uint64)[order], return_index=True)
+            self.postings[k] = own, np.append(first, len(order)), np.array(at, np.int64)[order]
             self.bitmap[k] = np.zeros(_BITMAP, bool)
-            self.bitmap[k][(self.shingles[k] & np.uint64(_BITMAP - 1)).astype(np.int64)] = True
+            self.bitmap[k][(own & np.uint64(_BITMAP - 1)).astype(np.int64)] = True
 
-    def spans(self, h: np.ndarray) -> list[tuple[int, int]]:
-        """Word ranges outside of which no item-sized window holds a shingle of the benchmark, so that its similarity
-        to every item is 0."""
-        places = []
-        for k, bitmap in self.bitmap.items():
-            s = shingle_hashes(h, k)
-            maybe = np.flatnonzero(bitmap[(s & np.uint64(_BITMAP - 1)).astype(np.int64)])
-            at = np.searchsorted(self.shingles[k], s[maybe]).clip(max=len(self.shingles[k]) - 1)
-            places.append(maybe[self.shingles[k][at] == s[maybe]])
-        found = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
-        if not len(found):
-            return []
-        cuts = np.flatnonzero(np.diff(found) > 2 * self.reach + SHINGLE)
-        firsts, lasts = found[np.r_[0, cuts + 1]], found[np.r_[cuts, len(found) - 1]]
-        return [(max(0, a - self.reach), min(len(h), b + SHINGLE + self.reach)) for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True)]
+    def candidates(self, s: np.ndarray, k: int) -> list[int]:
+        """Items of shingles of k words that have one of their rarest among ``s``."""
+        own, first, items = self.postings[k]
+        maybe = np.unique(s[self.bitmap[k][(s & np.uint64(_BITMAP - 1)).astype(np.int64)]])
+        at = np.searchsorted(own, maybe).clip(max=len(own) - 1)
+        found = at[own[at] == maybe]
+        return np.unique(np.concatenate([items[first[j] : first[j + 1]] for j in found])).tolist() if len(found) else []
 
     def matches(self, h: np.ndarray) -> dict[int | None, tuple[float, int, int]]:
         """Best (similarity, first word negated, words) of each item found in a text of these word hashes."""
         best: dict[int | None, tuple[float, int, int]] = {}
-        for a, b in self.spans(h):
-            for at in range(a, b, PART):
-                part = h[at : min(b, at + PART + self.reach - 1)]
-                sums = bit_sums(part)
-                for size in self.sizes:
-                    if 2 * min(size, len(part)) >= size:
-                        self._scan(part, sums, size, at, best)
+        for k in self.postings:
+            s = shingle_hashes(h, k)
+            found = self.candidates(s, k)
+            if not found:
+                continue
+            order = np.argsort(s, kind="stable")
+            ranked = s[order]
+            for item in map(self.items.__getitem__, found):
+                if 2 * min(item.n_words, len(h)) < item.n_words:
+                    continue
+                hit = best_window(item, ranked, order, min(item.n_words, len(h)), len(h), k)
+                if hit:
+                    best[item.item_id] = max(best.get(item.item_id, (0.0, 0, 0)), hit)
         return best
 
-    def _scan(self, h: np.ndarray, sums: np.ndarray, size: int, first: int, best: dict) -> None:
-        items, prints, near = self.sizes[size]
-        width, k = min(size, len(h)), min(SHINGLE, size)
-        shingles, windows = shingle_hashes(h, k), window_prints(sums, width)
-        step = max(1, (1 << 23) // len(items))
-        for at in range(0, len(windows), step):
-            own = windows[at : at + step]
-            within = reduce(np.bitwise_or, (near[b, own[:, b]] for b in range(BLOCKS)))
-            window, item = np.nonzero(np.unpackbits(within, axis=1, count=len(items)))
-            close = np.bitwise_count(own.view(np.uint64)[window, 0] ^ prints[item]) <= RADIUS
-            for w, i in zip((at + window[close]).tolist(), item[close].tolist(), strict=True):
-                weights, total = items[i].weights, items[i].total
-                shared = sum(weights.get(s, 0.0) for s in set(shingles[w : w + width - k + 1].tolist())) / total
-                if shared >= SIMILARITY:
-                    best[items[i].item_id] = max(best.get(items[i].item_id, (0.0, 0, 0)), (shared, -(first + w), width))
+
+def best_window(item: Item, ranked: np.ndarray, order: np.ndarray, width: int, n: int, k: int) -> tuple[float, int, int] | None:
+    """(similarity, first word negated, words) of the first of the best windows of ``width`` words in a text of n words
+    with these shingles, sorted, and their places; None below SIMILARITY."""
+    left, right = np.searchsorted(ranked, item.shingles, "left"), np.searchsorted(ranked, item.shingles, "right")
+    counts = right - left
+    if fsum(item.weights[counts > 0]) < SIMILARITY * item.total * (1 - 1e-9):
+        return None
+    which = np.repeat(np.arange(len(counts)), counts)
+    begins = np.cumsum(counts) - counts
+    places = order[np.arange(len(which)) - np.repeat(begins - left, counts)]  # rising within a shingle
+    reach = width - k + 1  # shingles of a window
+    since = np.maximum(places - reach + 1, 0)  # windows from here to ``until`` hold the shingle at this place, and not before
+    again = np.r_[False, which[1:] == which[:-1]]
+    since[again] = np.maximum(since[again], places[:-1][again[1:]] + 1)
+    until = np.minimum(places, n - width)
+    since, until, which = (x[since <= until] for x in (since, until, which))
+    # Weights as whole numbers, so that windows of equal weight compare equal; they change at ``edges`` only.
+    whole = np.rint(item.weights * (1 << 32)).astype(np.int64)[which]
+    edges, at = np.unique(np.r_[since, until + 1], return_inverse=True)
+    change = np.zeros(len(edges), np.int64)
+    np.add.at(change, at, np.r_[whole, -whole])
+    first = int(edges[np.argmax(np.cumsum(change))])
+    share = fsum(item.weights[which[(since <= first) & (first <= until)]]) / item.total
+    return (share, -first, width) if share >= SIMILARITY - 1e-9 else None
 
 
 def item_shingles(benchmark: DataFrame) -> DataFrame:
@@ -179,9 +171,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX
     """``(doc_id, item_id, similarity, first_word, n_words)``: for each document and each benchmark item in it, the best
     window. Documents without an item have no row.
 
-    A window as long as the item, in words, starts at every word near a shingle of the benchmark. Its SimHash is looked
-    up in the item's multi-index; every item within RADIUS is then held against the window exactly: the weight of its
-    distinct shingles of five words that the window holds, of the weight of all of them, is SIMILARITY or more. Words are
+    A window as long as the item, in words, starts at every word. The weight of the item's distinct shingles of five
+    words that it holds, of the weight of all of them, is SIMILARITY or more. Only items that have one of their rarest
+    shingles in the document are held against it, as no other can match (see ``Index``); no match is lost. Words are
     letters and digits in lower case, of the whole text. A null or empty text, of either side, matches nothing; a text shorter
     than an item is one window. Rows that repeat a doc_id are judged one by one. The documents are not shuffled.
     """

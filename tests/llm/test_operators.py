@@ -136,6 +136,17 @@ def test_leaks_by_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_items_that_share_an_instruction_are_all_found(spark):
+    """Documents hold only the item's own words, of which the shared instruction is no part."""
+    rng = random.Random(7)
+    shared, own = prose(rng, 40), [prose(rng, 50) for _ in range(400)]
+    d = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    b = spark.createDataFrame([(i, f"{shared} {t}") for i, t in enumerate(own)], "item_id long, text string")
+    got = decontaminate.contaminated(d, b).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(400)]
+    assert all(r["similarity"] >= 0.8 for r in got)
+
+
 def test_a_large_benchmark_is_dealt_to_several_indexes(spark):
     rng = random.Random(4)
     items = [prose(rng, 30) for _ in range(20)]
