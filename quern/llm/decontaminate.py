@@ -103,8 +103,6 @@ class Index:
             order = np.argsort(s, kind="stable")
             ranked = s[order]
             for item in map(self.items.__getitem__, found):
-                if 2 * min(item.n_words, len(h)) < item.n_words:
-                    continue
                 hit = best_window(item, ranked, order, min(item.n_words, len(h)), len(h), k)
                 if hit:
                     best[item.item_id] = max(best.get(item.item_id, (0.0, 0, 0)), hit)
@@ -175,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX
     words that it holds, of the weight of all of them, is SIMILARITY or more. Only items that have one of their rarest
     shingles in the document are held against it, as no other can match (see ``Index``); no match is lost. Words are
     letters and digits in lower case, of the whole text. A null or empty text, of either side, matches nothing; a text shorter
-    than an item is one window. Rows that repeat a doc_id are judged one by one. The documents are not shuffled.
+    than an item is one window, however short; it is passed over only if all its shingles weigh too little. Rows that repeat a doc_id are judged one by one. The documents are not shuffled.
     """
     return reduce(DataFrame.union, (_against(docs, i) for i in _indexes(benchmark, index_words)))
 

@@ -147,6 +147,17 @@ def test_items_that_share_an_instruction_are_all_found(spark):
     assert all(r["similarity"] >= 0.8 for r in got)
 
 
+def test_a_text_under_half_an_item_can_hold_it(spark):
+    """Of 100 words, 55 are an instruction that all items share; the other 45 hold most of the weight."""
+    rng = random.Random(8)
+    shared, own = prose(rng, 55), [prose(rng, 45) for _ in range(300)]
+    d = spark.createDataFrame([*enumerate(own[:20]), (20, shared), (21, " ".join(own[0].split()[:30]))], "doc_id long, text string")
+    b = spark.createDataFrame([(i, f"{shared} {t}") for i, t in enumerate(own)], "item_id long, text string")
+    got = decontaminate.contaminated(d, b).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"], r["n_words"]) for r in got) == [(i, i, 0, 45) for i in range(20)]
+    assert all(0.8 <= r["similarity"] < 0.81 for r in got)
+
+
 def test_a_large_benchmark_is_dealt_to_several_indexes(spark):
     rng = random.Random(4)
     items = [prose(rng, 30) for _ in range(20)]
