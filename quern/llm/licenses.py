@@ -38,6 +38,30 @@ TEMPLATES = (
     Template("MPL-2.0", "weak-copyleft", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+)
+
+#: Whole licences and the grant of MIT as it stands in them; matched by windows only.
+BODIES = (
+    Template("MIT", "permissive", _GRANT),
+    Template("MIT", "permissive", _GRANT + "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    Template("BSD-2-Clause", "permissive", _CLAUSES + _WARRANTY),
+    Template("BSD-3-Clause", "permissive", _CLAUSES + _THIRD + _WARRANTY),
+    Template("ISC", "permissive", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+)
+
 
 def words_of(text: str) -> list[str]:
     """Words of a template; the same rule as ``_normal``."""
@@ -62,10 +86,62 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(firsts, lambda w, i: F.xxhash64(w, F.get(words, i + 1))))
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, dice: int = DICE) -> DataFrame:
+def _windows(rows: DataFrame, templates: tuple[Template, ...], dice: int) -> DataFrame:
+    """``rows(doc_id, lines, found)`` with ``more``: matches of windows of words, outside of the lines in ``found``.
+
+    A window has as many words as its template and starts at a bigram of it, wherever lines end. It can match only if
+    the text holds dice / (200 - dice) of the template's bigrams at least, and so their words; other texts form no bigrams.
+    Of windows that overlap, the one of most common bigrams less those of one side only stays, so that a whole licence
+    goes before a notice in it; then the first, then that of the first template.
+    """
+    pair = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    known = []
+    for k, t in enumerate(templates):
+        own = bigrams_of(t.text)
+        size = sum(w != "" for w in words_of(t.text))
+        hashes = F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in own))
+        known.append(F.struct(F.lit(k).alias("k"), F.lit(size).alias("n"), F.array(*(pair(a, b) for a, b in own)).alias("pairs"), hashes.alias("h")))
+    vocabulary = F.array(*(F.lit(w) for w in sorted({w for t in templates for w in words_of(t.text) if w})))
+    enough = lambda n, of: n * (200 - dice) >= of * dice
+    rows = rows.withColumn("v", F.array_intersect(F.flatten("lines"), vocabulary))
+    both = lambda p: F.array_contains("v", p["a"]) & F.array_contains("v", p["b"])
+    fitting = F.filter(F.array(*known), lambda t: enough(F.size(F.filter(t["pairs"], both)), F.size(t["pairs"])))
+    rows = rows.withColumn("fitting", F.when(F.size("v") > 2, fitting).otherwise(F.filter(F.array(*known), lambda t: F.lit(False))))
+    words = F.when(F.size("fitting") > 0, F.flatten("lines"))
+    rows = rows.withColumn("w", words)
+    firsts = F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))
+    rows = rows.withColumn("b", F.transform(firsts, lambda w, i: F.xxhash64(w, F.get("w", i + 1))))
+    places = F.transform("b", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+
+    def tried(t: Column) -> Column:
+        def one(p: Column) -> Column:
+            own = F.array_distinct(F.slice("b", p["i"] + 1, t["n"] - 1))
+            common, both = F.size(F.array_intersect(own, t["h"])), F.size(own) + F.size(t["h"])
+            end = F.least(p["i"] + t["n"], F.size("w"))
+            return F.struct((both - 3 * common).alias("s"), p["i"].alias("i"), t["k"].alias("k"), end.alias("end"), (200 * common / both).alias("dice"))
+
+        starts = F.filter(places, lambda p: F.array_contains(t["h"], p["x"]))
+        held = F.size(F.array_intersect(F.col("b"), t["h"]))
+        return F.when(enough(held, F.size(t["h"])), F.filter(F.transform(starts, one), lambda m: m["dice"] >= dice))
+
+    every = F.flatten(F.filter(F.transform("fitting", tried), lambda x: x.isNotNull()))
+    rows = rows.withColumn("tried", F.array_sort(every))
+    ends = F.transform("lines", lambda x, i: F.aggregate(F.slice("lines", 1, i + 1), F.lit(0), lambda n, y: n + F.size(y)))
+    rows = rows.withColumn("ends", F.when(F.size("tried") > 0, ends))
+    line = lambda i: F.size(F.filter("ends", lambda e: e <= i)) + 1
+    free = F.filter("tried", lambda m: ~F.exists("found", lambda f: (f["back"] == 0) | (-f["back"]).between(line(m["i"]), line(m["end"] - 1))))
+    apart = lambda kept, m: ~F.exists(kept, lambda o: (m["i"] < o["end"]) & (o["i"] < m["end"]))
+    kept = F.aggregate(free, F.filter("tried", lambda m: F.lit(False)), lambda kept, m: F.when(apart(kept, m), F.array_append(kept, m)).otherwise(kept))
+    more = F.transform(kept, lambda m: F.struct(m["dice"], (-line(m["i"])).alias("back"), (-m["k"]).alias("t")))
+    none = F.filter("found", lambda f: F.lit(False))
+    return rows.select("doc_id", "found", F.when(F.size("tried") > 0, more).otherwise(none).alias("more"))
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, dice: int = DICE, bodies: tuple[Template, ...] = BODIES) -> DataFrame:
     """Every row of ``docs`` as ``doc_id, license, kind, line, dice, n_notices``: its best match, or nulls and 0.
 
-    Units are the lines of a text and the whole text (line 0, if it has several). A unit and a template of a and b
+    Units are the lines of a text and the whole text (line 0, if it has several), and windows of words of each template
+    and of ``bodies`` outside of the lines that match, at the line of their first word (see ``_windows``). A unit and a template of a and b
     distinct bigrams with c in common have Dice 2c / (a + b); as c is at most the smaller, only units of
     dice / (200 - dice) to (200 - dice) / dice times b bigrams can match a template. Others are dropped by their size,
     as are those whose bigrams in any template are too few for the smallest template of a fitting size; a unit of
@@ -84,7 +160,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, dice: int
     sized = F.transform(units, lambda s: F.struct(s["line"].alias("line"), _bigrams(s["w"]).alias("b")))
     fitting = F.filter(sized, lambda s: F.size(s["b"]).between(low, high))
     likely = F.filter(fitting, lambda s: F.size(F.array_intersect(s["b"], every)) * (200 - dice) >= F.size(s["b"]) * dice)
-    rows = rows.select("doc_id", likely.alias("units"))
+    rows = rows.select("doc_id", "lines", likely.alias("units"))
 
     def best(s: Column) -> Column:
         n, tries = F.size(s["b"]), []
@@ -95,8 +171,9 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, dice: int
         return F.array_max(F.array(*tries))
 
     found = F.filter(F.transform("units", best), lambda m: m["dice"] >= dice)
-    rows = rows.select("doc_id", found.alias("found")).withColumn("top", F.array_max("found"))
-    by = lambda field: F.element_at(F.array(*(F.lit(getattr(t, field)) for t in templates)), 1 - F.col("top.t"))
+    rows = _windows(rows.select("doc_id", "lines", found.alias("found")), (*templates, *bodies), dice)
+    rows = rows.select("doc_id", F.concat("found", "more").alias("found")).withColumn("top", F.array_max("found"))
+    by = lambda field: F.element_at(F.array(*(F.lit(getattr(t, field)) for t in (*templates, *bodies))), 1 - F.col("top.t"))
     hit = F.col("top").isNotNull()
     return rows.select(
         "doc_id",

@@ -210,6 +210,20 @@ def test_every_template_finds_itself(spark):
         assert (r["license"], r["dice"]) == (licenses.TEMPLATES[r["doc_id"]].license, 1.0)
 
 
+def test_notices_across_and_within_lines(spark):
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    mit, gpl = licenses.BODIES[1].text, licenses.TEMPLATES[9].text
+    rows = [
+        (1, "About.\n\n" + wrap(licenses.BODIES[0].text, 11)), (2, wrap(gpl, 12) + "\nThe end."), (3, "See the notes at the end of the build. Released under the MIT License."),
+        (4, "Copyright 2020 A. Person\n\n" + wrap(mit, 12)), (5, wrap(licenses.BODIES[2].text, 12)), (6, wrap(licenses.BODIES[3].text, 12)), (7, wrap(licenses.BODIES[4].text, 12)),
+        (8, "Licensed under CC BY-NC 4.0.\nparts are released under\nthe MIT License. here"), (9, "We released the build under a license of the MIT."),
+    ]
+    got = {r["doc_id"]: (r["license"], r["line"], r["n_notices"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][:2] == ("MIT", 3) and got[3] == ("MIT", 1, 1) and got[4][:2] == ("MIT", 3)
+    assert [got[i][0] for i in (2, 5, 6, 7)] == ["GPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC"]
+    assert got[8] == ("CC-BY-NC-4.0", 1, 2) and got[9] == (None, None, 0)
+
+
 def test_rules_for_urls(spark):
     urls = ["http://a.org/x", "http://org/", "http://a.org", "http://forg/x", "http://m.Example.ORG/es/1", "https://example.org/en/12?x", "http://example.org/en/2", "http://b.com/de/", "http://b.com/fr/#t", "example.org/es/"]
     labels = spark.createDataFrame([], "doc_id long, quality int")
