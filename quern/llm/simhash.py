@@ -19,8 +19,10 @@ from quern.llm.components import components
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MAX_BITS = 3
 FANOUT = 8
-#: Fingerprints of one tree at most; larger groups are dealt by further bits.
+#: Fingerprints that one tree of the index holds at most; how many trees there are follows from it.
 GROUP = 1 << 16
+#: Runs that lead the Gray orders. Of MAX_BITS differing bits, one run at least sees none.
+RUNS = MAX_BITS + 1
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -155,26 +157,41 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def narrower(free: int, parts: int = MAX_BITS + 1) -> list[int]:
-    """The mask without each of ``parts`` runs of its bits. Of MAX_BITS differing bits, one run at least sees none."""
+def narrower(free: int, parts: int = RUNS, width: int = 64) -> list[int]:
+    """The mask without each of ``parts`` runs of its bits, of ``width`` bits at most. Of MAX_BITS differing bits, one
+    run at least sees none."""
     bits = [k for k in range(64) if free >> k & 1]
     cuts = [len(bits) * k // parts for k in range(parts + 1)]
-    return [free & ~sum(1 << k for k in bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [free & ~sum(1 << k for k in bits[a:b][-width:]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def dealt(fps: DataFrame, most: int = GROUP) -> DataFrame:
-    """Rows ``(fp, free, fixed)``: each fingerprint in several groups, which agree in all bits but those of ``free``.
-    Any two within MAX_BITS of each other share a group.
+    """Rows ``(fp, free, fixed)``: each fingerprint in the trees that hold it; a tree's fingerprints agree in all bits but
+    those of ``free``. Any two within MAX_BITS of each other share a tree.
 
-    A group fixes two of five blocks of bits first. One of more than ``most`` fingerprints, such as those of a very
-    large family of near copies, is dealt again by each of four runs of its free bits, until it is small or so
-    few bits are free that distinct fingerprints cannot be more.
+    Up to ``most`` fingerprints stand in one tree. More are put in Gray order RUNS times, each time with another run of
+    bits in front; the run is just so wide that nodes of that depth hold ``most`` / 4 or so each, and a node is the top
+    of a tree. So each fingerprint is copied RUNS times whatever the input, and trees stay as deep as one task can climb.
+
+    A node of more than ``most`` all the same, such as that of a very large family of near copies, is taken apart: its
+    fingerprints are dealt again by two of five blocks of bits and then by each of four runs of the free bits, until
+    groups are small or so few bits are free that distinct fingerprints cannot be more.
     """
-    masks = [((1 << 64) - 1) & ~sum(((1 << width) - 1) << at for at, width in pair) for pair in combinations(BLOCKS, 2)]
+    every = (1 << 64) - 1
+    n = fps.count()
+    masks = narrower(every, RUNS, min(16, (n - 1).bit_length() - most.bit_length() + 3)) if n > most else [every]
     with_fixed = lambda rows: rows.withColumn("fixed", F.col("fp").bitwiseAND(F.bitwise_not("free")))
-    rows, done = with_fixed(fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("free"))), []
+    over = lambda rows: stored(rows.groupBy("free", "fixed").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n"), "large")
+    rows = with_fixed(fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("free")))
+    large = over(rows)
+    if large.isEmpty():
+        return rows
+    done = [rows.join(large, ["free", "fixed"], "left_anti")]
+    masks = [every & ~sum(((1 << width) - 1) << at for at, width in pair) for pair in combinations(BLOCKS, 2)]
+    hot = rows.join(large, ["free", "fixed"], "left_semi").select("fp").distinct()
+    rows = stored(with_fixed(hot.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("free"))), "groups")
     while max(m.bit_count() for m in masks) >= most.bit_length():
-        large = stored(rows.groupBy("free", "fixed").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n"), "large")
+        large = over(rows)
         found = {r["free"] for r in large.select("free").distinct().collect()}  # at most 640 masks
         if not found:
             break
@@ -189,41 +206,72 @@ def dealt(fps: DataFrame, most: int = GROUP) -> DataFrame:
 def near_links(fps: DataFrame, most: int = GROUP) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints, enough of them to join all that differ in MAX_BITS at most.
 
-    The top of the index is spread over the cluster, by ``dealt``. Each group builds its own tree in Gray order.
+    ``dealt`` spreads the tops of the index over the cluster; below each stands a tree of the fingerprints in Gray order.
     """
     rows = dealt(fps, most).withColumn("rank", gray_rank(F.col("fp")))
     rows = rows.repartition("free", "fixed").sortWithinPartitions("free", "fixed", "rank").select("free", "fixed", "fp")
     return rows.mapInArrow(_links_of_groups, "a long, b long")
 
 
+def _components(rows: DataFrame) -> DataFrame:
+    """``(fp, first, node)`` for each fingerprint of ``rows(doc_id, fp)``: the smallest doc_id of its component, and the
+    fingerprint that names the component."""
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(near_links(distinct.select("fp")))
+    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "root")
+    linked = known.where("root is not null")
+    lowest = linked.groupBy("root").agg(F.min("first").alias("first"))
+    linked = linked.drop("first").join(lowest, "root").select("fp", "first", F.col("root").alias("node"))
+    return linked.union(known.where("root is null").select("fp", "first", F.col("fp").alias("node")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row of ``docs``.
+    """``(doc_id, fp, component_id)`` of every row of ``docs``, of which only doc_id and text are read.
 
     Rows link when their fingerprints differ in MAX_BITS at most; ``component_id`` is the smallest doc_id that a row
-    reaches. Copies meet as one fingerprint before anything is linked. A null text has fingerprint 0; a null doc_id
-    takes part but never names a component, which is null if it has no other. Repeated rows stay.
+    reaches. Copies meet as one fingerprint before anything is linked, so neither repeated rows nor very large groups
+    of copies meet in one task; repeated rows stay. A null, empty or blank text has fingerprint 0; a text of any length
+    is hashed whole; a null doc_id takes part but never names a component, which is null if it has no other. An empty
+    table gives an empty result; other columns, whatever their names, are ignored.
     """
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(near_links(distinct))
-    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "root")
-    linked = known.where("root is not null")
-    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = linked.join(lowest, "root").select("fp", "component_id")
-    alone = known.where("root is null").select("fp", F.col("first").alias("component_id"))
-    return rows.join(linked.union(alone), "fp").select("doc_id", "fp", "component_id")
+    found = _components(rows).select("fp", F.col("first").alias("component_id"))
+    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` without those whose component holds a smaller doc_id. Rows without a doc_id stay, and of
-    rows that repeat a doc_id one stays."""
-    found = near_duplicates(docs, shingle)
-    drop = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "drop")
-    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        return kept
-    one = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.union(kept.where("doc_id is null"))
+    """One row of each component of near copies, with all columns of ``docs``.
+
+    Rows are told apart by doc_id and text, so a doc_id that stands for several texts loses none that resembles nothing
+    else. The row that stays has the smallest doc_id of its component (null last), then the smallest fingerprint and
+    text hash; of rows that repeat both, one stays, chosen by a hash of all its columns. Null, empty and blank texts
+    share fingerprint 0 and so are copies of each other. Columns may have any names.
+    """
+    key = lambda text: [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    packed = docs.select(F.struct(*own).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), *(k.alias(n) for k, n in zip(key(text), ("h", "g"), strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").cast(pa.binary())
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), b.column("h"), b.column("g")], ["doc_id", "fp", "h", "g"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns(dict(zip(("h", "g"), key(F.col("text")), strict=True)))
+    rows = stored(slim.mapInArrow(run, "doc_id long, fp long, h long, g long"), "fingerprints")
+    keyed = rows.join(_components(rows.select("doc_id", "fp")).select("fp", "node"), "fp")
+    keyed = stored(keyed.groupBy("node", "fp", "doc_id", "h", "g").agg(F.count("*").alias("n")), "keys")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "h", "g")
+    first = keyed.groupBy("node").agg(F.min(place).alias("p")).select("node", F.col("p.doc_id").alias("i"), F.col("p.h").alias("a"), F.col("p.g").alias("b"))
+    same = keyed["doc_id"].eqNullSafe(first["i"]) & (keyed["h"] == first["a"]) & (keyed["g"] == first["b"])
+    judged = keyed.join(first, "node").select(keyed["doc_id"].alias("i"), keyed["h"].alias("a"), keyed["g"].alias("b"), same.alias("stays"), "n")
+    judged = stored(judged.where("n > 1 or not stays"), "copies")
+    of = lambda marks: packed["doc_id"].eqNullSafe(marks["i"]) & (packed["h"] == marks["a"]) & (packed["g"] == marks["b"])
+    drop = packed.join(judged, of(judged), "left_anti").select("doc.*")
+    again = packed.join(judged.where("stays"), of(judged), "left_semi")
+    once = again.groupBy("doc_id", "h", "g").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
+    return drop.unionByName(once.select("doc.*"))
 
 
 def hex_fingerprint(fp: Column) -> Column:

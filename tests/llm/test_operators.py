@@ -98,6 +98,33 @@ def test_one_of_each_group_stays(docs, texts):
     assert kept == {r["doc_id"] for r in simhash.near_duplicates(docs).collect() if r["doc_id"] == r["component_id"]}
 
 
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """A doc_id may repeat: a text that resembles nothing else stays, and of copies one row does."""
+    t, u, v = (prose(random.Random(k), 60) for k in (1, 2, 3))
+    keep = lambda rows: sorted(simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert keep([(1, t), (5, t), (5, u)]) == sorted([(1, t), (5, u)], key=str)
+    assert keep([(None, t), (None, t), (7, t), (None, u)]) == sorted([(7, t), (None, u)], key=str)
+    assert len(keep([(2, None), (1, ""), (3, " \n")])) == 1
+
+
+def test_kept_rows_by_brute_force(spark):
+    rng = random.Random(21)
+    pool = [prose(rng, rng.randint(1, 80)) for _ in range(60)]
+    pool += [t + " w1" for t in pool[:30]] + [None, ""]
+    rows = [(rng.choice([None, *range(40)]), rng.choice(pool), rng.choice("ab")) for _ in range(400)]
+    fps = [simhash_by_hand(t) for _, t, _ in rows]
+    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    want = {}
+    for k, (i, t, _) in enumerate(rows):
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        place = (i is None, i or 0, signed(fps[k]), signed(xxhash.xxh64_intdigest((t or "").encode(), 42)))
+        want[root[k]] = min(want.get(root[k], (place, i, t or "")), (place, i, t or ""))
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, h string, _q_id int")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str) == sorted(((i, t) for _, i, t in want.values()), key=str)
+
+
 def test_leaks_by_brute_force(spark):
     rng = random.Random(3)
     items = [prose(rng, rng.randint(3, 60)) for _ in range(30)]
