@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from re import sub
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NA = "__NA__"
@@ -50,25 +51,39 @@ def digits_of(value: Column, base: int, n: int) -> list[Column]:
     return [F.pmod(F.floor(value / F.lit(base**i)), F.lit(base)).cast("int") for i in range(n)]
 
 
-def codes(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with sorted integer codes from 0; null has -1. The window runs over distinct values only."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    numbered = values.withColumn(name, F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(numbered, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
-
-
-def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
-    """Inner edges of equal-count bins, exact and without repeats."""
-    at = [i / bins for i in range(1, bins)]
-    found = df.agg(F.percentile(column, F.array(*map(F.lit, at)))).first()[0] or []
-    return sorted(set(found))
-
-
 def bin_of(c: Column, edges: Sequence[float]) -> Column:
-    """Number of edges below a value, so bins are closed on the right; null has -1."""
+    """Number of edges below a value, so bins are closed on the right and the first and last are open; null has -1."""
     return sum((F.when(c > e, 1).otherwise(0) for e in edges), F.when(c.isNull(), -1).otherwise(0))
 
 
 def alias_name(c: Column) -> Column:
     """Column names of other schemas, made comparable: lower case, runs of other characters as one underscore."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def resolved(columns: Sequence[str], aliases: dict[str, Sequence[str]]) -> dict[str, str]:
+    """For each name of a schema, the column of another that stands for it: the one whose normalised name is the name's or
+    one of its aliases'. Two candidates, or none, are an error."""
+    normal = lambda c: sub("^_+|_+$", "", sub("[^a-z0-9]+", "_", c.strip().lower()))
+    out = {}
+    for name, others in aliases.items():
+        wanted = {normal(x) for x in (name, *others)}
+        found = [c for c in columns if normal(c) in wanted]
+        if len(found) != 1:
+            raise ValueError(f"{name}: one column is needed, found {found}")
+        out[name] = found[0]
+    return out
+
+
+def number_tokens(c: Column, size: int = 2) -> dict[str, Column]:
+    """Token features of a number's text in fixed pieces of ``size`` digits from the left: how many, the first, and the
+    last with the text's length."""
+    text = exact_label(c)
+    n = F.ceil(F.length(text) / F.lit(size)).cast("int")
+    piece = lambda k: F.substring(text, ((k - 1) * size + 1).cast("int"), F.lit(size))
+    return {"tokens": n, "first_token": piece(F.lit(1)), "last_token": F.concat_ws("_", piece(n), F.length(text).cast("string"))}
+
+
+def one_hot(c: Column, values: Sequence) -> list[Column]:
+    """A 0/1 column for each value; null and other values are 0 in all."""
+    return [F.coalesce((c == v).cast("int"), F.lit(0)) for v in values]

@@ -8,9 +8,10 @@ from math import exp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.scalars import logit
-from quern.operators.metrics import auc
-from quern.operators.ordered import midrank
+from quern.functions.scalars import clip, logit, sigmoid
+from quern.operators.metrics import auc, ecdf
+from quern.operators.ordered import mid_percentile, midrank
+from quern.sources.scratch import stored
 
 
 def transformed(scores: DataFrame, how: str) -> DataFrame:
@@ -49,6 +50,7 @@ def family_weights(quality: dict[str, float], family: dict[str, str], heat: floa
 
 def fold_deltas(base: DataFrame, other: DataFrame, labels: DataFrame) -> DataFrame:
     """``(fold, auc_base, auc_other, delta)`` for two blends; ``labels`` has ``id, y, fold``."""
+    labels = stored(labels.select("id", "y", "fold"), "labels")
     one = lambda s, n: auc(labels.join(s, "id"), "score", ["fold"]).select("fold", F.col("auc").alias(n))
     both = one(base, "auc_base").join(one(other, "auc_other"), "fold")
     return both.withColumn("delta", F.col("auc_other") - F.col("auc_base"))
@@ -63,25 +65,22 @@ def admission(deltas: DataFrame, gain: float, errors: float, folds: int) -> Data
 def greedy(scores: DataFrame, labels: DataFrame, steps: int, how: str = "logit") -> list[str]:
     """Models in the order that a hill climb with replacement adds them, while the AUC grows. A step scores all
     candidates in one query; the driver holds names only."""
-    long = transformed(scores, how).select("id", "model", "score").persist()
+    long = stored(transformed(scores, how).select("id", "model", "score"), "scores")
     chosen: list[str] = []
     best = 0.0
-    try:
-        for _ in range(steps):
-            counts = {m: chosen.count(m) for m in set(chosen)}
-            own = long.where(F.col("model").isin(*counts)) if counts else long.limit(0)
-            w: Column = F.lit(0)
-            for m, n in counts.items():
-                w = F.when(F.col("model") == m, n).otherwise(w)
-            so_far = own.groupBy("id").agg(F.sum(w * F.col("score")).alias("_sum"))
-            tried = long.join(so_far, "id", "left").withColumn("score", (F.col("score") + F.coalesce("_sum", F.lit(0.0))) / (len(chosen) + 1))
-            top = auc(tried.join(labels, "id"), "score", ["model"]).orderBy(F.desc("auc"), "model").first()
-            if top is None or top["auc"] <= best:
-                break
-            best = top["auc"]
-            chosen.append(top["model"])
-    finally:
-        long.unpersist()
+    for _ in range(steps):
+        counts = {m: chosen.count(m) for m in set(chosen)}
+        own = long.where(F.col("model").isin(*counts)) if counts else long.limit(0)
+        w: Column = F.lit(0)
+        for m, n in counts.items():
+            w = F.when(F.col("model") == m, n).otherwise(w)
+        so_far = own.groupBy("id").agg(F.sum(w * F.col("score")).alias("_sum"))
+        tried = long.join(so_far, "id", "left").withColumn("score", (F.col("score") + F.coalesce("_sum", F.lit(0.0))) / (len(chosen) + 1))
+        top = auc(tried.join(labels, "id"), "score", ["model"]).orderBy(F.desc("auc"), "model").first()
+        if top is None or top["auc"] <= best:
+            break
+        best = top["auc"]
+        chosen.append(top["model"])
     return chosen
 
 
@@ -95,8 +94,41 @@ def weight_grid(scores: DataFrame, labels: DataFrame, a: str, b: str, grid: Sequ
 
 
 def dispersion(scores: DataFrame) -> DataFrame:
-    """``(id, spread, sd)``: range and deviation of a row's rank shares over models."""
-    return transformed(scores, "rank").groupBy("id").agg((F.max("score") - F.min("score")).alias("spread"), F.stddev_pop("score").alias("sd"))
+    """``(id, spread, sd, iqr)``: range, deviation and interquartile range of a row's rank shares over models, of which there are
+    few."""
+    iqr = F.percentile("score", 0.75) - F.percentile("score", 0.25)
+    return transformed(scores, "rank").groupBy("id").agg((F.max("score") - F.min("score")).alias("spread"), F.stddev_pop("score").alias("sd"), iqr.alias("iqr"))
+
+
+def family_spread(scores: DataFrame, family: dict[str, str]) -> DataFrame:
+    """``(id, family_spread)``: range of the mean rank shares of the models' families."""
+    ranks = transformed(scores.where(F.col("model").isin(*family)), "rank")
+    of = F.create_map(*(F.lit(x) for kv in family.items() for x in kv))
+    means = ranks.groupBy("id", of[F.col("model")].alias("_f")).agg(F.avg("score").alias("_m"))
+    return means.groupBy("id").agg((F.max("_m") - F.min("_m")).alias("family_spread"))
+
+
+def combined(scores: DataFrame, rule: str, fit: DataFrame | None = None) -> DataFrame:
+    """``(id, score)`` by a rule of composition: mean of logits (as a probability), of probabilities, of rank shares; geometric
+    mean; median; the extreme farthest from one half; mean of each score's place among the scores of ``fit``."""
+    if rule == "cdf":
+        placed = ecdf(fit if fit is not None else scores, scores, "score", "_c", ["model"], spare=True)
+        return placed.groupBy("id").agg(F.avg("_c").alias("score"))
+    if rule in ("prob", "rank"):
+        return blend(scores, None, rule)
+    if rule == "logit":
+        return blend(scores, None, "logit").withColumn("score", sigmoid(F.col("score")))
+    s = clip(F.col("score"), 1e-6, 1 - 1e-6)
+    rules = {"geometric": F.exp(F.avg(F.log(s))), "median": F.percentile("score", 0.5), "extreme": F.max_by("score", F.struct(F.abs(F.col("score") - 0.5), "model"))}
+    if rule not in rules:
+        raise ValueError(f"no such rule: {rule}")
+    return scores.groupBy("id").agg(rules[rule].alias("score"))
+
+
+def rank_geometry(scores: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """``(id, score)``: geometric mean over models of a score's mid-percentile within the row's group."""
+    placed = mid_percentile(scores.join(groups.select("id", group), "id"), "score", "_p", ["model", group])
+    return placed.groupBy("id").agg(F.exp(F.avg(F.log("_p"))).alias("score"))
 
 
 def top_overlap(scores: DataFrame, a: str, b: str, share: float) -> DataFrame:

@@ -12,14 +12,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.keys import codes
 from quern.functions.scalars import clip, logit, sigmoid, uniform
 from quern.operators import models, neighbours
+from quern.operators.codes import codes, median_filled
 from quern.operators.blending import blend, transformed
 from quern.operators.encodings import crossfit
 from quern.operators.metrics import auc
-from quern.operators.ordered import hashed_place
+from quern.operators.ordered import hashed_place, quantiles
 from quern.operators.screens import confident
+from quern.sources.scratch import stored
 
 
 def _folds(df: DataFrame) -> list[int]:
@@ -36,7 +37,7 @@ def kernel_scores(df: DataFrame, near: DataFrame, segment: str) -> DataFrame:
     """``(id, score)``: mean label of a row's neighbours, weighted by exp(-d² / h²); h is the median, over the rows
     of its segment, of the distance to their farthest neighbour."""
     far = near.groupBy("id").agg(F.max("d2").alias("_far")).join(df.select("id", segment), "id")
-    width = far.groupBy(segment).agg(F.percentile(F.sqrt("_far"), 0.5).alias("_h"))
+    width = quantiles(far.select(segment, F.sqrt("_far").alias("_d")), "_d", {"_h": 0.5}, [segment])
     seen = near.join(df.select("id", segment), "id").join(width, segment).join(df.select(F.col("id").alias("ref"), "y"), "ref")
     w = F.exp(-F.col("d2") / F.greatest(F.col("_h") * F.col("_h"), F.lit(1e-12)))
     return seen.groupBy("id").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("score"))
@@ -44,8 +45,9 @@ def kernel_scores(df: DataFrame, near: DataFrame, segment: str) -> DataFrame:
 
 def transfer_weights(near: DataFrame, share: float = 0.95) -> DataFrame:
     """``(id, d, w)``: d is the distance to the farthest neighbour of a source; w falls from 1 to 0 at its quantile."""
-    far = near.groupBy("id").agg(F.sqrt(F.max("d2")).alias("d"))
-    top = far.agg(F.percentile("d", share)).first()[0]
+    far = stored(near.groupBy("id").agg(F.sqrt(F.max("d2")).alias("d")), "far")
+    top = quantiles(far, "d", {"top": share}).first()
+    top = top["top"] if top else None
     return far.withColumn("w", clip(1 - F.col("d") / F.lit(top or 1.0), 0.0, 1.0))
 
 
@@ -71,10 +73,11 @@ def prepared(df: DataFrame, categories: Sequence[str], numerics: Sequence[str],
     out = df.select("id", *categories, *numerics)
     for c in categories:
         out = codes(out, c, f"code_{c}")
-    median = df.agg(*(F.percentile(n, 0.5).alias(n) for n in numerics)).first()
-    filled = {n: F.coalesce(F.col(n).cast("double"), F.lit(median[n])) for n in numerics}
+    out = out.withColumns({f"missing_{n}": F.col(n).isNull().cast("int") for n in numerics})
+    out = median_filled(out, list(numerics))
+    filled = {n: F.col(n) for n in numerics}
     filled |= {n: F.log1p(F.greatest(filled[n], F.lit(0.0))) for n in logged}
-    out = out.withColumns({f"missing_{n}": F.col(n).isNull().cast("int") for n in numerics}).withColumns({f"z_{n}": v for n, v in filled.items()})
+    out = stored(out.withColumns({f"z_{n}": v for n, v in filled.items()}), "prepared")
     at = out.agg(*(f(f"z_{n}").alias(f"{k}_{n}") for n in numerics for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     scaled = {f"z_{n}": (F.col(f"z_{n}") - F.lit(at[f"m_{n}"])) / F.lit(max(at[f"s_{n}"] or 0.0, 1e-6)) for n in numerics}
     return out.withColumns(scaled).select("id", *(f"code_{c}" for c in categories), *(f"{k}_{n}" for n in numerics for k in ("z", "missing")))
@@ -137,17 +140,14 @@ def region_gate(scores: DataFrame, labels: DataFrame, bins: int) -> DataFrame:
     region = F.least(F.floor(F.col("_r") * bins), F.lit(bins - 1)).cast("int").alias("region")
     placed = transformed(anchor.withColumn("model", F.lit("")), "rank").select("id", F.col("score").alias("_r")).select("id", region)
     every = ranks.select("id", "model", "score").unionByName(anchor.select("id", F.lit("").alias("model"), "score"))
-    rows = every.join(placed, "id").join(labels.select("id", "y", "fold"), "id").persist()
-    try:
-        out = []
-        for f in _folds(labels):
-            local = auc(rows.where(F.col("fold") != f), "score", ["region", "model"]).where("auc is not null")
-            best = local.groupBy("region").agg(F.max_by("model", F.struct("auc", F.col("model") == "", "model")).alias("_best"))
-            own = rows.where(F.col("fold") == f).join(best, "region", "left").where(F.col("model") == F.coalesce("_best", F.lit("")))
-            out.append(own.select("id", "fold", "y", "score"))
-        return reduce(DataFrame.unionByName, out)
-    finally:
-        rows.unpersist()
+    rows = stored(every.join(placed, "id").join(labels.select("id", "y", "fold"), "id"), "regions")
+    out = []
+    for f in _folds(labels):
+        local = auc(rows.where(F.col("fold") != f), "score", ["region", "model"]).where("auc is not null")
+        best = local.groupBy("region").agg(F.max_by("model", F.struct("auc", F.col("model") == "", "model")).alias("_best"))
+        own = rows.where(F.col("fold") == f).join(best, "region", "left").where(F.col("model") == F.coalesce("_best", F.lit("")))
+        out.append(own.select("id", "fold", "y", "score"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def corrected(df: DataFrame, reference: str, features: Sequence[str], model: str = "boosted") -> DataFrame:

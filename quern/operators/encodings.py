@@ -9,11 +9,13 @@ one join serve all folds and all smoothings.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.keys import joined_key
+from quern.sources.scratch import stored
 
 
 def smoothed(total: Column, n: Column, prior: Column, smooth: float | Column) -> Column:
@@ -62,15 +64,18 @@ def auto_smoothing(df: DataFrame, key: str, fold: str = "fold") -> DataFrame:
     """One row for each fold: the empirical-Bayes smoothing that the other folds imply.
 
     With labels 0 and 1, lambda is the variance within keys over the variance between key means, both weighted by
-    rows; no spread between keys gives null, and then the prior is used alone.
+    rows; no spread between keys gives null, and then the prior is used alone. Sums over all keys are taken once; a fold
+    changes them at its own keys only.
     """
-    folds = df.select(F.col(fold).alias("_of")).distinct()
     cell = df.where(F.col(key).isNotNull()).groupBy(fold, key).agg(F.sum("y").alias("t"), F.count("y").alias("n"))
-    other = cell.join(folds, F.col(fold) != F.col("_of")).groupBy("_of", key).agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    mean = F.col("t") / F.col("n")
-    sums = other.groupBy(F.col("_of").alias(fold)).agg(
-        F.sum("n").alias("_n"), F.sum("t").alias("_t"), F.sum(F.col("n") * mean * (1 - mean)).alias("_w"), F.sum(F.col("n") * mean * mean).alias("_b")
-    )
+    every = cell.groupBy(key).agg(F.sum("t").alias("_t"), F.sum("n").alias("_n"))
+    parts = lambda t, n: (n, t, F.coalesce(t - t * t / n, F.lit(0.0)), F.coalesce(t * t / n, F.lit(0.0)))
+    names = ("n", "t", "w", "b")
+    whole = every.agg(*(F.sum(v).alias(k) for k, v in zip(names, parts(F.col("_t"), F.nullif("_n", F.lit(0))), strict=True))).first()
+    own = cell.join(every, key)
+    left = parts(F.col("_t") - F.col("t"), F.nullif(F.col("_n") - F.col("n"), F.lit(0)))
+    change = [F.coalesce(F.sum(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))), F.lit(0)) for x, y in zip(left, parts(F.col("_t"), F.nullif("_n", F.lit(0))), strict=True)]
+    sums = own.groupBy(fold).agg(*((F.lit(whole[k] or 0) + c).cast("double").alias(f"_{k}") for k, c in zip(names, change, strict=True)))
     between = F.col("_b") / F.col("_n") - (F.col("_t") / F.col("_n")) * (F.col("_t") / F.col("_n"))
     return sums.select(fold, F.when(between > 1e-12, F.col("_w") / F.col("_n") / between).alias("smooth"))
 
@@ -96,27 +101,27 @@ def crossfit_nearest(df: DataFrame, key: str, digits: int, base: int, smooth: fl
     """``df`` with ``te_near`` (shrunken mean label of keys at Hamming distance 1 in other folds), ``log_n_near`` and
     ``log_keys_near``. Keys with fewer than ``min_count`` rows outside the fold do not count.
 
-    Sums by (key, fold) are joined to their neighbours by equality on the neighbour's key: digits * (base - 1) rows a
-    key and fold, never a pair of rows.
+    Sums by key are joined to their neighbours by equality on the neighbour's key: digits * (base - 1) rows a key, never a
+    pair of rows. A fold's own rows are then taken off, at the neighbours that it has.
     """
-    cell = df.groupBy(fold, key).agg(F.sum("y").alias("_ft"), F.count("y").alias("_fn"))
-    keys = cell.groupBy(key).agg(F.sum("_ft").alias("_t"), F.sum("_fn").alias("_n"))
-    folds = df.select(fold).distinct()
-    seen = keys.withColumn(fold, F.explode(F.array(*(F.lit(r[0]) for r in folds.collect()))))
-    other = seen.join(cell, [fold, key], "left")
-    other = other.select(fold, key, (F.col("_t") - F.coalesce("_ft", F.lit(0))).alias("t"), (F.col("_n") - F.coalesce("_fn", F.lit(0))).alias("n")).where(F.col("n") >= min_count)
-    near = neighbours(df, key, digits, base).join(other.withColumnRenamed(key, "near"), "near")
-    sums = near.groupBy(fold, key).agg(F.sum("t").alias("_t"), F.sum("n").alias("_n"), F.count("*").alias("_k"))
+    cell = stored(df.groupBy(fold, key).agg(F.sum("y").alias("_ft"), F.count("y").alias("_fn")), "cells")
+    keys = cell.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_ft").alias("_t"), F.sum("_fn").alias("_n"))
+    near = neighbours(keys, key, digits, base)
+    counts = lambda t, n: {k: F.when(n >= min_count, v).otherwise(0) for k, v in (("t", t), ("n", n), ("k", F.lit(1)))}
+    total = near.join(keys.withColumnRenamed(key, "near"), "near").groupBy(key).agg(*(F.sum(v).alias(f"_{k}") for k, v in counts(F.col("_t"), F.col("_n")).items()))
+    own = cell.join(keys, key).withColumnRenamed(key, "near")
+    less, all_of = counts(F.col("_t") - F.col("_ft"), F.col("_n") - F.col("_fn")), counts(F.col("_t"), F.col("_n"))
+    change = near.join(own, "near").groupBy(fold, key).agg(*(F.sum(less[k] - all_of[k]).alias(f"_d{k}") for k in "tnk"))
     whole = cell.groupBy(fold).agg(F.sum("_ft").alias("a"), F.sum("_fn").alias("b")).collect()
     ones, n = sum(r["a"] for r in whole), sum(r["b"] for r in whole)
     prior = F.lit(None).cast("double")
     for r in whole:
         prior = F.when(F.col(fold) == r[fold], (ones - r["a"]) / (n - r["b"])).otherwise(prior)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rows = df.join(sums, [fold, key], "left")
+    zero = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0)) + F.coalesce(F.col(f"_d{c}"), F.lit(0))
+    rows = df.join(total, key, "left").join(change, [fold, key], "left")
     return rows.withColumns(
-        {"te_near": smoothed(zero("_t"), zero("_n"), prior, smooth), "log_n_near": F.log1p(zero("_n").cast("double")), "log_keys_near": F.log1p(zero("_k").cast("double"))}
-    ).drop("_t", "_n", "_k")
+        {"te_near": smoothed(zero("t"), zero("n"), prior, smooth), "log_n_near": F.log1p(zero("n").cast("double")), "log_keys_near": F.log1p(zero("k").cast("double"))}
+    ).drop("_t", "_n", "_k", "_dt", "_dn", "_dk")
 
 
 def external(rows: DataFrame, other: DataFrame, keys: Sequence[Sequence[str]], smooth: float = 40.0, min_count: int = 1) -> DataFrame:
@@ -153,3 +158,36 @@ def log_likelihood_ratio(fit: DataFrame, rows: DataFrame, features: Sequence[str
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     part = F.log((zero("_p") + alpha) / (F.col("_all_p") + alpha * F.col("_k"))) - F.log((zero("_q") + alpha) / (F.col("_all_q") + alpha * F.col("_k")))
     return rows.join(seen.groupBy("id").agg(F.sum(part).alias("llr")), "id")
+
+
+def combinations_of(columns: Sequence[str], sizes: Sequence[int]) -> list[list[str]]:
+    """All key lists of the given numbers of columns, in order."""
+    return [list(c) for n in sizes for c in combinations(columns, n)]
+
+
+def conditional_ordinal(df: DataFrame, ratings: Sequence[str], cell: str, smooth: float = 20.0, source: Column | None = None) -> DataFrame:
+    """``(id, ord_<rating>)``: for each rating the cross-fitted mean label of its value within a row's cell."""
+    out = df.select("id")
+    for r in ratings:
+        one = crossfit(df.withColumn("_k", joined_key([F.col(r), F.col(cell)])), "_k", [smooth], source=source)
+        out = out.join(one.select("id", F.col(f"te_{smooth:g}").alias(f"ord_{r}")), "id")
+    return out
+
+
+def default_keys(route: str, categories: Sequence[str], number: str, ratings: Sequence[str]) -> dict[str, list[Column]]:
+    """Keys to encode by, as lists of columns: the route, each category and rating, the route with each category, all
+    categories together, and the number in steps of 500 and 1000, by its remainder and with the first category."""
+    c = F.col
+    steps = {f"{number}_bin{n}": [F.floor(c(number) / n)] for n in (500, 1000)}
+    keys = {route: [c(route)]} | {x: [c(x)] for x in (*categories, *ratings)} | {f"{route}_{x}": [c(route), c(x)] for x in categories}
+    keys |= {"_".join(categories) + "_all": [c(x) for x in categories]} | steps | {f"{number}_m1000": [F.floor(c(number)) % 1000]}
+    return keys | {f"{number}_bin1000_{categories[0]}": [*steps[f"{number}_bin1000"], c(categories[0])]}
+
+
+def encoded_keys(df: DataFrame, keys: dict[str, list[Column]], smooth: float = 20.0) -> DataFrame:
+    """``(id, te_<name>)``: the cross-fitted mean label of each key."""
+    out = df.select("id")
+    for name, columns in keys.items():
+        one = crossfit(df.withColumn("_k", joined_key(columns)), "_k", [smooth])
+        out = out.join(one.select("id", F.col(f"te_{smooth:g}").alias(f"te_{name}")), "id")
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import uniform
-from quern.operators.ordered import before, hashed_place
+from quern.operators.ordered import before, hashed_place, met
 
 
 def stratified(df: DataFrame, k: int, seed: str, label: str = "y", id: str = "id") -> DataFrame:
@@ -26,7 +26,7 @@ def blocks(df: DataFrame, n: int, id: str = "id") -> DataFrame:
     small, more = F.floor(F.col("_n_all") / n), F.col("_n_all") % n
     place = F.col("_n_before")
     block = F.when(place < more * (small + 1), F.floor(place / (small + 1))).otherwise(more + F.floor((place - more * (small + 1)) / F.greatest(small, F.lit(1))))
-    return df.join(found.select(id, block.cast("int").alias("block")), id)
+    return met(df, found.select(id, block.cast("int").alias("block")), [id])
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def early_stop(df: DataFrame, share: float, seed: str) -> DataFrame:
     """``df`` with ``is_es``: in each fold and label, the first ``share`` of rows in hash order."""
     placed = hashed_place(df, ["fold", "y"], seed)
     counts = df.groupBy("fold", "y").agg(F.count("*").alias("_n"))
-    return placed.join(counts, ["fold", "y"]).withColumn("is_es", F.col("place") < F.floor(F.col("_n") * share)).drop("place", "_n")
+    return met(placed, counts, ["fold", "y"]).withColumn("is_es", F.col("place") < F.floor(F.col("_n") * share)).drop("place", "_n")
 
 
 def overlap(a: DataFrame, b: DataFrame, id: str = "id") -> int:

@@ -56,6 +56,19 @@ def learned_gate(df: DataFrame, a: str, b: str, features: Sequence[str]) -> Data
     return mixed.select("id", "fold", "y", (F.col("_g") * F.col(a) + (1 - F.col("_g")) * F.col(b)).alias("score"))
 
 
+def confidence_stack(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``(id, fold, y, score)``: a logistic fit, nested in folds, on two logits, their distance, the lower and the higher."""
+    x, z = logit(F.col(a)), logit(F.col(b))
+    columns = {"_x": x, "_z": z, "_apart": F.abs(x - z), "_low": F.least(x, z), "_high": F.greatest(x, z)}
+    return models.out_of_fold(df.withColumns(columns), list(columns), "logistic")
+
+
+def spline_fit(df: DataFrame, knots: dict[str, Sequence[float]]) -> DataFrame:
+    """``(id, fold, y, score)``: an additive logistic fit, nested in folds, on the hinges of each column."""
+    columns = {f"_{c}{i}": h for c, at in knots.items() for i, h in enumerate(hinges(F.col(c).cast("double"), tuple(at)))}
+    return models.out_of_fold(df.withColumns(columns), list(columns), "logistic")
+
+
 def group_calibration(df: DataFrame, score: str, group: str, values: Sequence, knots: Sequence[float]) -> DataFrame:
     """``(id, fold, y, score)``: a logistic fit, nested in folds, on the logit, its hinges, and an intercept for each
     group but the first."""

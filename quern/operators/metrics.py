@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import normal_tail
-from quern.operators.ordered import before
+from quern.operators.ordered import before, met
+from quern.sources.scratch import stored
 
 
 def auc(df: DataFrame, score: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """``(*by, auc, errors, pairs)``: the share of (1, 0) pairs in right order, ties half; misordered pairs plus half of
-    the tied ones; all pairs. Rows may have weights. One class alone gives a null AUC."""
+    the tied ones; all pairs. Rows may have weights. One class alone gives a null AUC. Rows without a score or a label form
+    no pair."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    found = before(df, score, {"_p": w * F.col("y"), "_q": w * (1 - F.col("y"))}, by)
+    found = before(df.where(F.col("y").isNotNull()), score, {"_p": w * F.col("y"), "_q": w * (1 - F.col("y"))}, by)
     good = F.sum(F.col("_p") * (F.col("_q_before") + F.col("_q") / 2))
     pairs = F.sum("_p") * F.sum("_q")
     out = found.groupBy(*by).agg(good.alias("_good"), pairs.alias("pairs"))
@@ -23,16 +25,20 @@ def auc(df: DataFrame, score: str, by: Sequence[str] = (), weight: Column | None
 
 
 def placements(df: DataFrame, score: str, name: str) -> DataFrame:
-    """``df`` with each row's share of the other class that it beats (ones) or that beats it (zeros), ties half."""
-    found = before(df, score, {"_p": F.col("y"), "_q": 1 - F.col("y")})
+    """``df`` with each row's share of the other class that it beats (ones) or that beats it (zeros), ties half; null for
+    a row without a score or a label, which no other row meets."""
+    found = before(df.where(F.col("y").isNotNull()), score, {"_p": F.col("y"), "_q": 1 - F.col("y")})
     below = (F.col("_q_before") + F.col("_q") / 2) / F.col("_q_all")
     above = (F.col("_p_all") - F.col("_p_before") - F.col("_p") / 2) / F.col("_p_all")
-    return df.join(found.select(score, below.alias("_below"), above.alias("_above")), score).withColumn(name, F.when(F.col("y") == 1, F.col("_below")).otherwise(F.col("_above"))).drop("_below", "_above")
+    placed = met(df, found.select(score, below.alias("_below"), above.alias("_above")), [score])
+    return placed.withColumn(name, F.when(F.col("y") == 1, F.col("_below")).when(F.col("y") == 0, F.col("_above"))).drop("_below", "_above")
 
 
 def delong(df: DataFrame, a: str, b: str) -> DataFrame:
     """Paired comparison of two scores: both AUCs, the difference, its standard error, a 95 % interval and the
-    one-sided p that b is no better. Equal scores have error 0 and p 1."""
+    one-sided p that b is no better. Equal scores have error 0 and p 1. Rows without a label or one of the scores are
+    left out."""
+    df = stored(df.where(F.col("y").isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select("y", a, b), "scores")
     both = placements(placements(df, a, "_va"), b, "_vb").withColumn("_d", F.col("_vb") - F.col("_va"))
     one = both.groupBy("y").agg(F.avg("_va").alias("a"), F.avg("_vb").alias("b"), (F.var_samp("_d") / F.count("*")).alias("v"))
     row = one.agg(F.max(F.when(F.col("y") == 1, F.col("a"))).alias("auc_a"), F.max(F.when(F.col("y") == 1, F.col("b"))).alias("auc_b"), F.sqrt(F.sum("v")).alias("se"))
@@ -56,7 +62,7 @@ def holm(df: DataFrame, p: str, id: str) -> DataFrame:
 
 def total_variation(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """One row: half the sum of differences between the shares of each value; null is a value."""
-    share = lambda df, name: df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")).withColumn(name, F.col("_n") / F.sum("_n").over(Window.partitionBy())).drop("_n")
+    share = lambda df, name: df.groupBy(F.col(column).alias("_v")).agg((F.count("*") / F.lit(max(1, df.count()))).alias(name))
     left, right = share(a, "_a"), share(b, "_b").withColumnRenamed("_v", "_u")
     both = left.join(right, F.col("_v").eqNullSafe(F.col("_u")), "full")
     return both.agg((F.sum(F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))) / 2).alias("tv"))
@@ -69,13 +75,17 @@ def ks(df: DataFrame, value: str, side: str) -> DataFrame:
     return found.agg(F.max(gap).alias("ks"))
 
 
-def ecdf(fit: DataFrame, rows: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """``rows`` with the share of ``fit`` below a value, ties half, within ``by``; values need not occur in ``fit``."""
+def ecdf(fit: DataFrame, rows: DataFrame, value: str, name: str, by: Sequence[str] = (), spare: bool = False) -> DataFrame:
+    """``rows`` with the share of ``fit`` below a value, ties half, within ``by``; values need not occur in ``fit``. A null
+    value has none. A segment that ``fit`` lacks has none either or, with ``spare``, the share of all of ``fit``."""
     keep = [*by, value]
     both = fit.select(*keep, F.lit(1).alias("_f")).unionByName(rows.select(*keep, F.lit(0).alias("_f")))
     found = before(both, value, {"_f": F.col("_f")}, by)
     share = (F.col("_f_before") + F.col("_f") / 2) / F.nullif(F.col("_f_all"), F.lit(0))
-    return rows.join(found.select(*keep, share.alias(name)), keep)
+    out = met(rows, found.select(*keep, share.alias(name)), keep)
+    if spare and by:
+        out = ecdf(fit, out, value, "_spare").withColumn(name, F.coalesce(name, "_spare")).drop("_spare")
+    return out
 
 
 def near_tie_counts(df: DataFrame, score: str, margin: float) -> DataFrame:

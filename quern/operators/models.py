@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from statistics import median_high
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -13,7 +16,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.scalars import logit, sigmoid
+from quern.functions.scalars import clip, logit, sigmoid
+from quern.sources.scratch import stored
 
 Kinds = dict[str, Callable[[int], Estimator]]
 
@@ -28,25 +32,33 @@ MODELS: Kinds = {
 }
 
 
+def _folds(df: DataFrame) -> list[int]:
+    return sorted(r[0] for r in df.select("fold").distinct().collect())
+
+
+def in_parallel(one: Callable[[int], DataFrame], folds: list[int]) -> list[DataFrame]:
+    """``one`` of each fold, at most four at a time: a fit is many small jobs, which leave cores idle one after the other."""
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(one, folds))
+
+
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
 def out_of_fold(df: DataFrame, features: Sequence[str], model: str, weight: str | None = None) -> DataFrame:
-    """``(id, fold, y, score)``: each fold scored by a model fitted on the others."""
-    data = _assembled(df.withColumn("y", F.col("y").cast("double")), features).persist()
-    out = None
-    try:
-        for (fold,) in sorted(tuple(r) for r in data.select("fold").distinct().collect()):
-            estimator = MODELS[model](len(features))
-            if weight:
-                estimator = estimator.setWeightCol(weight)
-            fitted = estimator.fit(data.where(F.col("fold") != fold))
-            part = fitted.transform(data.where(F.col("fold") == fold)).select("id", "fold", F.col("y").cast("int"), vector_to_array("probability")[1].alias("score"))
-            out = part if out is None else out.unionByName(part)
-        return out
-    finally:
-        data.unpersist()
+    """``(id, fold, y, score)``: each fold scored by a model fitted on the others. The assembled rows are a stored table that
+    all fits read; fits of several folds run side by side."""
+    data = stored(_assembled(df.withColumn("y", F.col("y").cast("double")), features), "assembled")
+
+    def one(fold: int) -> DataFrame:
+        estimator = MODELS[model](len(features))
+        if weight:
+            estimator = estimator.setWeightCol(weight)
+        fitted = estimator.fit(data.where(F.col("fold") != fold))
+        return fitted.transform(data.where(F.col("fold") == fold)).select("id", "fold", F.col("y").cast("int"), vector_to_array("probability")[1].alias("score"))
+
+    return reduce(DataFrame.unionByName, in_parallel(one, _folds(data)))
 
 
 def fit_apply(train: DataFrame, rows: DataFrame, features: Sequence[str], model: str) -> DataFrame:
@@ -68,8 +80,14 @@ def platt(fit: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.withColumn("calibrated", sigmoid(F.lit(float(m.coefficients[0])) * logit(F.col("score")) + F.lit(float(m.intercept))))
 
 
+def supports_isotonic(fit: DataFrame, values: int = 200, rows: int = 2000) -> bool:
+    """Whether a fit has rows and distinct scores enough for steps to mean something."""
+    found = fit.agg(F.count_distinct("score"), F.count("*")).first()
+    return found[0] >= values and found[1] >= rows
+
+
 def isotonic(fit: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``calibrated``: the non-decreasing step fit of the label on the score."""
+    """``rows`` with ``calibrated``: the non-decreasing step fit of the label on the score; see ``supports_isotonic``."""
     m = IsotonicRegression(labelCol="y", featuresCol="score", predictionCol="calibrated").fit(fit.withColumn("y", F.col("y").cast("double")))
     return m.transform(rows)
 
@@ -82,13 +100,63 @@ def stack(scores: DataFrame, labels: DataFrame, models: Sequence[str]) -> DataFr
 
 def residuals(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """``df`` with ``<target>_residual``: what the other columns, fitted on other folds, do not explain."""
-    data = _assembled(df, features)
-    out = None
-    for (fold,) in sorted(tuple(r) for r in data.select("fold").distinct().collect()):
+    data = stored(_assembled(df, features), "assembled")
+
+    def one(fold: int) -> DataFrame:
         m = GBTRegressor(labelCol=target, maxDepth=3, maxIter=10, seed=7, predictionCol="_p").fit(data.where(F.col("fold") != fold))
-        part = m.transform(data.where(F.col("fold") == fold)).withColumn(f"{target}_residual", F.col(target) - F.col("_p"))
-        out = part if out is None else out.unionByName(part)
-    return out.drop("features", "_p")
+        return m.transform(data.where(F.col("fold") == fold)).withColumn(f"{target}_residual", F.col(target) - F.col("_p"))
+
+    return reduce(DataFrame.unionByName, in_parallel(one, _folds(data))).drop("features", "_p")
+
+
+def early_stopped(df: DataFrame, features: Sequence[str], most: int = 40, fold: str = "fold") -> tuple[DataFrame, int]:
+    """``(id, fold, y, score)`` and the number of rounds: in each fold a boosted fit on the rows that are not ``is_es`` is
+    watched on those that are; all folds are then fitted again, on all their rows, with the median of the best rounds."""
+    data = stored(_assembled(df.withColumn("y", F.col("y").cast("double")), features), "assembled")
+
+    def best(f: int) -> int:
+        fitted = GBTClassifier(labelCol="y", maxDepth=3, maxIter=most, stepSize=0.2, seed=7).fit(data.where((F.col(fold) != f) & ~F.col("is_es")))
+        losses = fitted.evaluateEachIteration(data.where((F.col(fold) != f) & F.col("is_es")))
+        return 1 + losses.index(min(losses))
+
+    rounds = int(median_high(in_parallel(best, _folds(data))))
+
+    def one(f: int) -> DataFrame:
+        fitted = GBTClassifier(labelCol="y", maxDepth=3, maxIter=rounds, stepSize=0.2, seed=7).fit(data.where(F.col(fold) != f))
+        return fitted.transform(data.where(F.col(fold) == f)).select("id", fold, F.col("y").cast("int"), vector_to_array("probability")[1].alias("score"))
+
+    return reduce(DataFrame.unionByName, in_parallel(one, _folds(data))), rounds
+
+
+def on_margin(df: DataFrame, reference: str, features: Sequence[str], share: float = 0.5) -> DataFrame:
+    """``(id, fold, y, score)``: the logit of a reference score and one boosted step on what it leaves: y less the score,
+    fitted on other folds by trees and added as ``share`` Newton steps. A step of 0 gives the reference back."""
+    p = clip(F.col(reference), 1e-6, 1 - 1e-6)
+    data = stored(_assembled(df.withColumns({"_left": (F.col("y") - p) / (p * (1 - p)), "_w": p * (1 - p)}), features), "assembled")
+
+    def one(f: int) -> DataFrame:
+        m = GBTRegressor(labelCol="_left", weightCol="_w", maxDepth=3, maxIter=10, seed=7, predictionCol="_step").fit(data.where(F.col("fold") != f))
+        return m.transform(data.where(F.col("fold") == f)).select("id", "fold", "y", sigmoid(logit(F.col(reference)) + share * F.col("_step")).alias("score"))
+
+    return reduce(DataFrame.unionByName, in_parallel(one, _folds(data)))
+
+
+def multi_output(df: DataFrame, targets: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """``(id, pred_<target>)``: each target predicted from ``features``, of which it is none, by a fit on other folds."""
+    data = stored(_assembled(df.select("id", "fold", *targets, *features), features), "assembled")
+
+    def one(fold: int) -> DataFrame:
+        out = data.where(F.col("fold") == fold)
+        for t in targets:
+            out = GBTRegressor(labelCol=t, maxDepth=3, maxIter=8, seed=7, predictionCol=f"pred_{t}").fit(data.where(F.col("fold") != fold)).transform(out)
+        return out.select("id", *(f"pred_{t}" for t in targets))
+
+    return reduce(DataFrame.unionByName, in_parallel(one, _folds(data)))
+
+
+def teacher(other: DataFrame, rows: DataFrame, features: Sequence[str], model: str = "logistic") -> DataFrame:
+    """``rows`` with ``score`` from a fit on another table, without its rows that equal one of ``rows`` in all features."""
+    return fit_apply(other.join(rows.select(*features).distinct(), list(features), "left_anti"), rows, features, model)
 
 
 def latent(fit: DataFrame, rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:

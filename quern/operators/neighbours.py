@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.keys import one_hot
 from quern.functions.scalars import uniform
 
 #: Rows of a block: queries and references of one task are two blocks.
@@ -77,6 +78,19 @@ def standardised(fit: DataFrame, rows: DataFrame, columns: Sequence[str]) -> Dat
     return rows.withColumns(scale)
 
 
+def metric_space(fit: DataFrame, rows: DataFrame, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
+    """``rows`` with ``v``, a vector to measure distances in: numbers standardised by ``fit``, then a 0/1 place for each
+    category value of ``fit``; columns that are constant in ``fit`` are left out. Categories are few by nature: their values go
+    through the driver."""
+    levels = {c: sorted(r[0] for r in fit.select(c).distinct().collect() if r[0] is not None) for c in categories}
+    spread = fit.agg(*(F.stddev_pop(c).alias(c) for c in numbers)).first() if numbers else {}
+    kept = [c for c in numbers if (spread[c] or 0.0) >= 1e-9]
+    places = [x.cast("double") for c in categories if len(levels[c]) > 1 for x in one_hot(F.col(c), levels[c])]
+    copied = lambda df: df.withColumns({f"_s_{c}": F.col(c) for c in kept})
+    scaled = standardised(copied(fit), copied(rows), [f"_s_{c}" for c in kept]) if kept else rows
+    return scaled.withColumn("v", F.array(*(F.col(f"_s_{c}") for c in kept), *places)).drop(*(f"_s_{c}" for c in kept))
+
+
 def between(rows: DataFrame, near: DataFrame, columns: Sequence[str], seed: str, whole: Sequence[str] = ()) -> DataFrame:
     """New rows between each row and its neighbour of each rank: ``columns`` are mixed by a hashed share, those of
     ``whole`` are rounded, all others are inherited from the row."""

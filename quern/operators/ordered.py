@@ -3,29 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from quern.sources.scratch import stored
 
 
-def ranges(df: DataFrame, order: str, n: int = RANGES) -> Column:
-    """Range of a number among about n of nearly equal counts, in order. The cuts are n numbers whatever the input."""
-    cuts = sorted(set(df.approxQuantile(order, [i / n for i in range(1, n)], 0.5 / n)))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+def met(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """``df`` with the other columns of ``other`` where all of ``on`` are equal; null meets null, so no row is lost."""
+    renamed = other.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    return df.join(renamed, reduce(and_, (df[c].eqNullSafe(renamed[f"_on_{c}"]) for c in on)), how).drop(*(f"_on_{c}" for c in on))
+
+
+def in_ranges(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``_range``, which rises with ``order``. Spark samples the cuts and sizes the ranges, so there are as
+    many as the rows need; the table is stored, for another run might cut elsewhere."""
+    return stored(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def before(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """One row for each ``(*by, order)`` with the sums of its rows (``name``), of all rows before (``name_before``)
-    and of all rows of ``by`` (``name_all``).
+    and of all rows of ``by`` (``name_all``). Rows whose ``order`` is null stand nowhere and are left out; null is a
+    value of ``by`` like others.
 
-    Ties are collapsed first. Sums within a range run over that range only, sums of whole ranges over n rows for each
-    ``by``; so no task holds all values, however large a ``by`` is.
+    Ties are collapsed first. Sums within a range run over that range only, sums of whole ranges over one row for each
+    range and ``by``; so no task holds all values, however large a ``by`` is.
     """
     by = list(by)
-    one = df.groupBy(*by, order).agg(*(F.sum(v).alias(k) for k, v in sums.items()))
-    one = one.withColumn("_range", ranges(df, order))
+    one = df.where(F.col(order).isNotNull()).groupBy(*by, order).agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    one = in_ranges(one, order)
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     total = one.groupBy(*by, "_range").agg(*(F.sum(k).alias(f"_{k}") for k in sums))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,7 +46,7 @@ def before(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str]
         *(F.sum(f"_{k}").over(whole).alias(f"{k}_all") for k in sums),
     )
     one = one.withColumns({f"_{k}_inside": F.coalesce(F.sum(k).over(inside), F.lit(0)) for k in sums})
-    return one.join(total, [*by, "_range"]).select(
+    return met(one, total, [*by, "_range"], "inner").select(
         *by,
         order,
         *sums,
@@ -47,22 +56,54 @@ def before(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str]
 
 
 def midrank(df: DataFrame, order: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """``df`` with the rank of ``order`` within ``by``; equal values share the mean of their ranks."""
+    """``df`` with the rank of ``order`` within ``by``, and ``<name>_of``, the number of ranked rows; equal values share the
+    mean of their ranks. Null has no rank, and its row stays."""
     found = before(df, order, {"_n": F.lit(1)}, by)
     rank = found.select(*by, order, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name), F.col("_n_all").alias(name + "_of"))
-    return df.join(rank, [*by, order])
+    return met(df, rank, [*by, order])
+
+
+def mid_percentile(df: DataFrame, order: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with (rank - 1/2) / n of ``order`` within ``by``."""
+    ranked = midrank(df, order, "_mid", by)
+    return ranked.withColumn(name, (F.col("_mid") - 0.5) / F.col("_mid_of")).drop("_mid", "_mid_of")
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """One row for each ``by`` with the quantile of ``column`` at each share, by name, linear between values. Exact, from
+    running counts of distinct values: no buffer holds them all. Nulls are left out."""
+    values = df.select(*by, F.col(column).cast("double").alias("_v"))
+    found = before(values, "_v", {"_n": F.lit(1)}, by)
+    out = []
+    for name, share in shares.items():
+        place = F.round((F.col("_n_all") - 1) * F.lit(share), 9)
+        at = lambda k: F.max(F.when(F.col("_n_before").between(k - F.col("_n") + 1, k), F.col("_v")))
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(name))
+    return found.groupBy(*by).agg(*out)
+
+
+def numbered(values: DataFrame, column: str, name: str) -> DataFrame:
+    """``values`` (distinct) with their place from 0 in the order of ``column``."""
+    one = in_ranges(values, column)
+    total = one.groupBy("_range").agg(F.count("*").alias("_n"))
+    total = total.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    return one.withColumn(name, rank).join(total, "_range").withColumn(name, F.col("_first") + F.col(name)).drop("_range", "_first")
 
 
 def hashed_place(df: DataFrame, by: Sequence[str], seed: str, id: str = "id") -> DataFrame:
-    """``df`` with ``place``, a row's position from 0 within ``by`` in the order of MD5(seed:id).
+    """``df`` with ``place``, a row's position from 0 within ``by`` in the order of MD5(seed:id); null is a value of ``by``,
+    and a null id has a place like others.
 
     The first three hex digits of the hash split each ``by`` into 4096 ranges; a position is the count of earlier
     ranges plus the rank within the row's own.
     """
     by = list(by)
-    rows = df.withColumn("_h", F.md5(F.concat(F.lit(seed + ":"), F.col(id).cast("string")))).withColumn("_range", F.substring("_h", 1, 3))
+    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id).cast("string"), F.lit(""))))
+    rows = df.withColumn("_h", hashed).withColumn("_range", F.substring("_h", 1, 3))
     total = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select(*by, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"))
     rank = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_h", id)) - 1
-    return rows.withColumn("_rank", rank).join(total, [*by, "_range"]).select(*df.columns, (F.col("_earlier") + F.col("_rank")).alias("place"))
+    return met(rows.withColumn("_rank", rank), total, [*by, "_range"], "inner").select(*df.columns, (F.col("_earlier") + F.col("_rank")).alias("place"))

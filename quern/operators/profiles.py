@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.ordered import midrank
+from quern.operators.metrics import auc
+from quern.operators.ordered import met, midrank, quantiles
 
 
 def columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -22,8 +23,7 @@ def columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def shares(df: DataFrame, column: str) -> DataFrame:
     """``(value, n, share)``; null is a value."""
-    n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.lit(df.count()))
 
 
 def top_share(df: DataFrame, column: str, tops: Sequence[int]) -> DataFrame:
@@ -41,11 +41,46 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFram
 
 
 def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``df`` with size, mean, sample deviation, median and range of ``value`` at the row's key. The group's figures come
-    from an aggregate that is joined back, so a large group is never gathered for its rows."""
+    """``df`` with size, mean, sample deviation, median and range of ``value`` at the row's key; null is a key. The group's
+    figures come from aggregates that are joined back, so a large group is never gathered, not even for its median."""
     v = F.col(value).cast("double")
-    stats = df.groupBy(key).agg(F.count("*").alias("g_n"), F.avg(v).alias("g_mean"), F.stddev_samp(v).alias("g_sd"), F.percentile(v, 0.5).alias("g_median"), (F.max(v) - F.min(v)).alias("g_range"))
-    return df.join(stats, key)
+    stats = df.groupBy(key).agg(F.count("*").alias("g_n"), F.avg(v).alias("g_mean"), F.stddev_samp(v).alias("g_sd"), (F.max(v) - F.min(v)).alias("g_range"))
+    stats = met(stats, quantiles(df, value, {"g_median": 0.5}, [key]), [key])
+    return met(df, stats, [key])
+
+
+def by_rate(df: DataFrame, column: str) -> DataFrame:
+    """``(value, n, rate)``: size and mean label of each value, null included, highest rate first."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("rate")).orderBy(F.desc("rate"), "value")
+
+
+def rate_surface(df: DataFrame, bins: Sequence[str]) -> DataFrame:
+    """``(*bins, n, rate)``: the target's rate over a grid of binned columns."""
+    return df.groupBy(*bins).agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("rate"))
+
+
+def thresholds(df: DataFrame, columns: Sequence[str], share: float) -> DataFrame:
+    """``df`` with ``above_<c>``: whether a value exceeds the ``share`` quantile of its column; null is not above."""
+    for c in columns:
+        cut = quantiles(df, c, {"_cut": share}).first()["_cut"]
+        df = df.withColumn(f"above_{c}", F.coalesce(F.col(c) > F.lit(cut), F.lit(False)))
+    return df
+
+
+def exact_matches(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: distinct rows of ``a``, and how many rows of ``a`` stand in ``b`` with equal values (null is one)."""
+    found = met(a.select(*columns), b.select(*columns).distinct().withColumn("_in", F.lit(1)), columns)
+    return found.agg(F.count("*").alias("rows"), F.count("_in").alias("matched"), (F.count("_in") / F.count("*")).alias("rate"))
+
+
+def subset_means(subsets: dict[str, Sequence[str]]) -> dict[str, Column]:
+    """``mean_<name>``: row-wise mean of each named subset of columns."""
+    return {f"mean_{k}": sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns) for k, columns in subsets.items()}
+
+
+def rating_pairs(pairs: Sequence[tuple[str, str]]) -> dict[str, Column]:
+    """``gap_<a>_<b>`` and ``sum_<a>_<b>``."""
+    return {f"{name}_{a}_{b}": e for a, b in pairs for name, e in (("gap", F.col(a) - F.col(b)), ("sum", F.col(a) + F.col(b)))}
 
 
 def rating_features(ratings: Sequence[Column]) -> dict[str, Column]:
@@ -95,9 +130,17 @@ def key_report(df: DataFrame, key: str) -> DataFrame:
 
 
 def leave_one_out(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with the mean label of the other rows of its key; null where there is none."""
-    g = df.groupBy(key).agg(F.sum("y").alias("_t"), F.count("*").alias("_n"))
-    return df.join(g, key).withColumn("loo", F.when(F.col("_n") > 1, (F.col("_t") - F.col("y")) / (F.col("_n") - 1))).drop("_t", "_n")
+    """``df`` with the mean label of the other rows of its key that have one; null where there is none. Null is a key."""
+    g = df.groupBy(key).agg(F.sum("y").alias("_t"), F.count("y").alias("_n"))
+    others, total = F.col("_n") - F.col("y").isNotNull().cast("int"), F.coalesce("_t", F.lit(0)) - F.coalesce("y", F.lit(0))
+    return met(df, g, [key]).withColumn("loo", F.when(others > 0, total / others)).drop("_t", "_n")
+
+
+def group_rate_auc(df: DataFrame, key: str) -> DataFrame:
+    """One row: how well the mean label of a row's group ranks the labels, its own row included and left out."""
+    rated = met(leave_one_out(df, key), df.groupBy(key).agg(F.avg(F.col("y").cast("double")).alias("_rate")), [key])
+    one = lambda c, name: auc(rated.where(F.col(c).isNotNull()).withColumn(c, F.round(c, 9)), c).select(F.col("auc").alias(name))
+    return one("_rate", "rate_auc").withColumn("_k", F.lit(1)).join(one("loo", "loo_auc").withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def key_ladder(a: DataFrame, b: DataFrame, ladder: dict[str, Sequence[str]]) -> DataFrame:

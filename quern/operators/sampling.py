@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import uniform
-from quern.operators.ordered import hashed_place
+from quern.operators.ordered import hashed_place, met
 
 
 def stratified(df: DataFrame, n: int, seed: str, by: str = "y") -> DataFrame:
@@ -37,6 +37,17 @@ def bootstrap(df: DataFrame, draws: int, seed: str) -> DataFrame:
     return rows.withColumn("times", poisson(uniform(seed, F.col("draw"), F.col("id")))).where(F.col("times") > 0)
 
 
+def class_bootstrap(df: DataFrame, draws: int, seed: str, label: str = "y") -> DataFrame:
+    """``df`` once for each draw it is in, with ``draw`` and ``times``: each draw takes as many rows of a label as it has,
+    with replacement: a slot for each row, and in it the row at a hashed place of the same label."""
+    placed = hashed_place(df, [label], seed)
+    n = placed.groupBy(label).agg(F.count("*").alias("_n"))
+    slots = met(placed.select("id", label), n, [label]).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    taken = slots.withColumn("place", F.floor(uniform(seed, F.col("draw"), F.col("id")) * F.col("_n")))
+    times = taken.groupBy(label, "draw", "place").agg(F.count("*").alias("times"))
+    return met(times, placed, [label, "place"], "inner").drop("place")
+
+
 def parts(df: DataFrame, draws: int, share: float, seed: str) -> DataFrame:
     """``df`` once for each draw, with ``draw`` and ``part``: 'public' for about ``share`` of rows, else 'private'."""
     rows = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scalars import clip, logit
 from quern.operators.metrics import auc, placements
-from quern.operators.ordered import before, midrank
+from quern.operators.ordered import before, midrank, quantiles
 
 
 def feature_screen(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -27,6 +27,18 @@ def row_credit(df: DataFrame, score: str) -> DataFrame:
     return placements(df, score, "_v").withColumn("lost", (1 - F.col("_v")) * other).drop("_v")
 
 
+def clean_auc(noisy: float, flips: float, rate: float) -> float:
+    """The AUC against true labels that ``noise_ceiling`` turns into ``noisy``, by bisection; it rises with it."""
+    p = rate * (1 - flips) + (1 - rate) * flips
+    a, b = rate * (1 - flips) / p, rate * flips / (1 - p)
+    seen = lambda x: a * (1 - b) * x + (1 - a) * b * (1 - x) + (a * b + (1 - a) * (1 - b)) / 2
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if seen(mid) < noisy else (low, mid)
+    return (low + high) / 2
+
+
 def cross_bucket_errors(df: DataFrame, score: str, bucket: str) -> DataFrame:
     """``(one, zero, pairs, errors)`` for each pair of buckets (ones of the first, zeros of the second): pairs, and those
     in which the zero is ranked above, ties half. Only counts by bucket and score value meet."""
@@ -53,6 +65,7 @@ def draw_summary(draws: DataFrame, column: str) -> DataFrame:
     n = draws.count()
     worst = draws.orderBy(column).limit(max(1, -(-n // 20))).agg(F.avg(column)).first()[0]
     return draws.agg(
+        # A draw is one row, so there are few.
         F.avg(column).alias("mean"), *(F.percentile(column, q / 100).alias(f"p{q:02d}") for q in (5, 50, 95)), F.lit(worst).alias("worst"), F.avg((F.col(column) > 0).cast("double")).alias("positive")
     )
 
@@ -87,7 +100,7 @@ def confident(df: DataFrame, score: str, share: float) -> DataFrame:
 def near_tie_weights(df: DataFrame, score: str, share: float, weight: float) -> DataFrame:
     """``df`` with ``weight`` on the rows whose logit is nearest to 0, a share of all; 1 on others."""
     margin = F.abs(logit(F.col(score)))
-    cut = df.agg(F.percentile(margin, share)).first()[0]
+    cut = quantiles(df.select(margin.alias("_m")), "_m", {"cut": share}).first()["cut"]
     return df.withColumn("weight", F.when(margin <= F.lit(cut + 1e-9), F.lit(weight)).otherwise(F.lit(1.0)))
 
 

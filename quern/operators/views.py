@@ -13,10 +13,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.keys import codes, joined_key
+from quern.functions.keys import exact_label, joined_key
+from quern.operators.codes import codes
 from quern.operators.encodings import crossfit
-from quern.operators.ordered import midrank
-from quern.operators.profiles import rating_features
+from quern.operators.ordered import met, midrank
+from quern.operators.profiles import group_stats, rating_features, rating_pairs, subset_means
 
 Make = Callable[[DataFrame], DataFrame]
 
@@ -44,7 +45,7 @@ def key_means(key: str, measures: Sequence[str]) -> Block:
 
     def make(df: DataFrame) -> DataFrame:
         means = df.groupBy(key).agg(*(F.avg(F.col(m).cast("double")).alias(f"mean_{m}_by_{key}") for m in measures))
-        joined = df.select("id", key, *measures).join(means, key)
+        joined = met(df.select("id", key, *measures), means, [key])
         return joined.select("id", *(f"mean_{m}_by_{key}" for m in measures), *((F.col(m) - F.col(f"mean_{m}_by_{key}")).alias(f"gap_{m}_by_{key}") for m in measures))
 
     return Block("transductive", make)
@@ -78,6 +79,9 @@ def ratings(columns: Sequence[str]) -> Block:
     return Block("static", lambda df: df.select("id", *(e.alias(k) for k, e in rating_features([F.col(c) for c in columns]).items())))
 
 
+_ratings = ratings
+
+
 def masks(columns: Sequence[str], group: str, values: Sequence) -> Block:
     """Whether a rating does not apply, and whether that meets each value of a group: all values, not the first few."""
 
@@ -114,6 +118,102 @@ def encoded(keys: Sequence[Sequence[str]], smooth: float = 20.0) -> Block:
     return Block("fold", make)
 
 
+def plain(columns: Sequence[str]) -> Block:
+    """The columns themselves."""
+    return Block("static", lambda df: df.select("id", *columns))
+
+
+def domain(a: str, b: str, per: str) -> Block:
+    """Of two amounts: sum, difference, logarithms, whether both are 0, and the sum for each thousand of ``per``, one at least.
+    A null amount is 0; a null ``per`` is one thousand."""
+
+    def make(df: DataFrame) -> DataFrame:
+        x, y = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (a, b))
+        units = F.greatest(F.coalesce(F.col(per) / 1000.0, F.lit(1.0)), F.lit(1.0))
+        parts = {"total": x + y, "gap": y - x, "both_zero": ((x == 0) & (y == 0)).cast("int"), f"log_{a}": F.log1p(x), f"log_{b}": F.log1p(y), "per_unit": (x + y) / units}
+        return df.select("id", *(e.alias(f"dom_{k}") for k, e in parts.items()))
+
+    return Block("static", make)
+
+
+def gaps(pairs: Sequence[tuple[str, str]]) -> Block:
+    """Gaps and sums of fixed pairs of ratings."""
+    return Block("static", lambda df: df.select("id", *(e.alias(k) for k, e in rating_pairs(pairs).items())))
+
+
+def code_products(pairs: Sequence[tuple[str, str]]) -> Block:
+    """``ix_<a>_<b>``: the sorted code of a category times a number; a null number counts -1."""
+
+    def make(df: DataFrame) -> DataFrame:
+        out = df.select("id", *dict.fromkeys(c for p in pairs for c in p))
+        for a in dict.fromkeys(a for a, _ in pairs):
+            out = codes(out, a, f"_code_{a}")
+        return out.select("id", *((F.col(f"_code_{a}") * F.coalesce(F.col(b), F.lit(-1))).alias(f"ix_{a}_{b}") for a, b in pairs))
+
+    return Block("transductive", make)
+
+
+def twins(columns: Sequence[str]) -> Block:
+    """``cat_<c>``: a number's exact value as a sorted category code."""
+
+    def make(df: DataFrame) -> DataFrame:
+        out = df.select("id", *columns)
+        for c in columns:
+            out = codes(out.withColumn("_label", exact_label(F.col(c))), "_label", f"cat_{c}").drop("_label")
+        return out.select("id", *(f"cat_{c}" for c in columns))
+
+    return Block("transductive", make)
+
+
+def crossed(ratings: Sequence[str], backgrounds: Sequence[str]) -> Block:
+    """``cat_<rating>_<background>``: sorted codes of the pairs of values."""
+
+    def make(df: DataFrame) -> DataFrame:
+        out = df.select("id", *ratings, *backgrounds)
+        for r in ratings:
+            for b in backgrounds:
+                out = codes(out.withColumn("_pair", joined_key([F.col(r), F.col(b)], "|")), "_pair", f"cat_{r}_{b}").drop("_pair")
+        return out.select("id", *(f"cat_{r}_{b}" for r in ratings for b in backgrounds))
+
+    return Block("transductive", make)
+
+
+def key_spread(key: str, measures: Sequence[str]) -> Block:
+    """``sd_<m>_by_<key>``, ``median_...`` and ``range_...``: how a measure spreads over the rows of a key."""
+
+    def make(df: DataFrame) -> DataFrame:
+        out = df.select("id", key, *measures)
+        for m in measures:
+            found = group_stats(df.select("id", key, m), key, m).select("id", F.col("g_sd").alias(f"sd_{m}_by_{key}"), F.col("g_median").alias(f"median_{m}_by_{key}"), F.col("g_range").alias(f"range_{m}_by_{key}"))
+            out = out.join(found, "id")
+        return out.drop(key, *measures)
+
+    return Block("transductive", make)
+
+
+def outside_means(other: DataFrame, key: str, measures: Sequence[str]) -> Block:
+    """``out_<m>_by_<key>``: mean of a measure in another table at the row's key; its labels are not read."""
+
+    def make(df: DataFrame) -> DataFrame:
+        means = other.groupBy(key).agg(*(F.avg(F.col(m).cast("double")).alias(f"out_{m}_by_{key}") for m in measures))
+        return met(df.select("id", key), means, [key]).drop(key)
+
+    return Block("static", make)
+
+
+def enrichment(other: DataFrame, route: str, segment: str, amounts: Sequence[str], ratings: Sequence[str], subsets: dict[str, Sequence[str]], pairs: Sequence[tuple[str, str]]) -> list[Block]:
+    """The label-free enrichment: spread of amounts by route, shares of equal values, gaps of ratings, row-wise figures and
+    means of subsets of ratings, and means in another table by route and segment."""
+    named = Block("static", lambda df: df.select("id", *(e.alias(k) for k, e in subset_means(subsets).items())))
+    return [key_spread(route, amounts), rank_shares(amounts), gaps(pairs), _ratings(ratings), named, outside_means(other, route, amounts), outside_means(other, segment, amounts)]
+
+
+def compact(numbers: Sequence[str], amounts: tuple[str, str], ratings: Sequence[str], backgrounds: Sequence[str], pairs: Sequence[tuple[str, str]], keys: Sequence[Sequence[str]]) -> list[Block]:
+    """The compact recipe: raw numbers and ratings, arithmetic on two amounts, gaps and row-wise figures of ratings,
+    categorical twins of numbers, ratings crossed with backgrounds, and a few encoded keys."""
+    return [plain([*numbers, *ratings]), domain(*amounts, numbers[0]), gaps(pairs), _ratings(ratings), category_codes(backgrounds), twins(numbers), crossed(ratings, backgrounds), encoded(keys)]
+
+
 def assemble(df: DataFrame, blocks: Sequence[Block], allowed: Sequence[str] = ("static", "transductive", "external", "fold")) -> DataFrame:
     """``(id, y, fold)`` and the columns of all blocks; a block of another provenance than ``allowed`` or a repeated
     column is an error."""

@@ -1,6 +1,12 @@
 """Queries: the operators applied to whole tables, each with its SQL where SQL can say it."""
 
-from quern.plans import blend_queries, composition_queries, encoding_queries, gate_queries, metric_queries, profile_queries, screen_queries, view_queries
+from quern.plans import (
+    blend_queries, composition_queries, encoding_queries, gate_queries, metric_queries, null_queries, profile_queries, recipe_queries, row_queries, screen_queries, source_queries,
+    view_queries,
+)
 from quern.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "blend_queries", "composition_queries", "encoding_queries", "gate_queries", "metric_queries", "profile_queries", "screen_queries", "view_queries"]
+__all__ = [
+    "QUERIES", "SQL", "blend_queries", "composition_queries", "encoding_queries", "gate_queries", "metric_queries", "null_queries", "profile_queries", "recipe_queries", "row_queries",
+    "screen_queries", "source_queries", "view_queries",
+]

@@ -35,7 +35,7 @@ def b2_weighted_rank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {BASE}, {LONG}, ranked as (select id, model, {_RANK} as score from long) select id, round(max(score) - min(score), 6) as spread, round(stddev_pop(score), 6) as sd from ranked group by id")
 def m26_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(blending.dispersion(long_scores(base(spark, sf_dir))))
+    return r6(blending.dispersion(long_scores(base(spark, sf_dir))).select("id", "spread", "sd"))
 
 
 @query(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import keys, scalars
-from quern.operators import neighbours, profiles, sampling
+from quern.operators import codes, neighbours, profiles, sampling
+from quern.operators.ordered import quantiles
 from quern.plans.base import BASE, DIGITS, FOLDED, base, folded, query, r6, u_sql
 from quern.sources import tables
 from quern.sources.store import latest_status
@@ -87,7 +88,7 @@ def a17_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = base(spark, sf_dir)
     n = df.count()
     worst = df.orderBy("a", "id").limit(int(n * 0.05)).agg(F.avg("a").alias("worst_5"))
-    q = df.agg(*(F.round(F.percentile("price", p) + 1e-9, 4).alias(k) for k, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))))
+    q = quantiles(df, "price", {"p05": 0.05, "p50": 0.5, "p95": 0.95}).select(*(F.round(F.col(k) + 1e-9, 4).alias(k) for k in ("p05", "p50", "p95")))
     return r6(q.withColumn("k", F.lit(1)).join(worst.withColumn("k", F.lit(1)), "k").drop("k"))
 
 
@@ -167,13 +168,12 @@ def r5_coerce_and_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with m as (select quantile_cont(nullif(l_quantity, 1), 0.5) as m from lineitem) select l_orderkey, l_linenumber, round(avg(coalesce(nullif(l_quantity, 1), m)), 6) as quantity, count(*) as n from lineitem, m group by 1, 2")
 def r7_median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("q", F.nullif("l_quantity", F.lit(1.0)))
-    median = li.agg(F.percentile("q", 0.5)).first()[0]
-    return r6(li.na.fill({"q": median}).groupBy("l_orderkey", "l_linenumber").agg(F.avg("q").alias("quantity"), F.count("*").alias("n")))
+    return r6(codes.median_filled(li, ["q"]).groupBy("l_orderkey", "l_linenumber").agg(F.avg("q").alias("quantity"), F.count("*").alias("n")))
 
 
 @query(f"with {BASE} select id, (dense_rank() over (order by pri) - 1)::int as code from base")
 def k1_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.codes(base(spark, sf_dir), "pri", "code").select("id", "code")
+    return codes.codes(base(spark, sf_dir), "pri", "code").select("id", "code")
 
 
 @query(f"with {BASE} select id, case when r0 = 0 then '__NA__' else r0::varchar end as exact, concat_ws(chr(31), coalesce(nullif(r0, 0)::varchar, '__NA__'), trim(pri)) as joined, '[\"' || r1 || '\",\"' || pri || '\"]' as json, (r0 + 6 * r1 + 36 * r2)::bigint as position from base")
@@ -188,7 +188,7 @@ def k3_key_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {BASE}, e as (select list_sort(list_distinct([quantile_cont(a, 0.25), quantile_cont(a, 0.5), quantile_cont(a, 0.75)])) as e from base) select id, len(list_filter(e, lambda x: a > x))::int as bin, floor(price / 250)::bigint as step, (price::bigint % 10)::int as digit from base, e".replace("(price::bigint % 10)", "(floor(price)::bigint % 10)"))
 def k11_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = base(spark, sf_dir)
-    edges = keys.quantile_edges(df, "a", 4)
+    edges = codes.quantile_edges(df, "a", 4)
     return df.select("id", keys.bin_of(F.col("a"), edges).alias("bin"), F.floor(F.col("price") / 250).alias("step"), (F.floor("price") % 10).cast("int").alias("digit"))
 
 

@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.folds import digest
+from quern.operators.metrics import auc
+from quern.sources.scratch import exists
 
+#: Stands for a fingerprint in rows that name a champion.
+CROWN = "crown"
 STATUSES = ("planned", "running", "done", "failed", "void")
 
 
@@ -21,8 +25,7 @@ class ScoreStore:
         self.spark, self.path = spark, path
 
     def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return exists(self.spark, path)
 
     def index(self) -> DataFrame:
         """``exp_id, n, digest, duplicate_of`` of every experiment, sorted."""
@@ -39,10 +42,8 @@ class ScoreStore:
             if known[exp_id]["digest"] != found["digest"]:
                 raise ValueError(f"{exp_id} is stored with other content")
             return found["digest"]
-        target = f"{self.path}/scores/exp_id={exp_id}"
-        if self._exists(target):
-            raise ValueError(f"{exp_id} has files but no index entry")
-        scores.select("id", "score").write.mode("errorifexists").parquet(target)
+        # The index is what counts: files without an entry are what an interrupted save left, and are written again.
+        scores.select("id", "score").write.mode("overwrite").parquet(f"{self.path}/scores/exp_id={exp_id}")
         twin = min((k for k, r in known.items() if r["digest"] == found["digest"]), default=None)
         row = self.spark.createDataFrame([(exp_id, found["n"], found["digest"], twin)], "exp_id string, n bigint, digest string, duplicate_of string")
         row.coalesce(1).write.mode("append").json(f"{self.path}/index")
@@ -91,8 +92,30 @@ class Ledger:
         same = self.latest().where((F.col("fingerprint") == fingerprint) & F.col("status").isin("done", "running"))
         return same.isEmpty()
 
+    def log_scores(self, exp_id: str, store: ScoreStore, labels: DataFrame, note: str = "") -> None:
+        """Log a finished experiment by its stored scores: its AUC, and in the note its gain over the champion and how their
+        scores correlate."""
+        own, leader = store.load(exp_id), self.champion()
+        value = auc(labels.join(own, "id"), "score").first()["auc"]
+        if leader and leader != exp_id:
+            other = store.load(leader)
+            base = auc(labels.join(other, "id"), "score").first()["auc"]
+            r = own.join(other.withColumnRenamed("score", "other"), "id").agg(F.corr("score", "other")).first()[0]
+            note = json.dumps({"note": note, "champion": leader, "delta": round(value - base, 9), "corr": None if r is None else round(r, 6)}, sort_keys=True)
+        self.log(exp_id, "done", "", value, note)
+
+    def crown(self, exp_id: str) -> None:
+        """Make a finished experiment the champion, whatever its AUC, until another is crowned."""
+        if self.latest().where((F.col("exp_id") == exp_id) & (F.col("status") == "done")).isEmpty():
+            raise ValueError(f"{exp_id} is not finished")
+        row = ("champion:" + exp_id, "done", CROWN, None, exp_id, datetime.now(UTC).isoformat())
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").json(self.path)
+
     def champion(self) -> str | None:
-        """The finished experiment of the highest AUC, the earliest on ties."""
+        """The experiment that was crowned last; without one, the finished one of the highest AUC, the earliest on ties."""
+        crowned = self.rows().where(F.col("fingerprint") == CROWN).orderBy(F.desc("utc")).first()
+        if crowned:
+            return crowned["note"]
         best = self.latest().where("status = 'done' and auc is not null").orderBy(F.desc("auc"), "utc", "exp_id").first()
         return best["exp_id"] if best else None
 
@@ -106,3 +129,17 @@ def latest_status(rows: DataFrame, key: str = "exp_id", at: str = "utc") -> Data
 def fingerprint(**parts: object) -> str:
     """SHA-256 of canonical JSON: the same inputs give the same run id whatever their order."""
     return hashlib.sha256(json.dumps(parts, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
+class FoldRegistry:
+    """Fold assignments by name below one folder, each with its digest. What is registered cannot be changed: the same
+    assignment again is accepted, another is refused, and files that were changed are not read."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.store = ScoreStore(spark, path)
+
+    def register(self, name: str, folds: DataFrame) -> str:
+        return self.store.save(name, folds.select("id", F.col("fold").cast("double").alias("score")))
+
+    def load(self, name: str) -> DataFrame:
+        return self.store.load(name).select("id", F.col("score").cast("int").alias("fold"))

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import io
+import json
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.operators.ordered import numbered
+from quern.sources.scratch import exists
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,8 +35,7 @@ def read(spark: SparkSession, path: str, kind: str, schema: StructType | str | N
 def cached_parquet(spark: SparkSession, path: str, cache: str, schema: StructType | str) -> DataFrame:
     """A CSV file as Parquet: converted on first use, read from then on. An unfinished conversion is not taken for a
     cache, since Spark marks a finished one."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(cache + "/_SUCCESS")
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+    if not exists(spark, cache + "/_SUCCESS"):
         read(spark, path, "csv", schema).write.mode("overwrite").parquet(cache)
     return spark.read.parquet(cache)
 
@@ -46,6 +54,60 @@ def score_pool(spark: SparkSession, files: dict[str, tuple[str, str]], id: str =
     return out
 
 
+def content_hash(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, hash)``: the first 16 hex digits of the SHA-256 of each file below ``path``; a file is read by one task."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.substring(F.sha2("content", 256), 1, 16).alias("hash"))
+
+
+def npy_members(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """``(id, model, score)`` of NumPy files (.npy, or .npz with one member an array) below ``path``: values stand in the order
+    of ``ids``. A file is read by one task, which deals its values out as rows."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at, content in zip(frame["path"], frame["content"], strict=True):
+                found = np.load(io.BytesIO(content))
+                stem = at.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                members = {f"{stem}/{k}": found[k] for k in found.files} if hasattr(found, "files") else {stem: found}
+                for name, values in members.items():
+                    yield pd.DataFrame({"place": np.arange(len(values)), "model": name, "score": values.astype(float)})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    scores = files.mapInPandas(rows, "place bigint, model string, score double")
+    return numbered(ids.select("id").distinct(), "id", "place").join(scores, "place").select("id", "model", "score")
+
+
+def save_json(spark: SparkSession, path: str, value: object) -> None:
+    """One JSON document as a text file."""
+    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_json(spark: SparkSession, path: str) -> object:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def cached_features(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table of features with the names of its columns beside it, made on first use and again if either cannot be read or
+    they disagree."""
+    try:
+        names, found = load_json(spark, path + "/names"), spark.read.parquet(path + "/table")
+        if found.columns == names:
+            return found
+    except (AnalysisException, ValueError):
+        pass
+    made = make()
+    made.write.mode("overwrite").parquet(path + "/table")
+    save_json(spark, path + "/names", made.columns)
+    return spark.read.parquet(path + "/table")
+
+
+def scattered(rows: DataFrame, parts: Sequence[DataFrame], column: str, default: float) -> DataFrame:
+    """``rows(id)`` with ``column`` from parts of disjoint ids, and a default where no part has the id."""
+    every = reduce(DataFrame.unionByName, (p.select("id", column) for p in parts))
+    return rows.join(every, "id", "left").withColumn(column, F.coalesce(column, F.lit(default)))
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``(rule, rows)``: how many rows break each rule; a rule that is null for a row is broken."""
     counts = [F.struct(F.lit(k).alias("rule"), F.count_if(~F.coalesce(v, F.lit(False))).alias("rows")) for k, v in rules.items()]
