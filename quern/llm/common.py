@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.scratch import new_path, shared_dir, stored
+
+__all__ = ["BITMAP_BITS", "WORD", "ascii_lower", "forget", "marked", "n_words", "new_path", "shared_dir", "stored", "table"]
+
 #: A word is a run of anything but ASCII white space. ``bytes.split()`` follows the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,33 +26,29 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local
-    session gets a temporary folder of its own, and a cluster is refused."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="quern-")
-        atexit.register(shutil.rmtree, at[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it again."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that nothing reads any more."""
     jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(hadoop).delete(path, True)
+
+
+#: Bits of a map of hashes (32 MB), at most.
+BITMAP_BITS = 1 << 28
+
+
+def marked(rows: DataFrame, by: Column, keys: DataFrame, of: Column) -> DataFrame:
+    """``rows`` with ``_q_maybe``: false only if the hash ``by`` is none of the hashes ``of`` in ``keys``.
+
+    The hashes are a bitmap of 32 bits for each key, BITMAP_BITS at most, which is broadcast as rows of 4 KB: a bounded
+    size whatever the keys. Where keys are more than it can tell apart, more rows pass. So wide rows that meet no key
+    need not be moved to be joined.
+    """
+    bits = min(BITMAP_BITS, max(1 << 15, 1 << (32 * keys.count()).bit_length()))
+    bucket, place = lambda h: F.floor(F.pmod(h, F.lit(bits)) / 32768).cast("long"), lambda h: F.pmod(h, F.lit(32768))
+    found = keys.select(bucket(of).alias("_q_bucket"), place(of).alias("p")).groupBy("_q_bucket").agg(F.bitmap_construct_agg("p").alias("_q_bits"))
+    byte = F.conv(F.hex(F.substring("_q_bits", (place(by) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    maybe = F.coalesce(F.call_function("shiftright", byte, (place(by) % 8).cast("int")) % 2 == 1, F.lit(False))
+    joined = rows.withColumn("_q_bucket", bucket(by)).join(F.broadcast(stored(found, "bitmap")), "_q_bucket", "left")
+    return joined.withColumn("_q_maybe", maybe).drop("_q_bucket", "_q_bits")

@@ -11,9 +11,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import stored
+
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Words of benchmark items that one index holds, and so what is broadcast at once. A larger benchmark is dealt to
@@ -59,14 +62,14 @@ class Index:
     1 - SIMILARITY of the item together. A window without any of them lacks too much weight to match, so the items
     posted under the shingles of a text are all that it can hold.
 
-    ``rows`` are (item_id, text, weight of each distinct shingle).
+    ``rows`` are (item_id, number of words, weight of each distinct shingle).
     """
 
-    def __init__(self, rows: list[tuple[int | None, str, dict[int, float]]]) -> None:
+    def __init__(self, rows: list[tuple[int | None, int, dict[int, float]]]) -> None:
         self.items: list[Item] = []
         posted: dict[int, tuple[list[int], list[int]]] = {}
-        for i, (item_id, text, own) in enumerate(rows):
-            n, shingles = len(words_of(text)), np.array(sorted(own), np.uint64)
+        for i, (item_id, n, own) in enumerate(rows):
+            shingles = np.array(sorted(own), np.uint64)
             weights = np.array([own[s] for s in shingles.tolist()])
             total = fsum(weights)
             self.items.append(Item(item_id, n, shingles, weights, total))
@@ -136,8 +139,8 @@ def best_window(item: Item, ranked: np.ndarray, order: np.ndarray, width: int, n
 
 
 def item_shingles(benchmark: DataFrame) -> DataFrame:
-    """``(_q_item, item_id, text, n, s, weight)`` for each distinct shingle of each item with a word. A shingle weighs
-    more the fewer of all items hold it: ln(1 + items / items with it)."""
+    """``(_q_item, item_id, n, s, weight)`` for each distinct shingle of each item with a word, n the item's words. A
+    shingle weighs more the fewer of all items hold it: ln(1 + items / items with it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,23 +149,28 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
                 if len(h):
                     s = np.unique(shingle_hashes(h, min(SHINGLE, len(h)))).view(np.int64)
                     n = len(s)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([item] * n, pa.int64()), pa.array([text] * n, pa.string()), pa.array([len(h)] * n, pa.int32()), pa.array(s)], ["_q_item", "item_id", "text", "n", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([item] * n, pa.int64()), pa.array([len(h)] * n, pa.int32()), pa.array(s)], ["_q_item", "item_id", "n", "s"])
 
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     items = items.select(F.xxhash64("item_id", "text").alias("_q_item"), "item_id", "text")
-    own = items.mapInArrow(run, "_q_item long, item_id long, text string, n int, s long")
+    own = items.mapInArrow(run, "_q_item long, item_id long, n int, s long")
     share = own.groupBy("s").agg(F.count("*").alias("df"))
     total = own.select("_q_item").distinct().count()
     return own.join(share, "s").withColumn("weight", F.log1p(F.lit(float(total)) / F.col("df")))
 
 
-def _indexes(benchmark: DataFrame, index_words: int) -> Iterator[Index]:
-    rows = item_shingles(benchmark).groupBy("_q_item", "item_id", "text", "n").agg(F.collect_list(F.struct("s", "weight")).alias("own")).persist()
+def _indexes(benchmark: DataFrame, index_words: int) -> tuple[int, Iterator[Index]]:
+    """How many indexes hold the benchmark, and each of them in turn; the driver holds one at a time."""
+    rows = item_shingles(benchmark).groupBy("_q_item", "item_id", "n").agg(F.collect_list(F.struct("s", "weight")).alias("own"))
+    rows = stored(rows, "items")
     parts = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // index_words))
-    for p in range(parts):
-        part = rows.where(F.pmod("_q_item", F.lit(parts)) == p).orderBy("_q_item").collect()
-        yield Index([(r["item_id"], r["text"], {s & (1 << 64) - 1: w for s, w in r["own"]}) for r in part])
-    rows.unpersist()
+
+    def each() -> Iterator[Index]:
+        for p in range(parts):
+            part = rows.where(F.pmod("_q_item", F.lit(parts)) == p).orderBy("_q_item").collect()
+            yield Index([(r["item_id"], r["n"], {s & (1 << 64) - 1: w for s, w in r["own"]}) for r in part])
+
+    return parts, each()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
@@ -172,13 +180,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX
     A window as long as the item, in words, starts at every word. The weight of the item's distinct shingles of five
     words that it holds, of the weight of all of them, is SIMILARITY or more. Only items that have one of their rarest
     shingles in the document are held against it, as no other can match (see ``Index``); no match is lost. Words are
-    letters and digits in lower case, of the whole text. A null or empty text, of either side, matches nothing; a text shorter
-    than an item is one window, however short; it is passed over only if all its shingles weigh too little. Rows that repeat a doc_id are judged one by one. The documents are not shuffled.
+    letters and digits in lower case, of the whole text, however long; a run of letters without spaces, as in Chinese or
+    Japanese, is one word, so a passage inside a longer run is not seen. A null or empty text, of either side, matches
+    nothing; a text shorter than an item is one window, however short; it is passed over only if all its shingles weigh
+    too little. Of windows of equal similarity the first is reported. Rows that repeat a doc_id are judged one by one,
+    and rows of the benchmark that repeat id and text are one item; of several texts under one item_id the best counts.
+    An empty table of either side gives no rows. Other columns are ignored, whatever their names. The documents are not
+    shuffled. A benchmark of more than ``index_words`` words is taken in parts, each broadcast, run over all documents,
+    written and released before the next.
     """
-    return reduce(DataFrame.union, (_against(docs, i) for i in _indexes(benchmark, index_words)))
-
-
-def _against(docs: DataFrame, index: Index) -> DataFrame:
+    parts, indexes = _indexes(benchmark, index_words)
+    if parts == 1:
+        return _against(docs, next(indexes))[0]
+    out = []
+    for index in indexes:
+        found, shared = _against(docs, index)
+        out.append(stored(found, "found"))
+        shared.destroy()
+    return reduce(DataFrame.union, out)
+
+
+def _against(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast[Index]]:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,23 +215,28 @@ def _against(docs: DataFrame, index: Index) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return kept.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words int")
+    return kept.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words int"), shared
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, judged as in ``contaminated``, in one pass for each index."""
-    for index in _indexes(benchmark, index_words):
-        docs = _without(docs, index)
+    """The rows of ``docs`` that hold no benchmark item, judged as in ``contaminated``, with all their columns. Each part of
+    a large benchmark leaves a table that the next one reads."""
+    parts, indexes = _indexes(benchmark, index_words)
+    for k, index in enumerate(indexes, 1):
+        docs, shared = _without(docs, index)
+        if k < parts:
+            docs = stored(docs, "clean")
+            shared.destroy()
     return docs
 
 
-def _without(docs: DataFrame, index: Index) -> DataFrame:
+def _without(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast[Index]]:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for b in batches:
-            texts = b.column(b.schema.names.index("text"))
+            texts = b.column(b.schema.names.index("text")).cast(pa.string())
             yield b.filter(pa.array([not shared.value.matches(word_hashes(words_of(t.as_py()), known)) for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema), shared

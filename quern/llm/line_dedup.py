@@ -23,17 +23,23 @@ def dedup(docs: DataFrame) -> DataFrame:
     A window is WINDOW consecutive lines with a word, trimmed, known by 128 bits of hash. The first window of its
     kind, by doc_id (null last), text hash and position, stays; the lines of every other are covered, covered
     positions are merged into spans, and spans are removed. A text without spans stays as it is; otherwise its blank
-    lines go, too. A text of fewer lines has no window and stays. Rows that repeat doc_id and text are one document.
+    lines go, too. The lines of a text of fewer than WINDOW are one window together, which meets texts of as many lines
+    only, so copies of short texts go, too; a null, empty or blank text has no line and stays. A passage that repeats
+    within one long line, or in runs of fewer than WINDOW lines of longer texts, is not seen. Rows that repeat doc_id
+    and text are one document and get the same result: a window counts as repeated if it stands at two places. An empty
+    table gives an empty result; a very long text has as many windows as lines. Other columns may have any names.
 
     Counts and first places are pre-aggregated, so a very common window is one row when it meets its like; it is joined
     back by hash, where Spark may split a large group. A document's spans are bounded by its own lines.
     """
-    keyed = docs.withColumns({"_q_id": F.col("doc_id").cast("long"), "_q_text": F.xxhash64("text")})
-    rows = keyed.withColumn("_q_lines", _lines(F.col("text")))
-    at = F.sequence(F.lit(0), F.size("_q_lines") - WINDOW)
-    window = lambda i: [F.get("_q_lines", i + k) for k in range(WINDOW)]
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "spans", "clean")]
+    keyed = docs.select(F.struct(*own).alias("doc"), F.col("doc_id").cast("long").alias("_q_id"), F.xxhash64(F.col("text").cast("string")).alias("_q_text"))
+    rows = keyed.withColumn("_q_lines", _lines(F.col("doc.text"))).where(F.size("_q_lines") > 0)
+    at = F.sequence(F.lit(0), F.greatest(F.size("_q_lines") - WINDOW, F.lit(0)))
+    # Beyond the last line stands null, and the number of lines counts, so a short text meets its like only.
+    window = lambda i: [F.least(F.size("_q_lines"), F.lit(WINDOW)), *(F.get("_q_lines", i + k) for k in range(WINDOW))]
     hashes = F.transform(at, lambda i: F.struct(F.xxhash64(*window(i)).alias("a"), F.xxhash64(F.lit(1), *window(i)).alias("b")))
-    windows = rows.where(F.size("_q_lines") >= WINDOW).select("_q_id", "_q_text", F.posexplode(hashes).alias("p", "h")).select("_q_id", "_q_text", "p", "h.a", "h.b")
+    windows = rows.select("_q_id", "_q_text", F.posexplode(hashes).alias("p", "h")).select("_q_id", "_q_text", "p", "h.a", "h.b")
     windows = stored(windows, "windows")
     place = F.struct(F.col("_q_id").isNull(), "_q_id", "_q_text", "p")
     repeated = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -43,8 +49,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     before = F.filter("p", lambda x, i: (i == 0) | (x - F.get("p", i - 1) > WINDOW))
     spans = F.zip_with(before, edge(1), lambda a, b: F.struct(a.alias("first"), (b + (WINDOW - 1)).alias("last")))
     found = found.select(F.col("_q_id").alias("_q_of"), F.col("_q_text").alias("_q_hash"), spans.alias("_q_spans"))
-    joined = keyed.join(found, F.col("_q_id").eqNullSafe(F.col("_q_of")) & (F.col("_q_text") == F.col("_q_hash")), "left").withColumn("_q_lines", _lines(docs["text"]))
+    joined = keyed.join(found, F.col("_q_id").eqNullSafe(F.col("_q_of")) & (F.col("_q_text") == F.col("_q_hash")), "left").withColumn("_q_lines", _lines(F.col("doc.text")))
     left = F.filter("_q_lines", lambda x, i: ~F.exists("_q_spans", lambda s: i.between(s["first"], s["last"])))
-    text = F.when(F.col("_q_spans").isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
-    own = [docs[c] for c in docs.columns if c not in ("n_lines", "spans", "clean")]
-    return joined.select(*own, F.size("_q_lines").alias("n_lines"), F.col("_q_spans").alias("spans"), text.alias("clean"))
+    ends = F.transform("_q_spans", lambda s: F.struct(s["first"].alias("first"), F.least(s["last"], F.size("_q_lines") - 1).alias("last")))
+    text = F.when(F.col("_q_spans").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
+    out = joined.select("doc", F.size("_q_lines").alias("n_lines"), ends.alias("spans"), text.alias("clean"))
+    return out.select("doc.*", "n_lines", "spans", "clean")

@@ -63,15 +63,20 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT
 
     A row's place is the count before its (size class, bucket) plus its rank there: no window holds a whole source,
     and a third of all rows in one source and of one size is still dealt over BUCKETS tasks. Sources, doc_ids and
-    sizes may be null (a null size counts 0); rows that repeat a doc_id stand side by side. Draws hang on source and
-    doc_id only, so reruns agree.
+    sizes may be null (a null size counts 0 and is returned as 0; a null source is a source of its own, last in order).
+    Draws hang on the doc_id or, where it is null, on a hash of the row's columns; rows of equal size and doc_id stand
+    in order of that hash, so reruns agree, and only rows equal in every column are exchanged. Very long documents count
+    like others, once up to ``limit`` times. An empty table gives an empty result. Columns may have any names.
     """
-    sized = sized.drop("source_size", "target", "copies")
+    added = ("source_size", "target", "copies")
+    own = [c for c in sized.columns if c.lower() not in added]
+    hashed = [F.col(f"`{c}`") for c, t in sized.select(*(f"`{c}`" for c in own)).dtypes if "map<" not in t]
     size = F.coalesce(F.col("size").cast("long"), F.lit(0))
-    step = F.greatest(F.length(F.bin(size)) - CLASS_BITS, F.lit(0))
-    draw = _draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = sized.withColumns({"size": size, "_q_source": _source_key(F.col("source")), "_q_draw": draw}).withColumns(
-        {"_q_class": F.call_function("shiftleft", F.call_function("shiftright", size, step), step), "_q_bucket": F.col("_q_draw") % BUCKETS}
+    rows = sized.select(F.struct(*(size.alias(c) if c == "size" else F.col(f"`{c}`") for c in own)).alias("doc"), "doc_id", "source", size.alias("size"), F.xxhash64(*hashed).alias("_q_row"))
+    step = F.greatest(F.length(F.bin("size")) - CLASS_BITS, F.lit(0))
+    draw = F.coalesce(_draw(F.col("doc_id").cast("string")), F.pmod("_q_row", F.lit(1 << 32)))
+    rows = rows.withColumns({"_q_source": _source_key(F.col("source")), "_q_draw": draw}).withColumns(
+        {"_q_class": F.call_function("shiftleft", F.call_function("shiftright", F.col("size"), step), step), "_q_bucket": F.col("_q_draw") % BUCKETS}
     )
     cell = ["_q_source", "_q_class", "_q_bucket"]
     aims = stored(targets(rows, weights, limit, seed), "targets")
@@ -82,9 +87,10 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT
     cells = cells.withColumn("_q_in", F.coalesce(F.sum("_q_n").over(before(cell[:2], "_q_bucket")), F.lit(0)))
     cells = cells.join(classes, cell[:2]).join(aims.drop("source"), "_q_source")
     cells = cells.select(*cell, (F.col("_q_first") + F.col("_q_in")).alias("_q_before"), "source_size", "target", "_q_start")
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "_q_draw", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "_q_draw", "doc_id", "_q_row"))
     placed = rows.withColumn("_q_rank", rank).join(stored(cells, "cells"), cell)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = F.col("_q_before") + F.col("_q_rank")
     copies = F.floor(F.col("_q_start") + each * place) - F.floor(F.col("_q_start") + each * (place - 1))
-    return placed.select(*sized.columns, "source_size", "target", F.least(copies, F.lit(limit).cast("long")).alias("copies"))
+    placed = placed.select("doc", "source_size", "target", F.least(copies, F.lit(limit).cast("long")).alias("copies"))
+    return placed.select("doc.*", "source_size", "target", "copies")

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 12
+#: Columns for hashed words. Only words of the training sample carry weight, so more columns than these would stay empty.
+BUCKETS = 1 << 16
 FACTORS = 4
 #: Expected number of labelled rows that the fit sees at most; the choice hangs on a hash of the doc_id alone.
 MAX_TRAIN = 3000
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Facto
 
 def score(docs: DataFrame, model: FactorisationMachine | float) -> DataFrame:
     """``docs`` with ``score``, the probability of label 1, in place of any column of that name."""
-    docs = docs.drop("score")
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "score"))
     if isinstance(model, float):
         return docs.withColumn("score", F.lit(model))
 
@@ -137,8 +138,11 @@ def score(docs: DataFrame, model: FactorisationMachine | float) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row; ``predicted`` is 1 from THRESHOLD on.
 
-    A null text is scored as an empty one. A null doc_id is never held out nor trained on. Repeated rows get equal
-    scores. Of the columns only the text is an input of the score.
+    A null text is scored as an empty one, which has the structure columns only; a text of any length is read whole. A
+    null doc_id is never held out nor trained on. Repeated rows get equal scores; a repeated doc_id that is labelled
+    teaches with each of its texts. A doc_id of several labels counts by their mean, a tie as 1; without labels of both
+    kinds, or an empty table of them, every score is the share of label 1 (1 if there is none). An empty table of
+    documents gives an empty result. Of the columns only the text is an input of the score; others may have any names.
     """
     model = fit(docs, labels, max_train)
     scored = score(docs.select("doc_id", F.col("text").cast("string")), model)
@@ -147,7 +151,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with all their columns; rows are judged as in ``judge``."""
     model = fit(docs, labels, max_train)
     if isinstance(model, float):
         return docs if model >= THRESHOLD else docs.limit(0)

@@ -30,8 +30,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.clean(table(spark, sf_dir, "documents"), texts=False)
-    return found.drop("clean")
+    """Counts, verdict and a digest of the text left."""
+    return quality_rules.clean(table(spark, sf_dir, "documents"), texts=False).drop("clean")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +90,19 @@ SQL: dict[str, str] = {
                    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
                    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*(.*)\z', 1) as rest
             from pages
+        ), stepped as (
+            select *, string_split(path, '/') as steps, string_split(regexp_extract(rest, '(?s)^\?([^#]*)', 1), '&') as q from parsed
         ), kinds as (
-            select *, [
+            select *, list_concat([
                 ['scheme=', regexp_extract(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?s)^([a-z0-9+.-]*)://', 1)],
                 ['host=', host], ['domain=', regexp_extract(host, '([^.]+\.[^.]+)\z', 1)],
-                ['dir1=', regexp_extract(path, '(?s)^/([^/.]*)', 1)], ['dir2=', regexp_extract(path, '(?s)^/[^/]*/([^/.]*)', 1)],
-                ['ext=', regexp_extract(path, '\.([A-Za-z0-9]{1,8})\z', 1)], ['query=', regexp_extract(rest, '^\?([^=&#]+)', 1)],
-                ['fragment=', regexp_extract(rest, '(#)', 1)]] as kv
-            from parsed
+                ['file=', regexp_replace(steps[-1], '(?s)\.[^.]*\z', '')],
+                ['ext=', regexp_extract(path, '\.([A-Za-z0-9]{1,8})\z', 1)], ['fragment=', regexp_extract(rest, '(#)', 1)]],
+                list_transform(string_split(host, '.'), lambda x: ['part=', x]),
+                list_transform(steps[2:len(steps) - 1], lambda x, i: ['dir' || i || '=', x]),
+                list_transform(q, lambda x: ['query=', regexp_extract(x, '(?s)^([^=]*)', 1)]),
+                list_transform(list_filter(q, lambda x: regexp_matches(x, '(?s)=.*[^0-9]')), lambda x: ['pair=', x])) as kv
+            from stepped
         ), rowed as (
             select *, list_distinct(list_transform(list_filter(kv, lambda x: x[2] <> '' and not regexp_matches(x[2], '^[0-9]+\z')), lambda x: x[1] || x[2])) as tokens,
                    try_cast(regexp_extract(path, '/([0-9]+)(/|[.][a-z]+)?\z', 1) as bigint) as number,
@@ -107,23 +112,25 @@ SQL: dict[str, str] = {
             select doc_id, avg(quality) < 0.5 as bad from labels where quality is not null group by doc_id
         ), labelled as (
             select r, tokens, bad from rowed join known on doc_id = number
+        ), n as (
+            select count(*) filter (bad) as b, count(*) filter (not bad) as g, greatest(ceil(0.002 * count(*)), 5) as least from labelled
         ), sets as (
             select r, bad, list_sort(list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1)) as ante
             from (select r, bad, tokens, unnest(range(1, 1 << len(tokens))) as mask from labelled)
+        ), counted as (
+            select ante, count(*) filter (bad) as b, count(*) filter (not bad) as g from sets group by ante
         ), mined as (
-            select ante from sets group by ante
-            having count(*) filter (bad) >= greatest(ceil(0.002 * (select count(*) from labelled)), 5)
-               and count(*) filter (bad) >= 0.6 * count(*)
+            select ante, counted.b >= least and counted.b * n.g >= 4 * counted.g * n.b as blocks from counted, n
+            where n.b > 0 and n.g > 0 and (counted.b >= least and counted.b * n.g >= 4 * counted.g * n.b or counted.g >= least and counted.g * n.b >= 2 * counted.b * n.g)
         ), hits as (
-            select distinct r from rowed, mined where list_has_all(tokens, ante)
+            select r, max(case when blocks then 'block' else 'allow' end) as mined from rowed, mined where list_has_all(tokens, ante) group by r
         ), rules(verdict, rhost, rpath) as (
             values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
         ), best as (
             select r, arg_max(rhost || rpath, length(rhost || rpath)) as rule, arg_max(verdict, length(rhost || rpath)) as verdict
             from rowed join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by r
         )
-        select page_id, host, path, rule, hits.r is not null as mined,
-               coalesce(verdict, case when hits.r is not null then 'block' else 'allow' end) as verdict
+        select page_id, host, path, rule, mined, coalesce(verdict, mined, 'allow') as verdict
         from rowed left join best using (r) left join hits using (r)
     """,
     "op2_line_dedup": """
@@ -131,11 +138,12 @@ SQL: dict[str, str] = {
             select doc_id, text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \\t\\r\\x0b\\x0c')), lambda x: x <> '') as l
             from documents
         ), windows as (
-            select doc_id, p, l[p + 1] as a, l[p + 2] as b, l[p + 3] as c from (select doc_id, l, unnest(range(0, len(l) - 2)) as p from docs)
+            select doc_id, p, least(len(l), 3) as n, l[p + 1] as a, l[p + 2] as b, l[p + 3] as c
+            from (select doc_id, l, unnest(range(0, greatest(len(l) - 2, 1))) as p from docs where len(l) > 0)
         ), later as (
-            select doc_id, p from (select doc_id, p, row_number() over (partition by a, b, c order by doc_id, p) as k from windows) where k > 1
+            select doc_id, p, n from (select doc_id, p, n, row_number() over (partition by n, a, b, c order by doc_id, p) as k from windows) where k > 1
         ), covered as (
-            select doc_id, list_sort(list_distinct(list(q))) as q from (select doc_id, unnest(range(p, p + 3)) as q from later) group by doc_id
+            select doc_id, list_sort(list_distinct(list(q))) as q from (select doc_id, unnest(range(p, p + n)) as q from later) group by doc_id
         ), joined as (
             select d.doc_id, l, q,
                    case when q is null then text else array_to_string(list_filter(l, lambda x, i: not list_contains(q, i - 1)), chr(10)) end as clean
@@ -158,19 +166,19 @@ SQL: dict[str, str] = {
         ), repeats as (
             select r, count(distinct q) as n_repeat_words from (select r, unnest([p, p + 1, p + 2]) as q from again where n > 1) group by r
         ), lines as (
-            select r, trim(line, E' \t\x0b\x0c\r') as line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w
-            from (select r, unnest(string_split(text, chr(10))) as line from docs)
+            select r, i, raw, trim(raw, E' \t\x0b\x0c\r') as line, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') as w
+            from (select r, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as i from docs)
         ), ruled as (
-            select r, line, len(w) as n,
+            select r, i, raw, len(w) as n,
                    (not regexp_matches(line, '[.!?:;…]["''”’»)\]]*\z') and (len(w) < 20 or not regexp_matches(line, '[.!?]')))
                    or (len(list_filter(w, lambda x: x in ('|', '»', '›', '>', '•', '·'))) >= 3 and 5 * len(list_filter(w, lambda x: x in ('|', '»', '›', '>', '•', '·'))) >= len(w))
                    or 2 * (length(line) - length(translate(line, '#*$%&|<>', ''))) >= len(w)
-                   or (len(w) >= 3 and not regexp_matches(line, '[a-zß-öø-ÿ]') and regexp_matches(line, '[A-ZÀ-ÖØ-Þ]'))
+                   or (len(w) >= 3 and not regexp_matches(line, '\p{{Ll}}') and regexp_matches(line, '\p{{Lu}}'))
                    or (len(w) >= 10 and 3 * len(list_distinct(w)) < len(w))
                    or (len(w) <= 30 and regexp_matches(lower(line), '{_PHRASES}')) as fails
             from lines where len(w) > 0
         ), left_over as (
-            select r, sum(case when fails then 0 else n end) as kept_words from ruled group by r
+            select r, sum(case when fails then 0 else n end) as kept_words, md5(coalesce(string_agg(raw, chr(10) order by i) filter (not fails), '')) as clean_md5 from ruled group by r
         ), dups as (
             select r, count(*) - count(distinct line) as n_dup_lines
             from (select r, line from (select r, unnest(string_split(text, chr(10))) as line from docs) where regexp_matches(line, '[^\x20\x09-\x0D]')) group by r
@@ -178,7 +186,7 @@ SQL: dict[str, str] = {
             select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
                    (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
                    coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
-                   coalesce(kept_words, 0)::bigint as kept_words
+                   coalesce(kept_words, 0)::bigint as kept_words, coalesce(clean_md5, md5('')) as clean_md5
             from words left join repeats using (r) left join dups using (r) left join left_over using (r)
         )
         select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import marked, stored
 from quern.llm.components import components
 
 #: First bit and width of the five blocks. Of 3 differing bits, two blocks at least see none.
@@ -264,14 +264,16 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     keyed = stored(keyed.groupBy("node", "fp", "doc_id", "h", "g").agg(F.count("*").alias("n")), "keys")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "h", "g")
     first = keyed.groupBy("node").agg(F.min(place).alias("p")).select("node", F.col("p.doc_id").alias("i"), F.col("p.h").alias("a"), F.col("p.g").alias("b"))
+    first = stored(first, "first")  # both sides of the join are plain shuffles, of which Spark may split a large group
     same = keyed["doc_id"].eqNullSafe(first["i"]) & (keyed["h"] == first["a"]) & (keyed["g"] == first["b"])
     judged = keyed.join(first, "node").select(keyed["doc_id"].alias("i"), keyed["h"].alias("a"), keyed["g"].alias("b"), same.alias("stays"), "n")
     judged = stored(judged.where("n > 1 or not stays"), "copies")
-    of = lambda marks: packed["doc_id"].eqNullSafe(marks["i"]) & (packed["h"] == marks["a"]) & (packed["g"] == marks["b"])
-    drop = packed.join(judged, of(judged), "left_anti").select("doc.*")
-    again = packed.join(judged.where("stays"), of(judged), "left_semi")
-    once = again.groupBy("doc_id", "h", "g").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
-    return drop.unionByName(once.select("doc.*"))
+    tested = marked(packed, F.xxhash64("doc_id", "h", "g"), judged, F.xxhash64("i", "a", "b"))
+    some = tested.where("_q_maybe")
+    found = some.join(judged, some["doc_id"].eqNullSafe(judged["i"]) & (some["h"] == judged["a"]) & (some["g"] == judged["b"]), "left")
+    once = found.where("stays").groupBy("doc_id", "h", "g").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
+    kept = tested.where("not _q_maybe").select("doc").union(found.where("stays is null").select("doc")).union(once.select("doc"))
+    return kept.select("doc.*")
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import new_path
+from quern.llm.common import marked, new_path, stored
 
 #: Payloads of fewer bytes are always stored in full.
 REVISIT_FROM = 100
@@ -23,6 +23,8 @@ LEVEL = 5
 ARCHIVE_BYTES = 512 << 20
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+#: Bytes of archives that are meant for one task to read.
+TASK_BYTES = 64 << 20
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string"
 
@@ -65,14 +67,22 @@ def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def classified(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``digest`` and ``refers_to``. Only digests and ids meet in the aggregate; the pages themselves are
-    moved by the one join, whose large groups Spark may split."""
+    """``page_id, url, html`` of ``pages`` with ``digest`` and ``refers_to``.
+
+    Only digests and ids meet in the aggregate that finds repeated digests. Pages whose digest is not among them, by a
+    bitmap of bounded size that is broadcast, stay where they are; the others, and few more, are moved by one join,
+    whose large groups Spark may split.
+    """
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("digest", F.sha2(body, 256))
     large = rows.where(F.octet_length(body) >= REVISIT_FROM)
     first = large.groupBy("digest").agg(F.min("page_id").alias("_q_first"), F.count("*").alias("_q_n")).where("_q_n > 1 and _q_first is not null")
-    joined = rows.join(first.drop("_q_n"), "digest", "left")
-    return joined.withColumn("refers_to", F.expr("if(page_id <=> _q_first, null, _q_first)")).drop("_q_first")
+    first = stored(first.drop("_q_n"), "repeated")
+    tested = marked(rows, F.xxhash64("digest"), first, F.xxhash64("digest"))
+    joined = tested.where("_q_maybe").join(first, "digest", "left").withColumn("refers_to", F.expr("if(page_id <=> _q_first, null, _q_first)"))
+    alone = tested.where("not _q_maybe").withColumn("refers_to", F.lit(None).cast("long"))
+    names = ["page_id", "url", "html", "digest", "refers_to"]
+    return alone.select(names).union(joined.select(names))
 
 
 def write(pages: DataFrame, path: str) -> DataFrame:
@@ -80,9 +90,12 @@ def write(pages: DataFrame, path: str) -> DataFrame:
     offset, length, url, digest, page_id``.
 
     Each task writes archives of its own name, so a task that runs again leaves an unused file at worst; the index
-    names those of the attempts that Spark took. Of equal payloads of REVISIT_FROM bytes or more, the one with the
-    smallest page_id is a response and the others revisit it; rows that repeat this page_id are responses, too, as are
-    copies whose page_ids are all null. A null html is an empty payload, a null url is named after the page.
+    names those of the attempts that Spark took, and files that it does not name are deleted at the end. Of equal
+    payloads of REVISIT_FROM bytes or more, the one with the smallest page_id is a response and the others revisit it;
+    rows that repeat this page_id are responses, too, as are copies whose page_ids are all null. A null html is an empty
+    payload, a null url is named after the page. A payload of any length is one record, held by one task while it is
+    written. An empty table writes no archive and an empty index. Columns other than page_id, url and html are
+    ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +123,19 @@ def write(pages: DataFrame, path: str) -> DataFrame:
                 out.close()
 
     classified(pages).mapInArrow(run, INDEX).write.parquet(f"{path}/index")
-    return pages.sparkSession.read.schema(INDEX).parquet(f"{path}/index")
+    index = pages.sparkSession.read.schema(INDEX).parquet(f"{path}/index")
+    _drop_unnamed(index, path)
+    return index
+
+
+def _drop_unnamed(index: DataFrame, path: str) -> None:
+    """Delete archives that the index does not name. The driver holds file names only, one for each 512 MB or task."""
+    store, base = pafs.FileSystem.from_uri(f"{path}/archives")
+    if store.get_file_info(base).type == pafs.FileType.Directory:
+        named = {r[0] for r in index.select("archive").distinct().collect()}
+        for f in store.get_file_info(pafs.FileSelector(base)):
+            if f.base_name not in named:
+                store.delete_file(f.path)
 
 
 def coalesced(spans: list[tuple[int, int]], gap: int = GAP_BYTES) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -130,7 +155,7 @@ def read(selected: DataFrame, path: str, payloads: bool = True) -> DataFrame:
     """The records that ``selected``, rows of the index, points to; without ``payloads`` their texts stay behind.
 
     Selected records that start in the same RANGE_BYTES of an archive meet in one row of sorted spans and are read
-    together. Length and digest are those of the payload as read; a revisit's are the ones its record states. A
+    together; ranges are dealt to as many tasks as their bytes need. Length and digest are those of the payload as read; a revisit's are the ones its record states. A
     response whose payload does not have the digest it states fails the read.
     """
 
@@ -158,8 +183,11 @@ def read(selected: DataFrame, path: str, payloads: bool = True) -> DataFrame:
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    group = F.floor(F.col("offset") / RANGE_BYTES)
-    ranges = selected.groupBy("archive", group.alias("_q_range")).agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("spans"))
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    spans = selected.select("archive", "offset", "length", F.floor(F.col("offset") / RANGE_BYTES).alias("_q_range"))
+    spans = spans.repartition(tasks, "archive", "_q_range")
+    ranges = spans.groupBy("archive", "_q_range").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("spans"))
     return ranges.select("archive", "spans").mapInArrow(run, RECORD)
 
 

@@ -207,7 +207,7 @@ def test_repeat_words_by_hand():
 
 def test_line_rules():
     assert not quality_rules.line_fails("A plain sentence of some words.")
-    for bad in ("no mark at its end", "Home | News | Sport | About us.", "### $$$ *** buy.", "ALL OF THIS SHOUTS AT YOU.", "Please accept cookies to go on.", "go " * 12 + "go."):
+    for bad in ("no mark at its end", "Home | News | Sport | About us.", "### $$$ *** buy.", "ALL OF THIS SHOUTS AT YOU.", "Please accept cookies to go on.", "go " * 12 + "go.", "ÜBER ALLE ŽABY.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Aviso legal."):
         assert quality_rules.line_fails(bad), bad
 
 
@@ -220,9 +220,9 @@ def test_cleaning_keeps_good_lines(spark):
 
 
 def test_windows_of_lines(spark):
-    rows = [(1, "a\nb\nc\nd\ne"), (2, "x\nb\n\nc \nd\ny"), (3, "b\nc\nd\ne"), (4, "a\nb"), (5, "q\nr\ns\nq\nr\ns")]
+    rows = [(1, "a\nb\nc\nd\ne"), (2, "x\nb\n\nc \nd\ny"), (3, "b\nc\nd\ne"), (4, "a\nb"), (5, "q\nr\ns\nq\nr\ns"), (6, " a\n\nb"), (7, "b\na"), (8, "One."), (9, "One.")]
     got = {r["doc_id"]: (r["clean"], [tuple(s) for s in r["spans"] or []]) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("a\nb\nc\nd\ne", []), 2: ("x\ny", [(1, 3)]), 3: ("", [(0, 3)]), 4: ("a\nb", []), 5: ("q\nr\ns", [(3, 5)])}
+    assert got == {1: ("a\nb\nc\nd\ne", []), 2: ("x\ny", [(1, 3)]), 3: ("", [(0, 3)]), 4: ("a\nb", []), 5: ("q\nr\ns", [(3, 5)]), 6: ("", [(0, 1)]), 7: ("b\na", []), 8: ("One.", []), 9: ("", [(0, 0)])}
 
 
 def test_licences(spark):
@@ -269,6 +269,24 @@ def test_mined_combinations_block(spark):
     labels = spark.createDataFrame([(i, 0 if i in bad else 1) for i, _ in rows if i % 5], "doc_id long, quality int")
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
     assert {r["page_id"] for r in got if r["verdict"] == "block"} == bad
+    assert {r["page_id"]: r["mined"] for r in got} == {i: "block" if i in bad else "allow" for i, _ in rows}
+
+
+def test_deep_folders_keys_and_values_are_mined(spark):
+    """Tokens deep in a path or late in a query mark bad URLs; very long paths that all URLs share cost nothing."""
+    deep = "/".join(f"f{k}" for k in range(60))
+    marks = ["/a/b/casino/{}", "/a/b/{}?id=1&aff=x", "/a/b/fine/{}", "/" + deep + "/{}"] * 25
+    rows = [(i, "http://h.net" + m.format(i)) for i, m in enumerate(marks)]
+    bad = {i for i, u in rows if "casino" in u or "aff=x" in u}
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i, _ in rows if i % 3], "doc_id long, quality int")
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, block_odds=2).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == bad
+
+
+def test_labels_of_one_kind_teach_nothing(spark):
+    pages = spark.createDataFrame([(i, f"http://h.net/{i}") for i in range(20)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, quality int")
+    assert {(r["verdict"], r["mined"]) for r in url_filter.judge(pages, labels).collect()} == {("allow", None)}
 
 
 def test_archives_round_trip(spark):
@@ -323,6 +341,53 @@ def test_interactions_in_linear_time():
     assert abs(m.raw(columns, values) - (m.w[columns] @ values + pairs)) < 1e-12
 
 
+def test_features_by_hand():
+    columns, values = quality.features(b"Go go go! 12\n\nGo go")
+    want = Counter(zlib.crc32(w) % quality.BUCKETS for w in b"Go go go! 12 Go go".split())
+    words = {int(c): v for c, v in zip(columns, values, strict=True) if c < quality.BUCKETS}
+    assert words == {c: n / 6.0 for c, n in want.items()}
+    shapes = values[columns >= quality.BUCKETS]
+    chars = 19
+    assert np.allclose(shapes, [1.0, 2 / chars, 0.0, 2 / chars, min(1, 4 / chars), min(1, 10 / chars), chars / 6 / 20, 4 / 6, 2 / 6, 0.0, 0.0, np.log1p(6) / 20])
+    assert np.array_equal(quality.features(None)[1], quality.features(b"")[1])
+
+
+def test_a_step_follows_the_slope_of_the_log_loss():
+    """One Adam step moves every parameter by the rate against the sign of a numeric derivative."""
+    rng = np.random.default_rng(3)
+    rows = [(np.array(sorted(rng.choice(40, 5, replace=False))), rng.random(5)) for _ in range(12)]
+    y = rng.integers(0, 2, 12).astype(float)
+
+    def loss(m):
+        p = np.array([1 / (1 + np.exp(-m.raw(c, x))) for c, x in rows])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 5e-6 * ((m.w**2).sum() + (m.v**2).sum())
+
+    m, start = quality.FactorisationMachine(), quality.FactorisationMachine()
+    m.fit(rows, y, epochs=1, rate=0.01)
+    for name, at in [("w", (7,)), ("w", (20,)), ("v", (7, 0)), ("v", (20, 3)), ("v", (31, 2))]:
+        ends = []
+        for step in (1e-6, -1e-6):
+            near = quality.FactorisationMachine()
+            getattr(near, name)[at] += step
+            ends.append(loss(near))
+        slope = (ends[0] - ends[1]) / 2e-6
+        moved = getattr(m, name)[at] - getattr(start, name)[at]
+        assert abs(moved + 0.01 * np.sign(slope) * abs(slope) / (abs(slope) + 1e-8)) < 1e-4
+
+
+def test_scores_by_brute_force(spark):
+    """A fitted model's scores against all pairs of columns, one by one."""
+    rows = [(i, f"text {i} " + ("good words here." if i % 3 else "BAD!! WORDS!!")) for i in range(60)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    m = quality.fit(df, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.judge(df, labels).collect()}
+    for i, t in rows[::7] + rows[-1:]:
+        c, x = quality.features((t or "").encode())
+        z = m.w[c] @ x + sum(m.v[c[a]] @ m.v[c[b]] * x[a] * x[b] for a in range(len(c)) for b in range(a))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_shards(spark):
     rng = random.Random(9)
     texts = [prose(rng, rng.randint(1, 60)) for _ in range(3000)] + ["one hot text " * 8] * 1500 + ["a small group"] * 40
@@ -341,11 +406,39 @@ def test_shards(spark):
     assert len(groups["a small group"]) == 1 and len(groups["one hot text " * 8]) > 3
 
 
+def test_shards_by_brute_force(spark):
+    """Shards and slots follow one sorted list of all rows, and each shard begins where that list comes nearest to its share,
+    as near as a range or the slack for equal texts allows."""
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(0, 90)) for _ in range(2500)] + [prose(rng, 30)] * 300 + [None, "", "w " * 3000]
+    rows = [(rng.choice([None, *range(5000)]), t) for t in texts]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted((signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), -(1 << 63) if i is None else i, len((t or "").encode()) + 1, i) for i, t in rows)
+    placed = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [(r["doc_id"], r["size"]) for r in placed] == [(i, size) for _, _, size, i in order]
+    total, reach, at = sum(o[2] for o in order), max(o[2] for o in order), 0
+    for k in range(1, 8):
+        at = sum(r["size"] for r in placed if r["shard"] < k)
+        assert abs(at - k * total / 8) <= total / 8 * (2 / 64 + 0.02) + reach
+
+
+def test_rows_that_repeat_id_and_text_are_divided(spark):
+    df = spark.createDataFrame([(7, "the very same row " * 5)] * 4000 + [(None, "x")] * 4000, "doc_id long, text string")
+    sizes = Counter()
+    for r in sharding.shard(df, 8).collect():
+        sizes[r["shard"]] += r["size"]
+    assert set(sizes) == set(range(8)) and max(sizes.values()) < 1.1 * sum(sizes.values()) / 8
+
+
 def test_written_shards_hold_the_planned_rows(spark, docs):
     path = new_path(spark, "shards-test")
-    sharding.write_shards(docs, path, 4)
-    key = lambda df: sorted((r["doc_id"], r["shard"]) for r in df.collect())
-    assert key(spark.read.parquet(path)) == key(sharding.shard(docs, 4))
+    sharding.write_shards(docs.withColumn("_q_h", F.lit("clash")), path, 4)
+    back = spark.read.parquet(path)
+    assert back.columns == [*docs.columns, "_q_h", "slot", "shard"]
+    key = lambda df: sorted((r["doc_id"], r["shard"], r["slot"]) for r in df.collect())
+    assert key(back) == key(sharding.shard(docs, 4))
+    assert sorted((r["doc_id"], r["text"]) for r in back.collect() if r["text"]) == sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["text"])
 
 
 def fill(sizes):

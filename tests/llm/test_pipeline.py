@@ -72,14 +72,44 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, path).collect()
     assert Counter(r["doc_id"] for r in got) == +want
-    total = sum(r["size"] for r in got)
+    text = {i: t for i, t, _ in rows}
+    assert all(r["text"] == text[r["doc_id"]] for r in got)
+    total = sum(len(r["text"]) + 1 for r in got)
     sizes = Counter()
     for r in got:
-        sizes[r["shard"]] += r["size"]
+        sizes[r["shard"]] += len(r["text"]) + 1
     assert all(abs(s - total / 16) < 900 for s in sizes.values())
     assert len({(r["shard"], r["slot"]) for r in got}) == len(got)
 
 
+def test_pipeline_of_awkward_rows(spark):
+    """Nulls in every column, blank and very long texts, repeated ids and rows, clashing names; and empty tables."""
+    rng = random.Random(13)
+    texts = [prose(rng, 60) + "." for _ in range(30)] + [None, "", " \n", "word " * 60_000 + "."]
+    rows = [(i, t, f"s{i % 3}", "en") for i, t in enumerate(texts)]
+    rows += [(None, texts[3], None, None), (5, texts[6], "s1", "en"), (7, texts[7], "s1", "en"), (40, prose(rng, 60), None, None), (40, prose(rng, 61), None, None)]
+    schema = "doc_id long, text string, source string, lang string, _q_row string, doc string"
+    path = new_path(spark, "sf")
+    spark.createDataFrame([(*r, "clash", None) for r in rows], schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(texts[2].split()[:25])), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    one = corpus_pipeline.one_of_each_group(spark, docs, path).collect()
+    key = lambda found: sorted(((r["doc_id"], (r["text"] or "").strip()) for r in found), key=str)
+    want = [(i, t) for i, t in enumerate(texts) if i not in (31, 32)] + [r[:2] for r in rows[-2:]]
+    assert key(one) == sorted(((i, (t or "").strip()) for i, t in want), key=str)
+    clean = corpus_pipeline.without_benchmark(spark, docs, path).collect()
+    assert key(clean) == sorted(((r[0], (r[1] or "").strip()) for r in rows if r[0] != 2), key=str)
+    got = corpus_pipeline.run(spark, path)
+    assert got.columns == [*docs.columns, "shard", "slot"]
+    found = got.collect()
+    assert {r["doc_id"] for r in found} <= {i for i, _ in want} and 2 not in {r["doc_id"] for r in found}
+    assert len({(r["shard"], r["slot"]) for r in found}) == len(found) > 20 and {r["_q_row"] for r in found} == {"clash"}
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{path}/{t}.parquet").limit(0).write.parquet(f"{path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{path}/none").count() == 0
+
+
 def test_stages_return_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
