@@ -30,7 +30,7 @@ def _folds(df: DataFrame) -> list[int]:
 def fold_safe_knn(df: DataFrame, k: int, teaches: Column | None = None) -> DataFrame:
     """``(id, ref, d2, rank)``: each row's k nearest rows of other folds; with ``teaches``, of those it holds for."""
     pool = df if teaches is None else df.where(teaches)
-    return reduce(DataFrame.unionByName, (neighbours.knn(df.where(F.col("fold") == f), pool.where(F.col("fold") != f), k) for f in _folds(df)))
+    return neighbours.knn(df, pool, k, apart="fold")
 
 
 def kernel_scores(df: DataFrame, near: DataFrame, segment: str) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Exact nearest neighbours by squared distance, in blocks."""
+"""Exact nearest neighbours by squared distance, in cells of references that a distance bound excludes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,37 +11,41 @@ from pyspark.sql import functions as F
 
 from quern.functions.keys import one_hot
 from quern.functions.scalars import uniform
+from quern.sources.scratch import stored
 
-#: Rows of a block: queries and references of one task are two blocks.
+#: Rows of a block: queries and references of one task are two blocks. Cells, and so vectors on the driver, at most.
 BLOCK = 4096
+CELLS = 256
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: str | None = None) -> DataFrame:
-    """``(id, ref, d2, rank)``: the k nearest other rows of ``refs`` for each row of ``queries``, ties by ref id.
+def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``df(id, v, _s, _a)`` with ``_d``, the distance to each pivot."""
 
-    Both sides have ``id`` and an array of doubles; with ``same``, only rows of an equal value of that column count.
-    Each task holds one block of queries and one of references and returns k rows for each query, so memory is bounded
-    by BLOCK, and only the best k of each block meet.
-    """
-    col = F.lit("") if same is None else F.col(same).cast("string")
-    part = lambda df, name: df.select(F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), col.alias("_s"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-df.count() // BLOCK)))).alias(name))
-    q, r = part(queries, "_q"), part(refs, "_r")
-    nq, nr = (max(1, -(-x.count() // BLOCK)) for x in (queries, refs))
-    q = q.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
-    r = r.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column("v").to_pylist(), float)
+                d = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(d), pa.list_(pa.float64()))], [*b.schema.names, "_d"])
+
+    return df.mapInArrow(run, "id long, v array<double>, _s string, _a string, _d array<double>")
+
+
+def _best(k: int):
+    """The k nearest references of a block for each query of another, as Arrow tables."""
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
             qid, rid = left["id"].to_numpy(), right["id"].to_numpy()
-            qs, rs = (np.array(t["_s"].to_pylist(), object) for t in (left, right))
+            qa, ra = (np.array(t["_a"].to_pylist(), object) for t in (left, right))
             order = np.argsort(rid, kind="stable")
-            rid, rs = rid[order], rs[order]
+            rid, ra = rid[order], ra[order]
             x, y = (np.array(t["v"].to_pylist(), float) for t in (left, right))
             y = y[order]
             for at in range(0, len(x), 256):
                 d = ((x[at : at + 256, None, :] - y[None]) ** 2).sum(axis=2) if len(y) <= 512 else np.stack([((y - one) ** 2).sum(axis=1) for one in x[at : at + 256]])
-                d[(qid[at : at + 256, None] == rid[None]) | (qs[at : at + 256, None] != rs[None])] = np.inf
+                d[(qid[at : at + 256, None] == rid[None]) | ((qa[at : at + 256, None] == ra[None]) & (ra[None] != ""))] = np.inf
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]
                 d = np.take_along_axis(d, best, axis=1)
                 rows, cols = np.nonzero(np.isfinite(d))
@@ -50,9 +54,52 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: st
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table({n: pa.array(np.concatenate(o) if o else [], t) for n, o, t in zip(("id", "ref", "d2"), out, kinds, strict=True)})
 
-    found = q.groupBy("_q", "_r").cogroup(r.groupBy("_q", "_r")).applyInArrow(near, "id long, ref long, d2 double")
+    return near
+
+
+def _met(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """``(id, ref, d2)``: the k best of each block of the cells that a query names in ``_cells``."""
+    q = queries.select("id", "v", "_s", "_a", F.explode("_cells").alias("c")).select("id", "v", "_s", "_a", F.col("c.cell").alias("_c"), F.explode(F.sequence(F.lit(0), F.col("c.subs") - 1)).alias("_b"))
+    n = stored(q.groupBy("_s", "_c").agg(F.ceil(F.count_distinct("id") / BLOCK).cast("int").alias("_n")), "counts")
+    q = q.join(n, ["_s", "_c"]).withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_n")))
+    r = refs.join(n, ["_s", "_c"]).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"))))
+    by, kept = ["_s", "_c", "_b", "_q"], ["id", "v", "_a"]
+    return q.select(*by, *kept).groupBy(*by).cogroup(r.select(*by, *kept).groupBy(*by)).applyInArrow(_best(k), "id long, ref long, d2 double")
+
+
+def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: str | None = None, apart: str | None = None) -> DataFrame:
+    """``(id, ref, d2, rank)``: the k nearest other rows of ``refs`` for each row of ``queries``, ties by ref id.
+
+    Both sides have ``id`` and an array of doubles; with ``same``, only rows of an equal value of that column count, and
+    with ``apart``, only rows of another. References stand in cells around pivots, CELLS at most. A query meets its nearest cell
+    first; the distance of its k-th neighbour there then excludes every cell that lies farther off than that, by the
+    triangle inequality. A task holds a block of queries and one of references, so memory is bounded by BLOCK, and what
+    moves is the pairs of blocks that the bound cannot exclude.
+    """
+    text = lambda c, none: F.lit(none) if c is None else F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    pick = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), text(same, "").alias("_s"), text(apart, "").alias("_a"))
+    cells = min(CELLS, refs.count() // BLOCK + 1)
+    pivots = np.array([r["v"] for r in pick(refs).orderBy(F.xxhash64("id")).limit(cells).select("v").collect()] or [[0.0]], float)
+    near = F.array_min("_d")
+    r = _placed(pick(refs), pivots).select("id", "v", "_s", "_a", (F.array_position("_d", near) - 1).cast("int").alias("_c"), near.alias("_far"))
+    r = stored(r, "refs")
+    sizes = r.groupBy("_s", "_c").agg(F.max("_far").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("subs"))
+    r = r.join(sizes.select("_s", "_c", "subs"), ["_s", "_c"]).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
+    listed = sizes.groupBy("_s").agg(F.collect_list(F.struct(F.col("_c").alias("cell"), "radius", "subs")).alias("_all"))
+    q = _placed(pick(queries), pivots).join(listed, "_s")
+    home = F.array_min(F.transform("_all", lambda c: F.struct(F.get("_d", c["cell"]).alias("d"), c["cell"].alias("cell"), c["radius"].alias("radius"), c["subs"].alias("subs"))))
+    q = stored(q.withColumn("_home", home), "queries")
     order = Window.partitionBy("id").orderBy("d2", "ref")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = _met(q.withColumn("_cells", F.array(F.struct("_home.cell", "_home.radius", "_home.subs"))), r, k)
+    if cells == 1:
+        return best(first)
+    first = stored(best(first).drop("rank"), "first")
+    reach = first.groupBy(F.col("id").alias("_of")).agg(F.when(F.count("*") >= k, F.sqrt(F.max("d2"))).alias("_reach"))
+    # Distances are rounded: the bound gives way by more than their error.
+    within = lambda c: F.col("_reach").isNull() | ((F.get("_d", c["cell"]) - c["radius"]) * (1 - 1e-9) <= F.col("_reach") * (1 + 1e-9))
+    more = q.join(reach, q["id"] == reach["_of"], "left").withColumn("_cells", F.filter("_all", lambda c: (c["cell"] != F.col("_home.cell")) & within(c)))
+    return best(first.union(_met(more.where(F.size("_cells") > 0), r, k)))
 
 
 def encode(near: DataFrame, labels: DataFrame, ks: Sequence[int]) -> DataFrame:

@@ -272,7 +272,7 @@ def m21_inverse_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = sorted(r[0] for r in table(spark, sf_dir, "part").select("p_size").distinct().collect())  # 50 sizes in all
     seen = lambda x: 0.27 / 0.34 * (1 - 0.03 / 0.66) * x + (1 - 0.27 / 0.34) * 0.03 / 0.66 * (1 - x) + (0.27 / 0.34 * 0.03 / 0.66 + (1 - 0.27 / 0.34) * (1 - 0.03 / 0.66)) / 2
     rows = [(s, screens.clean_auc(seen(0.5 + s / 250.0), 0.1, 0.3)) for s in sizes]
-    return r6(spark.createDataFrame(rows, "p_size bigint, back double"))
+    return r6(spark.createDataFrame(rows, "p_size int, back double"))
 
 
 @query(f"with {FOLDED} select count(*) as n from folded where fold = 9")

@@ -82,6 +82,8 @@ class Ledger:
         self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").json(self.path)
 
     def rows(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).json(self.path)
 
     def latest(self) -> DataFrame:

@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import metrics, neighbours, pairs, profiles, sampling
-from quern.operators.ordered import before, midrank
+from quern.operators.ordered import before, midrank, numbered, quantiles
 
-Y = [1, 0, 1, 0, 1, 0, 1, 0]
-A = [0.4, 0.4, 0.1, 0.2, 0.9, 0.7, 0.7, 0.2]
-B = [0.3, 0.4, 0.6, 0.8, 0.9, 0.2, 0.5, 0.2]
+Y = [0, 1, 1, 0, 1, 0, 0, 1]
+A = [0.25, 0.95, 0.25, 0.5, 0.5, 0.5, 0.05, 0.75]
+B = [0.5, 0.75, 0.5, 0.25, 0.95, 0.05, 0.15, 0.25]
 
 
 def frame(spark, y, a, b):
@@ -74,9 +74,9 @@ def test_total_variation(spark):
     assert metrics.total_variation(a, a, "v").first()["tv"] == 0.0
 
 
-@pytest.mark.parametrize("case", ["golden", "noisy"])
+@pytest.mark.parametrize("case", ["tied", "noisy"])
 def test_rescue_and_damage(spark, noisy, case):
-    y, a, b = ([1, 0, 1, 0, 0, 1, 1, 0], [0.3, 0.3, 0.7, 0.9, 0.1, 0.7, 0.6, 0.7], [0.6, 0.4, 0.6, 0.6, 0.7, 0.8, 0.1, 0.8]) if case == "golden" else noisy
+    y, a, b = (Y, A, B) if case == "tied" else noisy
     change = [credit(b[i], b[j]) - credit(a[i], a[j]) for i in range(len(y)) for j in range(len(y)) if y[i] > y[j]]
     row = pairs.rescue_damage(frame(spark, y, a, b), "a", "b").first()
     assert row["rescue"] == sum(c for c in change if c > 0) and row["damage"] == -sum(c for c in change if c < 0)
@@ -96,7 +96,23 @@ def test_running_sums_do_not_depend_on_ranges(spark, noisy):
 
 def test_midrank(spark):
     got = {r["id"]: r["k"] for r in midrank(frame(spark, Y, A, B), "a", "k").collect()}
-    assert [got[i] for i in range(8)] == [4.5, 4.5, 1.0, 2.5, 8.0, 6.5, 6.5, 2.5]
+    assert [got[i] for i in range(8)] == [2.5, 8.0, 2.5, 5.0, 5.0, 5.0, 1.0, 7.0]
+
+
+def test_nulls_lose_no_row(spark):
+    rows = [(1, "a", 1.0), (2, None, 2.0), (3, "a", None), (4, None, None), (5, None, 2.0)]
+    df = spark.createDataFrame(rows, "id long, k string, v double")
+    got = {r["id"]: (r["r"], r["r_of"]) for r in midrank(df, "v", "r", ["k"]).collect()}
+    assert got == {1: (1.0, 1), 2: (1.5, 2), 3: (None, None), 4: (None, None), 5: (1.5, 2)}
+    stats = {r["id"]: (r["g_n"], r["g_median"]) for r in profiles.group_stats(df, "k", "v").collect()}
+    assert stats == {1: (2, 1.0), 2: (3, 2.0), 3: (2, 1.0), 4: (3, 2.0), 5: (3, 2.0)}
+    assert quantiles(df, "v", {"q": 0.75}).first()["q"] == 2.0 and quantiles(df.limit(0), "v", {"q": 0.5}).first()["q"] is None
+
+
+def test_numbers_run_over_ranges(spark):
+    values = spark.range(1000).select((F.col("id") * 7919 % 1000).cast("string").alias("v"))
+    got = {r["v"]: r["n"] for r in numbered(values, "v", "n").collect()}
+    assert got == {v: k for k, v in enumerate(sorted(map(str, range(1000))))}
 
 
 def test_nearest_with_repeated_points(spark, monkeypatch):
@@ -112,6 +128,22 @@ def test_nearest_with_repeated_points(spark, monkeypatch):
         assert got[i] == sorted((j for j in range(50) if j != i), key=lambda j: (d[i, j], j))[:5]
 
 
+def test_cells_exclude_no_neighbour(spark, monkeypatch):
+    """Clustered points in many cells, with labels that must agree and folds that must differ."""
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6, 3))[rng.integers(0, 6, 160)] * 5 + rng.normal(size=(160, 3))
+    df = spark.createDataFrame([(i, v.tolist(), i % 2, i % 5) for i, v in enumerate(x)], "id long, v array<double>, y int, fold int")
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for same, apart in ((None, None), ("y", "fold")):
+        got = {}
+        for r in neighbours.knn(df, df, 4, same=same, apart=apart).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append(r["ref"])
+        for i in range(160):
+            fits = [j for j in range(160) if j != i and (not same or (i - j) % 2 == 0) and (not apart or (i - j) % 5)]
+            assert got[i] == sorted(fits, key=lambda j: (d[i, j], j))[:4]
+
+
 def test_group_figures_stand_at_their_rows(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 5.0), (3, "a", 3.0)], "id long, k string, v double")
     got = {r["id"]: (r["g_n"], r["g_mean"], r["g_median"], r["g_range"]) for r in profiles.group_stats(df, "k", "v").collect()}

@@ -6,7 +6,7 @@ import pytest
 
 from quern.functions import keys, scalars
 from quern.sources import tables
-from quern.sources.store import Ledger, ScoreStore, fingerprint
+from quern.sources.store import FoldRegistry, Ledger, ScoreStore, fingerprint
 from pyspark.sql import functions as F
 
 
@@ -30,10 +30,50 @@ def test_store_is_immutable(spark, tmp_path, scores):
         store.load("a")
 
 
-def test_files_without_an_entry_are_refused(spark, tmp_path, scores):
-    scores.write.parquet(f"{tmp_path}/s/scores/exp_id=x")
-    with pytest.raises(ValueError, match="no index"):
-        ScoreStore(spark, f"file://{tmp_path}/s").save("x", scores)
+def test_an_interrupted_save_can_be_done_again(spark, tmp_path, scores):
+    """Files without an index entry, whole or not, do not block their id."""
+    scores.where("id = 1").write.parquet(f"{tmp_path}/s/scores/exp_id=x")
+    store = ScoreStore(spark, f"file://{tmp_path}/s")
+    with pytest.raises(KeyError):
+        store.load("x")
+    store.save("x", scores)
+    assert store.load("x").count() == 2
+
+
+def test_folds_cannot_be_changed(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 3) for i in range(9)], "id long, fold int")
+    registry = FoldRegistry(spark, f"file://{tmp_path}/f")
+    assert registry.register("p", df) == registry.register("p", df.repartition(3))
+    with pytest.raises(ValueError, match="other content"):
+        registry.register("p", df.withColumn("fold", 2 - F.col("fold")))
+    assert sorted(map(tuple, registry.load("p").collect())) == [(i, i % 3) for i in range(9)]
+
+
+def test_a_crowned_champion_stays(spark, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/ledger")
+    assert ledger.champion() is None and ledger.may_run("f")
+    ledger.log("a", "done", "f", 0.7)
+    ledger.log("b", "done", "g", 0.6)
+    ledger.crown("b")
+    assert ledger.champion() == "b"
+    with pytest.raises(ValueError, match="not finished"):
+        ledger.crown("c")
+
+
+def test_features_are_made_again_if_unreadable(spark, tmp_path, scores):
+    path, calls = f"{tmp_path}/features", []
+    make = lambda: calls.append(1) or scores
+    for _ in range(2):
+        assert tables.cached_features(spark, path, make).count() == 2
+    assert len(calls) == 1
+    tables.save_json(spark, path + "/names", ["id"])
+    assert tables.cached_features(spark, path, make).columns == ["id", "score"] and len(calls) == 2
+
+
+def test_names_are_resolved_once(spark):
+    assert keys.resolved(["Cust Id", "AMOUNT "], {"id": ["cust-id"], "amount": []}) == {"id": "Cust Id", "amount": "AMOUNT "}
+    with pytest.raises(ValueError, match="one column is needed"):
+        keys.resolved(["a", "A"], {"a": []})
 
 
 def test_ledger(spark, tmp_path):
