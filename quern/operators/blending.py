@@ -64,7 +64,8 @@ def admission(deltas: DataFrame, gain: float, errors: float, folds: int) -> Data
 
 def greedy(scores: DataFrame, labels: DataFrame, steps: int, how: str = "logit") -> list[str]:
     """Models in the order that a hill climb with replacement adds them, while the AUC grows. A step scores all
-    candidates in one query; the driver holds names only."""
+    candidates in one query; the driver holds names only. Means are rounded to twelve digits: a tie must not hang on the
+    order in which they are summed."""
     long = stored(transformed(scores, how).select("id", "model", "score"), "scores")
     chosen: list[str] = []
     best = 0.0
@@ -75,7 +76,7 @@ def greedy(scores: DataFrame, labels: DataFrame, steps: int, how: str = "logit")
         for m, n in counts.items():
             w = F.when(F.col("model") == m, n).otherwise(w)
         so_far = own.groupBy("id").agg(F.sum(w * F.col("score")).alias("_sum"))
-        tried = long.join(so_far, "id", "left").withColumn("score", (F.col("score") + F.coalesce("_sum", F.lit(0.0))) / (len(chosen) + 1))
+        tried = long.join(so_far, "id", "left").withColumn("score", F.round((F.col("score") + F.coalesce("_sum", F.lit(0.0))) / (len(chosen) + 1), 12))
         top = auc(tried.join(labels, "id"), "score", ["model"]).orderBy(F.desc("auc"), "model").first()
         if top is None or top["auc"] <= best:
             break

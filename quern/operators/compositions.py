@@ -102,7 +102,8 @@ def slope_per_doubling(curve: DataFrame, n: str, value: str) -> DataFrame:
 
 def maximin(scores: DataFrame, labels: DataFrame, steps: int, least: float = 1e-9) -> list[str]:
     """Models whose mean has the best worst-fold AUC, added one by one while it grows. A step scores all candidates
-    in one query; the driver holds names."""
+    in one query; the driver holds names. Means are rounded to twelve digits."""
+    scores = scores.withColumn("score", F.round("score", 12))
     chosen: list[str] = []
     best = -1.0
     every = scores.select("model").distinct()
@@ -110,7 +111,7 @@ def maximin(scores: DataFrame, labels: DataFrame, steps: int, least: float = 1e-
         own = scores.where(F.col("model").isin(*chosen)).groupBy("id").agg(F.sum("score").alias("_sum")) if chosen else None
         tried = scores.join(every.where(~F.col("model").isin(*chosen)), "model", "left_semi") if chosen else scores
         if own is not None:
-            tried = tried.join(own, "id").withColumn("score", (F.col("score") + F.col("_sum")) / (len(chosen) + 1))
+            tried = tried.join(own, "id").withColumn("score", F.round((F.col("score") + F.col("_sum")) / (len(chosen) + 1), 12))
         each = auc(tried.join(labels.select("id", "y", "fold"), "id"), "score", ["model", "fold"])
         top = each.groupBy("model").agg(F.min("auc").alias("worst")).orderBy(F.desc("worst"), "model").first()
         if top is None or top["worst"] is None or top["worst"] <= best + least:

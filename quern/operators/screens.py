@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions.scalars import clip, logit
 from quern.operators.metrics import auc, placements
 from quern.operators.ordered import before, midrank, quantiles
+from quern.sources.scratch import stored
 
 
 def feature_screen(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -42,11 +43,11 @@ def clean_auc(noisy: float, flips: float, rate: float) -> float:
 def cross_bucket_errors(df: DataFrame, score: str, bucket: str) -> DataFrame:
     """``(one, zero, pairs, errors)`` for each pair of buckets (ones of the first, zeros of the second): pairs, and those
     in which the zero is ranked above, ties half. Only counts by bucket and score value meet."""
-    names = [r[0] for r in df.select(bucket).distinct().collect()]
-    grid = df.withColumn("zero", F.explode(F.array(*map(F.lit, names))))
-    marked = grid.select(score, "zero", F.col(bucket).alias("_b"), "y", ((F.col(bucket) == F.col("zero")) & (F.col("y") == 0)).cast("int").alias("_z"))
-    run = before(marked, score, {"_z": F.col("_z")}, ["zero"])
-    ones = marked.where("y = 1").groupBy(F.col("_b").alias("one"), "zero", score).agg(F.count("*").alias("_n"))
+    cells = stored(df.where("y is not null").groupBy(score, F.col(bucket).alias("_b"), "y").agg(F.count("*").alias("_n")), "cells")
+    names = [r[0] for r in cells.select("_b").distinct().collect()]
+    grid = cells.withColumn("zero", F.explode(F.array(*map(F.lit, names))))
+    run = before(grid, score, {"_z": F.when((F.col("_b") == F.col("zero")) & (F.col("y") == 0), F.col("_n")).otherwise(0)}, ["zero"])
+    ones = grid.where("y = 1").select(F.col("_b").alias("one"), "zero", score, "_n")
     met = ones.join(run, ["zero", score])
     above = F.col("_z_all") - F.col("_z_before") - F.col("_z") / 2
     return met.groupBy("one", "zero").agg(F.sum(F.col("_n") * F.col("_z_all")).alias("pairs"), F.sum(F.col("_n") * above).alias("errors"))
@@ -128,10 +129,10 @@ def log_loss(df: DataFrame, score: str) -> DataFrame:
 
 def marginal_gain(scores: DataFrame, labels: DataFrame) -> DataFrame:
     """``(model, auc_without, gain)``: what the mean of all models loses without each. The sum of all less a model's own
-    score serves every model at once."""
+    score serves every model at once. Means are rounded to twelve digits, so that ties do not hang on the order of sums."""
     every = scores.groupBy("id").agg(F.sum("score").alias("_s"), F.count("*").alias("_n"))
-    without = scores.join(every, "id").withColumn("score", (F.col("_s") - F.col("score")) / (F.col("_n") - 1))
-    whole = auc(every.select("id", (F.col("_s") / F.col("_n")).alias("score")).join(labels, "id"), "score").first()["auc"]
+    without = scores.join(every, "id").withColumn("score", F.round((F.col("_s") - F.col("score")) / (F.col("_n") - 1), 12))
+    whole = auc(every.select("id", F.round(F.col("_s") / F.col("_n"), 12).alias("score")).join(labels, "id"), "score").first()["auc"]
     each = auc(without.join(labels, "id"), "score", ["model"])
     return each.select("model", F.col("auc").alias("auc_without"), (F.lit(whole) - F.col("auc")).alias("gain"))
 

@@ -81,6 +81,13 @@ def u_sql(text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::bigint / 4294967296.0::double)"
 
 
+def ranked_sql(name: str, source: str, by: str = "model") -> str:
+    """CTE ``name(*by, auc)`` of tie-exact AUCs of ``source(*by, y, s)``, with two more before it."""
+    return f"""{name}_n as (select {by}, s, sum(y)::double as p, sum(1 - y)::double as q from {source} group by all),
+    {name}_o as (select *, coalesce(sum(q) over (partition by {by} order by s rows between unbounded preceding and 1 preceding), 0) as q_before from {name}_n),
+    {name} as (select {by}, sum(p * (q_before + q / 2)) / (sum(p) * sum(q)) as auc from {name}_o group by {by})"""
+
+
 def auc_sql(source: str, score: str, by: str = "", weight: str = "1") -> str:
     """CTEs ``counts`` and ``auc`` of a tie-exact AUC."""
     part, keys = (f"partition by {by}", f"{by}, ") if by else ("", "")

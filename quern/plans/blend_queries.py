@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import blending, encodings, models, neighbours
 from quern.operators.metrics import auc
-from quern.plans.base import BASE, FOLDED, auc_sql, base, folded, query, r6, u_sql
+from quern.plans.base import BASE, FOLDED, auc_sql, base, folded, query, r6, ranked_sql, u_sql
 from quern.sources.tables import table
 
 
@@ -73,7 +73,16 @@ def x20_top_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(blending.top_overlap(long_scores(base(spark, sf_dir)), "a", "b", 0.1))
 
 
-@query()
+def _step(k: int, before: str) -> str:
+    """One step of the hill climb: every model beside those of the steps before."""
+    return f"""c{k} as (select l.model, y, round ((z{before}) / {k}, 12) as s from l {' '.join(f"join (select id, z as z{i} from l join best{i} using (model)) p{i} using (id)" for i in range(1, k))}),
+    {ranked_sql(f"auc{k}", f"c{k}")}, best{k} as (select model, auc as auc_{k} from auc{k} order by auc desc, model limit 1)"""
+
+
+@query(
+    f"""with {BASE}, {LONG}, l as (select id, model, y, {_LOGIT.format("score")} as z from long join base using (id)), {_step(1, "")}, {_step(2, " + z1")}, {_step(3, " + z1 + z2")}
+    select 0 as step, model from best1 union all select 1, best2.model from best1, best2 where auc_2 > auc_1 union all select 2, best3.model from best1, best2, best3 where auc_2 > auc_1 and auc_3 > auc_2"""
+)
 def b4_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models in the order in which they join the blend."""
     df = base(spark, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import compositions, models, neighbours
 from quern.operators.blending import blend
 from quern.operators.metrics import auc
-from quern.plans.base import BASE, FOLDED, auc_sql, folded, query, r6
+from quern.plans.base import BASE, FOLDED, auc_sql, folded, query, r6, ranked_sql
 from quern.plans.blend_queries import LONG, _vectors, long_scores
 
 _NEAR = """v as (select vec_id as id, embedding::double[] as v, label, label % 2 as y from embeddings), d as (
@@ -93,7 +93,19 @@ def x18_slope_per_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(compositions.slope_per_doubling(curve, "n", "auc"))
 
 
-@query()
+def _worst(k: int, before: str) -> str:
+    """One step of the maximin choice: every model that is not chosen beside those that are."""
+    joins = " ".join(f"join (select id, z as z{i}, l.model as m{i} from l join best{i} using (model)) p{i} using (id)" for i in range(1, k))
+    where = " where " + " and ".join(f"l.model <> m{i}" for i in range(1, k)) if k > 1 else ""
+    return f"""c{k} as (select l.model, fold, y, round ((z{before}) / {k}, 12) as s from l {joins}{where}),
+    {ranked_sql(f"auc{k}", f"c{k}", "model, fold")}, best{k} as (select model, min(auc) as worst_{k} from auc{k} group by model order by min(auc) desc, model limit 1)"""
+
+
+@query(
+    f"""with {FOLDED}, {LONG}, l as (select id, model, fold, y, round (score, 12) as z from long join folded using (id)), {_worst(1, "")}, {_worst(2, " + z1")}, {_worst(3, " + z1 + z2")}
+    select 0 as step, model from best1 union all select 1, best2.model from best1, best2 where worst_2 > worst_1 + 1e-9 union all
+    select 2, best3.model from best1, best2, best3 where worst_2 > worst_1 + 1e-9 and worst_3 > worst_2 + 1e-9"""
+)
 def x5_maximin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models in the order in which they join."""
     df = folded(spark, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import metrics, sampling, screens
-from quern.plans.base import BASE, FOLDED, auc_sql, base, folded, query, r6, u_sql
+from quern.plans.base import BASE, FOLDED, auc_sql, base, folded, query, r6, ranked_sql, u_sql
 from quern.plans.blend_queries import LONG, long_scores
 from quern.sources.tables import table
 
@@ -119,9 +119,12 @@ def b15_soft_target_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(screens.log_loss(df, "s"))
 
 
-@query()
+@query(
+    f"""with {BASE}, {LONG}, e as (select id, sum(score) as t, count(*) as n from long group by id), w as (select model, y, round ((t - score) / (n - 1), 12) as s from long join e using (id) join base using (id)),
+    whole as (select 'all' as model, y, round (t / n, 12) as s from e join base using (id)), {ranked_sql("without", "w")}, {ranked_sql("every", "whole")}
+    select without.model, round(without.auc, 6) as auc_without, round(every.auc - without.auc, 6) as gain from without, every"""
+)
 def x15_marginal_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tested against plain Python: sums of three doubles round differently in another order, and ties count half."""
     df = base(spark, sf_dir)
     return r6(screens.marginal_gain(long_scores(df), df.select("id", "y")))
 
