@@ -22,13 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored; results that still hang on them must be written before."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again. What is stored is computed once,
-    and a lost executor costs no more than the step that reads it. The folder can be deleted when the job has ended."""
+    and a lost executor costs no more than the step that reads it. ``clean`` deletes what an application has stored."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

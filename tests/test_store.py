@@ -5,7 +5,7 @@ import glob
 import pytest
 
 from quern.functions import keys, scalars
-from quern.sources import tables
+from quern.sources import scratch, tables
 from quern.sources.store import FoldRegistry, Ledger, ScoreStore, fingerprint
 from pyspark.sql import functions as F
 
@@ -70,6 +70,11 @@ def test_features_are_made_again_if_unreadable(spark, tmp_path, scores):
     assert tables.cached_features(spark, path, make).columns == ["id", "score"] and len(calls) == 2
 
 
+def test_what_an_application_stored_is_in_one_folder(spark, scores):
+    kept = scratch.stored(scores, "kept")
+    assert kept.count() == 2 and all(f"/quern/{spark.sparkContext.applicationId}/kept-" in f for f in kept.inputFiles())
+
+
 def test_names_are_resolved_once(spark):
     assert keys.resolved(["Cust Id", "AMOUNT "], {"id": ["cust-id"], "amount": []}) == {"id": "Cust Id", "amount": "AMOUNT "}
     with pytest.raises(ValueError, match="one column is needed"):
