@@ -146,8 +146,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, dice: int
     dice / (200 - dice) to (200 - dice) / dice times b bigrams can match a template. Others are dropped by their size,
     as are those whose bigrams in any template are too few for the smallest template of a fitting size; a unit of
     more distinct words than bigrams allow is dropped before its bigrams are formed. The best match has the highest Dice,
-    then the first line, then the first template. A null or empty text has no unit. Rows are judged one by one and never
-    leave their task.
+    then the first line, then the first template. A null, empty or blank text has no unit and matches nothing; a text of any
+    length is read whole, and its windows start only at bigrams of a template whose words it holds. Repeated rows are
+    judged one by one and never leave their task; an empty table gives an empty result. Columns other than doc_id and
+    text are ignored, whatever their names.
     """
     sets = [bigrams_of(t.text) for t in templates]
     low, high = min(map(len, sets)) * dice // (200 - dice), -(-max(map(len, sets)) * (200 - dice) // dice)

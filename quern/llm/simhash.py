@@ -222,7 +222,8 @@ def _components(rows: DataFrame) -> DataFrame:
     linked = known.where("root is not null")
     lowest = linked.groupBy("root").agg(F.min("first").alias("first"))
     linked = linked.drop("first").join(lowest, "root").select("fp", "first", F.col("root").alias("node"))
-    return linked.union(known.where("root is null").select("fp", "first", F.col("fp").alias("node")))
+    # Stored, so that rows meet it in a join of two plain shuffles, of which Spark may split a fingerprint of very many rows.
+    return stored(linked.union(known.where("root is null").select("fp", "first", F.col("fp").alias("node"))), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
