@@ -73,7 +73,7 @@ def test_awkward_rows_give_one_result_each(docs, pages, labels, benchmark):
     assert same(by("lines", "doc_id", "n_lines", "clean"), [
         (0, 0, None), (1, 0, ""), (2, 0, " \n\t"), (None, 1, ""), (4, 1, TEXTS[4]), (5, 4, TEXTS[5]), (5, 4, TEXTS[5]), (6, 5000, LONG), (7, 5000, ""), (8, 1, TEXTS[8]), (9, 1, TEXTS[9]),
     ])
-    assert same(by("rules", "doc_id", "n_words", "kept"), [(i, len((t or "").split()), False) for i, t, _ in DOCS]  # the long text repeats itself)
+    assert same(by("rules", "doc_id", "n_words", "kept"), [(i, len((t or "").split()), False) for i, t, _ in DOCS])  # the long text repeats itself
     assert same(by("warc", "page_id", "payload_bytes", "record_type", "refers_to"), [
         (1, 0, "response", None), (2, 0, "response", None), (3, len(LONG), "response", None), (4, len(LONG), "revisit", 3), (4, len(LONG), "revisit", 3), (None, len(LONG), "revisit", 3),
     ])
