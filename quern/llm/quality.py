@@ -66,11 +66,13 @@ class FactorisationMachine:
         return float(1 / (1 + np.exp(-np.clip(self.raw(*features(text)), -35, 35))))
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 150, rate: float = 0.03, l2: float = 1e-5) -> None:
-        """Full-batch Adam on the log loss. Rows come in a fixed order, so fits agree."""
+        """Full-batch Adam on the log loss, over the columns that rows have; others get no weight. Rows come in a fixed order,
+        so fits agree."""
         starts = np.cumsum([0, *(len(c) for c, _ in rows[:-1])])
         sizes = np.array([len(c) for c, _ in rows])
         columns, x = (np.concatenate(k) for k in zip(*rows, strict=True))
-        params = np.c_[self.w, self.v]
+        used, columns = np.unique(columns, return_inverse=True)
+        params = np.c_[self.w, self.v][used]
         m, s = np.zeros_like(params), np.zeros_like(params)
         for step in range(1, epochs + 1):
             vx = params[columns, 1:] * x[:, None]
@@ -82,7 +84,8 @@ class FactorisationMachine:
             grad = np.stack([np.bincount(columns, slopes[:, k], len(params)) for k in range(slopes.shape[1])], axis=1) + l2 * params
             m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
             params -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-        self.w, self.v = params[:, 0].copy(), params[:, 1:].copy()
+        self.w, self.v = np.zeros_like(self.w), np.zeros_like(self.v)
+        self.w[used], self.v[used] = params[:, 0], params[:, 1:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> FactorisationMachine | float:
