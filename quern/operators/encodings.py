@@ -69,13 +69,13 @@ def auto_smoothing(df: DataFrame, key: str, fold: str = "fold") -> DataFrame:
     """
     cell = df.where(F.col(key).isNotNull()).groupBy(fold, key).agg(F.sum("y").alias("t"), F.count("y").alias("n"))
     every = cell.groupBy(key).agg(F.sum("t").alias("_t"), F.sum("n").alias("_n"))
-    parts = lambda t, n: (n, t, F.coalesce(t - t * t / n, F.lit(0.0)), F.coalesce(t * t / n, F.lit(0.0)))
-    names = ("n", "t", "w", "b")
-    whole = every.agg(*(F.sum(v).alias(k) for k, v in zip(names, parts(F.col("_t"), F.nullif("_n", F.lit(0))), strict=True))).first()
-    own = cell.join(every, key)
-    left = parts(F.col("_t") - F.col("t"), F.nullif(F.col("_n") - F.col("n"), F.lit(0)))
-    change = [F.coalesce(F.sum(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))), F.lit(0)) for x, y in zip(left, parts(F.col("_t"), F.nullif("_n", F.lit(0))), strict=True)]
-    sums = own.groupBy(fold).agg(*((F.lit(whole[k] or 0) + c).cast("double").alias(f"_{k}") for k, c in zip(names, change, strict=True)))
+    # As decimals, so that what a fold takes off is taken off without a rest.
+    square = lambda t, n: F.when(n > 0, F.round(t * t / n, 12)).otherwise(0.0).cast("decimal(38,12)")
+    all_of = square(F.col("_t"), F.col("_n"))
+    whole = every.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_t"), F.lit(0)), F.coalesce(F.sum(all_of), F.lit(0))).first()
+    own = cell.join(every, key).groupBy(fold).agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum(square(F.col("_t") - F.col("t"), F.col("_n") - F.col("n")) - all_of).alias("b"))
+    sums = own.select(fold, (F.lit(whole[0]) - F.col("n")).alias("_n"), (F.lit(whole[1]) - F.col("t")).alias("_t"), (F.lit(whole[2]) + F.col("b")).cast("double").alias("_b"))
+    sums = sums.withColumn("_w", F.col("_t") - F.col("_b"))
     between = F.col("_b") / F.col("_n") - (F.col("_t") / F.col("_n")) * (F.col("_t") / F.col("_n"))
     return sums.select(fold, F.when(between > 1e-12, F.col("_w") / F.col("_n") / between).alias("smooth"))
 
