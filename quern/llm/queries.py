@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, licenses, line_dedup, mixing, quality, quality_rules, sharding, simhash, url_filter, warc
+from quern.llm import decontaminate, divergence, licenses, line_dedup, mixing, quality, quality_rules, sharding, simhash, url_filter, warc
 from quern.llm.common import n_words, stored, table
 
 
@@ -66,6 +66,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_divergence": op11_divergence,
 }
 
 _TEMPLATES = ", ".join(f"({k}, '{t.license}', '{t.kind}', '{t.text}')" for k, t in enumerate(licenses.TEMPLATES))
@@ -260,4 +265,36 @@ SQL: dict[str, str] = {
                          - floor(u + (case when source_size > 0 then target / source_size else 0 end) * (place - 1))) * size)::bigint as taken
         from placed join targets on placed.source is not distinct from targets.source
     """,
+    "op11_divergence": r"""
+        with docs as (
+            select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') as w
+            from documents
+        ), words as (
+            select r, lang, source, unnest(w) as term from docs
+        ), kept as (
+            select lang, term, count(*) as all_n from words group by lang, term having count(distinct r) >= 10
+        ), langs as (
+            select lang, count(*) as v, sum(all_n) as lang_n from kept group by lang
+        ), counts as (
+            select lang, source, term, count(*) as n from words join kept using (lang, term) group by all
+        ), sizes as (
+            select lang, source, sum(n) as group_n from counts group by all
+        ), groups as (
+            select lang, source, coalesce(group_n, 0) as group_n from (select distinct lang, source from docs) left join sizes using (lang, source)
+        ), shares as (
+            select lang, source, term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // (group_n + 2 * v) as p, 1 + (1000000000::hugeint * (all_n + 2)) // (lang_n + 2 * v) as q
+            from groups join langs using (lang) join kept using (lang) left join counts using (lang, source, term)
+        ), summed as (
+            select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value
+            from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+        ), rows as (
+            select x.lang, x.source, 'pair' as part, y.source as item, coalesce(value, 0) as value
+            from groups x join groups y on x.lang = y.lang and x.source <> y.source left join summed s on s.lang = x.lang and s.source = x.source and s.item = y.source
+            union all
+            select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from shares where n > 0 and p > q
+        )
+        select lang, source, part, item, value::bigint as value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+        from rows qualify part = 'pair' or rank <= 10
+    """,
 }
