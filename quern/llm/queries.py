@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, divergence, licenses, line_dedup, mixing, quality, quality_rules, sharding, simhash, url_filter, warc
+from quern.llm import conversations, decontaminate, divergence, licenses, line_dedup, mixing, quality, quality_rules, sharding, simhash, url_filter, warc
 from quern.llm.common import n_words, stored, table
 
 
@@ -70,6 +70,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.accounts(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
     "op11_divergence": op11_divergence,
+    "op13_conversations": op13_conversations,
 }
 
 _TEMPLATES = ", ".join(f"({k}, '{t.license}', '{t.kind}', '{t.text}')" for k, t in enumerate(licenses.TEMPLATES))
@@ -297,4 +302,60 @@ SQL: dict[str, str] = {
         select lang, source, part, item, value::bigint as value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
         from rows qualify part = 'pair' or rank <= 10
     """,
+    "op13_conversations": r"""
+        with recursive codes as (
+            select list(list_reduce(list_prepend(n, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by n) as code from range(256) t(n)
+        ), keyed as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint)),
+                       lambda c, b: xor(c // 256, code[xor(c, b) % 256 + 1])), 4294967295) % 20 as kind
+            from conversations, codes
+        ), damaged as (
+            select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+                   unnest(range(case kind when 3 then 2 else 1 end)) as again
+            from keyed where kind <> 0
+        ), seen as (
+            select *, row_number() over (partition by conv_id, role, text order by turn nulls first, again) as nth from damaged
+        ), rows as (
+            select conv_id, turn, role, text, substr(role, 1, 1) as i, row_number() over (partition by conv_id order by turn nulls first, role, text, nth) as k,
+                   case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when nth > 1 then 'duplicate' when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' end as fault
+            from seen
+        ), pairs as (
+            select *, lag(i) over (partition by conv_id order by k) as before from rows
+        ), counted as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+                   count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || i not in ('su', 'ua', 'au')) as illegal, count(*) as n
+            from pairs group by conv_id
+        ), all_ids as (
+            select distinct conv_id from conversations
+        ), inserts(state, place, letters, added) as (
+            values (0, 0, '', []), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+                   (2, 2, '', []), (2, 3, 'I', ['assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 3, '', []), (3, 2, 'I', ['user:']), (3, 3, 'II', ['user:', 'assistant:'])
+        ), moves(place, letter, goal, price, needs, name) as (
+            values (0, 'D', 0, 2, null, null), (1, 'D', 1, 2, null, null), (2, 'D', 2, 2, null, null), (3, 'D', 3, 2, null, null),
+                   (0, 'K', 1, 0, 's', null), (0, 'K', 2, 0, 'u', null), (1, 'K', 2, 0, 'u', null), (2, 'K', 3, 0, 'a', null), (3, 'K', 2, 0, 'u', null),
+                   (0, 'R', 2, 1, null, 'user'), (1, 'R', 2, 1, null, 'user'), (2, 'R', 3, 1, null, 'assistant'), (3, 'R', 2, 1, null, 'user')
+        ), steps as (
+            select state, goal, letters || letter as letters, letter, 5 * length(letters) + price as price, needs, name, added from inserts join moves using (place)
+        ), paths as (
+            select conv_id, 0::bigint as k, 0 as state, 0 as cost, '' as audit, []::varchar[] as lines from all_ids
+            union all
+            select * from (
+                select p.conv_id, r.k, s.goal as state, (p.cost + s.price + case when s.letter <> 'D' and r.fault = 'truncated' then 5 else 0 end)::int as cost, p.audit || s.letters as audit,
+                       list_concat(p.lines, s.added, case when s.letter = 'D' then [] else [coalesce(s.name, r.role) || ':' || r.text] end) as lines
+                from paths p join rows r on p.conv_id is not distinct from r.conv_id and r.k = p.k + 1 join steps s on s.state = p.state
+                where (s.letter = 'D' or r.fault is null or r.fault = 'truncated') and (s.needs is null or s.needs = r.i)
+                qualify row_number() over (partition by p.conv_id, s.goal order by p.cost + s.price + case when s.letter <> 'D' and r.fault = 'truncated' then 5 else 0 end, p.audit || s.letters) = 1
+            )
+        ), ended as (
+            select conv_id, k, cost + 5 * length(more) as cost, audit || more as audit, list_concat(lines, added) as lines
+            from paths join (values (0, '', []), (1, 'II', ['user:', 'assistant:']), (2, 'I', ['assistant:']), (3, '', [])) e(state, more, added) using (state)
+        ), cheapest as (
+            select e.* from ended e left join counted c on c.conv_id is not distinct from e.conv_id where k = coalesce(n, 0)
+            qualify row_number() over (partition by e.conv_id order by cost, audit) = 1
+        )
+        select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+               cost::bigint as cost, audit, sha256(array_to_string(lines, chr(10))) as repaired_sha256
+        from all_ids a left join counted c on c.conv_id is not distinct from a.conv_id join cheapest e on e.conv_id is not distinct from a.conv_id
+    """,
 }
