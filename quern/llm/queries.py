@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import conversations, decontaminate, divergence, licenses, line_dedup, mixing, quality, quality_rules, sharding, simhash, url_filter, warc
+from quern.llm import conversations, decontaminate, divergence, licenses, line_dedup, mixing, pieces, quality, quality_rules, sharding, simhash, url_filter, warc
 from quern.llm.common import n_words, stored, table
 
 
@@ -70,6 +70,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of a text's ids, and the digest of what they decode to."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents"))
+    counted = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return pieces.decode(counted).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.accounts(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
     "op11_divergence": op11_divergence,
+    "op12_pieces": op12_pieces,
     "op13_conversations": op13_conversations,
 }
 
