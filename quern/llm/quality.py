@@ -91,8 +91,9 @@ class FactorisationMachine:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> FactorisationMachine | float:
     """Fit on labelled rows that are not held out. Without rows of both labels: the share of label 1, or 1.0.
 
-    A doc_id labelled more than once counts once, by its mean. The sample and its vectors are bounded by
-    ``max_train``; its labels can be broadcast, so texts are not shuffled, and the driver gets sparse vectors only.
+    A doc_id labelled more than once counts once, by its mean; of rows that repeat a labelled doc_id, that with the least
+    text hash teaches. So the driver gets ``max_train`` sparse vectors at most, those whose hashed ids are least; their
+    labels can be broadcast, and only their texts are shuffled, one for each task and id.
     """
     known = (
         labels.where("doc_id is not null and quality is not null")
@@ -104,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Facto
     n, ones = counts[0], counts[1] or 0.0
     if ones in (0.0, float(n)):
         return ones / n if n else 1.0
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_train / n))
+    chosen = known.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), "doc_id").limit(max_train)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,7 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Facto
             lists = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.float64())))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *lists], ["doc_id", "label", "columns", "x"])
 
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sample = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
     rows = sample.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label double, columns array<long>, x array<double>").toArrow()
     rows = rows.combine_chunks().sort_by("doc_id")
     y = rows["label"].to_numpy()
@@ -143,7 +146,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
 
     A null text is scored as an empty one, which has the structure columns only; a text of any length is read whole. A
     null doc_id is never held out nor trained on. Repeated rows get equal scores; a repeated doc_id that is labelled
-    teaches with each of its texts. A doc_id of several labels counts by their mean, a tie as 1; without labels of both
+    teaches with one of its texts. A doc_id of several labels counts by their mean, a tie as 1; without labels of both
     kinds, or an empty table of them, every score is the share of label 1 (1 if there is none). An empty table of
     documents gives an empty result. Of the columns only the text is an input of the score; others may have any names.
     """

@@ -545,3 +545,16 @@ def test_large_groups_are_dealt_again_and_lose_no_link(spark, varied):
     want = [(k, int(j)) for k, f in enumerate(fps) for j in np.flatnonzero(np.bitwise_count(fps[:k] ^ f) <= 3)]
     assert roots(len(fps), links) == roots(len(fps), want)
     assert simhash.dealt(rows, 150).groupBy("free", "fixed").count().agg({"count": "max"}).first()[0] <= 150
+
+
+def test_a_labelled_id_that_repeats_gives_the_fit_one_row(spark, monkeypatch):
+    rows = [(1, prose(random.Random(i), 30), 1) for i in range(500)] + [(i, prose(random.Random(i), 30), i % 2) for i in range(2, 60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(sorted({(r[0], r[2]) for r in rows}), "doc_id long, quality int")
+    given = []
+    monkeypatch.setattr(quality.FactorisationMachine, "fit", lambda self, x, y: given.append((list(map(lambda v: tuple(v[0].tolist()), x)), y.tolist())))
+    for most in (3000, 3000, 20):
+        quality.fit(docs, labels, most)
+    taught = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1, 60))
+    assert [len(x) for x, _ in given] == [taught, taught, 20]
+    assert given[0] == given[1]
