@@ -65,8 +65,8 @@ class Tree:
 
 @dataclass
 class Boosted:
-    """``rows(id, fold, y, margin)`` by each row's own fold's model, the trees by round and model, and the watched loss after
-    each round."""
+    """``rows(id, fold, y, margin)`` by each row's own fold's model, the trees by round and model, the watched loss after each
+    round, and the ``table`` of all models' margins."""
 
     rows: DataFrame
     features: list[str]
@@ -75,6 +75,7 @@ class Boosted:
     starts: dict[int, float]
     trees: list[dict[int, Tree]]
     losses: list[float]
+    table: DataFrame
 
 
 def cut_points(rows: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
@@ -144,8 +145,10 @@ def _slopes(data: DataFrame, loss: Loss, models: Sequence[int]) -> DataFrame:
     return stored(joined.select(*data.columns, dense.alias("_slopes")), "slopes")
 
 
-def _grown(data: DataFrame, n_models: int, features: Sequence[int], depth: int, rate: float, ridge: float, least_rows: int, least_curvature: float) -> dict[int, Tree]:
-    """One tree for each model from ``data(_bins, _slopes)``."""
+def _grown(data: DataFrame, features: Sequence[Sequence[int]], depth: int, rate: float, ridge: float, least_rows: int, least_curvature: float) -> dict[int, Tree]:
+    """One tree for each model from ``data(_bins, _slopes)``; ``features`` are those that each may split by."""
+    n_models = len(features)
+    allowed = F.array(*(F.array(*map(F.lit, fs)) for fs in features))
     trees, sums = {i: Tree() for i in range(n_models)}, {}
     for level in range(depth):
         open_nodes = range(1 << level, 2 << level)
@@ -156,7 +159,7 @@ def _grown(data: DataFrame, n_models: int, features: Sequence[int], depth: int,
             return F.when(slope.isNotNull() & node.isNotNull(), F.struct(F.lit(i).alias("model"), node.alias("node"), slope["g"].alias("g"), slope["h"].alias("h")))
 
         rows = data.select("_bins", F.inline(F.array(*(one(i) for i in range(n_models))))).where(F.col("model").isNotNull())
-        rows = rows.select("model", "node", "g", "h", F.posexplode("_bins").alias("f", "b")).where(F.col("f").isin(*features))
+        rows = rows.select("model", "node", "g", "h", F.posexplode("_bins").alias("f", "b")).where(F.array_contains(F.get(allowed, F.col("model")), F.col("f")))
         cells = rows.groupBy("model", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
         split = False
         for r in best_splits(cells, ridge, least_rows, least_curvature).collect():
@@ -182,7 +185,8 @@ def _moved(margins: Column, bins: Column, trees: dict[int, Tree]) -> Column:
 def boost(
     rows: DataFrame, features: Sequence[str], *, loss: Loss = LOGISTIC, rounds: int = 10, depth: int = 3, rate: float = 0.1, ridge: float = 1.0, least_rows: int = 1,
     least_curvature: float = 1e-3, bins: int = 32, margin: str | None = None, weight: str | None = None, es: str | None = None, patience: int | None = None,
-    share_rows: float = 1.0, share_features: float = 1.0, seed: str = "boost", watch: bool = False,
+    share_rows: float = 1.0, share_features: float = 1.0, seed: str = "boost", watch: bool = False, only: Sequence[int] | None = None,
+    turns: Sequence[dict[int, Sequence[str]] | Sequence[str]] | None = None,
 ) -> Boosted:
     """Fit ``y`` by ``rounds`` trees for each fold of ``rows(id, fold, y, *features)``, on the rows of the other folds.
 
@@ -192,6 +196,9 @@ def boost(
     ``patience`` rounds without a lesser one the fit stops and gives the best round's margins. ``share_rows`` and
     ``share_features`` draw by hash for each round.
 
+    With ``only``, models are fitted for those folds alone, and other rows get a null margin. ``turns`` says, for each round, by
+    which features trees may split (by fold, or the same for all), in place of ``rounds``.
+
     A null label, or a null fold, teaches nothing; a row of a null fold gets a null margin, as does one of a null base
     margin. Null features stand before all values. A fold that holds all rows has a model without a tree.
     Each round is a stored table, so a lost executor costs one round at most; earlier ones are deleted.
@@ -200,7 +207,7 @@ def boost(
     cuts = cut_points(rows, features, bins)
     known = rows.where(F.col("fold").isNotNull()).groupBy("fold").agg(F.sum("y").alias("t"), F.count("y").alias("n"))
     sums = {r["fold"]: (float(r["t"] or 0), r["n"]) for r in known.collect()}
-    models = sorted(sums)
+    models = sorted(sums if only is None else set(sums) & set(only))
     mean = {}
     for m in models:
         t, n = (sum(v[k] for f, v in sums.items() if f != m) for k in (0, 1))
@@ -215,10 +222,12 @@ def boost(
     data = best = stored(data, "boosted")
     trees: list[dict[int, Tree]] = []
     losses: list[float] = []
-    for r in range(rounds if models else 0):
+    for r in range((rounds if turns is None else len(turns)) if models else 0):
         draws = [i for i in range(len(features)) if _share(f"{seed}:{r}:{i}", base) < share_features] if share_features < 1 else list(range(len(features)))
         taught = _slopes(data if share_rows >= 1 else data.where(uniform(f"{seed}:{r}", F.col("id")) < share_rows), loss, models)
-        grown = _grown(taught, len(models), draws or [r % len(features)], depth, rate, ridge, least_rows, least_curvature)
+        of = lambda m: [features.index(f) for f in (turns[r][m] if isinstance(turns[r], dict) else turns[r])]  # noqa: E731, B023
+        allowed = [draws or [r % len(features)] if turns is None else of(m) for m in models]
+        grown = _grown(taught, allowed, depth, rate, ridge, least_rows, least_curvature)
         trees.append(grown)
         moved = stored(data.withColumn("_margins", _moved(F.col("_margins"), F.col("_bins"), grown)), "boosted")
         if loss.jointly is not None:
@@ -238,7 +247,7 @@ def boost(
         best = data
     own = F.get("_margins", (F.array_position(F.array(*map(F.lit, models)), F.col("fold")) - 1).cast("int")) if models else F.lit(None).cast("double")
     kept = trees[: losses.index(min(losses)) + 1] if patience and losses else trees
-    return Boosted(best.select("id", "fold", "y", own.alias("margin")), features, cuts, models, starts, kept, losses)
+    return Boosted(best.select("id", "fold", "y", own.alias("margin")), features, cuts, models, starts, kept, losses, best)
 
 
 def _share(text: str, base: DataFrame) -> float:

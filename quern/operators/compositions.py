@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import clip, logit, sigmoid, uniform
-from quern.operators import models, neighbours
+from quern.operators import boosting, encodings, models, neighbours
 from quern.operators.codes import codes, median_filled
 from quern.operators.blending import blend, transformed
 from quern.operators.encodings import crossfit
@@ -214,3 +214,19 @@ def shuffled(df: DataFrame, column: str, seed: str) -> DataFrame:
     places = hashed_place(df, [], seed)
     values = hashed_place(df.select("id", column), [], seed + ":values").select("place", F.col(column).alias("_moved"))
     return places.join(values, "place").withColumn(column, F.col("_moved")).select(*df.columns)
+
+
+def ordered_boost(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], only: Sequence[int] | None = None, seeds: Sequence[str] = ("order0", "order1"), **how) -> DataFrame:
+    """``(id, fold, y, margin)``: each fold scored by trees on numbers and on ordered statistics of categories, one for each
+    seed. Rows that teach see earlier ones alone; rows of the fold see all that teach. ``how`` goes to ``boosting.boost``."""
+    folds = sorted(r[0] for r in df.where("fold is not null").select("fold").distinct().collect())
+    out = []
+    for m in folds if only is None else only:
+        rows, names = df, list(numbers)
+        for c in categories:
+            for s in seeds:
+                names.append(f"ots_{c}_{s}")
+                rows = encodings.ordered_statistics(rows, c, s, source=F.col("fold") != m).withColumnRenamed("ots", names[-1])
+        fitted = boosting.boost(stored(rows, "ordered"), names, only=[m], **how)
+        out.append(fitted.rows.where(F.col("fold") == m))
+    return reduce(DataFrame.unionByName, out)

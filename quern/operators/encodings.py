@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.keys import joined_key
+from quern.operators.ordered import met
 from quern.sources.scratch import stored
 
 
@@ -60,6 +61,29 @@ def crossfit(df: DataFrame, key: str, smooths: Sequence[float], fold: str = "fol
     return joined.withColumns(out | {"t_other": t, "n_other": n, "prior_other": prior}).drop("_t", "_n", "_ft", "_fn")
 
 
+def ordered_statistics(df: DataFrame, key: str, seed: str, prior: float = 0.5, weight: float = 1.0, id: str = "id", source: Column | None = None) -> DataFrame:
+    """``df`` with ``ots``: the mean label of the rows of a row's key that stand before it in the order of MD5(seed:id), shrunk
+    to ``prior`` by ``weight`` rows. No row sees itself or a later one. Rows outside of ``source`` (all, if None) teach nobody and
+    see all rows that do, of whatever place; null labels teach nothing; null is a key like others, and equal ids stand in
+    an order of their own.
+
+    A key is many tasks: the first three hex digits of the hash are 4096 ranges, whose sums are added to those within one.
+    """
+    rows = df.withColumn("_h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id).cast("string"), F.lit("")))))
+    rows = rows.withColumns({"_range": F.substring("_h", 1, 3), "_in": F.col("y").isNotNull() & (F.lit(True) if source is None else F.coalesce(source, F.lit(False)))})
+    rows = rows.withColumns({"_t": F.when(F.col("_in"), F.col("y")).otherwise(0).cast("double"), "_n": F.col("_in").cast("long")})
+    total = rows.groupBy(key, "_range").agg(F.sum("_t").alias("_rt"), F.sum("_n").alias("_rn"))
+    line = Window.partitionBy(key)
+    earlier = line.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"_e{k}": F.coalesce(F.sum(f"_r{k}").over(earlier), F.lit(0)) for k in "tn"} | {f"_a{k}": F.sum(f"_r{k}").over(line) for k in "tn"}
+    total = total.select(key, "_range", *(v.alias(k) for k, v in sums.items()))
+    inside = Window.partitionBy(key, "_range").orderBy("_h", id).rowsBetween(Window.unboundedPreceding, -1)
+    rows = met(rows.withColumns({f"_i{k}": F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0)) for k in "tn"}), total, [key, "_range"], "inner")
+    teaches = F.lit(True) if source is None else F.coalesce(source, F.lit(False))
+    t, n = (F.when(teaches, F.col(f"_e{k}") + F.col(f"_i{k}")).otherwise(F.col(f"_a{k}")) for k in "tn")
+    return rows.select(*df.columns, ((t + weight * prior) / (n + weight)).alias("ots"))
+
+
 def auto_smoothing(df: DataFrame, key: str, fold: str = "fold") -> DataFrame:
     """One row for each fold: the empirical-Bayes smoothing that the other folds imply.
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import logit
-from quern.operators import boosting, folds, objectives
+from quern.operators import boosting, compositions, encodings, folds, forests, objectives
 from quern.operators.metrics import auc
 from quern.operators.neighbours import standardised
-from quern.plans.base import FOLDED, base, folded, query, r6
+from quern.plans.base import FOLDED, base, folded, query, r6, u_sql
 from quern.sources.tables import table
 
 DOCUMENT_FEATURES = ["chars", "words", "lines", "digits", "capitals", "marks"]
@@ -140,3 +140,53 @@ def x1_boosted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC by fold of trees that all pairs of the other folds have grown."""
     fitted = boosting.boost(labelled_documents(spark, sf_dir), DOCUMENT_FEATURES, loss=objectives.PAIRS, rounds=3, depth=2, rate=0.5)
     return r6(auc(fitted.rows, "margin", ["fold"]).select("fold", "auc", "pairs"))
+
+
+@query(
+    f"""with {FOLDED}, o as (select *, md5('ots:' || id) as h from folded), t as (select id, coalesce(sum(case when fold <> 0 then y end) over (partition by pri order by h, id rows between unbounded preceding and 1 preceding), 0) as bt,
+    count(case when fold <> 0 then y end) over (partition by pri order by h, id rows between unbounded preceding and 1 preceding) as bn,
+    coalesce(sum(case when fold <> 0 then y end) over (partition by pri), 0) as total, count(case when fold <> 0 then y end) over (partition by pri) as an, fold from o)
+    select id, round((case when fold <> 0 then bt else total end + 0.5) / (case when fold <> 0 then bn else an end + 1), 9) as ots from t"""
+)
+def g3_ordered_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category's mean label from rows before a row's own; the rows of one fold see all others."""
+    return encodings.ordered_statistics(folded(spark, sf_dir), "pri", "ots", source=F.col("fold") != 0).select("id", F.round("ots", 9).alias("ots"))
+
+
+@query()
+def g3_ordered_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC by fold of boosted trees on numbers and on ordered statistics of categories, for each of two folds."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source").dropDuplicates(["id"])
+    df = labelled_documents(spark, sf_dir).join(docs, "id")
+    return r6(auc(compositions.ordered_boost(df, DOCUMENT_FEATURES, ["lang", "source"], only=[0, 1], rounds=3, depth=2, rate=0.5), "margin", ["fold"]).select("fold", "auc", "pairs"))
+
+
+def _forest_sql(depth: int) -> str:
+    """CTEs that end with ``at<depth>(id, m, fold, node)`` and ``leaves(m, node, value)`` for one tree a fold."""
+    features = ["price", "a", "b"]
+    long = " union all ".join(f"select id, {i} as f, {f}::double as v from folded" for i, f in enumerate(features))
+    entropy = lambda k, n: f"(case when {k} > 0 then -({k}) * ln(({k}) / ({n})) else 0 end + case when {n} - ({k}) > 0 then -({n} - ({k})) * ln(({n} - ({k})) / ({n})) else 0 end)"
+    out = f"{FOLDED}, long as ({long}), ms as (select distinct fold as m from folded), at0 as (select id, m, fold, y, 1 as node from folded, ms)"
+    for d in range(depth):
+        out += f""", here{d} as (select a.id, m, node, y::double as y, f, v from at{d} a join long using (id) where fold <> m and node >= {1 << d} and {u_sql("'extra:draw:' || m || ':' || node || ':' || f")} < 0.7),
+        cuts{d} as (select m, node, f, min(v) + {u_sql("'extra:' || m || ':' || node || ':' || f")} * (max(v) - min(v)) as cut from here{d} group by m, node, f having max(v) > min(v)),
+        sums{d} as (select m, node, f, cut, count(*)::double as n, sum(y) as t, count(*) filter (v <= cut)::double as ln, coalesce(sum(y) filter (v <= cut), 0) as lt from here{d} join cuts{d} using (m, node, f) group by all),
+        best{d} as (select m, node, f, cut from (select *, floor(({entropy("t", "n")} - {entropy("lt", "ln")} - {entropy("(t - lt)", "(n - ln)")}) * 1e9 + 0.5) / 1e9 as gain from sums{d} where least(ln, n - ln) >= 4)
+                    where gain > 0 qualify row_number() over (partition by m, node order by gain desc, f) = 1),
+        at{d + 1} as (select a.id, a.m, fold, y, case when s.f is null then a.node else 2 * a.node + (v > cut)::int end as node from at{d} a left join best{d} s on s.m = a.m and s.node = a.node left join long l on l.id = a.id and l.f = s.f)"""
+    return out + f", leaves as (select m, node, avg(y) as value from at{depth} where fold <> m group by m, node)"
+
+
+@query(f"with {_forest_sql(2)} select id, round(value, 9) as score from at2 join leaves using (m, node) where fold = m")
+def g4_extra_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree of two levels a fold, of drawn thresholds."""
+    df = folded(spark, sf_dir)
+    forest = forests.grow(df, ["price", "a", "b"], trees=1, depth=2, share=0.7)
+    return forests.score(forest, df, ["price", "a", "b"]).select("id", F.round("score", 9).alias("score"))
+
+
+@query()
+def g4_extra_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC by fold of 40 trees each."""
+    df = labelled_documents(spark, sf_dir)
+    return r6(auc(forests.score(forests.grow(df, DOCUMENT_FEATURES, depth=3), df, DOCUMENT_FEATURES), "score", ["fold"]).select("fold", "auc", "pairs"))
