@@ -186,7 +186,7 @@ def boost(
     rows: DataFrame, features: Sequence[str], *, loss: Loss = LOGISTIC, rounds: int = 10, depth: int = 3, rate: float = 0.1, ridge: float = 1.0, least_rows: int = 1,
     least_curvature: float = 1e-3, bins: int = 32, margin: str | None = None, weight: str | None = None, es: str | None = None, patience: int | None = None,
     share_rows: float = 1.0, share_features: float = 1.0, seed: str = "boost", watch: bool = False, only: Sequence[int] | None = None,
-    turns: Sequence[dict[int, Sequence[str]] | Sequence[str]] | None = None,
+    turns: Sequence[dict[int, Sequence[str]] | Sequence[str]] | None = None, after: Boosted | None = None,
 ) -> Boosted:
     """Fit ``y`` by ``rounds`` trees for each fold of ``rows(id, fold, y, *features)``, on the rows of the other folds.
 
@@ -197,14 +197,15 @@ def boost(
     ``share_features`` draw by hash for each round.
 
     With ``only``, models are fitted for those folds alone, and other rows get a null margin. ``turns`` says, for each round, by
-    which features trees may split (by fold, or the same for all), in place of ``rounds``.
+    which features trees may split (by fold, or the same for all), in place of ``rounds``. ``after`` is a fit of the same rows and
+    features that goes on: its table is read on, its trees come first.
 
     A null label, or a null fold, teaches nothing; a row of a null fold gets a null margin, as does one of a null base
     margin. Null features stand before all values. A fold that holds all rows has a model without a tree.
     Each round is a stored table, so a lost executor costs one round at most; earlier ones are deleted.
     """
     features = list(features)
-    cuts = cut_points(rows, features, bins)
+    cuts = after.cuts if after else cut_points(rows, features, bins)
     known = rows.where(F.col("fold").isNotNull()).groupBy("fold").agg(F.sum("y").alias("t"), F.count("y").alias("n"))
     sums = {r["fold"]: (float(r["t"] or 0), r["n"]) for r in known.collect()}
     models = sorted(sums if only is None else set(sums) & set(only))
@@ -219,8 +220,8 @@ def boost(
         "id", "fold", F.col("y").cast("double").alias("y"), binned(rows, features, cuts).alias("_bins"), margins.alias("_margins"),
         (F.coalesce(F.col(es), F.lit(False)) if es else F.lit(False)).alias("_es"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_weight"),
     )
-    data = best = stored(data, "boosted")
-    trees: list[dict[int, Tree]] = []
+    data = best = after.table if after else stored(data, "boosted")
+    starts, trees = (after.starts, list(after.trees)) if after else (starts, [])
     losses: list[float] = []
     for r in range((rounds if turns is None else len(turns)) if models else 0):
         draws = [i for i in range(len(features)) if _share(f"{seed}:{r}:{i}", base) < share_features] if share_features < 1 else list(range(len(features)))
@@ -232,13 +233,13 @@ def boost(
         moved = stored(data.withColumn("_margins", _moved(F.col("_margins"), F.col("_bins"), grown)), "boosted")
         if loss.jointly is not None:
             forget(taught)
-        if data is not best:
+        if data is not best and not (after and data is after.table):
             forget(data)
         data = moved
         if watch or patience:
             losses.append(_watched(data, loss, models, es is not None))
             if losses[-1] == min(losses):
-                if best is not data:
+                if best is not data and not (after and best is after.table):
                     forget(best)
                 best = data
             elif patience and r - losses.index(min(losses)) >= patience:
@@ -246,7 +247,7 @@ def boost(
     if not patience:
         best = data
     own = F.get("_margins", (F.array_position(F.array(*map(F.lit, models)), F.col("fold")) - 1).cast("int")) if models else F.lit(None).cast("double")
-    kept = trees[: losses.index(min(losses)) + 1] if patience and losses else trees
+    kept = trees[: (len(after.trees) if after else 0) + losses.index(min(losses)) + 1] if patience and losses else trees
     return Boosted(best.select("id", "fold", "y", own.alias("margin")), features, cuts, models, starts, kept, losses, best)
 
 

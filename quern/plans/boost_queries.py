@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import logit
-from quern.operators import boosting, compositions, encodings, folds, forests, objectives
+from quern.operators import additive, boosting, compositions, encodings, folds, forests, objectives
 from quern.operators.metrics import auc
 from quern.operators.neighbours import standardised
 from quern.plans.base import FOLDED, base, folded, query, r6, u_sql
@@ -30,9 +30,10 @@ _FEATURES = ["price", "a", "b", "r0", "r1"]
 _LONG = ", ".join(f"({i}, {f}::double)" for i, f in enumerate(_FEATURES))
 
 
-def boost_sql(start: str, slopes: str, rounds: int, depth: int, rate: float, ridge: float, bins: int, source: str = FOLDED, features: list[str] = _FEATURES) -> str:
+def boost_sql(start: str, slopes: str, rounds: int, depth: int, rate: float, ridge: float, bins: int, source: str = FOLDED, features: list[str] = _FEATURES, turns: list[int] | None = None) -> str:
     """CTEs that end with ``margins<rounds>(id, m, fold, y, s)``: boosting as in ``boosting.boost``. ``start`` is the first
-    margin for ``r`` (a row) and the mean ``p`` of model m; ``slopes`` are gradient and curvature of y and the margin s."""
+    margin for ``r`` (a row) and the mean ``p`` of model m; ``slopes`` are gradient and curvature of y and the margin s; round k may
+    split by all features, or by that of ``turns[k]`` alone."""
     long = " union all ".join(f"select id, {i} as f, {f}::double as v from folded" for i, f in enumerate(features))
     out = f"""{source}, long as ({long}),
     sorted as (select f, list(v order by v) as l from long where v is not null group by f),
@@ -48,7 +49,7 @@ def boost_sql(start: str, slopes: str, rounds: int, depth: int, rate: float, rid
         for d in range(depth):
             side = lambda g, h: f"(({g}) * 1e-7) * (({g}) * 1e-7) / (({h}) * 1e-7 + {ridge})"
             gain = f"({side('lg', 'lh')} + {side('tg - lg', 'th - lh')} - {side('tg', 'th')}) / 2"
-            out += f""", cells{k}_{d} as (select m, node, f, b, sum(g)::bigint as g, sum(h)::bigint as h, count(*) as n from nodes{k}_{d} join grads{k} using (id, m, fold) join bins using (id) where fold <> m group by all),
+            out += f""", cells{k}_{d} as (select m, node, f, b, sum(g)::bigint as g, sum(h)::bigint as h, count(*) as n from nodes{k}_{d} join grads{k} using (id, m, fold) join bins using (id) where fold <> m{f" and f = {turns[k]}" if turns else ""} group by all),
             sums{k}_{d} as (select m, node, f, b, sum(g) over w as lg, sum(h) over w as lh, sum(n) over w as ln, sum(g) over v as tg, sum(h) over v as th, sum(n) over v as tn from cells{k}_{d}
                             window w as (partition by m, node, f order by b rows between unbounded preceding and current row), v as (partition by m, node, f)),
             best{k}_{d} as (select m, node, f, b from (select *, case when least(ln, tn - ln) >= 1 and least(lh, th - lh) * 1e-7 >= 1e-3 then floor(({gain}) * 1e9 + 0.5) / 1e9 end as gain from sums{k}_{d})
@@ -190,3 +191,35 @@ def g4_extra_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC by fold of 40 trees each."""
     df = labelled_documents(spark, sf_dir)
     return r6(auc(forests.score(forests.grow(df, DOCUMENT_FEATURES, depth=3), df, DOCUMENT_FEATURES), "score", ["fold"]).select("fold", "auc", "pairs"))
+
+
+_SHAPES = boost_sql("ln(p / (1 - p))", _LOGISTIC, 3, 2, 0.3, 1.0, 16, features=["price", "a", "r0"], turns=[0, 1, 2])
+
+
+@query(f"with {_SHAPES} select id, round(s, 9) as margin from margins3 where fold = m")
+def x9_shape_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One turn of three features, each a tree of its own."""
+    names = ["price", "a", "r0"]
+    fitted = boosting.boost(folded(spark, sf_dir), names, turns=[[f] for f in names], depth=2, rate=0.3, bins=16)
+    return fitted.rows.select("id", F.round("margin", 9).alias("margin"))
+
+
+@query(
+    f"""with {_SHAPES}, slopes as (select id, m, floor(g / 1e-7 + 0.5)::bigint as g, floor(h / 1e-7 + 0.5)::bigint as h from (select *, {_LOGISTIC} from margins3) where fold <> m),
+    cells as (select m, x.f as f1, z.f as f2, sum(g)::bigint as g, sum(h)::bigint as h from slopes join bins x using (id) join bins z using (id) where x.f < z.f group by m, x.f, z.f, x.b // 4, z.b // 4),
+    gains as (select m, f1, f2, round((sum((g * 1e-7) * (g * 1e-7) / (h * 1e-7 + 1)) - (sum(g) * 1e-7) * (sum(g) * 1e-7) / (sum(h) * 1e-7 + 1)) / 2, 6) as gain from cells group by all)
+    select m as fold, ['price', 'a', 'r0'][f1 + 1] as f1, ['price', 'a', 'r0'][f2 + 1] as f2, gain, (row_number() over (partition by m order by gain desc, gains.f1, gains.f2))::int as rank from gains"""
+)
+def x9_pair_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by what they would take off the loss that one turn has left."""
+    names = ["price", "a", "r0"]
+    fitted = boosting.boost(folded(spark, sf_dir), names, turns=[[f] for f in names], depth=2, rate=0.3, bins=16)
+    return additive.pair_gains(fitted)
+
+
+@query()
+def x9_additive_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC by fold of shapes of single features, and of those with the best pairs."""
+    single, both, _ = additive.fit(labelled_documents(spark, sf_dir), DOCUMENT_FEATURES, cycles=1, pairs=1, pair_cycles=1)
+    rows = [f.rows.select("fold", "y", "margin", F.lit(n).alias("kind")) for n, f in (("single", single), ("pairs", both))]
+    return r6(auc(rows[0].union(rows[1]), "margin", ["kind", "fold"]).select("kind", "fold", "auc"))
