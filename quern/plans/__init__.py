@@ -1,12 +1,12 @@
 """Queries: the operators applied to whole tables, each with its SQL where SQL can say it."""
 
 from quern.plans import (
-    blend_queries, boost_queries, composition_queries, encoding_queries, gate_queries, metric_queries, null_queries, profile_queries, recipe_queries, row_queries, screen_queries, source_queries,
+    auxiliary_queries, blend_queries, boost_queries, composition_queries, encoding_queries, gate_queries, metric_queries, null_queries, profile_queries, recipe_queries, row_queries, screen_queries, source_queries,
     view_queries,
 )
 from quern.plans.base import QUERIES, SQL
 
 __all__ = [
-    "QUERIES", "SQL", "blend_queries", "boost_queries", "composition_queries", "encoding_queries", "gate_queries", "metric_queries", "null_queries", "profile_queries", "recipe_queries", "row_queries",
+    "QUERIES", "SQL", "auxiliary_queries", "blend_queries", "boost_queries", "composition_queries", "encoding_queries", "gate_queries", "metric_queries", "null_queries", "profile_queries", "recipe_queries", "row_queries",
     "screen_queries", "source_queries", "view_queries",
 ]
