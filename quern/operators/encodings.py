@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.keys import joined_key
-from quern.operators.ordered import met
+from quern.operators.ordered import met, unique
 from quern.sources.scratch import stored
 
 
@@ -44,16 +44,17 @@ def apply(fit: DataFrame, rows: DataFrame, key: str, smooths: Sequence[float], m
 
 def crossfit(df: DataFrame, key: str, smooths: Sequence[float], fold: str = "fold", source: Column | None = None, min_count: int = 1) -> DataFrame:
     """``df`` with ``te_<smooth>`` and its parts ``t_other, n_other, prior_other``, from the other folds. ``source`` says which rows give their
-    labels (all, if None): rows that only stop a fit early are encoded, but teach nobody."""
+    labels (all, if None): rows that only stop a fit early are encoded, but teach nobody. A null label teaches nothing;
+    where no other fold has a label, encodings and prior are null."""
     fit = df if source is None else df.where(source)
     cell = fit.groupBy(fold, key).agg(F.sum("y").alias("_ft"), F.count("y").alias("_fn"))
     keys = cell.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_ft").alias("_t"), F.sum("_fn").alias("_n"))
-    folds = {r[0]: (r[1], r[2]) for r in cell.groupBy(fold).agg(F.sum("_ft"), F.sum("_fn")).collect()}
+    folds = {r[0]: (r[1] or 0, r[2] or 0) for r in cell.groupBy(fold).agg(F.sum("_ft"), F.sum("_fn")).collect()}
     all_t, all_n = sum(t for t, _ in folds.values()), sum(n for _, n in folds.values())
     prior = F.lit(all_t / all_n if all_n else None)
     for f, (t, n) in folds.items():
         prior = F.when(F.col(fold) == f, F.lit((all_t - t) / (all_n - n) if all_n > n else None)).otherwise(prior)
-    joined = df.join(keys, key, "left").join(cell, [fold, key], "left")
+    joined = df.join(keys, key, "left").join(cell.withColumn("_ft", F.coalesce("_ft", F.lit(0))), [fold, key], "left")
     t = F.coalesce(F.col("_t"), F.lit(0)) - F.coalesce(F.col("_ft"), F.lit(0))
     n = F.coalesce(F.col("_n"), F.lit(0)) - F.coalesce(F.col("_fn"), F.lit(0))
     enough = n >= min_count
@@ -123,7 +124,8 @@ def neighbours(table: DataFrame, key: str, digits: int, base: int) -> DataFrame:
 
 def crossfit_nearest(df: DataFrame, key: str, digits: int, base: int, smooth: float = 30.0, min_count: int = 2, fold: str = "fold") -> DataFrame:
     """``df`` with ``te_near`` (shrunken mean label of keys at Hamming distance 1 in other folds), ``log_n_near`` and
-    ``log_keys_near``. Keys with fewer than ``min_count`` rows outside the fold do not count.
+    ``log_keys_near``. Keys with fewer than ``min_count`` labelled rows outside the fold do not count; where no other fold has a
+    label, ``te_near`` is null.
 
     Sums by key are joined to their neighbours by equality on the neighbour's key: digits * (base - 1) rows a key, never a
     pair of rows. A fold's own rows are then taken off, at the neighbours that it has.
@@ -131,16 +133,18 @@ def crossfit_nearest(df: DataFrame, key: str, digits: int, base: int, smooth: fl
     cell = stored(df.groupBy(fold, key).agg(F.sum("y").alias("_ft"), F.count("y").alias("_fn")), "cells")
     keys = cell.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_ft").alias("_t"), F.sum("_fn").alias("_n"))
     near = neighbours(keys, key, digits, base)
+    cell = cell.withColumn("_ft", F.coalesce("_ft", F.lit(0)))
+    keys = keys.withColumn("_t", F.coalesce("_t", F.lit(0)))
     counts = lambda t, n: {k: F.when(n >= min_count, v).otherwise(0) for k, v in (("t", t), ("n", n), ("k", F.lit(1)))}
     total = near.join(keys.withColumnRenamed(key, "near"), "near").groupBy(key).agg(*(F.sum(v).alias(f"_{k}") for k, v in counts(F.col("_t"), F.col("_n")).items()))
     own = cell.join(keys, key).withColumnRenamed(key, "near")
     less, all_of = counts(F.col("_t") - F.col("_ft"), F.col("_n") - F.col("_fn")), counts(F.col("_t"), F.col("_n"))
     change = near.join(own, "near").groupBy(fold, key).agg(*(F.sum(less[k] - all_of[k]).alias(f"_d{k}") for k in "tnk"))
     whole = cell.groupBy(fold).agg(F.sum("_ft").alias("a"), F.sum("_fn").alias("b")).collect()
-    ones, n = sum(r["a"] for r in whole), sum(r["b"] for r in whole)
+    ones, n = sum(r["a"] or 0 for r in whole), sum(r["b"] for r in whole)
     prior = F.lit(None).cast("double")
     for r in whole:
-        prior = F.when(F.col(fold) == r[fold], (ones - r["a"]) / (n - r["b"])).otherwise(prior)
+        prior = F.when(F.col(fold) == r[fold], F.lit((ones - (r["a"] or 0)) / (n - r["b"]) if n > r["b"] else None)).otherwise(prior)
     zero = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0)) + F.coalesce(F.col(f"_d{c}"), F.lit(0))
     rows = df.join(total, key, "left").join(change, [fold, key], "left")
     return rows.withColumns(
@@ -190,8 +194,9 @@ def combinations_of(columns: Sequence[str], sizes: Sequence[int]) -> list[list[s
 
 
 def conditional_ordinal(df: DataFrame, ratings: Sequence[str], cell: str, smooth: float = 20.0, source: Column | None = None) -> DataFrame:
-    """``(id, ord_<rating>)``: for each rating the cross-fitted mean label of its value within a row's cell."""
-    out = df.select("id")
+    """``(id, ord_<rating>)``: for each rating the cross-fitted mean label of its value within a row's cell. An id that repeats
+    is an error."""
+    out = unique(df).select("id")
     for r in ratings:
         one = crossfit(df.withColumn("_k", joined_key([F.col(r), F.col(cell)])), "_k", [smooth], source=source)
         out = out.join(one.select("id", F.col(f"te_{smooth:g}").alias(f"ord_{r}")), "id")
@@ -209,8 +214,8 @@ def default_keys(route: str, categories: Sequence[str], number: str, ratings: Se
 
 
 def encoded_keys(df: DataFrame, keys: dict[str, list[Column]], smooth: float = 20.0) -> DataFrame:
-    """``(id, te_<name>)``: the cross-fitted mean label of each key."""
-    out = df.select("id")
+    """``(id, te_<name>)``: the cross-fitted mean label of each key. An id that repeats is an error."""
+    out = unique(df).select("id")
     for name, columns in keys.items():
         one = crossfit(df.withColumn("_k", joined_key(columns)), "_k", [smooth])
         out = out.join(one.select("id", F.col(f"te_{smooth:g}").alias(f"te_{name}")), "id")

@@ -47,8 +47,10 @@ def overlap(a: DataFrame, b: DataFrame, id: str = "id") -> int:
 
 
 def digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: count and an order-free digest of the rows, to tell a changed table from an equal one."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns))), 1, 12), 16, 10).cast("bigint")
+    """One row: count and an order-free digest of the rows, to tell a changed table from an equal one. Each value goes in with
+    its length before it and null as a mark that no value has, so rows of different values have different texts."""
+    text = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    h = F.conv(F.substring(F.md5(F.concat(*(text(c) for c in columns))), 1, 12), 16, 10).cast("bigint")
     return df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("digest"))
 
 

@@ -71,14 +71,16 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: st
     """``(id, ref, d2, rank)``: the k nearest other rows of ``refs`` for each row of ``queries``, ties by ref id.
 
     Both sides have ``id`` and an array of doubles; with ``same``, only rows of an equal value of that column count, and
-    with ``apart``, only rows of another. References stand in cells around pivots, CELLS at most. A query meets its nearest cell
+    with ``apart``, only rows of another. A row without an id, or whose vector is null or has an element that is none, has no
+    neighbours and is none. References stand in cells around pivots, CELLS at most. A query meets its nearest cell
     first; the distance of its k-th neighbour there then excludes every cell that lies farther off than that, by the
     triangle inequality. A task holds a block of queries and one of references, so memory is bounded by BLOCK, and what
     moves is the pairs of blocks that the bound cannot exclude.
     """
     text = lambda c, none: F.lit(none) if c is None else F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    pick = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), text(same, "").alias("_s"), text(apart, "").alias("_a"))
-    cells = min(CELLS, refs.count() // BLOCK + 1)
+    whole = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+    pick = lambda df: df.where(F.col("id").isNotNull() & whole).select(F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), text(same, "").alias("_s"), text(apart, "").alias("_a"))
+    cells = min(CELLS, pick(refs).count() // BLOCK + 1)
     pivots = np.array([r["v"] for r in pick(refs).orderBy(F.xxhash64("id")).limit(cells).select("v").collect()] or [[0.0]], float)
     near = F.array_min("_d")
     r = _placed(pick(refs), pivots).select("id", "v", "_s", "_a", (F.array_position("_d", near) - 1).cast("int").alias("_c"), near.alias("_far"))

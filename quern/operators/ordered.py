@@ -18,6 +18,13 @@ def met(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left") -
     return df.join(renamed, reduce(and_, (df[c].eqNullSafe(renamed[f"_on_{c}"]) for c in on)), how).drop(*(f"_on_{c}" for c in on))
 
 
+def unique(df: DataFrame, id: str = "id") -> DataFrame:
+    """``df``, if no id repeats: tables that are joined by id side by side would multiply such rows. Null is no id."""
+    if not df.groupBy(id).count().where(F.col(id).isNotNull() & (F.col("count") > 1)).isEmpty():
+        raise ValueError(f"{id} repeats")
+    return df
+
+
 def in_ranges(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with ``_range``, which rises with ``order``. Spark samples the cuts and sizes the ranges, so there are as
     many as the rows need; the table is stored, for another run might cut elsewhere."""

@@ -57,9 +57,9 @@ def rescue_damage(df: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def burden(df: DataFrame, a: str, b: str) -> DataFrame:
-    """For each row of label 1: pairs it loses under both scores, under a only, under b only."""
+    """For each row of label 1: pairs it loses under both scores, under a only, under b only; null where a score is null."""
     found = joint_counts(df, a, b).select(a, b, F.col("gg").alias("both_scores"), F.col("gl").alias("a_only"), F.col("lg").alias("b_only"))
-    return df.where("y = 1").select("id", a, b).join(found, [a, b]).drop(a, b)
+    return df.where("y = 1").select("id", a, b).join(found, [a, b], "left").drop(a, b)
 
 
 def bucketed_errors(df: DataFrame, score: str, buckets: int) -> DataFrame:

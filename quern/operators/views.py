@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.functions.keys import exact_label, joined_key
 from quern.operators.codes import codes
 from quern.operators.encodings import crossfit
-from quern.operators.ordered import met, midrank
+from quern.operators.ordered import met, midrank, unique
 from quern.operators.profiles import group_stats, rating_features, rating_pairs, subset_means
 
 Make = Callable[[DataFrame], DataFrame]
@@ -215,9 +215,9 @@ def compact(numbers: Sequence[str], amounts: tuple[str, str], ratings: Sequence[
 
 
 def assemble(df: DataFrame, blocks: Sequence[Block], allowed: Sequence[str] = ("static", "transductive", "external", "fold")) -> DataFrame:
-    """``(id, y, fold)`` and the columns of all blocks; a block of another provenance than ``allowed`` or a repeated
-    column is an error."""
-    out = df.select("id", "y", "fold")
+    """``(id, y, fold)`` and the columns of all blocks; a block of another provenance than ``allowed``, a repeated
+    column or a repeated id is an error."""
+    out = unique(df).select("id", "y", "fold")
     for b in blocks:
         if b.provenance not in allowed:
             raise ValueError(f"a {b.provenance} block is not allowed here")

@@ -48,7 +48,7 @@ def v6_hashed_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {FOLDED} select count(*) as n, sum(('0x' || substr(md5(concat_ws('|', id::varchar, fold::varchar)), 1, 12))::bigint)::varchar as digest from folded"
+    f"with {FOLDED} select count(*) as n, sum(('0x' || substr(md5(length(id::varchar) || ':' || id || length(fold::varchar) || ':' || fold), 1, 12))::bigint)::varchar as digest from folded"
 )
 def v2_fold_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.digest(folded(spark, sf_dir), ["id", "fold"])

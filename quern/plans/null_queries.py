@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import codes, encodings, folds, metrics, profiles, screens, views
-from quern.operators.ordered import midrank, quantiles
+from quern.operators import codes, encodings, folds, metrics, neighbours, pairs, profiles, screens, views
+from quern.operators.ordered import hashed_place, midrank, quantiles
 from quern.plans.base import BASE, base, query, r6
+from quern.sources.tables import table
 
 
 def holey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,3 +118,61 @@ def a2_rates_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {HOLEY}, m as (select quantile_cont(a, 0.5) as m from holey) select id, round(coalesce(a, m), 6) as a from holey, m")
 def r8_median_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(codes.median_filled(holey(spark, sf_dir), ["a"]).select("id", "a"))
+
+
+_UNTAUGHT = f"""{HOLEY}, r as (select id, y, a, b, cust, r0 * 7776 + r1 as k, (row_number() over (order by md5('holes:' || id), id) - 1) % 3 as fold from holey),
+    f as (select id, fold, k, case when fold = 2 then y end as y from r), cell as (select k, fold, sum(y) as t, count(y) as n from f group by all),
+    own as (select fold, coalesce((select sum(y) from f x where x.fold <> g.fold), 0) as t, (select count(y) from f x where x.fold <> g.fold) as n from (select distinct fold from f) g),
+    other as (select o.fold, k, coalesce(sum(c.t), 0) as t, coalesce(sum(c.n), 0) as n from own o join cell c on c.fold <> o.fold group by o.fold, k)"""
+
+
+def untaught(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table in three folds of which one alone has labels."""
+    h = holey(spark, sf_dir).withColumn("one", F.lit(1))
+    placed = hashed_place(h, ["one"], "holes").withColumn("fold", (F.col("place") % 3).cast("int"))
+    return placed.withColumns({"y": F.when(F.col("fold") == 2, F.col("y")), "k": F.col("r0") * 7776 + F.col("r1")})
+
+
+@query(f"with {_UNTAUGHT} select id, round(case when own.n > 0 then case when coalesce(x.n, 0) >= 1 then (x.t + 10 * own.t / own.n::double) / (x.n + 10) else own.t / own.n::double end end, 6) as te_10 from f join own using (fold) left join other x on x.fold = f.fold and x.k = f.k")
+def nulls_crossfit_untaught(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds without a label are encoded by the one that has some; that one has nobody to learn from."""
+    return r6(encodings.crossfit(untaught(spark, sf_dir), "k", [10], min_count=1).select("id", "te_10"))
+
+
+@query(
+    f"""with {_UNTAUGHT}, steps as (select distinct k, p, v, (k // [1, 6, 36, 216, 1296, 7776][p + 1]) % 6 as own from f, range(6) t(p), range(6) w(v)),
+    near as (select k, k + (v - own) * [1, 6, 36, 216, 1296, 7776][p + 1] as near from steps where v <> own), sums as (select o.fold, near.k, sum(o.t) as t, sum(o.n) as n from near join other o on o.k = near.near where o.n >= 2 group by all)
+    select id, round(case when own.n > 0 then (coalesce(s.t, 0) + 30 * own.t / own.n::double) / (coalesce(s.n, 0) + 30) end, 6) as te_near from f join own using (fold) left join sums s on s.fold = f.fold and s.k = f.k"""
+)
+def nulls_nearest_untaught(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(encodings.crossfit_nearest(untaught(spark, sf_dir), "k", 6, 6).select("id", "te_near"))
+
+
+@query(f"with {HOLEY} select id, null::double as te_10, null::double as te_near from holey")
+def nulls_one_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows in one fold: nobody teaches."""
+    df = holey(spark, sf_dir).withColumns({"fold": F.lit(0), "k": F.col("r0") * 7776 + F.col("r1")})
+    near = encodings.crossfit_nearest(df, "k", 6, 6).select("id", "te_near")
+    return encodings.crossfit(df, "k", [10]).select("id", "te_10").join(near, "id")
+
+
+@query(
+    """with v as (select vec_id as id, case when vec_id % 5 > 0 then embedding::double[] end as v from embeddings), d as (
+        select q.id, r.id as ref, list_sum(list_transform(list_zip(q.v, r.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d2 from v q join v r on q.id <> r.id where q.v is not null and r.v is not null)
+    select id, ref, (row_number() over (partition by id order by d2, ref))::int as rank from d qualify rank <= 3"""
+)
+def nulls_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of null vectors have no neighbours and are none."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 5 > 0, F.col("embedding").cast("array<double>")).alias("v"))
+    return neighbours.knn(v, v, 3).select("id", "ref", "rank")
+
+
+@query(
+    f"""with {HOLEY}, ones as (select id, a, b from holey where y = 1), grid as (select a, b, count(*) as n from holey where y = 0 and a is not null group by all), cells as (select distinct a, b from ones where a is not null), each as (
+        select o.a, o.b, sum(case when z.a > o.a and z.b > o.b then n else 0 end)::bigint as both_scores, sum(case when z.a > o.a and z.b < o.b then n else 0 end)::bigint as a_only,
+               sum(case when z.a < o.a and z.b > o.b then n else 0 end)::bigint as b_only from cells o cross join grid z group by o.a, o.b)
+    select id, both_scores, a_only, b_only from ones left join each using (a, b)"""
+)
+def nulls_row_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row whose score is null stays, and has null burdens."""
+    return pairs.burden(holey(spark, sf_dir), "a", "b")

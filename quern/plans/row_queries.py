@@ -275,9 +275,11 @@ def m21_inverse_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(spark.createDataFrame(rows, "p_size int, back double"))
 
 
-@query(f"with {FOLDED} select count(*) as n from folded where fold = 9")
+@query(f"with {FOLDED}, other as (select id, floor({u_sql("'other:' || id")} * 5)::int as fold from folded) select f.fold, count(*) filter (o.fold = f.fold) as shared, 0::bigint as within from folded f join other o using (id) group by f.fold")
 def v8_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that two folds share: none."""
-    df = folded(spark, sf_dir)
-    n = folds.overlap(df.where("fold = 0"), df.where("fold = 1"))
-    return spark.range(1).select(F.lit(n).cast("bigint").alias("n"))
+    """Ids that each fold shares with the same fold of another scheme, and with the next fold of its own: none."""
+    df = folded(spark, sf_dir).select("id", "fold")
+    other = df.select("id", folds.hashed(5, "other").alias("fold"))
+    part = lambda d, k: d.where(F.col("fold") == k)
+    rows = [(k, folds.overlap(part(df, k), part(other, k)), folds.overlap(part(df, k), part(df, (k + 1) % 5))) for k in range(5)]
+    return spark.createDataFrame(rows, "fold int, shared long, within long")

@@ -36,7 +36,7 @@ class ScoreStore:
 
     def save(self, exp_id: str, scores: DataFrame) -> str:
         """Store ``scores(id, score)``. The same content again is accepted, other content is refused. Returns the digest."""
-        found = digest(scores.select("id", F.round("score", 9).alias("score")), ["id", "score"]).first()
+        found = digest(scores.select("id", F.col("score").cast("double").alias("score")), ["id", "score"]).first()
         known = {r["exp_id"]: r for r in self.index().collect()}
         if exp_id in known:
             if known[exp_id]["digest"] != found["digest"]:
@@ -55,7 +55,7 @@ class ScoreStore:
         if entry is None:
             raise KeyError(exp_id)
         scores = self.spark.read.parquet(f"{self.path}/scores/exp_id={exp_id}")
-        found = digest(scores.select("id", F.round("score", 9).alias("score")), ["id", "score"]).first()
+        found = digest(scores.select("id", F.col("score").cast("double").alias("score")), ["id", "score"]).first()
         if found["digest"] != entry["digest"]:
             raise ValueError(f"{exp_id} was changed after it was stored")
         return scores
@@ -81,6 +81,17 @@ class Ledger:
         row = (exp_id, status, fingerprint, auc, note, datetime.now(UTC).isoformat())
         self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").json(self.path)
 
+    def extend(self, entries: DataFrame) -> None:
+        """Append many entries at once; one of another status is an error, and then none is appended."""
+        if not entries.where(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))).isEmpty():
+            raise ValueError("an entry has no such status")
+        names = [f.split()[0] for f in self.SCHEMA.split(", ")]
+        entries.select(*names).write.mode("append").json(self.path)
+
+    def policy(self) -> DataFrame:
+        """``(fingerprint, may_run)``: whether no experiment of it is done or under way."""
+        return self.latest().groupBy("fingerprint").agg((~F.bool_or(F.col("status").isin("done", "running"))).alias("may_run"))
+
     def rows(self) -> DataFrame:
         if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], self.SCHEMA)

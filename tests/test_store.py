@@ -5,6 +5,8 @@ import glob
 import pytest
 
 from quern.functions import keys, scalars
+from quern.operators import encodings, views
+from quern.operators.folds import digest
 from quern.sources import scratch, tables
 from quern.sources.store import FoldRegistry, Ledger, ScoreStore, fingerprint
 from pyspark.sql import functions as F
@@ -138,3 +140,36 @@ def test_scalars(spark):
         scalars.binary_label(F.lit(" Yes "), ("yes",), ("no",)),
     ).first()
     assert abs(row[0] - 0.3) < 1e-12 and abs(row[1] - 0.05) < 1e-7 and tuple(row[2:]) == (1e9, None, 1)
+
+
+def test_digests_tell_values_apart(spark):
+    one = lambda rows: digest(spark.createDataFrame(rows, "a string, b string"), ["a", "b"]).first()["digest"]
+    found = [one([r]) for r in (("a|b", "c"), ("a", "b|c"), (None, "x"), ("~", "x"), ("-", "x"), ("", "x"), ("1:-", "x"), (None, "-x"))]
+    assert len(set(found)) == len(found)
+    assert one([("a", "b"), ("c", None)]) == one([("c", None), ("a", "b")])
+
+
+def test_a_change_of_any_size_is_refused(spark, tmp_path):
+    store = ScoreStore(spark, f"file://{tmp_path}/s")
+    scores = spark.createDataFrame([(1, 0.5), (2, 0.25)], "id long, score double")
+    store.save("e", scores)
+    store.save("e", scores)
+    with pytest.raises(ValueError):
+        store.save("e", scores.withColumn("score", scores["score"] + 1e-14))
+
+
+def test_many_entries_at_once(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/l")
+    rows = [("a", "running", "f", None, "", "1"), ("a", "failed", "f", None, "", "2"), ("b", "done", "g", 0.5, "", "1")]
+    with pytest.raises(ValueError):
+        ledger.extend(spark.createDataFrame([*rows, ("c", "odd", "h", None, "", "1")], Ledger.SCHEMA))
+    assert ledger.rows().count() == 0
+    ledger.extend(spark.createDataFrame(rows, Ledger.SCHEMA))
+    assert {r["fingerprint"]: r["may_run"] for r in ledger.policy().collect()} == {"f": True, "g": False}
+
+
+def test_repeated_ids_are_refused(spark):
+    df = spark.createDataFrame([(1, 0, 1, "a"), (1, 1, 0, "b"), (2, 0, 1, "a")], "id long, fold int, y int, c string")
+    for make in (lambda: encodings.encoded_keys(df, {"c": [df["c"]]}), lambda: encodings.conditional_ordinal(df, ["y"], "c"), lambda: views.assemble(df, [])):
+        with pytest.raises(ValueError, match="repeats"):
+            make()
