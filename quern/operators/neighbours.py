@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by squared distance, in cells of references that a distance bound excludes."""
+"""Exact nearest neighbours by squared distance, in leaves of references that distance bounds exclude."""
 
 from __future__ import annotations
 
@@ -13,9 +13,10 @@ from quern.functions.keys import one_hot
 from quern.functions.scalars import uniform
 from quern.sources.scratch import stored
 
-#: Rows of a block: queries and references of one task are two blocks. Cells, and so vectors on the driver, at most.
+#: Rows of a block: queries and references of one task are two blocks.
 BLOCK = 4096
-CELLS = 256
+#: Pivots on the driver, pivots within one of their cells, and pivots that bound a leaf by rings, at most.
+CELLS, LEAVES, RINGS = 256, 512, 16
 
 
 def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -31,6 +32,27 @@ def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, "id long, v array<double>, _s string, _a string, _d array<double>")
 
 
+def _leaf_of(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """``rows`` of one cell with ``_leaf``, the id of the cell's nearest pivot; null if it has none."""
+    rows = rows.combine_chunks()
+    if not rows.num_rows or not pivots.num_rows:
+        return rows.append_column("_leaf", pa.nulls(rows.num_rows, pa.int64()))
+    pivots = pivots.sort_by("id")
+    x, y = (np.array(t["v"].to_pylist(), float) for t in (rows, pivots))
+    near = np.concatenate([np.argmin(np.stack([((x[at : at + 1024] - p) ** 2).sum(axis=1) for p in y]), axis=0) for at in range(0, len(x), 1024)])
+    return rows.append_column("_leaf", pa.array(pivots["id"].to_numpy()[near], pa.int64()))
+
+
+def _with_leaf(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``rows(id, v, _s, _a, _d, _c, _n)`` with ``_leaf``. A task holds a block of a cell's rows and the cell's pivots."""
+    parts = F.greatest(F.ceil(F.col("_n") / BLOCK), F.lit(1)).cast("int")
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int"))
+    copied = pivots.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
+    by = ["_s", "_c", "_part"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", _leaf long"
+    return dealt.groupBy(*by).cogroup(copied.groupBy(*by)).applyInArrow(_leaf_of, schema).drop("_part")
+
+
 def _best(k: int):
     """The k nearest references of a block for each query of another, as Arrow tables."""
 
@@ -58,50 +80,82 @@ def _best(k: int):
 
 
 def _met(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """``(id, ref, d2)``: the k best of each block of the cells that a query names in ``_cells``."""
-    q = queries.select("id", "v", "_s", "_a", F.explode("_cells").alias("c")).select("id", "v", "_s", "_a", F.col("c.cell").alias("_c"), F.explode(F.sequence(F.lit(0), F.col("c.subs") - 1)).alias("_b"))
-    n = stored(q.groupBy("_s", "_c").agg(F.ceil(F.count_distinct("id") / BLOCK).cast("int").alias("_n")), "counts")
-    q = q.join(n, ["_s", "_c"]).withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_n")))
-    r = refs.join(n, ["_s", "_c"]).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"))))
-    by, kept = ["_s", "_c", "_b", "_q"], ["id", "v", "_a"]
+    """``(id, ref, d2)``: the k best of each block of the leaf ``(_s, _c, _leaf)`` that a row of ``queries`` names; ``_subs`` is the
+    number of the leaf's blocks."""
+    by = ["_s", "_c", "_leaf"]
+    q = queries.select("id", "v", "_a", *by, F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)).alias("_b"))
+    n = stored(q.groupBy(*by).agg(F.ceil(F.count_distinct("id") / BLOCK).cast("int").alias("_n")), "counts")
+    q = q.join(n, by).withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_n")))
+    r = refs.join(n, by).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"))))
+    by, kept = [*by, "_b", "_q"], ["id", "v", "_a"]
     return q.select(*by, *kept).groupBy(*by).cogroup(r.select(*by, *kept).groupBy(*by)).applyInArrow(_best(k), "id long, ref long, d2 double")
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: str | None = None, apart: str | None = None) -> DataFrame:
+def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: str | None = None, apart: str | None = None, account: dict[str, int] | None = None) -> DataFrame:
     """``(id, ref, d2, rank)``: the k nearest other rows of ``refs`` for each row of ``queries``, ties by ref id.
 
     Both sides have ``id`` and an array of doubles; with ``same``, only rows of an equal value of that column count, and
-    with ``apart``, only rows of another. A row without an id, or whose vector is null or has an element that is none, has no
-    neighbours and is none. References stand in cells around pivots, CELLS at most. A query meets its nearest cell
-    first; the distance of its k-th neighbour there then excludes every cell that lies farther off than that, by the
-    triangle inequality. A task holds a block of queries and one of references, so memory is bounded by BLOCK, and what
-    moves is the pairs of blocks that the bound cannot exclude.
+    with ``apart``, only rows of another. A row without an id, or whose vector is null or has an element that is none, has
+    no neighbours and is none.
+
+    References stand in cells around pivots on the driver, as many as blocks fit, CELLS at most, and within a cell in leaves
+    around pivots of its own, one for a block, LEAVES at most; so leaves grow in number, not in size, with the table.
+    A query meets the leaf of its nearest pivots first. The distance of its k-th neighbour there then excludes every
+    leaf that lies farther off: by the cell's radius, or by the leaf's least and greatest distance to one of RINGS pivots,
+    both by the triangle inequality. A task holds a block of queries and one of references, so memory is bounded by
+    BLOCK, and what moves is the pairs of blocks that no bound excludes. ``account`` gets how many pairs of a query and a
+    reference were met, of how many.
     """
     text = lambda c, none: F.lit(none) if c is None else F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    whole = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
-    pick = lambda df: df.where(F.col("id").isNotNull() & whole).select(F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), text(same, "").alias("_s"), text(apart, "").alias("_a"))
+    whole = F.col("id").isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+    pick = lambda df: df.where(whole).select(F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), text(same, "").alias("_s"), text(apart, "").alias("_a"))
     cells = min(CELLS, pick(refs).count() // BLOCK + 1)
     pivots = np.array([r["v"] for r in pick(refs).orderBy(F.xxhash64("id")).limit(cells).select("v").collect()] or [[0.0]], float)
     near = F.array_min("_d")
-    r = _placed(pick(refs), pivots).select("id", "v", "_s", "_a", (F.array_position("_d", near) - 1).cast("int").alias("_c"), near.alias("_far"))
+    r = _placed(pick(refs), pivots).select("id", "v", "_s", "_a", "_d", (F.array_position("_d", near) - 1).cast("int").alias("_c"))
     r = stored(r, "refs")
-    sizes = r.groupBy("_s", "_c").agg(F.max("_far").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("subs"))
-    r = r.join(sizes.select("_s", "_c", "subs"), ["_s", "_c"]).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
-    listed = sizes.groupBy("_s").agg(F.collect_list(F.struct(F.col("_c").alias("cell"), "radius", "subs")).alias("_all"))
+    cell_sizes = stored(r.groupBy("_s", "_c").agg(F.count("*").alias("_n"), F.max(F.array_min("_d")).alias("radius")), "cells")
+    # As many leaves as blocks fit; drawn by hash, so no cell is sorted.
+    drawn = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) < (1 << 30) * F.least(F.col("_n") / BLOCK, F.lit(LEAVES)) / F.col("_n")
+    sized = r.join(cell_sizes.select("_s", "_c", "_n"), ["_s", "_c"])
+    own = stored(sized.where((F.col("_n") > BLOCK) & drawn).select("_s", "_c", "_n", "id", "v"), "pivots")
+    in_leaf = (lambda df: df.withColumn("_leaf", F.lit(None).cast("long"))) if own.isEmpty() else lambda df: _with_leaf(df, own)
+    r = stored(in_leaf(sized), "refs")
+    rings = range(min(RINGS, len(pivots)))
+    ring = [f(F.get("_d", F.lit(j))).alias(f"_{n}{j}") for j in rings for n, f in (("lo", F.min), ("hi", F.max))]
+    leaf = F.coalesce("_leaf", F.lit(-1).cast("long")).alias("_leaf")
+    r = r.withColumn("_leaf", leaf)
+    leaves = stored(r.groupBy("_s", "_c", "_leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_subs"), F.count("*").alias("_rows"), *ring), "leaves")
+    r = r.drop("_d", "_n").join(leaves.select("_s", "_c", "_leaf", "_subs"), ["_s", "_c", "_leaf"]).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_subs")).cast("int")).drop("_subs")
+
+    listed = cell_sizes.groupBy("_s").agg(F.collect_list(F.struct(F.col("_c").alias("cell"), "radius", "_n")).alias("_all"))  # CELLS at most
     q = _placed(pick(queries), pivots).join(listed, "_s")
-    home = F.array_min(F.transform("_all", lambda c: F.struct(F.get("_d", c["cell"]).alias("d"), c["cell"].alias("cell"), c["radius"].alias("radius"), c["subs"].alias("subs"))))
-    q = stored(q.withColumn("_home", home), "queries")
+    home = F.array_min(F.transform("_all", lambda c: F.struct(F.get("_d", c["cell"]).alias("d"), c["cell"].alias("cell"), c["_n"].alias("_n"))))
+    q = stored(q.withColumns({"_home": home}).select("id", "v", "_s", "_a", "_d", "_all", F.col("_home.cell").alias("_c"), F.col("_home._n").alias("_n")), "queries")
+    at_home = in_leaf(q.drop("_all")).withColumn("_leaf", leaf)
+    at_home = stored(at_home.select("id", "v", "_s", "_a", "_c", "_leaf").join(leaves.select("_s", "_c", "_leaf", "_subs", "_rows"), ["_s", "_c", "_leaf"]), "home")
     order = Window.partitionBy("id").orderBy("d2", "ref")
     best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    first = _met(q.withColumn("_cells", F.array(F.struct("_home.cell", "_home.radius", "_home.subs"))), r, k)
-    if cells == 1:
+    first = _met(at_home, r, k)
+    if account is not None:
+        account |= {"met": at_home.agg(F.sum("_rows")).first()[0] or 0, "all": q.count() * r.count()}
+    if leaves.groupBy("_s").count().where("count > 1").isEmpty():
         return best(first)
     first = stored(best(first).drop("rank"), "first")
     reach = first.groupBy(F.col("id").alias("_of")).agg(F.when(F.count("*") >= k, F.sqrt(F.max("d2"))).alias("_reach"))
-    # Distances are rounded: the bound gives way by more than their error.
-    within = lambda c: F.col("_reach").isNull() | ((F.get("_d", c["cell"]) - c["radius"]) * (1 - 1e-9) <= F.col("_reach") * (1 + 1e-9))
-    more = q.join(reach, q["id"] == reach["_of"], "left").withColumn("_cells", F.filter("_all", lambda c: (c["cell"] != F.col("_home.cell")) & within(c)))
-    return best(first.union(_met(more.where(F.size("_cells") > 0), r, k)))
+    # Distances are rounded: bounds give way by more than their error.
+    within = lambda bound: F.col("_reach").isNull() | (bound * (1 - 1e-9) <= F.col("_reach") * (1 + 1e-9) + 1e-12)
+    met_home = at_home.select(F.col("id").alias("_of2"), F.col("_c").alias("_hc"), F.col("_leaf").alias("_hl"))
+    more = q.drop("_c", "_n").join(reach, q["id"] == reach["_of"], "left").join(met_home, F.col("id") == F.col("_of2"), "left")
+    more = more.withColumn("_cell", F.explode(F.filter("_all", lambda c: within(F.get("_d", c["cell"]) - c["radius"])))).drop("_all")
+    more = more.withColumn("_c", F.col("_cell.cell")).join(leaves, ["_s", "_c"])
+    apart_by = [x for j in rings for x in (F.col(f"_lo{j}") - F.get("_d", F.lit(j)), F.get("_d", F.lit(j)) - F.col(f"_hi{j}"))]
+    again = F.col("_c").eqNullSafe(F.col("_hc")) & F.col("_leaf").eqNullSafe(F.col("_hl"))
+    more = more.where(within(F.greatest(*apart_by)) & ~again).select("id", "v", "_s", "_a", "_c", "_leaf", "_subs", "_rows")
+    more = stored(more, "more")
+    if account is not None:
+        account["met"] += more.agg(F.sum("_rows")).first()[0] or 0
+    return best(first.union(_met(more, r, k)))
 
 
 def encode(near: DataFrame, labels: DataFrame, ks: Sequence[int]) -> DataFrame:

@@ -154,3 +154,24 @@ def test_poisson_weights_have_mean_one(spark):
     df = spark.range(4000).withColumnRenamed("id", "id")
     times = [r["times"] for r in sampling.bootstrap(df, 2, "s").collect()]
     assert abs(sum(times) / 8000 - 1) < 0.05
+
+
+def test_fewer_pairs_are_met_as_rows_grow(spark, monkeypatch):
+    for name, value in (("BLOCK", 32), ("CELLS", 16), ("LEAVES", 32)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng, shares = np.random.default_rng(1), []
+    centres = rng.random((40, 5)) * 10
+    for n in (300, 2400):
+        x = centres[rng.integers(0, 40, n)] + rng.normal(0, 0.3, (n, 5))
+        x[: n // 10] = x[0]  # equal vectors
+        df = spark.createDataFrame([(i, None if i % 50 == 49 else v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+        account = {}
+        found = neighbours.knn(df.where("id % 7 = 0"), df, 4, account=account).collect()
+        shares.append(account["met"] / account["all"])
+        real = np.array([i % 50 != 49 for i in range(n)])
+        for i in (i for i in range(0, n, 7) if real[i]):
+            d = ((x - x[i]) ** 2).sum(axis=1)
+            d[i], d[~real] = np.inf, np.inf
+            assert [r["ref"] for r in sorted(found, key=lambda r: r["rank"]) if r["id"] == i] == np.lexsort((np.arange(n), d))[:4].tolist()
+        assert all(real[r["id"]] and real[r["ref"]] for r in found)
+    assert shares[1] < 0.6 * shares[0]
