@@ -558,3 +558,33 @@ def test_a_labelled_id_that_repeats_gives_the_fit_one_row(spark, monkeypatch):
     taught = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1, 60))
     assert [len(x) for x, _ in given] == [taught, taught, 20]
     assert given[0] == given[1]
+
+
+def test_mined_rules_grow_with_depth_and_not_with_its_subsets(spark):
+    counts = []
+    for depth in (8, 32):
+        urls = []
+        for i in range(600):
+            at = i % depth + 1  # folders a0/a1/... of every depth, so each folder has rows of its own
+            urls.append((f"http://h.org/{'/'.join(f'a{k}' for k in range(at))}/f.html?q=x{i % 3}", i % 10 != 0))
+        df = spark.createDataFrame(urls, "url string, bad boolean")
+        labelled = df.select(url_filter.tokens(F.col("url"), url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("tokens"), "bad")
+        rules = url_filter.mine(labelled, block_odds=1, allow_odds=1).collect()
+        counts.append(len(rules))
+        for r in rules:
+            kinds = [re.match("dir|scheme|host|domain|part|query|pair|", p[0]).group() for p in r["parts"]]
+            assert sum(k == "dir" for k in kinds) <= 1 and sum(k in ("scheme", "host", "domain", "part") for k in kinds) <= 1 and sum(k in ("query", "pair") for k in kinds) <= 1
+    assert 0 < counts[1] < 6 * counts[0]
+
+
+def test_mined_supports_are_those_of_the_urls(spark):
+    rng = random.Random(4)
+    rows = [(f"http://{rng.choice(['a', 'b.a', 'c'])}.org/{rng.choice(['x', 'y'])}/{rng.choice(['u', 'v'])}/p.html{rng.choice(['', '?k=z', '?k=w&m=n'])}", rng.random() < 0.4) for _ in range(400)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    labelled = df.select(url_filter.tokens(F.col("url"), url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("tokens"), "bad")
+    rules, seen = url_filter.mine(labelled, block_odds=1, allow_odds=1).collect(), labelled.collect()
+    assert len(rules) > 20
+    for r in rules:
+        own = [x["bad"] for x in seen if all(set(p) & set(x["tokens"]) for p in r["parts"])]
+        good = r["verdict"] == "allow"
+        assert r["support"] == pytest.approx(sum(b != good for b in own) / len(seen)) and r["confidence"] == pytest.approx(sum(b != good for b in own) / len(own))
