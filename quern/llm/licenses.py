@@ -126,9 +126,9 @@ def _windows(rows: DataFrame, templates: tuple[Template, ...], dice: int) -> Dat
 
     every = F.flatten(F.filter(F.transform("fitting", tried), lambda x: x.isNotNull()))
     rows = rows.withColumn("tried", F.array_sort(every))
-    ends = F.transform("lines", lambda x, i: F.aggregate(F.slice("lines", 1, i + 1), F.lit(0), lambda n, y: n + F.size(y)))
-    rows = rows.withColumn("ends", F.when(F.size("tried") > 0, ends))
-    line = lambda i: F.size(F.filter("ends", lambda e: e <= i)) + 1
+    lines_of_words = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.size(x))))
+    rows = rows.withColumn("at", F.when(F.size("tried") > 0, lines_of_words))
+    line = lambda i: F.get("at", i)
     free = F.filter("tried", lambda m: ~F.exists("found", lambda f: (f["back"] == 0) | (-f["back"]).between(line(m["i"]), line(m["end"] - 1))))
     apart = lambda kept, m: ~F.exists(kept, lambda o: (m["i"] < o["end"]) & (o["i"] < m["end"]))
     kept = F.aggregate(free, F.filter("tried", lambda m: F.lit(False)), lambda kept, m: F.when(apart(kept, m), F.array_append(kept, m)).otherwise(kept))
