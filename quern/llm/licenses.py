@@ -74,6 +74,12 @@ def bigrams_of(text: str) -> list[tuple[str, str]]:
     return sorted(set(zip(words, words[1:], strict=False)))
 
 
+def _hashes(bigrams: list[tuple[str, str]]) -> str:
+    """SQL for an array of bigram hashes. Words hold no quotes; a text for all is parsed at once, literals by the thousand are
+    not passed one by one."""
+    return "array(" + ", ".join(f"xxhash64('{a}', '{b}')" for a, b in bigrams) + ")"
+
+
 def _normal(text: Column) -> Column:
     """Words of each line: runs of letters and digits, A-Z in lower case; other ASCII marks separate."""
     plain = F.regexp_replace(ascii_lower(text), r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+", " ")
@@ -94,19 +100,18 @@ def _windows(rows: DataFrame, templates: tuple[Template, ...], dice: int) -> Dat
     Of windows that overlap, the one of most common bigrams less those of one side only stays, so that a whole licence
     goes before a notice in it; then the first, then that of the first template.
     """
-    pair = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
     known = []
     for k, t in enumerate(templates):
         own = bigrams_of(t.text)
-        size = sum(w != "" for w in words_of(t.text))
-        hashes = F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in own))
-        known.append(F.struct(F.lit(k).alias("k"), F.lit(size).alias("n"), F.array(*(pair(a, b) for a, b in own)).alias("pairs"), hashes.alias("h")))
-    vocabulary = F.array(*(F.lit(w) for w in sorted({w for t in templates for w in words_of(t.text) if w})))
+        pairs = ", ".join(f"named_struct('a', '{a}', 'b', '{b}')" for a, b in own)
+        known.append(f"named_struct('k', {k}, 'n', {sum(w != '' for w in words_of(t.text))}, 'pairs', array({pairs}), 'h', {_hashes(own)})")
+    known = F.expr(f"array({', '.join(known)})")
+    vocabulary = F.expr("array(" + ", ".join(f"'{w}'" for w in sorted({w for t in templates for w in words_of(t.text) if w})) + ")")
     enough = lambda n, of: n * (200 - dice) >= of * dice
     rows = rows.withColumn("v", F.array_intersect(F.flatten("lines"), vocabulary))
     both = lambda p: F.array_contains("v", p["a"]) & F.array_contains("v", p["b"])
-    fitting = F.filter(F.array(*known), lambda t: enough(F.size(F.filter(t["pairs"], both)), F.size(t["pairs"])))
-    rows = rows.withColumn("fitting", F.when(F.size("v") > 2, fitting).otherwise(F.filter(F.array(*known), lambda t: F.lit(False))))
+    fitting = F.filter(known, lambda t: enough(F.size(F.filter(t["pairs"], both)), F.size(t["pairs"])))
+    rows = rows.withColumn("fitting", F.when(F.size("v") > 2, fitting).otherwise(F.filter(known, lambda t: F.lit(False))))
     words = F.when(F.size("fitting") > 0, F.flatten("lines"))
     rows = rows.withColumn("w", words)
     firsts = F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))
@@ -153,8 +158,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, dice: int
     """
     sets = [bigrams_of(t.text) for t in templates]
     low, high = min(map(len, sets)) * dice // (200 - dice), -(-max(map(len, sets)) * (200 - dice) // dice)
-    hashed = [F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in own)) for own in sets]
-    every = F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in sorted({x for own in sets for x in own})))
+    hashed = [F.expr(_hashes(own)) for own in sets]
+    every = F.expr(_hashes(sorted({x for own in sets for x in own})))
     rows = docs.select("doc_id", _normal(F.coalesce(F.col("text"), F.lit(""))).alias("lines"))
     words = F.concat(F.array(F.when(F.size("lines") > 1, F.flatten("lines"))), F.col("lines"))
     units = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("line"), w.alias("w"))), lambda s: F.size(s["w"]) > low)
