@@ -137,7 +137,7 @@ def region_gate(scores: DataFrame, labels: DataFrame, bins: int) -> DataFrame:
     """``(id, fold, y, score)``: in each region of the mean rank, the model that ranks best there on other folds, where it
     beats the mean; elsewhere the mean."""
     ranks = transformed(scores, "rank")
-    anchor = blend(ranks)
+    anchor = blend(ranks).withColumn("score", F.round("score", 12))  # a tie must not hang on the order in which ranks are summed
     region = F.least(F.floor(F.col("_r") * bins), F.lit(bins - 1)).cast("int").alias("region")
     placed = transformed(anchor.withColumn("model", F.lit("")), "rank").select("id", F.col("score").alias("_r")).select("id", region)
     every = ranks.select("id", "model", "score").unionByName(anchor.select("id", F.lit("").alias("model"), "score"))

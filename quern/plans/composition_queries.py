@@ -9,7 +9,7 @@ from quern.operators import compositions, models, neighbours
 from quern.operators.blending import blend
 from quern.operators.metrics import auc
 from quern.plans.base import BASE, FOLDED, auc_sql, folded, query, r6, ranked_sql
-from quern.plans.blend_queries import LONG, _vectors, long_scores
+from quern.plans.blend_queries import _RANK, LONG, _vectors, long_scores
 
 _NEAR = """v as (select vec_id as id, embedding::double[] as v, label, label % 2 as y from embeddings), d as (
     select q.id, r.id as ref, r.y, q.label, list_sum(list_transform(list_zip(q.v, r.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d2 from v q join v r on {on}
@@ -119,7 +119,15 @@ def x16_top_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_fold(compositions.top_stack(long_scores(df), df.select("id", "y", "fold"), 2))
 
 
-@query()
+@query(
+    f"""with {FOLDED}, {LONG}, ranks as (select id, model, {_RANK} as s from long), anchor as (select id, '' as model, round (avg(s), 12) as s from ranks group by id),
+    places as (select id, (rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double) / count(*) over () as r from anchor),
+    rows as (select e.id, model, s, least(floor(r * 4), 3)::int as region, y, fold from (select * from ranks union all select * from anchor) e join places using (id) join folded using (id)),
+    fs as (select distinct fold as f from folded), tried as (select f, region, model, s, y from rows, fs where fold <> f), {ranked_sql("local", "tried", "f, region, model")},
+    best as (select f, region, model from local where auc is not null and not isnan(auc) qualify row_number() over (partition by f, region order by auc desc, (model = '') desc, model desc) = 1),
+    own as (select r.fold, r.y, r.s from rows r left join best b on b.f = r.fold and b.region = r.region where r.model = coalesce(b.model, '')), {auc_sql("own", "s", "fold")}
+    select fold, round(good / pairs, 6) as auc, pairs from auc"""
+)
 def b12_region_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = folded(spark, sf_dir)
     return _by_fold(compositions.region_gate(long_scores(df), df, 4))

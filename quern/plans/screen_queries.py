@@ -77,9 +77,14 @@ def b18_second_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(screens.second_choice(a.join(b, "draw")))
 
 
-@query()
+@query(
+    f"""with recursive {BASE}, cells as (select pri, round (ln(greatest(least(a, 0.999999::double), 1e-6::double) / (1 - greatest(least(a, 0.999999::double), 1e-6::double))), 4 ) as z, sum(y)::double as t, count(*)::double as n from base group by all),
+    steps as (select 0 as k, pri, 0.0::double as d from (select distinct pri from cells) union all
+        select k + 1, s.pri, d + (sum(t - n / (1 + exp(-(z + d)))) - 5 * d) / (sum(n / (1 + exp(-(z + d))) * (1 - 1 / (1 + exp(-(z + d))))) + 5) from steps s join cells c on c.pri = s.pri where k < 25 group by k, s.pri, d)
+    select pri as "group", round(d, 6) as "offset" from steps where k = 25"""
+)
 def m28_group_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newton steps by group; tested by the gradient at the solution."""
+    """Newton steps by group."""
     return r6(screens.group_offsets(base(spark, sf_dir), "a", "pri", 5.0))
 
 
