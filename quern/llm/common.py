@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.sources.scratch import new_path, shared_dir, stored
+from quern.sources.scratch import forget, new_path, shared_dir, stored
 
 __all__ = ["BITMAP_BITS", "WORD", "ascii_lower", "forget", "marked", "n_words", "new_path", "shared_dir", "stored", "table"]
 
@@ -26,14 +26,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by ``stored`` that nothing reads any more."""
-    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(hadoop).delete(path, True)
-
-
 #: Bits of a map of hashes (32 MB), at most.
 BITMAP_BITS = 1 << 28
 
