@@ -17,7 +17,8 @@ SEPARATORS = frozenset("|»›>•·")
 MIN_WORDS = 50
 #: A document is rejected if fewer of its words are left than one in LOSS.
 LOSS = 2
-#: Phrases that mark a short line as boilerplate, in the languages of the corpus; other languages are a parameter.
+#: Phrases that mark a line as boilerplate, in the languages of the corpus, where they are one in SHARE of its words; other
+#: languages are a parameter. A sentence that merely has such words stays.
 BOILERPLATE = (
     "accept cookies", "uses cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
     "all rights reserved", "enable javascript", "click here", "subscribe to our", "sign up for", "log in to",
@@ -29,6 +30,7 @@ BOILERPLATE = (
     "aceptar cookies", "utiliza cookies", "política de privacidad", "aviso legal", "todos los derechos reservados", "haga clic",
     "suscríbete", "compartir este",
 )
+SHARE = 4
 #: A line ends in a terminal mark, closing quotes and brackets aside; a line of so many words may do with one inside.
 PARAGRAPH = 20
 TERMINAL = r"""[.!?:;…]["'”’»)\]]*\z"""
@@ -73,7 +75,15 @@ def line_fails(line: str, boilerplate: re.Pattern[str] | None = None) -> bool:
         return True
     if n >= 10 and 3 * len(set(words)) < n:
         return True
-    return n <= 30 and (boilerplate or phrases()).search(line.lower()) is not None
+    return is_boilerplate(line.lower(), n, boilerplate or phrases())
+
+
+def is_boilerplate(line: str, n: int, boilerplate: re.Pattern[str]) -> bool:
+    """Whether phrases, each counted once, make up one in SHARE of a line's n words."""
+    if boilerplate.search(line) is None:
+        return False
+    found = {m.group(1) for m in re.finditer(f"(?=({boilerplate.pattern}))", line)}
+    return SHARE * sum(len(p.split()) for p in found) >= n
 
 
 def judged(text: str | None, boilerplate: re.Pattern[str]) -> tuple:
@@ -98,8 +108,8 @@ def clean(docs: DataFrame, texts: bool = True, boilerplate: Sequence[str] = BOIL
     ``clean_md5`` its digest.
 
     A line without a word neither passes nor fails and is dropped. A line fails that does not end in a terminal mark
-    (and is short or has none inside), is a navigation bar, is full of symbols or in capitals, repeats few words, or is
-    short and holds a phrase of ``boilerplate``. A document is kept if its base counts pass and half of its words at
+    (and is short or has none inside), is a navigation bar, is full of symbols or in capitals, repeats few words, or has
+    phrases of ``boilerplate`` for one in SHARE of its words at least. A document is kept if its base counts pass and half of its words at
     least are left; exactly half is enough. A null, empty or blank text has no words, no text left, and is rejected; a
     text of any length is read whole, by one task. Repeated rows are judged one by one and an empty table gives an
     empty result; columns other than doc_id and text are ignored, whatever their names.

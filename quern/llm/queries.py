@@ -99,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TEMPLATES = ", ".join(f"({k}, '{t.license}', '{t.kind}', '{t.text}')" for k, t in enumerate(licenses.TEMPLATES))
 _PHRASES = "|".join(quality_rules.BOILERPLATE)
+_LISTED = ", ".join(f"'{p}'" for p in quality_rules.BOILERPLATE)
 
 SQL: dict[str, str] = {
     "op1_url_filter": r"""
@@ -196,7 +197,7 @@ SQL: dict[str, str] = {
                    or 2 * (length(line) - length(translate(line, '#*$%&|<>', ''))) >= len(w)
                    or (len(w) >= 3 and not regexp_matches(line, '\p{{Ll}}') and regexp_matches(line, '\p{{Lu}}'))
                    or (len(w) >= 10 and 3 * len(list_distinct(w)) < len(w))
-                   or (len(w) <= 30 and regexp_matches(lower(line), '{_PHRASES}')) as fails
+                   or (regexp_matches(lower(line), '{_PHRASES}') and 4 * list_sum([case when contains(lower(line), p) then len(string_split(p, ' ')) else 0 end for p in [{_LISTED}]]) >= len(w)) as fails
             from lines where len(w) > 0
         ), left_over as (
             select r, sum(case when fails then 0 else n end) as kept_words, md5(coalesce(string_agg(raw, chr(10) order by i) filter (not fails), '')) as clean_md5 from ruled group by r

@@ -588,3 +588,11 @@ def test_mined_supports_are_those_of_the_urls(spark):
         own = [x["bad"] for x in seen if all(set(p) & set(x["tokens"]) for p in r["parts"])]
         good = r["verdict"] == "allow"
         assert r["support"] == pytest.approx(sum(b != good for b in own) / len(seen)) and r["confidence"] == pytest.approx(sum(b != good for b in own) / len(own))
+
+
+def test_sentences_that_merely_have_such_words_stay():
+    for good in ("The mill was powered by water until the fire of 1911.", "The company uses cookies made by a local baker."):
+        assert not quality_rules.line_fails(good)
+    for bad in ("This site uses cookies.", "By going on you accept our privacy policy and the terms of use.", "© 2020 Smith. All rights reserved.", "Diese Seite verwendet Cookies."):
+        assert quality_rules.line_fails(bad)
+    assert not quality_rules.is_boilerplate("log in to, log in to and what else there is to say of it all, at length", 17, quality_rules.phrases())
