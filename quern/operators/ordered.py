@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from quern.sources.scratch import stored
 
+#: A range holds so many rows, or more where there would be over MAX_RANGES of them; fewer rows are one range.
+RANGE_ROWS = 1 << 18
+MAX_RANGES = 1 << 15
+
 
 def met(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """``df`` with the other columns of ``other`` where all of ``on`` are equal; null meets null, so no row is lost."""
@@ -25,10 +29,15 @@ def unique(df: DataFrame, id: str = "id") -> DataFrame:
     return df
 
 
-def in_ranges(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with ``_range``, which rises with ``order``. Spark samples the cuts and sizes the ranges, so there are as
-    many as the rows need; the table is stored, for another run might cut elsewhere."""
-    return stored(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+def in_ranges(rows: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """``rows`` with ``_range``, which rises with ``order``, and the number of ranges, which grows with the rows. The rows are
+    stored and counted, so that what they are made from runs once; Spark samples the cuts, and the ranges are stored too,
+    for another run might cut elsewhere."""
+    rows = stored(rows, "values")
+    ranges = min(MAX_RANGES, max(1, -(-rows.count() // RANGE_ROWS)))
+    if ranges == 1:
+        return rows.withColumn("_range", F.lit(0)), 1
+    return stored(rows.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranges"), ranges
 
 
 def before(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
@@ -41,8 +50,11 @@ def before(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str]
     """
     by = list(by)
     one = df.where(F.col(order).isNotNull()).groupBy(*by, order).agg(*(F.sum(v).alias(k) for k, v in sums.items()))
-    one = in_ranges(one, order)
+    one, ranges = in_ranges(one, order)
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if ranges == 1:
+        here, every = {f"{k}_before": F.coalesce(F.sum(k).over(inside), F.lit(0)) for k in sums}, Window.partitionBy(*by, "_range")
+        return one.select(*by, order, *sums, *(v.alias(k) for k, v in here.items()), *(F.sum(k).over(every).alias(f"{k}_all") for k in sums))
     total = one.groupBy(*by, "_range").agg(*(F.sum(k).alias(f"_{k}") for k in sums))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -90,9 +102,17 @@ def quantiles(df: DataFrame, column: str, shares: dict[str, float], by: Sequence
     return found.groupBy(*by).agg(*out)
 
 
+def lowest_mean(df: DataFrame, column: str, k: int, name: str) -> DataFrame:
+    """One row with the mean of the ``k`` lowest values of ``column``, of all if they are fewer; null without a value, or if
+    ``k`` is 0. Values are counted by ranges, so no task holds all k; nulls are left out."""
+    found = before(df.select(F.col(column).alias("_v")), "_v", {"_n": F.lit(1)})
+    taken = F.greatest(F.least(F.col("_n"), F.lit(k) - F.col("_n_before")), F.lit(0))
+    return found.agg(F.try_divide(F.sum(F.col("_v") * taken), F.sum(taken)).alias(name))
+
+
 def numbered(values: DataFrame, column: str, name: str) -> DataFrame:
     """``values`` (distinct) with their place from 0 in the order of ``column``."""
-    one = in_ranges(values, column)
+    one, _ = in_ranges(values, column)
     total = one.groupBy("_range").agg(F.count("*").alias("_n"))
     total = total.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from math import exp, factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import uniform
-from quern.operators.ordered import hashed_place, met
+from quern.operators.ordered import before, hashed_place, met
 
 
 def stratified(df: DataFrame, n: int, seed: str, by: str = "y") -> DataFrame:
@@ -17,9 +17,14 @@ def stratified(df: DataFrame, n: int, seed: str, by: str = "y") -> DataFrame:
 
 
 def weighted(df: DataFrame, n: int, seed: str, weight: str) -> DataFrame:
-    """n rows, drawn without replacement with chances that follow ``weight``: the smallest of -ln(u) / w."""
-    draw = -F.log(1 - uniform(seed, F.col("id"))) / F.col(weight)
-    return df.where(F.col(weight) > 0).withColumn("draw", draw).orderBy("draw", "id").limit(n)
+    """n rows, drawn without replacement with chances that follow ``weight``: the smallest of -ln(u) / w. Draws are counted by
+    ranges, so n may be a share of all rows. Rows of one draw are taken in order of id; rows without a positive weight
+    are never taken, and a null id draws like others."""
+    draw = F.try_divide(-F.log(1 - uniform(seed, F.col("id"))), F.col(weight))
+    rows = df.where(F.col(weight) > 0).withColumn("draw", draw)
+    near = before(rows, "draw", {"_n": F.lit(1)}).where(F.col("_n_before") < n).select("draw", "_n_before")
+    place = F.col("_n_before") + F.row_number().over(Window.partitionBy("draw").orderBy("id"))
+    return rows.join(near, "draw").withColumn("_place", place).where(F.col("_place") <= n).select(*rows.columns)
 
 
 def poisson(u: Column) -> Column:

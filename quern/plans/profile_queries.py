@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import keys, scalars
 from quern.operators import codes, neighbours, profiles, sampling
-from quern.operators.ordered import quantiles
+from quern.operators.ordered import lowest_mean, quantiles
 from quern.plans.base import BASE, DIGITS, FOLDED, base, folded, query, r6, u_sql
 from quern.sources import tables
 from quern.sources.store import latest_status
@@ -87,7 +87,7 @@ def a16_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a17_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = base(spark, sf_dir)
     n = df.count()
-    worst = df.orderBy("a", "id").limit(int(n * 0.05)).agg(F.avg("a").alias("worst_5"))
+    worst = lowest_mean(df, "a", int(n * 0.05), "worst_5")
     q = quantiles(df, "price", {"p05": 0.05, "p50": 0.5, "p95": 0.95}).select(*(F.round(F.col(k) + 1e-9, 4).alias(k) for k in ("p05", "p50", "p95")))
     return r6(q.withColumn("k", F.lit(1)).join(worst.withColumn("k", F.lit(1)), "k").drop("k"))
 

@@ -63,14 +63,15 @@ def test_equal_scores_have_no_error(spark):
 
 
 def test_holm(spark):
-    rows = spark.createDataFrame([("x", 0.01), ("y", 0.04), ("z", 0.03)], "t string, p double")
+    rows = spark.createDataFrame([("x", 0.02), ("y", 0.5), ("z", 0.004), ("w", 0.015)], "t string, p double")
     got = {r["t"]: round(r["p_holm"], 12) for r in metrics.holm(rows, "p", "t").collect()}
-    assert got == {"x": 0.03, "y": 0.06, "z": 0.06}
+    assert got == {"z": 0.016, "w": 0.045, "x": 0.045, "y": 0.5}
 
 
 def test_total_variation(spark):
-    a, b = (spark.createDataFrame([(v,), (v,)], "v string") for v in "ab")
-    assert metrics.total_variation(a, b, "v").first()["tv"] == 1.0
+    a, b, c = (spark.createDataFrame([(v,) for v in values], "v string") for values in ("ppqr", "pqqs", "st"))
+    assert metrics.total_variation(a, b, "v").first()["tv"] == 0.5
+    assert metrics.total_variation(a, c, "v").first()["tv"] == 1.0
     assert metrics.total_variation(a, a, "v").first()["tv"] == 0.0
 
 
