@@ -248,7 +248,7 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     text hash; of rows that repeat both, one stays, chosen by a hash of all its columns. Null, empty and blank texts
     share fingerprint 0 and so are copies of each other. Columns may have any names.
     """
-    key = lambda text: [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
+    key = lambda text: [F.xxhash64(text), F.xxhash64(F.lit(1), text)]  # noqa: E731  # 128 bits: the second is seeded before the text
     own = [F.col(f"`{c}`") for c in docs.columns]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     packed = docs.select(F.struct(*own).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), *(k.alias(n) for k, n in zip(key(text), ("h", "g"), strict=True)))
