@@ -155,8 +155,12 @@ def multi_output(df: DataFrame, targets: Sequence[str], features: Sequence[str])
 
 
 def teacher(other: DataFrame, rows: DataFrame, features: Sequence[str], model: str = "logistic") -> DataFrame:
-    """``rows`` with ``score`` from a fit on another table, without its rows that equal one of ``rows`` in all features."""
-    return fit_apply(other.join(rows.select(*features).distinct(), list(features), "left_anti"), rows, features, model)
+    """``rows`` with ``score`` from a fit on another table, without its rows that equal one of ``rows`` in all features. If no
+    row is left, as where features have few values and ``rows`` has them all, there is no teacher and scores are null."""
+    taught = stored(other.join(rows.select(*features).distinct(), list(features), "left_anti"), "teachers")
+    if taught.isEmpty():
+        return rows.drop("y").withColumn("score", F.lit(None).cast("double"))
+    return fit_apply(taught, rows, features, model)
 
 
 def latent(fit: DataFrame, rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:
