@@ -1,11 +1,11 @@
-"""URL filters: a rule list, then association rules that FP-growth mines from labelled URLs."""
+"""URL filters: a rule list, then association rules that FP-growth in rounds mines from labelled URLs."""
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 from typing import NamedTuple
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,57 +81,57 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.transform(named, lambda x: F.concat(x["k"], x["v"])))
 
 
-def kind_of(token: Column) -> Column:
-    """The kind of a token: D folders, H the host, Q the query, F what else there is."""
-    of = lambda names: token.rlike(rf"\A({names})=")
-    return F.when(of("dir[0-9]+"), "D").when(of("scheme|host|domain|part"), "H").when(of("query|pair"), "Q").otherwise("F")
-
-
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, block_odds: int = BLOCK_ODDS, allow_odds: int = ALLOW_ODDS) -> DataFrame:
     """``(verdict, parts, confidence, support)`` of each token combination that tells bad or good URLs, from
     ``labelled(tokens, bad)``. A URL fits a rule if it has a token of each of its ``parts``.
 
-    A rule has at most one folder, one token of the host and one of the query: of tokens that lie within each other one says
-    what several do, so rules grow with the depth of folders, not with its subsets. A URL is a basket for each choice of these
-    three, or of none of a kind; the kinds chosen mark all items of the basket, and an itemset counts if it has an
-    item of each kind that marks it, which is then in one basket of a URL. Tokens of a kind that mark the very same
-    labelled URLs are one item. Labels of one kind teach nothing.
+    FP-growth: a basket's items stand from the most frequent on, and the baskets that hold a set of items, cut before the
+    most frequent of them and counted where they are equal, are the base in which it grows. Tokens that mark the very same
+    labelled URLs are one item. A set that marks the same labelled URLs as a part of it is left: its counts are that part's, and
+    every URL that it fits, the part fits with the same verdict. All that grows from it is left likewise. So no URL loses
+    a verdict, and nested folders give rules by their depth and not by its subsets. Labels of one kind teach nothing.
     """
     labelled = stored(labelled.withColumn("_q_row", F.monotonically_increasing_id()), "labelled")
     n, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
     good = n - bad
     least = max(MIN_COUNT, ceil(min_support * n))
-    each = labelled.select("_q_row", "bad", F.explode("tokens").alias("t")).withColumn("kind", kind_of(F.col("t")))
+    each = labelled.select("_q_row", "bad", F.explode("tokens").alias("t"))
     rows = F.sum(F.xxhash64("_q_row").cast("decimal(38,0)"))
-    marked = each.groupBy("kind", "t").agg(F.count("*").alias("n"), rows.alias("s"), F.sum(F.xxhash64("_q_row", F.lit(1)).cast("decimal(38,0)")).alias("z")).where(F.col("n") >= least)
-    item = F.concat("kind", F.min("t"))
-    items = stored(marked.groupBy("kind", "n", "s", "z").agg(item.alias("item"), F.array_sort(F.collect_list("t")).alias("part")).select("item", "part"), "items")
+    marked = each.groupBy("t").agg(F.count("*").alias("n"), rows.alias("s"), F.sum(F.xxhash64("_q_row", F.lit(1)).cast("decimal(38,0)")).alias("z")).where(F.col("n") >= least)
+    items = stored(marked.groupBy("n", "s", "z").agg(F.min("t").alias("item"), F.array_sort(F.collect_list("t")).alias("part")).select("n", "item", "part"), "items")
     if not bad or not good or items.isEmpty():
         return labelled.limit(0).select(F.lit("block").alias("verdict"), F.array(F.array(F.lit(""))).alias("parts"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
-    of = items.select("item", F.explode("part").alias("t"))
-    found = each.join(of, "t").groupBy("_q_row", "bad").agg(F.collect_set("item").alias("items"))
-    own = lambda kind: F.filter("items", lambda x: F.substring(x, 1, 1) == kind)
-    for kind in "DHQ":
-        found = found.withColumn(kind, F.explode(F.concat(F.array(F.lit("")), own(kind))))
-    tag = F.concat(*(F.substring(kind, 1, 1) for kind in "DHQ"), F.lit(":"))
-    chosen = F.concat(F.filter(F.array("D", "H", "Q"), lambda x: x != ""), own("F"))
-    baskets = found.select(F.array_append(F.transform(chosen, lambda x: F.concat(tag, x)), F.when(F.col("bad"), BAD).otherwise(GOOD)).alias("items"))
-    share = lambda odds, own, other: odds * own / (odds * own + other)
-    lowest = min(share(block_odds, bad, good), share(allow_odds, good, bad))
-    baskets = stored(baskets.where(F.size("items") > 1), "baskets")
-    total = baskets.count()
-    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=lowest - 1e-9).fit(baskets).associationRules
-    kinds = lambda x: F.length(F.substring_index(x, ":", 1))
-    bare = F.transform("antecedent", lambda x: F.substring(x, F.instr(x, ":") + 1, F.length(x)))
-    found = found.withColumns({"marks": kinds(F.col("antecedent")[0]), "antecedent": bare})
-    found = found.where(F.size(F.filter("antecedent", lambda x: F.substring(x, 1, 1) != "F")) == F.col("marks"))
-    have = F.round(F.col("support") * total)
-    not_have = F.round(have / F.col("confidence")) - have
-    blocks = (F.col("consequent")[0] == BAD) & (have * good >= block_odds * not_have * bad)
-    allows = (F.col("consequent")[0] == GOOD) & (have * bad >= allow_odds * not_have * good)
-    rules = found.where(blocks | allows).select(F.when(F.col("consequent")[0] == BAD, "block").otherwise("allow").alias("verdict"), "antecedent", "confidence", (have / n).alias("support"))
-    parts = rules.select("*", F.explode("antecedent").alias("item")).join(items, "item")
-    return parts.groupBy("verdict", "antecedent", "confidence", "support").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("verdict", "parts", "confidence", "support")
+    of = items.select((-F.col("n")).alias("n"), "item", F.explode("part").alias("t"))
+    held = each.join(of, "t").groupBy("_q_row", "bad").agg(F.array_sort(F.collect_set(F.struct("n", "item")))["item"].alias("items"))
+    none = F.array().cast("array<string>")
+    base = held.groupBy(none.alias("ante"), "items").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
+    found: list[DataFrame] = []
+    while True:
+        # Without an item that the baskets hold more often, a set is in no further base.
+        grown = stored(base.select("ante", "items", "b", "g", F.posexplode("items").alias("at", "x")), "grown")
+        sets = grown.groupBy("ante", "x").agg(F.sum("b").alias("b"), F.sum("g").alias("g")).where(F.greatest("b", "g") >= least)
+        sets = sets.withColumn("set", F.array_append("ante", F.col("x")))
+        if found:
+            parts = sets.select("set", (F.col("b") + F.col("g")).alias("n"), F.explode(F.transform("set", lambda x: F.array_remove("set", x))).alias("less"))
+            fewer = found[-1].select(F.col("set").alias("less"), (F.col("b") + F.col("g")).alias("less_n"))
+            whole = parts.join(fewer, "less").where("less_n > n").groupBy("set").count().where(F.col("count") == F.size("set"))
+            sets = sets.join(whole.select("set"), "set")
+        sets = stored(sets.select("ante", "x", "set", "b", "g"), "sets")
+        if sets.isEmpty():
+            break
+        found.append(sets)
+        cut = grown.where("at > 0").join(sets.select("ante", "x", "set"), ["ante", "x"])
+        base = cut.groupBy(F.col("set").alias("ante"), F.slice("items", 1, F.col("at")).alias("items")).agg(F.sum("b").alias("b"), F.sum("g").alias("g"))
+    if not found:
+        return labelled.limit(0).select(F.lit("block").alias("verdict"), F.array(F.array(F.lit(""))).alias("parts"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
+    every = reduce(DataFrame.union, [x.select("set", "b", "g") for x in found])
+    told = lambda verdict, own, other, fits: F.when((F.col(own) >= least) & fits, F.struct(F.lit(verdict).alias("verdict"), F.col(own).alias("have"), F.col(other).alias("not_have")))
+    b, g = F.col("b"), F.col("g")
+    both = F.array(told("block", "b", "g", b * good >= block_odds * g * bad), told("allow", "g", "b", g * bad >= allow_odds * b * good))
+    rules = every.select("set", F.inline(F.filter(both, lambda x: x.isNotNull())))
+    rules = rules.select("verdict", "set", (F.col("have") / (F.col("have") + F.col("not_have"))).alias("confidence"), (F.col("have") / n).alias("support"))
+    parts = rules.select("*", F.explode("set").alias("item")).join(items.select("item", "part"), "item")
+    return parts.groupBy("verdict", "set", "confidence", "support").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("verdict", "parts", "confidence", "support")
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
