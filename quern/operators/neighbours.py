@@ -14,18 +14,26 @@ from quern.functions.scalars import uniform
 from quern.sources.scratch import stored
 
 #: Rows of a block: queries and references of one task are two blocks.
-BLOCK = 4096
+BLOCK = 16384
+#: Queries of a block whose products with all references of the other are held at once, and pairs that are measured at once.
+ROWS, PAIRS = 128, 1 << 16
 #: Pivots on the driver, pivots within one of their cells, and pivots that bound a leaf by rings, at most.
 CELLS, LEAVES, RINGS = 256, 512, 16
 
 
+def _matrix(v: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of vectors without nulls as rows of a matrix; vectors of other lengths are an error."""
+    values = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(v), len(values) // max(len(v), 1))
+
+
 def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``df(id, v, _s, _a)`` with ``_d``, the distance to each pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column("v").to_pylist(), float)
+                x = _matrix(b.column("v"))
                 d = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(d), pa.list_(pa.float64()))], [*b.schema.names, "_d"])
 
@@ -38,7 +46,7 @@ def _leaf_of(rows: pa.Table, pivots: pa.Table) -> pa.Table:
     if not rows.num_rows or not pivots.num_rows:
         return rows.append_column("_leaf", pa.nulls(rows.num_rows, pa.int64()))
     pivots = pivots.sort_by("id")
-    x, y = (np.array(t["v"].to_pylist(), float) for t in (rows, pivots))
+    x, y = _matrix(rows["v"]), _matrix(pivots["v"])
     near = np.concatenate([np.argmin(np.stack([((x[at : at + 1024] - p) ** 2).sum(axis=1) for p in y]), axis=0) for at in range(0, len(x), 1024)])
     return rows.append_column("_leaf", pa.array(pivots["id"].to_numpy()[near], pa.int64()))
 
@@ -54,41 +62,70 @@ def _with_leaf(rows: DataFrame, pivots: DataFrame) -> DataFrame:
 
 
 def _best(k: int):
-    """The k nearest references of a block for each query of another, as Arrow tables."""
+    """The k nearest references of a block for each query of another, as Arrow tables.
+
+    One matrix product gives all squared distances of two blocks up to a known error. Only references that this error may put
+    among the k nearest, and none beyond ``_top``, a squared distance within which k are known, are then measured exactly.
+    """
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            qid, rid = left["id"].to_numpy(), right["id"].to_numpy()
-            qa, ra = (np.array(t["_a"].to_pylist(), object) for t in (left, right))
+            qid, rid, top = left["id"].to_numpy(), right["id"].to_numpy(), left["_top"].to_numpy()
             order = np.argsort(rid, kind="stable")
-            rid, ra = rid[order], ra[order]
-            x, y = (np.array(t["v"].to_pylist(), float) for t in (left, right))
-            y = y[order]
-            for at in range(0, len(x), 256):
-                d = ((x[at : at + 256, None, :] - y[None]) ** 2).sum(axis=2) if len(y) <= 512 else np.stack([((y - one) ** 2).sum(axis=1) for one in x[at : at + 256]])
-                d[(qid[at : at + 256, None] == rid[None]) | ((qa[at : at + 256, None] == ra[None]) & (ra[None] != ""))] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                d = np.take_along_axis(d, best, axis=1)
-                rows, cols = np.nonzero(np.isfinite(d))
-                for o, v in zip(out, (qid[at + rows], rid[best[rows, cols]], d[rows, cols]), strict=True):
+            rid, x, y = rid[order], _matrix(left["v"]), _matrix(right["v"])[order]
+            kinds = np.array(left["_a"].to_pylist() + right["_a"].to_pylist(), object)
+            codes = np.unique(kinds, return_inverse=True)[1]
+            qa, ra = np.where(kinds == "", -1, codes)[: len(x)], codes[len(x) :][order]
+            with np.errstate(all="ignore"):
+                middle = y.mean(axis=0)
+                xc, yc = x - middle, y - middle
+                nx, ny = (xc * xc).sum(axis=1), (yc * yc).sum(axis=1)
+                xc, yc = np.column_stack([-2 * xc, np.ones(len(x))]), np.column_stack([yc, ny])
+                slack = 4e-15 * (x.shape[1] + 16) * (nx + ny.max())
+            sure = np.isfinite(slack).all()
+            first, last = np.searchsorted(rid, qid, "left"), np.searchsorted(rid, qid, "right")
+            for at in range(0, len(x), ROWS):
+                part = slice(at, at + ROWS)
+                d = xc[part] @ yc.T if sure else np.zeros((len(x[part]), len(y)))  # less the query's own square
+                for i in np.nonzero(first[part] < last[part])[0]:
+                    d[i, first[at + i] : last[at + i]] = np.inf
+                for c in np.unique(qa[part]):
+                    if c >= 0 and (own := ra == c).any():
+                        d[np.ix_(qa[part] == c, own)] = np.inf
+                most = top[part] - nx[part]
+                if not sure:
+                    most = np.zeros(len(d))
+                elif (new := np.isnan(most)).any():
+                    most[new] = np.partition(d[new], min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                most = np.minimum(most + 2 * slack[part] if sure else most, np.finfo(float).max)
+                rows, cols = np.nonzero(d <= most[:, None])
+                with np.errstate(all="ignore"):
+                    exact = [((x[at + rows[p : p + PAIRS]] - y[cols[p : p + PAIRS]]) ** 2).sum(axis=1) for p in range(0, len(rows), PAIRS)]
+                exact = np.concatenate(exact) if exact else np.zeros(0)
+                real = np.isfinite(exact)
+                rows, cols, exact = rows[real], cols[real], exact[real]
+                order = np.lexsort((cols, exact, rows))
+                rows, cols, exact = rows[order], cols[order], exact[order]
+                kept = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
+                for o, v in zip(out, (qid[at + rows[kept]], rid[cols[kept]], exact[kept]), strict=True):
                     o.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table({n: pa.array(np.concatenate(o) if o else [], t) for n, o, t in zip(("id", "ref", "d2"), out, kinds, strict=True)})
+        types = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table({n: pa.array(np.concatenate(o) if o else [], t) for n, o, t in zip(("id", "ref", "d2"), out, types, strict=True)})
 
     return near
 
 
 def _met(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """``(id, ref, d2)``: the k best of each block of the leaf ``(_s, _c, _leaf)`` that a row of ``queries`` names; ``_subs`` is the
-    number of the leaf's blocks."""
+    number of the leaf's blocks, ``_top`` a squared distance within which k are known, or null."""
     by = ["_s", "_c", "_leaf"]
-    q = queries.select("id", "v", "_a", *by, F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)).alias("_b"))
-    n = stored(q.groupBy(*by).agg(F.ceil(F.count_distinct("id") / BLOCK).cast("int").alias("_n")), "counts")
+    n = stored(queries.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n")), "counts")
+    q = queries.select("id", "v", "_a", "_top", *by, F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)).alias("_b"))
     q = q.join(n, by).withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_n")))
     r = refs.join(n, by).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"))))
     by, kept = [*by, "_b", "_q"], ["id", "v", "_a"]
-    return q.select(*by, *kept).groupBy(*by).cogroup(r.select(*by, *kept).groupBy(*by)).applyInArrow(_best(k), "id long, ref long, d2 double")
+    return q.select(*by, *kept, "_top").groupBy(*by).cogroup(r.select(*by, *kept).groupBy(*by)).applyInArrow(_best(k), "id long, ref long, d2 double")
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: str | None = None, apart: str | None = None, account: dict[str, int] | None = None) -> DataFrame:
@@ -98,7 +135,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: st
     with ``apart``, only rows of another. A row without an id, or whose vector is null or has an element that is none, has
     no neighbours and is none.
 
-    References stand in cells around pivots on the driver, as many as blocks fit, CELLS at most, and within a cell in leaves
+    References stand in cells around pivots on the driver, as many as blocks of the largest value of ``same`` fit, CELLS at most, and within a cell in leaves
     around pivots of its own, one for a block, LEAVES at most; so leaves grow in number, not in size, with the table.
     A query meets the leaf of its nearest pivots first. The distance of its k-th neighbour there then excludes every
     leaf that lies farther off: by the cell's radius, or by the leaf's least and greatest distance to one of RINGS pivots,
@@ -109,7 +146,8 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: st
     text = lambda c, none: F.lit(none) if c is None else F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     whole = F.col("id").isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
     pick = lambda df: df.where(whole).select(F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), text(same, "").alias("_s"), text(apart, "").alias("_a"))
-    cells = min(CELLS, pick(refs).count() // BLOCK + 1)
+    largest = pick(refs).groupBy("_s").count().agg(F.max("count")).first()[0] or 0
+    cells = min(CELLS, largest // BLOCK + 1)
     pivots = np.array([r["v"] for r in pick(refs).orderBy(F.xxhash64("id")).limit(cells).select("v").collect()] or [[0.0]], float)
     near = F.array_min("_d")
     r = _placed(pick(refs), pivots).select("id", "v", "_s", "_a", "_d", (F.array_position("_d", near) - 1).cast("int").alias("_c"))
@@ -133,7 +171,8 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: st
     home = F.array_min(F.transform("_all", lambda c: F.struct(F.get("_d", c["cell"]).alias("d"), c["cell"].alias("cell"), c["_n"].alias("_n"))))
     q = stored(q.withColumns({"_home": home}).select("id", "v", "_s", "_a", "_d", "_all", F.col("_home.cell").alias("_c"), F.col("_home._n").alias("_n")), "queries")
     at_home = in_leaf(q.drop("_all")).withColumn("_leaf", leaf)
-    at_home = stored(at_home.select("id", "v", "_s", "_a", "_c", "_leaf").join(leaves.select("_s", "_c", "_leaf", "_subs", "_rows"), ["_s", "_c", "_leaf"]), "home")
+    at_home = at_home.withColumn("_top", F.lit(None).cast("double"))
+    at_home = stored(at_home.select("id", "v", "_s", "_a", "_top", "_c", "_leaf").join(leaves.select("_s", "_c", "_leaf", "_subs", "_rows"), ["_s", "_c", "_leaf"]), "home")
     order = Window.partitionBy("id").orderBy("d2", "ref")
     best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     first = _met(at_home, r, k)
@@ -142,7 +181,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: st
     if leaves.groupBy("_s").count().where("count > 1").isEmpty():
         return best(first)
     first = stored(best(first).drop("rank"), "first")
-    reach = first.groupBy(F.col("id").alias("_of")).agg(F.when(F.count("*") >= k, F.sqrt(F.max("d2"))).alias("_reach"))
+    reach = first.groupBy(F.col("id").alias("_of")).agg(F.when(F.count("*") >= k, F.max("d2")).alias("_top"), F.when(F.count("*") >= k, F.sqrt(F.max("d2"))).alias("_reach"))
     # Distances are rounded: bounds give way by more than their error.
     within = lambda bound: F.col("_reach").isNull() | (bound * (1 - 1e-9) <= F.col("_reach") * (1 + 1e-9) + 1e-12)
     met_home = at_home.select(F.col("id").alias("_of2"), F.col("_c").alias("_hc"), F.col("_leaf").alias("_hl"))
@@ -151,7 +190,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, vector: str = "v", same: st
     more = more.withColumn("_c", F.col("_cell.cell")).join(leaves, ["_s", "_c"])
     apart_by = [x for j in rings for x in (F.col(f"_lo{j}") - F.get("_d", F.lit(j)), F.get("_d", F.lit(j)) - F.col(f"_hi{j}"))]
     again = F.col("_c").eqNullSafe(F.col("_hc")) & F.col("_leaf").eqNullSafe(F.col("_hl"))
-    more = more.where(within(F.greatest(*apart_by)) & ~again).select("id", "v", "_s", "_a", "_c", "_leaf", "_subs", "_rows")
+    more = more.where(within(F.greatest(*apart_by)) & ~again).select("id", "v", "_s", "_a", "_top", "_c", "_leaf", "_subs", "_rows")
     more = stored(more, "more")
     if account is not None:
         account["met"] += more.agg(F.sum("_rows")).first()[0] or 0
