@@ -122,14 +122,20 @@ def maximin(scores: DataFrame, labels: DataFrame, steps: int, least: float = 1e-
 
 
 def top_stack(scores: DataFrame, labels: DataFrame, top: int) -> DataFrame:
-    """``(id, fold, y, score)``: each fold scored by a logistic stack of the models that rank best on the others."""
-    out = []
+    """``(id, fold, y, score)``: each fold scored by a logistic stack of the models that rank best on the others. Scores meet their
+    labels once; the best models of all folds stand side by side in one stored table, which all fits read."""
+    labels = stored(labels.select("id", "y", "fold"), "labels")
+    long = stored(scores.select("id", "model", "score").join(labels, "id"), "scores")
+    best = {}
     for f in _folds(labels):
-        teach, own = labels.where(F.col("fold") != f), labels.where(F.col("fold") == f)
-        ranked = auc(scores.join(teach, "id"), "score", ["model"]).orderBy(F.desc("auc"), "model").limit(top)
-        names = sorted(r["model"] for r in ranked.select("model").collect())
-        wide = scores.groupBy("id").pivot("model", names).agg(F.first(logit(F.col("score"))))
-        out.append(models.fit_apply(teach.join(wide, "id"), own.join(wide, "id").withColumn("_y", F.col("y")), names, "logistic").select("id", "fold", F.col("_y").alias("y"), "score"))
+        ranked = auc(long.where(F.col("fold") != f), "score", ["model"]).orderBy(F.desc("auc"), "model").limit(top)
+        best[f] = sorted(r["model"] for r in ranked.select("model").collect())
+    every = sorted({m for names in best.values() for m in names})
+    wide = stored(long.where(F.col("model").isin(every)).groupBy("id", "y", "fold").pivot("model", every).agg(F.first(logit(F.col("score")))), "wide")
+    out = []
+    for f, names in best.items():
+        teach, own = wide.where(F.col("fold") != f), wide.where(F.col("fold") == f)
+        out.append(models.fit_apply(teach, own.withColumn("_y", F.col("y")), names, "logistic").select("id", "fold", F.col("_y").alias("y"), "score"))
     return reduce(DataFrame.unionByName, out)
 
 
