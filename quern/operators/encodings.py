@@ -42,19 +42,24 @@ def apply(fit: DataFrame, rows: DataFrame, key: str, smooths: Sequence[float], m
     return joined.withColumns(out | {"log_n": F.log1p(F.coalesce("_n", F.lit(0)).cast("double"))}).drop("_t", "_n")
 
 
-def crossfit(df: DataFrame, key: str, smooths: Sequence[float], fold: str = "fold", source: Column | None = None, min_count: int = 1) -> DataFrame:
+def crossfit(df: DataFrame, key: str, smooths: Sequence[float], fold: str = "fold", source: Column | None = None, min_count: int = 1, fit: DataFrame | None = None) -> DataFrame:
     """``df`` with ``te_<smooth>`` and its parts ``t_other, n_other, prior_other``, from the other folds. ``source`` says which rows give their
     labels (all, if None): rows that only stop a fit early are encoded, but teach nobody. A null label teaches nothing;
-    where no other fold has a label, encodings and prior are null."""
-    fit = df if source is None else df.where(source)
+    where no other fold has a label, encodings and prior are null. ``fit`` is the same rows as they were before columns were added."""
+    fit = df if fit is None else fit
+    fit = fit if source is None else fit.where(source)
     cell = fit.groupBy(fold, key).agg(F.sum("y").alias("_ft"), F.count("y").alias("_fn"))
-    keys = cell.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_ft").alias("_t"), F.sum("_fn").alias("_n"))
-    folds = {r[0]: (r[1] or 0, r[2] or 0) for r in cell.groupBy(fold).agg(F.sum("_ft"), F.sum("_fn")).collect()}
+    folds = {r[0]: (r[1] or 0, r[2]) for r in fit.groupBy(fold).agg(F.sum("y"), F.count("y")).collect()}
     all_t, all_n = sum(t for t, _ in folds.values()), sum(n for _, n in folds.values())
     prior = F.lit(all_t / all_n if all_n else None)
     for f, (t, n) in folds.items():
         prior = F.when(F.col(fold) == f, F.lit((all_t - t) / (all_n - n) if all_n > n else None)).otherwise(prior)
-    joined = df.join(keys, key, "left").join(cell.withColumn("_ft", F.coalesce("_ft", F.lit(0))), [fold, key], "left")
+    if source is None:  # every row has its cell, so the key's sums can stand there: rows are moved once
+        line = Window.partitionBy(key)  # a row for each fold
+        joined = df.join(cell.where(F.col(key).isNotNull()).withColumns({"_t": F.sum("_ft").over(line), "_n": F.sum("_fn").over(line)}), [fold, key], "left")
+    else:
+        keys = cell.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_ft").alias("_t"), F.sum("_fn").alias("_n"))
+        joined = df.join(keys, key, "left").join(cell, [fold, key], "left")
     t = F.coalesce(F.col("_t"), F.lit(0)) - F.coalesce(F.col("_ft"), F.lit(0))
     n = F.coalesce(F.col("_n"), F.lit(0)) - F.coalesce(F.col("_fn"), F.lit(0))
     enough = n >= min_count
@@ -214,9 +219,11 @@ def default_keys(route: str, categories: Sequence[str], number: str, ratings: Se
 
 
 def encoded_keys(df: DataFrame, keys: dict[str, list[Column]], smooth: float = 20.0) -> DataFrame:
-    """``(id, te_<name>)``: the cross-fitted mean label of each key. An id that repeats is an error."""
-    out = unique(df).select("id")
+    """``(id, te_<name>)``: the cross-fitted mean label of each key. An id that repeats is an error. Rows are stored once and take
+    one encoding after the other, so no two tables of all rows are joined."""
+    out = rows = unique(stored(df, "rows"))
     for name, columns in keys.items():
-        one = crossfit(df.withColumn("_k", joined_key(columns)), "_k", [smooth])
-        out = out.join(one.select("id", F.col(f"te_{smooth:g}").alias(f"te_{name}")), "id")
-    return out
+        te, parts = f"te_{smooth:g}", ("_k", "t_other", "n_other", "prior_other")
+        one = crossfit(out.withColumn("_k", joined_key(columns)), "_k", [smooth], fit=rows.withColumn("_k", joined_key(columns)))
+        out = one.withColumnRenamed(te, f"_te_{name}").drop(*parts)
+    return out.where(F.col("id").isNotNull()).select("id", *(F.col(f"_te_{name}").alias(f"te_{name}") for name in keys))
