@@ -8,7 +8,7 @@ from functools import reduce
 from statistics import median_high
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -46,6 +46,23 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
+def weighed(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """``(*by, y, *features, _w, _w2)``: rows that are equal in all of these as one, with the sum of their weights (1 each if none
+    is named) and of their squares. A loss that sums over rows is the same over them, and columns of few values leave few."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    return df.groupBy(*by, "y", *(F.col(f).cast("double").alias(f) for f in features)).agg(F.sum(w).alias("_w"), F.sum(w * w).alias("_w2"))
+
+
+def logistic(cells: DataFrame, features: Sequence[str]) -> LogisticRegressionModel:
+    """The fit of ``MODELS`` on the rows that ``weighed`` put together. MLlib penalises coefficients of scaled features, and the
+    variance it scales by hangs on how weights are dealt to rows: the penalty makes good for that."""
+    w, dealt, rows = cells.agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_w")), F.sum("_w2")).first()
+    estimator = MODELS["logistic"](len(features)).setWeightCol("_w")
+    if w and w * w > dealt:
+        estimator = estimator.setRegParam(estimator.getRegParam() * (w * w - dealt) / (w * w - rows))
+    return estimator.fit(_assembled(cells, features))
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], model: str, weight: str | None = None) -> DataFrame:
     """``(id, fold, y, score)``: each fold scored by a model fitted on the others. The assembled rows are a stored table that
     all fits read; fits of several folds run side by side."""
