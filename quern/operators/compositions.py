@@ -17,7 +17,7 @@ from quern.operators import boosting, encodings, models, neighbours
 from quern.operators.codes import codes, median_filled
 from quern.operators.blending import blend, transformed
 from quern.operators.encodings import crossfit
-from quern.operators.metrics import auc
+from quern.operators.metrics import auc, auc_elsewhere
 from quern.operators.ordered import hashed_place, quantiles
 from quern.operators.screens import confident
 from quern.sources.scratch import stored
@@ -170,18 +170,18 @@ def subspaces(features: Sequence[str], n: int, size: int, seed: str) -> list[lis
 
 def subspace_scores(df: DataFrame, features: Sequence[str], n: int, size: int, seed: str, model: str = "logistic") -> DataFrame:
     """``(id, model, score)``: an out-of-fold fit on each subset of the features."""
-    fits = (models.out_of_fold(df, own, model).select("id", F.lit(f"s{k}").alias("model"), "score") for k, own in enumerate(subspaces(features, n, size, seed)))
+    df = stored(df.select("id", "fold", "y", *features), "subspaces")
+    fits = (models.out_of_fold(df.select("id", "fold", "y", *own), own, model).select("id", F.lit(f"s{k}").alias("model"), "score") for k, own in enumerate(subspaces(features, n, size, seed)))
     return reduce(DataFrame.unionByName, fits)
 
 
 def voted(scores: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(id, fold, y, score)``: models weighted, in each fold, by what their AUC on other folds has above one half."""
-    out = []
-    for f in _folds(labels):
-        each = auc(scores.join(labels.where(F.col("fold") != f), "id"), "score", ["model"]).select("model", F.greatest(F.col("auc") - 0.5, F.lit(1e-6)).alias("_w"))
-        own = labels.where(F.col("fold") == f).join(scores, "id").join(each, "model")
-        out.append(own.groupBy("id", "fold", "y").agg((F.sum(F.col("_w") * F.col("score")) / F.sum("_w")).alias("score")))
-    return reduce(DataFrame.unionByName, out)
+    """``(id, fold, y, score)``: models weighted, in each fold, by what their AUC on other folds has above one half. Scores meet
+    their labels once, in a stored table."""
+    labels = stored(labels.select("id", "fold", "y"), "labels")
+    long = stored(scores.select("id", "model", "score").join(labels, "id"), "scores")
+    each = auc_elsewhere(long, "score", _folds(labels), ["model"]).select(F.col("but").alias("fold"), "model", F.greatest(F.col("auc") - 0.5, F.lit(1e-6)).alias("_w"))
+    return long.join(each, ["fold", "model"]).groupBy("id", "fold", "y").agg((F.sum(F.col("_w") * F.col("score")) / F.sum("_w")).alias("score"))
 
 
 def specialists(df: DataFrame, segment: str, features: Sequence[str], model: str = "logistic") -> DataFrame:

@@ -24,6 +24,14 @@ def auc(df: DataFrame, score: str, by: Sequence[str] = (), weight: Column | None
     return out.select(*by, (F.col("_good") / F.nullif("pairs", F.lit(0.0))).alias("auc"), (F.col("pairs") - F.col("_good")).alias("errors"), "pairs")
 
 
+def auc_elsewhere(df: DataFrame, score: str, folds: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """``(but, *by, auc)``: for each of ``folds`` the AUC of the rows of all other folds. Rows are counted once by fold and score;
+    the counts alone are repeated for the folds that they serve."""
+    cells = stored(df.where(F.col("fold").isNotNull()).groupBy(*by, "fold", score, "y").agg(F.count("*").alias("_rows")), "cells")
+    served = cells.withColumn("but", F.explode(F.filter(F.array(*map(F.lit, folds)), lambda f: f != F.col("fold"))))
+    return auc(served, score, ["but", *by], F.col("_rows")).select("but", *by, "auc")
+
+
 def placements(df: DataFrame, score: str, name: str) -> DataFrame:
     """``df`` with each row's share of the other class that it beats (ones) or that beats it (zeros), ties half; null for
     a row without a score or a label, which no other row meets."""

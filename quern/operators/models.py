@@ -65,14 +65,18 @@ def logistic(cells: DataFrame, features: Sequence[str]) -> LogisticRegressionMod
 
 def out_of_fold(df: DataFrame, features: Sequence[str], model: str, weight: str | None = None) -> DataFrame:
     """``(id, fold, y, score)``: each fold scored by a model fitted on the others. The assembled rows are a stored table that
-    all fits read; fits of several folds run side by side."""
+    all fits read, those that sum a loss over rows by way of ``weighed``; fits of several folds run side by side."""
     data = stored(_assembled(df.withColumn("y", F.col("y").cast("double")), features), "assembled")
+    cells = stored(weighed(data, features, ["fold"], weight), "cells") if model == "logistic" else None
 
     def one(fold: int) -> DataFrame:
-        estimator = MODELS[model](len(features))
-        if weight:
-            estimator = estimator.setWeightCol(weight)
-        fitted = estimator.fit(data.where(F.col("fold") != fold))
+        if cells is not None:
+            fitted = logistic(cells.where(F.col("fold") != fold), features)
+        else:
+            estimator = MODELS[model](len(features))
+            if weight:
+                estimator = estimator.setWeightCol(weight)
+            fitted = estimator.fit(data.where(F.col("fold") != fold))
         return fitted.transform(data.where(F.col("fold") == fold)).select("id", "fold", F.col("y").cast("int"), vector_to_array("probability")[1].alias("score"))
 
     return reduce(DataFrame.unionByName, in_parallel(one, _folds(data)))
@@ -80,7 +84,8 @@ def out_of_fold(df: DataFrame, features: Sequence[str], model: str, weight: str
 
 def fit_apply(train: DataFrame, rows: DataFrame, features: Sequence[str], model: str) -> DataFrame:
     """``rows`` with ``score`` from a model fitted on ``train``; to teach from other rows, remove the overlap first."""
-    fitted = MODELS[model](len(features)).fit(_assembled(train.withColumn("y", F.col("y").cast("double")), features))
+    train = train.withColumn("y", F.col("y").cast("double"))
+    fitted = logistic(stored(weighed(train, features), "cells"), features) if model == "logistic" else MODELS[model](len(features)).fit(_assembled(train, features))
     scored = fitted.transform(_assembled(rows.drop("y"), features))
     return scored.select(*rows.drop("y").columns, vector_to_array("probability")[1].alias("score"))
 

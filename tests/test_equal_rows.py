@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from quern.operators import gates, models
+from quern.operators import compositions, gates, models
 from quern.operators.metrics import auc
 from quern.operators.ordered import hashed_place
 from quern.sources import scratch
@@ -45,3 +45,25 @@ def test_a_learning_curve_places_rows_once_and_fits_on_weights(df, monkeypatch):
         fit = plain(placed.where(F.col("t") & (F.col("place") < int(600 * s))))
         scored = fit.transform(models._assembled(df.where("fold = 0"), FEATURES)).select("y", models.vector_to_array("probability")[1].alias("score"))
         assert got[s]["rows"] == int(600 * s) and got[s]["auc"] == pytest.approx(auc(scored, "score").first()["auc"], abs=1e-3)
+
+
+def test_out_of_fold_fits_read_equal_rows_once(df, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(models, "stored", lambda d, n: kept.setdefault(n, scratch.stored(d, n)))
+    got = {r["id"]: r["score"] for r in models.out_of_fold(df, FEATURES, "logistic").collect()}
+    assert kept["cells"].count() < 200
+    for f in range(3):
+        scored = plain(df.where(F.col("fold") != f)).transform(models._assembled(df.where(F.col("fold") == f), FEATURES))
+        assert all(got[r["id"]] == pytest.approx(r["s"], abs=1e-4) for r in scored.select("id", models.vector_to_array("probability")[1].alias("s")).collect())
+
+
+def test_votes_join_scores_and_labels_once(df):
+    long = df.select("id", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), (F.col(m) / 8).alias("score")) for m in FEATURES))))
+    out = compositions.voted(long, df.select("id", "fold", "y"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # before: two for each fold
+    got = {r["id"]: r["score"] for r in out.collect()}
+    for f in range(3):
+        w = {m: max(auc(df.where(F.col("fold") != f), m).first()["auc"] - 0.5, 1e-6) for m in FEATURES}
+        for r in df.where(F.col("fold") == f).collect():
+            assert got[r["id"]] == pytest.approx(sum(w[m] * r[m] / 8 for m in FEATURES) / sum(w.values()), abs=1e-12)
