@@ -46,8 +46,9 @@ def grow(rows: DataFrame, features: Sequence[str], trees: int = 40, depth: int =
     """For each fold ``trees`` trees on the labelled rows ``(id, fold, y, *features)`` of the other folds.
 
     A node draws ``share`` of the features by hash, and for each a threshold by hash between its least and greatest value there;
-    the split is that of least entropy, ties by feature. A level of all trees is two aggregates: ranges, then sums to the
-    left of the drawn thresholds. Rows are not copied for the trees: each level sends them through the levels above,
+    the split is that of least entropy, ties by feature. A level of all trees is two aggregates with one row for each node:
+    ranges of all features, then sums to the left of the thresholds, which are drawn once for a node and not for its rows.
+    Rows are not copied for the features, nor for the trees before they walk: each level sends them through the levels above,
     which are broadcast and have MOST_NODES rows at most, or growing stops with an error.
     """
     data = stored(rows.where("y is not null and fold is not null").select("fold", F.col("y").cast("double").alias("y"), F.array(*(F.col(f).cast("double") for f in features)).alias("x")), "forest")
@@ -62,15 +63,19 @@ def grow(rows: DataFrame, features: Sequence[str], trees: int = 40, depth: int =
     models = lambda i: F.sequence(F.lit(i * trees), F.lit((i + 1) * trees - 1))
     taught = F.flatten(F.array(*(F.when(F.col("fold") != f, models(i)).otherwise(F.array().cast("array<int>")) for i, f in enumerate(folds)))) if folds else F.array().cast("array<int>")
     long = data.select("y", "x", F.explode(taught).alias("model"))
-    names = F.array(*(F.struct(F.lit(i).alias("f"), F.get("x", F.lit(i)).alias("v")) for i in range(len(features))))
+    every = range(len(features))
+    picked = lambda i: uniform(seed, F.lit("draw"), F.col("model"), F.col("node"), F.lit(i)) < share
     for _ in range(depth):
         here = _walked(long, levels).join(F.broadcast(open_nodes.select("model", "node")), ["model", "node"])
-        here = here.select("model", "node", "y", F.inline(names)).where(uniform(seed, F.lit("draw"), F.col("model"), F.col("node"), F.col("f")) < share)
-        ranges = here.where("v is not null").groupBy("model", "node", "f").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("high > low")
-        drawn = F.col("low") + uniform(seed, F.col("model"), F.col("node"), F.col("f")) * (F.col("high") - F.col("low"))
-        cuts = stored(ranges.select("model", "node", "f", drawn.alias("cut")), "cuts")
-        left = F.coalesce(F.col("v") <= F.col("cut"), F.lit(True))
-        sums = here.join(F.broadcast(cuts), ["model", "node", "f"]).groupBy("model", "node", "f", "cut").agg(F.count_if(left).cast("double").alias("ln"), F.sum(F.when(left, F.col("y")).otherwise(0.0)).alias("lt"))
+        value = [F.get("x", F.lit(i)) for i in every]
+        ranges = stored(here.groupBy("model", "node").agg(*(f(v).alias(f"{k}{i}") for i, v in enumerate(value) for k, f in (("low", F.min), ("high", F.max)))), "ranges")
+        drawn = lambda i: F.col(f"low{i}") + uniform(seed, F.col("model"), F.col("node"), F.lit(i)) * (F.col(f"high{i}") - F.col(f"low{i}"))
+        cuts = stored(ranges.select("model", "node", *(F.when((F.col(f"high{i}") > F.col(f"low{i}")) & picked(i), drawn(i)).alias(f"cut{i}") for i in every)), "cuts")
+        left = [F.coalesce(v <= F.col(f"cut{i}"), F.lit(True)) for i, v in enumerate(value)]
+        sides = [a for i, to in enumerate(left) for a in (F.first(f"cut{i}").alias(f"cut{i}"), F.count_if(to).cast("double").alias(f"ln{i}"), F.sum(F.when(to, F.col("y")).otherwise(0.0)).alias(f"lt{i}"))]
+        sums = here.join(F.broadcast(cuts), ["model", "node"]).groupBy("model", "node").agg(*sides)
+        each = F.array(*(F.struct(F.lit(i).alias("f"), *(F.col(f"{c}{i}").alias(c) for c in ("cut", "ln", "lt"))) for i in every))
+        sums = sums.select("model", "node", F.inline(each)).where("cut is not null")
         sums = sums.join(F.broadcast(open_nodes), ["model", "node"])
         rn, rt = F.col("n") - F.col("ln"), F.col("t") - F.col("lt")
         gain = F.round(_entropy(F.col("t"), F.col("n")) - _entropy(F.col("lt"), F.col("ln")) - _entropy(rt, rn), 9)

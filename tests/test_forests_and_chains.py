@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import additive, auxiliary, compositions, encodings, forests, tokens
+from quern.sources import scratch
 from quern.sources.tables import table
 
 RNG = random.Random(11)
@@ -153,3 +154,11 @@ def test_tokens_of_numbers(spark):
     assert len(found) == keys.count() and len(seen) > 2
     odd = spark.createDataFrame([(float("nan"),), (1e300,), (-12.9,), (None,)], "v double")
     assert sorted(r["tokN_v"] for r in tokens.number_tokens(odd, ["v"]).collect())[:3] == [0, 0, 0]
+
+
+def test_a_level_aggregates_a_node_once_for_all_features(df, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(forests, "stored", lambda d, n: kept.setdefault(n, []).append(d._jdf.queryExecution().optimizedPlan().toString()) or scratch.stored(d, n))
+    forests.grow(df, ["x", "z"], trees=3, depth=2)
+    assert len(kept["cuts"]) == 2 and not any("Generate" in p for p in kept["cuts"])  # before: a row for each feature of a row in each tree
+    assert all(p.count("Generate") == 1 for p in kept["ranges"])  # the trees that a row teaches
