@@ -11,6 +11,7 @@ from quern.operators.metrics import auc
 from quern.plans.base import BASE, ES, FOLDED, auc_sql, base, folded, query, r6
 from quern.plans.blend_queries import _COLUMNS, _features, long_scores
 from quern.plans.encoding_queries import _CUT
+from quern.sources.scratch import stored
 
 _RATINGS = ["r0", "r1", "r2"]
 
@@ -150,7 +151,7 @@ def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b5_nested_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = folded(spark, sf_dir)
+    df = stored(folded(spark, sf_dir).select("id", "y", "fold", "a", "b"), "folded")
     return _by_fold(gates.nested_greedy(long_scores(df), df.select("id", "y", "fold"), 3))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from quern.operators import compositions, gates, models
+from quern.operators import blending, compositions, gates, models
 from quern.operators.metrics import auc
 from quern.operators.ordered import hashed_place
 from quern.sources import scratch
@@ -67,3 +67,19 @@ def test_votes_join_scores_and_labels_once(df):
         w = {m: max(auc(df.where(F.col("fold") != f), m).first()["auc"] - 0.5, 1e-6) for m in FEATURES}
         for r in df.where(F.col("fold") == f).collect():
             assert got[r["id"]] == pytest.approx(sum(w[m] * r[m] / 8 for m in FEATURES) / sum(w.values()), abs=1e-12)
+
+
+def test_nested_greedy_is_a_hill_climb_in_each_fold_over_one_stored_table(df, monkeypatch):
+    kept = []
+    monkeypatch.setattr(gates, "stored", lambda d, n: kept.append(n) or scratch.stored(d, n))
+    third = (F.col("b") + F.col("id") % 7) / 20
+    long = df.select("id", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), s.alias("score")) for m, s in (("a", F.col("a") / 8), ("b", F.col("b") / 8), ("c", third))))))
+    long = long.where("model <> 'c' or id % 5 > 0")  # a model without all rows
+    out = gates.nested_greedy(long, df.select("id", "y", "fold"), 3)
+    got = {r["id"]: r["score"] for r in out.collect()}
+    assert kept == ["wide"] and out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0 and len(got) == 900
+    for f in range(3):
+        chosen = blending.greedy(long, df.where(F.col("fold") != f).select("id", "y"), 3)
+        own = long.join(df.where(F.col("fold") == f).select("id"), "id")
+        want = blending.blend(own.where(F.col("model").isin(*chosen)), {m: chosen.count(m) for m in chosen}, "logit")
+        assert all(got[r["id"]] == pytest.approx(r["score"], abs=1e-12) for r in want.collect())
