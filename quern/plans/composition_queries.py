@@ -10,6 +10,7 @@ from quern.operators.blending import blend
 from quern.operators.metrics import auc
 from quern.plans.base import BASE, FOLDED, auc_sql, folded, query, r6, ranked_sql
 from quern.plans.blend_queries import _RANK, LONG, _vectors, long_scores
+from quern.sources.scratch import stored
 
 _NEAR = """v as (select vec_id as id, embedding::double[] as v, label, label % 2 as y from embeddings), d as (
     select q.id, r.id as ref, r.y, q.label, list_sum(list_transform(list_zip(q.v, r.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d2 from v q join v r on {on}
@@ -170,9 +171,9 @@ def x22_with_external(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g18_pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC on fold 0 of fits on folds 2 to 4, and with pseudo-labels of fold 1 or as many repeated rows."""
-    df = _numbers(spark, sf_dir)
+    df = stored(_numbers(spark, sf_dir).select("id", "y", "fold", "a", "b"), "numbers")
     fit, other, test = df.where("fold > 1"), df.where("fold = 1"), df.where("fold = 0").withColumn("truth", F.col("y"))
-    pseudo = models.fit_apply(fit, other, ["a", "b"], "logistic")
+    pseudo = stored(models.fit_apply(fit, other, ["a", "b"], "logistic"), "pseudo")
     arms = {"plain": fit, "pseudo": compositions.pseudo_labelled(fit, pseudo, "score", 0.1, "g18"), "repeated": compositions.pseudo_labelled(fit, pseudo, "score", 0.1, "g18", True)}
     out = None
     for name, rows in arms.items():

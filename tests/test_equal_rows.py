@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.operators import blending, compositions, gates, models
 from quern.operators.metrics import auc
 from quern.operators.ordered import hashed_place
+from quern.plans import composition_queries
 from quern.sources import scratch
 
 FEATURES = ["a", "b"]
@@ -83,3 +84,9 @@ def test_nested_greedy_is_a_hill_climb_in_each_fold_over_one_stored_table(df, mo
         own = long.join(df.where(F.col("fold") == f).select("id"), "id")
         want = blending.blend(own.where(F.col("model").isin(*chosen)), {m: chosen.count(m) for m in chosen}, "logit")
         assert all(got[r["id"]] == pytest.approx(r["score"], abs=1e-12) for r in want.collect())
+
+
+def test_arms_with_pseudo_labels_place_rows_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(composition_queries, "stored", lambda d, n: kept.append(n) or scratch.stored(d, n))
+    assert composition_queries.g18_pseudo_labels(spark, "/root/testdata/sf0.001").count() == 3 and kept == ["numbers", "pseudo"]
