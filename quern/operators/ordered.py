@@ -119,12 +119,12 @@ def numbered(values: DataFrame, column: str, name: str) -> DataFrame:
     return one.withColumn(name, rank).join(total, "_range").withColumn(name, F.col("_first") + F.col(name)).drop("_range", "_first")
 
 
-def hashed_place(df: DataFrame, by: Sequence[str], seed: str, id: str = "id") -> DataFrame:
+def hashed_place(df: DataFrame, by: Sequence[str], seed: str, id: str = "id", tasks: int | None = None) -> DataFrame:
     """``df`` with ``place``, a row's position from 0 within ``by`` in the order of MD5(seed:id); null is a value of ``by``,
     and a null id has a place like others.
 
     The first three hex digits of the hash split each ``by`` into 4096 ranges; a position is the count of earlier
-    ranges plus the rank within the row's own.
+    ranges plus the rank within the row's own. Ranges are dealt to ``tasks``, or to as many as Spark is set to.
     """
     by = list(by)
     hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id).cast("string"), F.lit(""))))
@@ -133,4 +133,6 @@ def hashed_place(df: DataFrame, by: Sequence[str], seed: str, id: str = "id") ->
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select(*by, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"))
     rank = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_h", id)) - 1
+    if tasks:
+        rows = rows.repartition(tasks, *by, "_range")
     return met(rows.withColumn("_rank", rank), total, [*by, "_range"], "inner").select(*df.columns, (F.col("_earlier") + F.col("_rank")).alias("place"))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from quern.functions.scalars import uniform
 from quern.operators.ordered import before, hashed_place, met
+from quern.sources.scratch import stored
+
+#: Rows that a task of ``class_bootstrap`` is dealt, on average.
+TASK_ROWS = 1 << 18
 
 
 def stratified(df: DataFrame, n: int, seed: str, by: str = "y") -> DataFrame:
@@ -44,13 +48,23 @@ def bootstrap(df: DataFrame, draws: int, seed: str) -> DataFrame:
 
 def class_bootstrap(df: DataFrame, draws: int, seed: str, label: str = "y") -> DataFrame:
     """``df`` once for each draw it is in, with ``draw`` and ``times``: each draw takes as many rows of a label as it has,
-    with replacement: a slot for each row, and in it the row at a hashed place of the same label."""
-    placed = hashed_place(df, [label], seed)
+    with replacement: a slot for each row, and in it the row at a hashed place of the same label.
+
+    Slots are dealt to tasks by place, beside the rows that stand there, and tasks grow in number with both (TASK_ROWS): what
+    one holds does not grow with the table."""
+    tasks = lambda rows: max(1, -(-rows // TASK_ROWS))
+    rows = df.count()
+    placed = stored(hashed_place(df, [label], seed, tasks=tasks(rows)), "placed")
     n = placed.groupBy(label).agg(F.count("*").alias("_n"))
     slots = met(placed.select("id", label), n, [label]).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    taken = slots.withColumn("place", F.floor(uniform(seed, F.col("draw"), F.col("id")) * F.col("_n")))
-    times = taken.groupBy(label, "draw", "place").agg(F.count("*").alias("times"))
-    return met(times, placed, [label, "place"], "inner").drop("place")
+    taken = slots.select(label, F.floor(uniform(seed, F.col("draw"), F.col("id")) * F.col("_n")).alias("place"), "draw")
+    own = placed.select(label, "place", F.lit(None).cast("int").alias("draw"), F.struct(*df.columns).alias("_row"))
+    dealt = own.unionByName(taken, allowMissingColumns=True).repartition(tasks(rows * (draws + 1)), label, "place")
+    here = Window.partitionBy(label, "place").orderBy(F.col("draw").asc_nulls_first())
+    times = F.count("*").over(Window.partitionBy(label, "place", "draw"))
+    nth = F.row_number().over(Window.partitionBy(label, "place", "draw").orderBy("place"))
+    found = dealt.withColumns({"_row": F.first("_row", True).over(here), "times": times, "_nth": nth}).where("draw is not null and _nth = 1")
+    return found.select(*(F.col("_row")[c].alias(c) for c in df.columns), "draw", "times")
 
 
 def parts(df: DataFrame, draws: int, share: float, seed: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from quern.operators import blending, compositions, gates, models
+from quern.operators import blending, compositions, gates, models, sampling
 from quern.operators.metrics import auc
 from quern.operators.ordered import hashed_place
 from quern.plans import composition_queries
@@ -90,3 +90,11 @@ def test_arms_with_pseudo_labels_place_rows_once(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(composition_queries, "stored", lambda d, n: kept.append(n) or scratch.stored(d, n))
     assert composition_queries.g18_pseudo_labels(spark, "/root/testdata/sf0.001").count() == 3 and kept == ["numbers", "pseudo"]
+
+
+def test_a_class_bootstrap_deals_more_rows_to_more_tasks(df, monkeypatch):
+    want = sorted(map(tuple, sampling.class_bootstrap(df, 3, "s").select("draw", "id", "times", "a").collect()))
+    monkeypatch.setattr(sampling, "TASK_ROWS", 50)
+    out = sampling.class_bootstrap(df, 3, "s")
+    assert out.rdd.getNumPartitions() == 72 and sorted(map(tuple, out.select("draw", "id", "times", "a").collect())) == want
+    assert sum(r[2] for r in want) == 2700 and len({r[:2] for r in want}) == len(want)
