@@ -7,13 +7,15 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from statistics import median_high
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import clip, logit, sigmoid
@@ -63,9 +65,82 @@ def logistic(cells: DataFrame, features: Sequence[str]) -> LogisticRegressionMod
     return estimator.fit(_assembled(cells, features))
 
 
+class Factors:
+    """A factorisation machine for each fold, all fitted side by side on ``cells(fold, y, *features, _w)``: the estimator of
+    ``MODELS``, its start, loss, steps and end, but on rows with weights, which MLlib's does not take. A step is one aggregate:
+    tasks sum gradients of their rows for all models, the driver gets one row for each model and coefficient."""
+
+    def __init__(self, cells: DataFrame, features: Sequence[str], folds: Sequence[int]):
+        self.features, self.folds = list(features), list(folds)
+        estimator = MODELS["factor"](len(self.features))
+        step, rounds, tol = estimator.getStepSize(), estimator.getMaxIter(), estimator.getTol()
+        cells = cells.where(F.col("y").isNotNull() & F.col("fold").isNotNull())
+        first = cells.limit(1)
+        start = np.zeros(0)
+        if not first.isEmpty():  # of no step, MLlib's fit is its start
+            at = estimator.setMaxIter(0).fit(_assembled(first, self.features))
+            start = np.concatenate([at.factors.toArray().ravel(), at.linear.toArray(), [at.intercept]])
+        weights = cells.groupBy("fold").agg(F.sum("_w")).collect()
+        rows = {m: sum(w for f, w in weights if f != m) for m in self.folds}
+        at = self.coefficients = {m: start for m in self.folds}
+        going = [m for m in self.folds if rows[m]]
+        mean = {m: np.zeros_like(start) for m in going}
+        square = {m: np.zeros_like(start) for m in going}
+        for t in range(1, rounds + 1):
+            if not going:
+                break
+            found = {m: np.zeros_like(start) for m in going}
+            for r in cells.mapInPandas(self._slopes({m: at[m] for m in going}), "model int, place int, g double").groupBy("model", "place").agg(F.sum("g")).collect():
+                found[r[0]][r[1]] = r[2] / rows[r[0]]
+            for m in list(going):
+                mean[m] = 0.9 * mean[m] + 0.1 * found[m]
+                square[m] = 0.999 * square[m] + 0.001 * found[m] ** 2
+                moved = at[m] - step * (mean[m] / (1 - 0.9**t)) / (np.sqrt(square[m] / (1 - 0.999**t)) + 1e-8)
+                if np.linalg.norm(moved - at[m]) < tol * max(np.linalg.norm(moved), 1.0):
+                    going.remove(m)
+                at[m] = moved
+
+    def _parts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        n = len(self.features)
+        return at[: -n - 1].reshape(n, -1), at[-n - 1 : -1], at[-1]
+
+    def _slopes(self, at: dict[int, np.ndarray]) -> Callable:
+        features, parts = self.features, {m: self._parts(c) for m, c in at.items()}
+
+        def sums(batches):
+            found = dict.fromkeys(parts, 0.0)
+            for b in batches:
+                for m, (v, linear, intercept) in parts.items():
+                    own = b[b["fold"] != m]
+                    x = own[features].to_numpy(float)
+                    s = x @ v
+                    raw = intercept + x @ linear + ((s * s).sum(1) - (x * x) @ (v * v).sum(1)) / 2
+                    d = own["_w"].to_numpy() * (1 / (1 + np.exp(-raw)) - own["y"].to_numpy(float))
+                    found[m] = found[m] + np.concatenate([(x.T @ (d[:, None] * s) - v * ((x * x).T @ d)[:, None]).ravel(), x.T @ d, [d.sum()]])
+            for m, g in found.items():
+                if not np.isscalar(g):
+                    yield pd.DataFrame({"model": m, "place": np.arange(len(g)), "g": g})
+
+        return sums
+
+    def score(self, fold: int) -> Column:
+        v, linear, intercept = self._parts(self.coefficients[fold])
+        x = [F.col(f).cast("double") for f in self.features]
+        raw = reduce(lambda a, b: a + b, (F.lit(float(w)) * c for w, c in zip(linear, x, strict=True)), F.lit(float(intercept)))
+        for k in range(v.shape[1]):
+            terms = [F.lit(float(w)) * c for w, c in zip(v[:, k], x, strict=True)]
+            total = reduce(lambda a, b: a + b, terms)
+            raw = raw + (total * total - reduce(lambda a, b: a + b, (q * q for q in terms))) / 2
+        return 1 / (1 + F.exp(-raw))
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], model: str, weight: str | None = None) -> DataFrame:
     """``(id, fold, y, score)``: each fold scored by a model fitted on the others. The assembled rows are a stored table that
     all fits read, those that sum a loss over rows by way of ``weighed``; fits of several folds run side by side."""
+    if model == "factor":
+        rows = stored(df.withColumn("y", F.col("y").cast("double")), "rows")
+        fitted = Factors(stored(weighed(rows, features, ["fold"], weight), "cells"), features, _folds(rows))
+        return reduce(DataFrame.unionByName, (rows.where(F.col("fold") == f).select("id", "fold", F.col("y").cast("int"), fitted.score(f).alias("score")) for f in fitted.folds))
     data = stored(_assembled(df.withColumn("y", F.col("y").cast("double")), features), "assembled")
     cells = stored(weighed(data, features, ["fold"], weight), "cells") if model == "logistic" else None
 

@@ -98,3 +98,14 @@ def test_a_class_bootstrap_deals_more_rows_to_more_tasks(df, monkeypatch):
     out = sampling.class_bootstrap(df, 3, "s")
     assert out.rdd.getNumPartitions() == 72 and sorted(map(tuple, out.select("draw", "id", "times", "a").collect())) == want
     assert sum(r[2] for r in want) == 2700 and len({r[:2] for r in want}) == len(want)
+
+
+def test_factorisation_machines_over_equal_rows_are_those_of_mllib(df, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(models, "stored", lambda d, n: kept.setdefault(n, scratch.stored(d, n)))
+    got = {r["id"]: r["score"] for r in models.out_of_fold(df, FEATURES, "factor").collect()}
+    assert kept["cells"].count() < 200 and len(got) == 900  # before: no cells, all rows in each step
+    rows = models._assembled(df.withColumn("y", F.col("y").cast("double")), FEATURES)
+    for f in range(3):
+        scored = models.MODELS["factor"](2).fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f))
+        assert all(got[r["id"]] == pytest.approx(r["s"], abs=1e-9) for r in scored.select("id", models.vector_to_array("probability")[1].alias("s")).collect())
