@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import clip, logit, sigmoid
+from quern.operators.boosting import bin_of, cut_points
 from quern.sources.scratch import stored
 
 Kinds = dict[str, Callable[[int], Estimator]]
@@ -33,6 +34,11 @@ MODELS: Kinds = {
     "perceptron": lambda n: MultilayerPerceptronClassifier(labelCol="y", layers=[n, 16, 2], maxIter=60, seed=7),
 }
 
+#: Trees whose fit hangs on sums of weights alone, so that equal rows may be one.
+TREES = ("boosted",)
+#: MLlib looks for values in a sample of this number's square, which holds all cells, and takes no more bins than there are values.
+ALL_BINS = 1 << 13
+
 
 def _folds(df: DataFrame) -> list[int]:
     return sorted(r[0] for r in df.select("fold").distinct().collect())
@@ -52,7 +58,7 @@ def weighed(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), weig
     """``(*by, y, *features, _w, _w2)``: rows that are equal in all of these as one, with the sum of their weights (1 each if none
     is named) and of their squares. A loss that sums over rows is the same over them, and columns of few values leave few."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    return df.groupBy(*by, "y", *(F.col(f).cast("double").alias(f) for f in features)).agg(F.sum(w).alias("_w"), F.sum(w * w).alias("_w2"))
+    return df.groupBy(*by, "y", *(F.col(f).cast("double").alias(f, metadata=df.schema[f].metadata) for f in features)).agg(F.sum(w).alias("_w"), F.sum(w * w).alias("_w2"))
 
 
 def logistic(cells: DataFrame, features: Sequence[str]) -> LogisticRegressionModel:
@@ -65,6 +71,23 @@ def logistic(cells: DataFrame, features: Sequence[str]) -> LogisticRegressionMod
     return estimator.fit(_assembled(cells, features))
 
 
+def in_bins(df: DataFrame, features: Sequence[str], bins: int = 32) -> dict[str, Column]:
+    """Each feature as the number of its bin, as trees of MLlib bin it, but cut by counts of all rows instead of a sample: a value
+    is a bin of its own where there are no more than ``bins``, others are cut into so many of like counts. Codes of ``indexed``
+    stay as they are, null and NaN stand in bin 0."""
+    about = {f: df.schema[f].metadata for f in features}
+    numbers = [f for f in features if about[f].get("ml_attr", {}).get("type") != "nominal"]
+    number = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+    values = df.select(*(number(f).alias(f) for f in numbers))
+    near = values.agg(*(F.approx_count_distinct(f) for f in numbers)).first() if numbers else []
+    few = {f: values.select(f).where(F.col(f).isNotNull()).distinct() for f, n in zip(numbers, near, strict=True) if n <= 2 * bins}
+    cuts = {f: sorted(r[0] for r in v.collect()) for f, v in few.items()}
+    cuts = {f: v[:-1] for f, v in cuts.items() if len(v) <= bins}
+    many = [f for f in numbers if f not in cuts]
+    cuts |= cut_points(values, many, bins) if many else {}
+    return {f: bin_of(number(f), cuts[f]).cast("double").alias(f) if f in cuts else F.col(f).alias(f, metadata=about[f]) for f in features}
+
+
 class Factors:
     """A factorisation machine for each fold, all fitted side by side on ``cells(fold, y, *features, _w)``: the estimator of
     ``MODELS``, its start, loss, steps and end, but on rows with weights, which MLlib's does not take. A step is one aggregate:
@@ -141,11 +164,16 @@ def out_of_fold(df: DataFrame, features: Sequence[str], model: str, weight: str
         rows = stored(df.withColumn("y", F.col("y").cast("double")), "rows")
         fitted = Factors(stored(weighed(rows, features, ["fold"], weight), "cells"), features, _folds(rows))
         return reduce(DataFrame.unionByName, (rows.where(F.col("fold") == f).select("id", "fold", F.col("y").cast("int"), fitted.score(f).alias("score")) for f in fitted.folds))
+    if model in TREES:  # they read bins, of which rows have few
+        df = stored(df.select("id", "fold", "y", *features, *([weight] if weight else [])), "rows")
+        df = df.withColumns(in_bins(df, features))
     data = stored(_assembled(df.withColumn("y", F.col("y").cast("double")), features), "assembled")
-    cells = stored(weighed(data, features, ["fold"], weight), "cells") if model == "logistic" else None
+    cells = stored(weighed(data, features, ["fold"], weight), "cells") if model in (*TREES, "logistic") else None
 
     def one(fold: int) -> DataFrame:
-        if cells is not None:
+        if model in TREES:
+            fitted = MODELS[model](len(features)).setMaxBins(ALL_BINS).setWeightCol("_w").fit(_assembled(cells.where(F.col("fold") != fold), features))
+        elif cells is not None:
             fitted = logistic(cells.where(F.col("fold") != fold), features)
         else:
             estimator = MODELS[model](len(features))

@@ -109,3 +109,25 @@ def test_factorisation_machines_over_equal_rows_are_those_of_mllib(df, monkeypat
     for f in range(3):
         scored = models.MODELS["factor"](2).fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f))
         assert all(got[r["id"]] == pytest.approx(r["s"], abs=1e-9) for r in scored.select("id", models.vector_to_array("probability")[1].alias("s")).collect())
+
+
+@pytest.mark.parametrize("model", ["boosted"])
+def test_boosted_trees_over_equal_rows_are_those_over_all_rows(df, monkeypatch, model):
+    kept = {}
+    monkeypatch.setattr(models, "stored", lambda d, n: kept.setdefault(n, scratch.stored(d, n)))
+    got = {r["id"]: r["score"] for r in models.out_of_fold(df, FEATURES, model).collect()}
+    assert kept["cells"].count() < 200 and len(got) == 900  # before: no cells, all rows in each fit
+    rows = models._assembled(df.withColumn("y", F.col("y").cast("double")), FEATURES)
+    for f in range(2):
+        scored = models.MODELS[model](2).fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f))
+        assert all(got[r["id"]] == pytest.approx(r["s"], abs=1e-9) for r in scored.select("id", models.vector_to_array("probability")[1].alias("s")).collect())
+
+
+def test_bins_hold_few_values_apart_and_many_in_like_counts(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") > 0, F.col("id") % 500).cast("double").alias("many"), F.when(F.col("id") < 998, 1.0).when(F.col("id") < 999, 2.0).otherwise(float("nan")).alias("few"), F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("text"))
+    rows = models.indexed(rows, ["text"])
+    out = rows.withColumns(models.in_bins(rows, ["many", "few", "text_code"]))
+    counts = {r[0]: r[1] for r in out.groupBy("many").count().collect()}
+    assert counts.pop(0.0) == 1 and len(counts) == 32 and max(counts.values()) <= 34
+    assert {r[0]: r[1] for r in out.groupBy("few").count().collect()} == {0.0: 1, 1.0: 998, 2.0: 1}
+    assert out.schema["text_code"].metadata["ml_attr"]["type"] == "nominal" and models.weighed(out.withColumn("y", F.lit(1)), ["text_code"]).schema["text_code"].metadata == out.schema["text_code"].metadata
