@@ -35,7 +35,7 @@ MODELS: Kinds = {
 }
 
 #: Trees whose fit hangs on sums of weights alone, so that equal rows may be one.
-TREES = ("boosted",)
+TREES = ("boosted", "stumps")
 #: MLlib looks for values in a sample of this number's square, which holds all cells, and takes no more bins than there are values.
 ALL_BINS = 1 << 13
 

@@ -111,7 +111,7 @@ def test_factorisation_machines_over_equal_rows_are_those_of_mllib(df, monkeypat
         assert all(got[r["id"]] == pytest.approx(r["s"], abs=1e-9) for r in scored.select("id", models.vector_to_array("probability")[1].alias("s")).collect())
 
 
-@pytest.mark.parametrize("model", ["boosted"])
+@pytest.mark.parametrize("model", ["boosted", "stumps"])
 def test_boosted_trees_over_equal_rows_are_those_over_all_rows(df, monkeypatch, model):
     kept = {}
     monkeypatch.setattr(models, "stored", lambda d, n: kept.setdefault(n, scratch.stored(d, n)))
