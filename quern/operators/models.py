@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scalars import clip, logit, sigmoid
 from quern.operators.boosting import bin_of, cut_points
+from quern.operators.ordered import met
 from quern.sources.scratch import stored
 
 Kinds = dict[str, Callable[[int], Estimator]]
@@ -157,6 +158,37 @@ class Factors:
         return 1 / (1 + F.exp(-raw))
 
 
+def forest(data: DataFrame, features: Sequence[str], weight: str | None = None) -> DataFrame:
+    """``(id, fold, y, score)`` by the forest of ``MODELS`` on ``data(id, fold, y, *features)``, whose features are few bins. A bootstrap
+    of rows draws a cell of n equal ones a Poisson number of mean n times; MLlib's own would draw the cell once for all. So each
+    tree is a fit of its own on cells drawn by a hash of theirs, and cells, not rows, are scored by all trees."""
+    grown = MODELS["forest"](len(features))
+    trees, seed = grown.getNumTrees(), grown.getSeed()
+    times = F.pandas_udf(lambda key, n: pd.Series([np.random.default_rng(k % 2**64).poisson(r, trees).tolist() for k, r in zip(key.tolist(), n, strict=True)]), "array<long>")
+    cells = weighed(data, features, ["fold", *([weight] if weight else [])], weight)
+    rows = F.coalesce(F.round(F.try_divide(F.col("_w") * F.col("_w"), F.col("_w2"))), F.lit(0.0))  # of one weight
+    cells = cells.withColumns({"_each": F.try_divide(F.col("_w"), rows), "_times": times(F.xxhash64(F.lit(seed), "fold", "y", *features), rows)})
+    cells = stored(_assembled(cells, features), "cells")
+    folds = _folds(cells)
+
+    def one(t: int, fold: int):
+        drawn = F.get("_times", F.lit(t))
+        taught = cells.where((F.col("fold") != fold) & F.col("y").isNotNull() & (drawn > 0)).withColumn("_w", drawn * F.col("_each"))
+        return MODELS["forest"](len(features)).setNumTrees(1).setBootstrap(False).setSeed(seed + t).setMaxBins(ALL_BINS).setWeightCol("_w").fit(taught)
+
+    with ThreadPoolExecutor(8) as pool:
+        fitted = {f: [pool.submit(one, t, f) for t in range(trees)] for f in folds}
+    scores = []
+    for f in folds:
+        out = cells.where(F.col("fold") == f).select("fold", *features, "features").dropDuplicates(["fold", *features]).withColumn("score", F.lit(0.0))
+        for model in fitted[f]:
+            scored = model.result().setRawPredictionCol("").setPredictionCol("").transform(out)
+            out = scored.select("fold", *features, "features", (F.col("score") + vector_to_array("probability")[1] / trees).alias("score"))
+        scores.append(out.drop("features"))
+    scores = stored(reduce(DataFrame.unionByName, scores), "scores")
+    return met(data, scores, ["fold", *features]).select("id", "fold", F.col("y").cast("int"), "score")
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], model: str, weight: str | None = None) -> DataFrame:
     """``(id, fold, y, score)``: each fold scored by a model fitted on the others. The assembled rows are a stored table that
     all fits read, those that sum a loss over rows by way of ``weighed``; fits of several folds run side by side."""
@@ -164,9 +196,11 @@ def out_of_fold(df: DataFrame, features: Sequence[str], model: str, weight: str
         rows = stored(df.withColumn("y", F.col("y").cast("double")), "rows")
         fitted = Factors(stored(weighed(rows, features, ["fold"], weight), "cells"), features, _folds(rows))
         return reduce(DataFrame.unionByName, (rows.where(F.col("fold") == f).select("id", "fold", F.col("y").cast("int"), fitted.score(f).alias("score")) for f in fitted.folds))
-    if model in TREES:  # they read bins, of which rows have few
+    if model in (*TREES, "forest"):  # they read bins, of which rows have few
         df = stored(df.select("id", "fold", "y", *features, *([weight] if weight else [])), "rows")
         df = df.withColumns(in_bins(df, features))
+    if model == "forest":
+        return forest(stored(df.withColumn("y", F.col("y").cast("double")), "binned"), features, weight)
     data = stored(_assembled(df.withColumn("y", F.col("y").cast("double")), features), "assembled")
     cells = stored(weighed(data, features, ["fold"], weight), "cells") if model in (*TREES, "logistic") else None
 

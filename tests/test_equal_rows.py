@@ -131,3 +131,15 @@ def test_bins_hold_few_values_apart_and_many_in_like_counts(spark):
     assert counts.pop(0.0) == 1 and len(counts) == 32 and max(counts.values()) <= 34
     assert {r[0]: r[1] for r in out.groupBy("few").count().collect()} == {0.0: 1, 1.0: 998, 2.0: 1}
     assert out.schema["text_code"].metadata["ml_attr"]["type"] == "nominal" and models.weighed(out.withColumn("y", F.lit(1)), ["text_code"]).schema["text_code"].metadata == out.schema["text_code"].metadata
+
+
+def test_a_forest_over_equal_rows_draws_rows_and_not_cells(df, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(models, "stored", lambda d, n: kept.setdefault(n, scratch.stored(d, n)))
+    got = {r["id"]: r["score"] for r in models.out_of_fold(df, FEATURES, "forest").collect()}
+    cells = kept["cells"].select("_w", "_times").collect()  # before: no cells
+    assert len(got) == 900 and len(cells) < 200 and abs(sum(sum(r[1]) for r in cells) - 36000) < 950
+    assert 0.8 < sum((x - r[0]) ** 2 / r[0] for r in cells for x in r[1]) / (40 * len(cells)) < 1.2  # Poisson: the variance is the mean
+    rows = models._assembled(df.withColumn("y", F.col("y").cast("double")), FEATURES)
+    scored = models.MODELS["forest"](2).fit(rows.where("fold <> 0")).transform(rows.where("fold = 0")).select("id", models.vector_to_array("probability")[1].alias("s")).collect()
+    assert sum(abs(got[r["id"]] - r["s"]) for r in scored) / len(scored) < 0.03
