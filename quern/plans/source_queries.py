@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +55,9 @@ def io4_score_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 def io4_numpy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of NumPy files, aligned with sorted ids."""
     path, ids = new_path(spark, "npy"), base(spark, sf_dir).select("id")
-    place = np.arange(ids.count())
-    for name, save in (("plain.npy", lambda f: np.save(f, place / 8)), ("many.npz", lambda f: np.savez(f, half=place / 2, zero=place * 0.0))):
-        buffer = io.BytesIO()
-        save(buffer)
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
-        out.write(buffer.getvalue())
-        out.close()
+    n = ids.count()
+    tables.save_npy(spark, f"{path}/plain.npy", n, lambda place: place / 8)
+    tables.save_npy(spark, f"{path}/many.npz", n, {"half": lambda place: place / 2, "zero": lambda place: place * 0.0})
     return tables.npy_members(spark, path, ids)
 
 
