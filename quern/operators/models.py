@@ -301,16 +301,26 @@ def on_margin(df: DataFrame, reference: str, features: Sequence[str], share: flo
 
 
 def multi_output(df: DataFrame, targets: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """``(id, pred_<target>)``: each target predicted from ``features``, of which it is none, by a fit on other folds."""
-    data = stored(_assembled(df.select("id", "fold", *targets, *features), features), "assembled")
+    """``(id, pred_<target>)``: each target predicted from ``features``, of which it is none, by a fit on other folds. Trees of
+    squared loss hang on sums of a target alone, so they read rows of equal bins as one, with the mean of the target and their
+    number as its weight, and score bins instead of rows. A row without a target does not teach it."""
+    rows = stored(df.select("id", "fold", *targets, *features), "rows")
+    data = rows.select("id", "fold", *targets, *in_bins(rows, features).values())
+    means = {f"_n_{t}": F.count(t).cast("double") for t in targets} | {f"_y_{t}": F.avg(F.col(t).cast("double")) for t in targets}
+    cells = stored(_assembled(data.groupBy("fold", *features).agg(*(v.alias(k) for k, v in means.items())), features), "cells")
+
+    def one(fold: int, t: str):
+        estimator = GBTRegressor(labelCol=f"_y_{t}", maxDepth=3, maxIter=8, seed=7, predictionCol=f"pred_{t}", maxBins=ALL_BINS, weightCol=f"_n_{t}")
+        return estimator.fit(cells.where((F.col("fold") != fold) & (F.col(f"_n_{t}") > 0)))
 
-    def one(fold: int) -> DataFrame:
-        out = data.where(F.col("fold") == fold)
-        for t in targets:
-            out = GBTRegressor(labelCol=t, maxDepth=3, maxIter=8, seed=7, predictionCol=f"pred_{t}").fit(data.where(F.col("fold") != fold)).transform(out)
-        return out.select("id", *(f"pred_{t}" for t in targets))
-
-    return reduce(DataFrame.unionByName, in_parallel(one, _folds(data)))
+    with ThreadPoolExecutor(8) as pool:
+        fitted = {f: [pool.submit(one, f, t) for t in targets] for f in _folds(cells)}
+    scores = []
+    for f, of in fitted.items():
+        out = reduce(lambda rows, model: model.result().transform(rows), of, cells.where(F.col("fold") == f))
+        scores.append(out.select("fold", *features, *(f"pred_{t}" for t in targets)))
+    scores = stored(reduce(DataFrame.unionByName, scores), "scores")
+    return met(data, scores, ["fold", *features]).select("id", *(f"pred_{t}" for t in targets))
 
 
 def teacher(other: DataFrame, rows: DataFrame, features: Sequence[str], model: str = "logistic") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import blending, encodings, models, neighbours
 from quern.operators.metrics import auc
 from quern.plans.base import BASE, FOLDED, auc_sql, base, folded, query, r6, ranked_sql, u_sql
+from quern.sources.scratch import stored
 from quern.sources.tables import table
 
 
@@ -150,7 +151,8 @@ def t32_local_augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    te = encodings.crossfit(folded(spark, sf_dir), "cust", [20])
+    df = stored(folded(spark, sf_dir).select("id", "y", "fold", "cust", "price", "r0", "r1", "pri"), "folded")
+    te = encodings.crossfit(df, "cust", [20])
     return te.select("id", "y", "fold", "te_20", F.log1p("price").alias("log_price"), F.col("r0").cast("double").alias("r0"), F.col("r1").cast("double").alias("r1"), "pri")
 
 
