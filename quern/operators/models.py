@@ -270,21 +270,28 @@ def residuals(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
 
 def early_stopped(df: DataFrame, features: Sequence[str], most: int = 40, fold: str = "fold") -> tuple[DataFrame, int]:
     """``(id, fold, y, score)`` and the number of rounds: in each fold a boosted fit on the rows that are not ``is_es`` is
-    watched on those that are; all folds are then fitted again, on all their rows, with the median of the best rounds."""
-    data = stored(_assembled(df.withColumn("y", F.col("y").cast("double")), features), "assembled")
+    watched on those that are; all folds are then fitted again, on all their rows, with the median of the best rounds.
+    Trees read bins, rows of equal bins as one with a weight, and score bins instead of rows."""
+    rows = stored(df.select("id", fold, F.col("y").cast("double").alias("y"), "is_es", *features), "rows")
+    data = rows.withColumns(in_bins(rows, features))
+    cells = stored(_assembled(weighed(data, features, [fold, "is_es"]), features), "cells")
+    grown = lambda rounds: GBTClassifier(labelCol="y", maxDepth=3, maxIter=rounds, stepSize=0.2, seed=7, maxBins=ALL_BINS, weightCol="_w")
 
     def best(f: int) -> int:
-        fitted = GBTClassifier(labelCol="y", maxDepth=3, maxIter=most, stepSize=0.2, seed=7).fit(data.where((F.col(fold) != f) & ~F.col("is_es")))
-        losses = fitted.evaluateEachIteration(data.where((F.col(fold) != f) & F.col("is_es")))
+        fitted = grown(most).fit(cells.where((F.col(fold) != f) & ~F.col("is_es")))
+        losses = fitted.evaluateEachIteration(cells.where((F.col(fold) != f) & F.col("is_es")))
         return 1 + losses.index(min(losses))
 
-    rounds = int(median_high(in_parallel(best, _folds(data))))
+    folds = sorted(r[0] for r in cells.select(fold).distinct().collect())
+    rounds = int(median_high(in_parallel(best, folds)))
 
     def one(f: int) -> DataFrame:
-        fitted = GBTClassifier(labelCol="y", maxDepth=3, maxIter=rounds, stepSize=0.2, seed=7).fit(data.where(F.col(fold) != f))
-        return fitted.transform(data.where(F.col(fold) == f)).select("id", fold, F.col("y").cast("int"), vector_to_array("probability")[1].alias("score"))
+        fitted = grown(rounds).fit(cells.where(F.col(fold) != f))
+        own = cells.where(F.col(fold) == f).dropDuplicates(list(features))
+        return fitted.transform(own).select(fold, *features, vector_to_array("probability")[1].alias("score"))
 
-    return reduce(DataFrame.unionByName, in_parallel(one, _folds(data))), rounds
+    scores = stored(reduce(DataFrame.unionByName, in_parallel(one, folds)), "scores")
+    return met(data, scores, [fold, *features]).select("id", fold, F.col("y").cast("int"), "score"), rounds
 
 
 def on_margin(df: DataFrame, reference: str, features: Sequence[str], share: float = 0.5) -> DataFrame:

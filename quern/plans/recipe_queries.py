@@ -169,7 +169,7 @@ def b14_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g6_early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits watched on carved rows, then fitted again with the median of the best rounds."""
-    df = folds.early_stop(_numbers(spark, sf_dir), 0.1, "stop")
+    df = folds.early_stop(stored(_numbers(spark, sf_dir), "numbers"), 0.1, "stop")
     return _by_fold(models.early_stopped(df, ["a", "b", "r0"], 8)[0])
 
 

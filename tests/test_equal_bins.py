@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
@@ -37,3 +39,20 @@ def test_outputs_are_fitted_on_means_of_equal_bins(df, kept):
         taught = rows.where(F.col("fold") != 1).dropna(subset=[t])
         want = GBTRegressor(labelCol=t, maxDepth=3, maxIter=8, seed=7).fit(taught).transform(rows.where("fold = 1"))
         assert all(got[r["id"]][f"pred_{t}"] == pytest.approx(r["prediction"], abs=1e-9) for r in want.select("id", "prediction").collect())
+
+
+def test_fits_that_stop_early_read_equal_bins_once(df, kept):
+    scored, rounds = models.early_stopped(df, FEATURES, 6)
+    got = {r["id"]: (r["y"], r["fold"], r["score"]) for r in scored.collect()}
+    assert len(got) == 900 and kept["cells"].count() <= 3 * 2 * 2 * 9 * 5  # before: all rows in each fit
+    rows = models._assembled(df.withColumn("y", F.col("y").cast("double")), FEATURES)
+    grown = lambda n: GBTClassifier(labelCol="y", maxDepth=3, maxIter=n, stepSize=0.2, seed=7)
+    best = []
+    for f in range(3):
+        other = rows.where(F.col("fold") != f)
+        losses = grown(6).fit(other.where("not is_es")).evaluateEachIteration(other.where("is_es"))
+        best.append(1 + losses.index(min(losses)))
+    assert rounds == sorted(best)[1]
+    want = grown(rounds).fit(rows.where("fold <> 2")).transform(rows.where("fold = 2")).select("id", "y", vector_to_array("probability")[1].alias("s"))
+    for r in want.collect():
+        assert got[r["id"]][:2] == (r["y"], 2) and got[r["id"]][2] == pytest.approx(r["s"], abs=1e-9)
